@@ -29,9 +29,9 @@ def impute_median(df: DataFrame, cols: Sequence[str], all_null_value: float | No
     medians = column_quantiles(df if fit_on is None else fit_on, chosen, 0.5)
     known = as_map(medians, F.col("feature"), F.col("value"))
     fallback = F.lit(all_null_value).cast("double")
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"),
-                                         F.try_element_at(known, F.lit(c)), fallback)
-                           for c in chosen})
+    filled = {c: F.coalesce(F.col(c).cast("double"),
+                            F.try_element_at("_medians", F.lit(c)), fallback) for c in chosen}
+    return df.withColumn("_medians", known).withColumns(filled).drop("_medians")
 
 
 def _available(df: DataFrame, contract: Sequence[str]) -> list[str]:

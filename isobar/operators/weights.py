@@ -51,9 +51,8 @@ def standardize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     moments = df.agg(*[F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(c)
                        for c in cols])
     fitted = moments.select(F.struct(*cols).alias("m")).scalar()
-    out = {}
+    scaled = {}
     for c in cols:
-        std = fitted.getField(c).getField("std")
-        scale = F.when(std == 0, F.lit(1.0)).otherwise(std)
-        out[c] = (F.col(c) - fitted.getField(c).getField("mean")) / scale
-    return df.withColumns(out)
+        mean, std = F.col(f"_m.{c}.mean"), F.col(f"_m.{c}.std")
+        scaled[c] = (F.col(c) - mean) / F.when(std == 0, F.lit(1.0)).otherwise(std)
+    return df.withColumn("_m", fitted).withColumns(scaled).drop("_m")

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isobar.operators.matrices import cyclone_matrix, heatwave_matrix, rainfall_matrix, split_test
-from isobar.operators.metrics import binary_metrics, multiclass_metrics, ranked_importances
+from isobar.operators.metrics import (binary_metrics, classification_metrics,
+                                      multiclass_metrics, ranked_importances)
 from isobar.operators.quality import align_features
 from isobar.operators.weights import pos_weight, with_balanced_weight, with_pos_weight
 from isobar.plans.scoring import CONTRACTS
@@ -104,7 +105,11 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 def evaluate(model: PipelineModel, df: DataFrame, task: str) -> DataFrame:
     """Metrics of a model on a matrix as (metric, value) rows."""
-    scored = predict(model, df).select("label", "prediction", "probabilities")
+    return measure(predict(model, df), task)
+
+
+def measure(scored: DataFrame, task: str) -> DataFrame:
+    """Metrics of scored rows as (metric, value) rows."""
     if CLASSES[task] > 2:
         return multiclass_metrics(scored, CLASSES[task])
     return binary_metrics(scored.withColumn("score", F.get("probabilities", 1)))
@@ -119,15 +124,17 @@ def train(processed: DataFrame, task: str, run_id: str, test: float = 0.2,
           **params: float) -> tuple[PipelineModel, DataFrame]:
     """Matrix, stratified split, fit, and metrics of the train and test parts.
 
-    The matrix is written out once: the learner, the split and the metrics all read it.
+    The matrix and the scored rows are written out once: learner and metrics read them often.
     """
     matrix = MATRICES[task](processed)
     marked = materialize(split_test(matrix, key=KEYS[task], test=test), f"matrix-{task}")
-    parts = {"train": marked.where(~F.col("is_test")), "test": marked.where("is_test")}
-    model = fit(parts["train"], task, **params)
-    scored = [run_metrics(evaluate(model, part, task), run_id, task, name)
+    model = fit(marked.where(~F.col("is_test")), task, **params)
+    scored = materialize(predict(model, marked).select(
+        "label", "prediction", "probabilities", "is_test"), f"scored-{task}")
+    parts = {"train": scored.where(~F.col("is_test")), "test": scored.where("is_test")}
+    tables = [run_metrics(measure(part, task), run_id, task, name)
               for name, part in parts.items()]
-    return model, scored[0].unionByName(scored[1])
+    return model, tables[0].unionByName(tables[1])
 
 
 def train_all(processed: Mapping[str, DataFrame], run_id: str,
@@ -227,9 +234,9 @@ def ablation(processed: DataFrame, task: str, feature: str, **params: float) ->
     rows = None
     for name, cols in subsets.items():
         model = fit(train_part, task, contract=cols, **params)
-        row = evaluate(model, test_part, task).where("metric = 'accuracy'").select(
-            F.lit(name).alias("subset"), F.lit(feature).alias("feature"),
-            F.col("value").alias("accuracy"))
+        scored = materialize(predict(model, test_part).select("label", "prediction"), "ablation")
+        row = classification_metrics(scored).select(
+            F.lit(name).alias("subset"), F.lit(feature).alias("feature"), "accuracy")
         rows = row if rows is None else rows.unionByName(row)
     return rows
 

@@ -6,8 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Declared columns of the tables the queries read; saves a job per table to find them.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, "
+              "props string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def dim_station(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +33,20 @@ def dim_station(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("r_name").alias("zone"))
 
 
+# Daily measures of a station, from the line items shipped that day.
+MEASURES = [
+    "max(l_quantity) AS temp_max",
+    "min(l_quantity) AS temp_min",
+    "round(avg(l_quantity), 6) AS temp_mean",
+    "round(sum(l_extendedprice), 2) AS precipitation",
+    "round(max(l_discount) * 500, 6) AS wind_speed_10m_max",
+    "round(max(l_discount) * 1000, 6) AS wind_gust_max",
+    "round(1000 + min(l_tax) * 100, 6) AS pressure_msl_mean",
+    "cast(sum(l_suppkey) % 100 AS double) AS relative_humidity_2m_mean",
+    "cast(sum(l_partkey) % 100 AS double) AS cloud_cover_mean",
+]
+
+
 def station_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (city, time): supplier nation and ship date with daily measures.
 
@@ -28,16 +57,8 @@ def station_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     lineitem = table(spark, sf_dir, "lineitem")
     daily = (lineitem.join(supplier, lineitem.l_suppkey == supplier.s_suppkey)
-             .groupBy("s_nationkey", F.to_date("l_shipdate").alias("time")).agg(
-                 F.max("l_quantity").alias("temp_max"),
-                 F.min("l_quantity").alias("temp_min"),
-                 F.round(F.avg("l_quantity"), 6).alias("temp_mean"),
-                 F.round(F.sum("l_extendedprice"), 2).alias("precipitation"),
-                 F.round(F.max("l_discount") * 500, 6).alias("wind_speed_10m_max"),
-                 F.round(F.max("l_discount") * 1000, 6).alias("wind_gust_max"),
-                 F.round(1000 + F.min("l_tax") * 100, 6).alias("pressure_msl_mean"),
-                 (F.sum("l_suppkey") % 100).cast("double").alias("relative_humidity_2m_mean"),
-                 (F.sum("l_partkey") % 100).cast("double").alias("cloud_cover_mean")))
+             .groupBy("s_nationkey", F.expr("to_date(l_shipdate)").alias("time"))
+             .agg(*[F.expr(measure) for measure in MEASURES]))
     station = dim_station(spark, sf_dir)
     return (daily.join(station, daily.s_nationkey == station.station_id)
             .select("city", "zone", *daily.columns[1:]))

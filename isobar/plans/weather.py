@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 
 from isobar.functions.columns import (coerce_numeric, drop_all_null, first_present,
                                       normalise_nulls, rename_present, seasonal_features)
-from isobar.operators.chunks import CHUNK, chunk_directory, join_per_entity, over_chunks, with_chunk
+from isobar.operators.chunks import CHUNK, Stage, chunk_directory, join_per_entity, over_chunks
 from isobar.operators.explore import event_summary
 from isobar.operators.labels import (HOT, HOT_DAYS, RAIN_QUANTILES, SEVERE_HOT, cyclonic_flag,
-                                     heatwave_columns, label_cyclonic, label_heatwave,
-                                     label_rainfall, rain_flag, rain_thresholds)
+                                     heatwave_columns, rain_flag, rain_thresholds)
 from isobar.operators.panel import lag_columns, rolling_columns
 from isobar.schemas import LAG_COLUMNS, LAGS, ROLL_COLUMNS, ROLL_WINDOWS, SHORT_NAMES
 from isobar.sources.files import read_station_csv
@@ -32,9 +31,34 @@ def with_short_names(raw: DataFrame) -> DataFrame:
     return coerce_numeric(named, {c: c for c in wanted})
 
 
-def label_events(df: DataFrame, method: str = "exact", **kwargs) -> DataFrame:
-    """All five event flags; rainfall thresholds first, so that the panel is chunked once."""
-    return label_heatwave(label_cyclonic(label_rainfall(df, method=method)), **kwargs)
+def _labelled(df: DataFrame, stages: Sequence[Stage], back: int, ahead: int,
+              q: tuple[float, float], method: str, entity: str, time: str,
+              unit: str) -> DataFrame:
+    """Window columns and the rain and cyclonic flags, with one shuffle of the panel.
+
+    The windows and the join of the rainfall thresholds use the same (entity, chunk) spread. If
+    a stage made ``_rain_next``, the next row's rain flag is added too.
+    """
+    wide = over_chunks(df, stages, back=back, ahead=ahead, entity=entity, time=time, unit=unit,
+                       keep_chunk=True)
+    joined = join_per_entity(wide, chunk_directory(df, entity, time, unit),
+                             rain_thresholds(df, q, method, entity, time), entity)
+    rain = {"extreme_rainfall": rain_flag(F.col("precipitation"), high=False),
+            "heavy_rainfall": rain_flag(F.col("precipitation"), high=True),
+            "cyclonic_flag": cyclonic_flag(df)}
+    if "_rain_next" in wide.columns:
+        has_next = F.col("heatwave_flag_next").isNotNull()
+        rain["extreme_rainfall_next"] = F.when(has_next, rain_flag(F.col("_rain_next"), high=False))
+    return joined.withColumns(rain).drop("rain_q_low", "rain_q_high", "_rain_next", CHUNK)
+
+
+def label_events(df: DataFrame, hot: float = HOT, severe: float = SEVERE_HOT,
+                 days: int = HOT_DAYS, q: tuple[float, float] = RAIN_QUANTILES,
+                 method: str = "exact", entity: str = "city", time: str = "time",
+                 unit: str = "year") -> DataFrame:
+    """All five event flags."""
+    return _labelled(df, [lambda w: heatwave_columns(w, hot, severe, days)], days - 1, 0, q,
+                     method, entity, time, unit)
 
 
 def weather_features(df: DataFrame, hot: float = HOT, severe: float = SEVERE_HOT,
@@ -43,12 +67,11 @@ def weather_features(df: DataFrame, hot: float = HOT, severe: float = SEVERE_HOT
                      windows: Sequence[int] = ROLL_WINDOWS, include_current: bool = False,
                      targets: bool = False, drop_unlagged: bool = True, tz: str = "UTC",
                      entity: str = "city", time: str = "time", unit: str = "year") -> DataFrame:
-    """Labelled and featurised panel.
+    """Labelled and featurised panel, shuffled once.
 
-    The panel is shuffled once, by (entity, chunk): flags, lags, rolling statistics and next-day
-    targets share its windows, and the rainfall thresholds join on the same key. With ``targets``
-    the next day's flags are added as ``heatwave_flag_next`` and ``extreme_rainfall_next`` (NULL
-    on an entity's last row). ``drop_unlagged`` drops rows on which every lag is NULL.
+    With ``targets`` the next day's flags are added as ``heatwave_flag_next`` and
+    ``extreme_rainfall_next`` (NULL on an entity's last row). ``drop_unlagged`` drops rows on
+    which every lag is NULL.
     """
     lag_cols = [c for c in LAG_COLUMNS if c in df.columns]
     roll_cols = [c for c in ROLL_COLUMNS if c in df.columns]
@@ -62,23 +85,12 @@ def weather_features(df: DataFrame, hot: float = HOT, severe: float = SEVERE_HOT
                 "_rain_next": F.lead("precipitation").over(w)}
 
     stages = [features, following] if targets else [features]
-    back = max([*lags, *windows, days - 1])
-    chunked = with_chunk(df, entity, time, unit)
-    wide = over_chunks(chunked, stages, back=back, ahead=1 if targets else 0, entity=entity,
-                       time=time, keep_chunk=True)
-    labelled = join_per_entity(wide, chunk_directory(df, entity, time, unit),
-                               rain_thresholds(df, q, method, entity, time), entity)
-    rain = {"extreme_rainfall": rain_flag(F.col("precipitation"), high=False),
-            "heavy_rainfall": rain_flag(F.col("precipitation"), high=True),
-            "cyclonic_flag": cyclonic_flag(df)}
-    if targets:
-        has_next = F.col("heatwave_flag_next").isNotNull()
-        rain["extreme_rainfall_next"] = F.when(has_next, rain_flag(F.col("_rain_next"), high=False))
-    out = (labelled.withColumns(rain)
-           .drop("rain_q_low", "rain_q_high", "_rain_next", CHUNK))
+    out = _labelled(df, stages, max([*lags, *windows, days - 1]), 1 if targets else 0, q, method,
+                    entity, time, unit)
     out = seasonal_features(out, time, tz)
-    return drop_all_null(out, [f"{c}_lag_{k}" for c in lag_cols for k in lags]) \
-        if drop_unlagged and lag_cols else out
+    if not (drop_unlagged and lag_cols):
+        return out
+    return drop_all_null(out, [f"{c}_lag_{k}" for c in lag_cols for k in lags])
 
 
 def run_etl(spark: SparkSession, raw_path: str | list[str], output_path: str,

@@ -17,6 +17,10 @@ RUNTIME_CONF = {
     "spark.sql.parquet.compression.codec": "snappy",
 }
 
+# Settings that can only be made when a session is created. Recording the Python call site of
+# every column expression dominates the time to build plans of this width.
+STATIC_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def build_session(app_name: str = "isobar", master: str | None = None,
                   shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -24,7 +28,7 @@ def build_session(app_name: str = "isobar", master: str | None = None,
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    settings = dict(RUNTIME_CONF)
+    settings = {**RUNTIME_CONF, **STATIC_CONF}
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     settings.update(conf)
