@@ -276,7 +276,7 @@ BASE = ["city", "zone", "time", "temp_max", "temp_min", "temp_mean", "precipitat
         "wind_speed_10m_max", "wind_gust_max", "pressure_msl_mean", "relative_humidity_2m_mean",
         "cloud_cover_mean", "heatwave_flag", "severe_heatwave_flag", "extreme_rainfall",
         "heavy_rainfall", "cyclonic_flag", "month", "dayofyear", *LAGS]
-add("weather_pipeline", WIDE + f"SELECT {', '.join(BASE)}, "
+add("weather_features", WIDE + f"SELECT {', '.join(BASE)}, "
     + ", ".join(f"ROUND({c}, 4) AS {c}" for c in sorted(ROUNDED))
     + f" FROM features WHERE COALESCE({', '.join(LAGS)}) IS NOT NULL")
 

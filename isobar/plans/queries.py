@@ -102,7 +102,7 @@ def label_cyclonic(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def weather_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+def weather_features(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(weather.weather_features(panel_once(spark, sf)), 4, [*ROLLED, *SEASON])
 
 

@@ -85,7 +85,8 @@ def read_tracks_zip(spark: SparkSession, path: str, encoding: str = "ISO-8859-1"
                     with archive.open(members[0]) as member:
                         for part in pd.read_csv(member, dtype=str, encoding=encoding,
                                                 chunksize=rows_per_batch):
-                            yield part.reindex(columns=names)
+                            text = part.reindex(columns=names).astype(object)
+                            yield text.where(text.notna(), None)
 
     archives = spark.read.format("binaryFile").load(path).select("content")
     return archives.mapInPandas(unpack, TRACKS)
