@@ -71,7 +71,8 @@ def _auc(rows: DataFrame, by: Sequence[str], slices: int) -> DataFrame:
     Scores are reduced to distinct values before they are ordered.
     """
     pos = F.col("_pos").cast("long")
-    counted = rows.groupBy(*by, "_score").agg(F.sum(pos).alias("_p"), F.sum(1 - pos).alias("_m"))
+    known = rows.where("_score IS NOT NULL AND _pos IS NOT NULL")
+    counted = known.groupBy(*by, "_score").agg(F.sum(pos).alias("_p"), F.sum(1 - pos).alias("_m"))
     ranked = cumulative(with_slices(counted, by, "_score", slices), by, "_slice",
                         [F.col("_score")], {"_below": "_m"})
     wins = F.sum(F.col("_p").cast("double") * (F.col("_below") - F.col("_m") / 2))
@@ -83,15 +84,16 @@ def _auc(rows: DataFrame, by: Sequence[str], slices: int) -> DataFrame:
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
             slices: int = SLICES) -> DataFrame:
     """Binary area under the ROC curve, one row; 0.5 if a class is absent."""
-    rows = df.select(F.col(score).alias("_score"), (F.col(label) == 1).alias("_pos"))
-    return _auc(rows.where("_score IS NOT NULL AND _pos IS NOT NULL"), [], slices)
+    rows = df.select(F.col(score).cast("double").alias("_score"),
+                     (F.col(label) == 1).alias("_pos"))
+    return _auc(rows, [], slices)
 
 
 def roc_auc_by_class(df: DataFrame, label: str, probabilities: str, n_classes: int,
                      slices: int = SLICES) -> DataFrame:
     """One-versus-rest area of each class from an array of class probabilities."""
     sides = F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)), lambda k: F.struct(
-        k.alias("class"), F.get(F.col(probabilities), k).alias("_score"),
+        k.alias("class"), F.get(F.col(probabilities), k).cast("double").alias("_score"),
         (F.col(label) == k).alias("_pos")))
     return _auc(df.select(F.inline(sides)), ["class"], slices)
 

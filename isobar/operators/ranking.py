@@ -69,9 +69,10 @@ def with_slices(df: DataFrame, by: Sequence[str], value: str, slices: int = SLIC
     cuts = (df.withColumn("_key", group_key(by)).groupBy("_key")
             .agg(F.percentile_approx(value, cut_points, ACCURACY).alias("_cuts")))
     own = F.try_element_at(as_map(cuts, F.col("_key"), F.col("_cuts")), group_key(by))
-    return (df.withColumn("_cuts", own)
-            .withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
-            .drop("_cuts"))
+    # The value's place among the sorted cuts. A lambda over the cuts would be interpreted and
+    # would carry the subquery's whole plan into every task.
+    place = F.array_position(F.sort_array(F.array_append(own, F.col(value))), F.col(value))
+    return df.withColumn("_slice", place.cast("int") - 1)
 
 
 def salted_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], spread: Sequence[str],

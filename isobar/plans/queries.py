@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from isobar.functions import columns as C
 from isobar.functions import events as E
-from isobar.operators import cyclone, drift, explore, health, labels, matrices, metrics, panel
-from isobar.operators import quality, ranking, store, weights
+from isobar.operators import cyclone, dimension, drift, explore, health, labels, matrices
+from isobar.operators import metrics, panel, quality, ranking, store, weights
 from isobar.plans import ingest, scoring, training, views, weather
 from isobar.plans.views import batch_ledger, dim_station, prediction_log, table, track_points
 from isobar.schemas import (CYCLONE_FEATURES, CYCLONE_RULES, HEATWAVE_FEATURES, LAG_COLUMNS,
@@ -315,8 +315,8 @@ def seasonal_features(spark: SparkSession, sf: str) -> DataFrame:
 def attach_dimension(spark: SparkSession, sf: str) -> DataFrame:
     """Station metadata onto the rows, by the small dimension's key."""
     days = station_daily(spark, sf).select("city", "time", "temp_max")
-    known = dim_station(spark, sf).where("zone <> 'REGION_1'").select("city", "zone")
-    return days.join(known, "city", "left")
+    known = dim_station(spark, sf).where("zone <> 'REGION_1'")
+    return dimension.attach_dimension(days, known, cols=["zone"])
 
 
 @query

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from isobar.functions.columns import (coerce_numeric, drop_all_null, first_present,
                                       normalise_nulls, rename_present, seasonal_features)
 from isobar.operators.chunks import CHUNK, Stage, chunk_directory, join_per_entity, over_chunks
+from isobar.operators.cyclone import prepare_tracks
 from isobar.operators.explore import event_summary
 from isobar.operators.labels import (HOT, HOT_DAYS, RAIN_QUANTILES, SEVERE_HOT, cyclonic_flag,
                                      heatwave_columns, rain_flag, rain_thresholds)
 from isobar.operators.panel import lag_columns, rolling_columns
 from isobar.schemas import LAG_COLUMNS, LAGS, ROLL_COLUMNS, ROLL_WINDOWS, SHORT_NAMES
-from isobar.sources.files import read_station_csv
+from isobar.sources.files import read_station_csv, read_tracks_csv
 from isobar.sources.sinks import write_csv, write_partitioned
 
 
@@ -33,7 +34,7 @@ def with_short_names(raw: DataFrame) -> DataFrame:
 
 def _labelled(df: DataFrame, stages: Sequence[Stage], back: int, ahead: int,
               q: tuple[float, float], method: str, entity: str, time: str,
-              unit: str) -> DataFrame:
+              unit: str, gust_col: str) -> DataFrame:
     """Window columns and the rain and cyclonic flags, with one shuffle of the panel.
 
     The windows and the join of the rainfall thresholds use the same (entity, chunk) spread. If
@@ -45,7 +46,7 @@ def _labelled(df: DataFrame, stages: Sequence[Stage], back: int, ahead: int,
                              rain_thresholds(df, q, method, entity, time), entity)
     rain = {"extreme_rainfall": rain_flag(F.col("precipitation"), high=False),
             "heavy_rainfall": rain_flag(F.col("precipitation"), high=True),
-            "cyclonic_flag": cyclonic_flag(df)}
+            "cyclonic_flag": cyclonic_flag(df, gust_col=gust_col)}
     if "_rain_next" in wide.columns:
         has_next = F.col("heatwave_flag_next").isNotNull()
         rain["extreme_rainfall_next"] = F.when(has_next, rain_flag(F.col("_rain_next"), high=False))
@@ -55,10 +56,10 @@ def _labelled(df: DataFrame, stages: Sequence[Stage], back: int, ahead: int,
 def label_events(df: DataFrame, hot: float = HOT, severe: float = SEVERE_HOT,
                  days: int = HOT_DAYS, q: tuple[float, float] = RAIN_QUANTILES,
                  method: str = "exact", entity: str = "city", time: str = "time",
-                 unit: str = "year") -> DataFrame:
+                 unit: str = "year", gust_col: str = "wind_gust_max") -> DataFrame:
     """All five event flags."""
     return _labelled(df, [lambda w: heatwave_columns(w, hot, severe, days)], days - 1, 0, q,
-                     method, entity, time, unit)
+                     method, entity, time, unit, gust_col)
 
 
 def weather_features(df: DataFrame, hot: float = HOT, severe: float = SEVERE_HOT,
@@ -66,7 +67,8 @@ def weather_features(df: DataFrame, hot: float = HOT, severe: float = SEVERE_HOT
                      method: str = "exact", lags: Sequence[int] = LAGS,
                      windows: Sequence[int] = ROLL_WINDOWS, include_current: bool = False,
                      targets: bool = False, drop_unlagged: bool = True, tz: str = "UTC",
-                     entity: str = "city", time: str = "time", unit: str = "year") -> DataFrame:
+                     entity: str = "city", time: str = "time", unit: str = "year",
+                     gust_col: str = "wind_gust_max") -> DataFrame:
     """Labelled and featurised panel, shuffled once.
 
     With ``targets`` the next day's flags are added as ``heatwave_flag_next`` and
@@ -86,7 +88,7 @@ def weather_features(df: DataFrame, hot: float = HOT, severe: float = SEVERE_HOT
 
     stages = [features, following] if targets else [features]
     out = _labelled(df, stages, max([*lags, *windows, days - 1]), 1 if targets else 0, q, method,
-                    entity, time, unit)
+                    entity, time, unit, gust_col)
     out = seasonal_features(out, time, tz)
     if not (drop_unlagged and lag_cols):
         return out
@@ -107,3 +109,31 @@ def run_etl(spark: SparkSession, raw_path: str | list[str], output_path: str,
     else:
         raise ValueError(f"unknown output format {output_format!r}")
     return event_summary(written)
+
+
+def with_copies(raw: DataFrame) -> DataFrame:
+    """Short-named numeric copies next to the source columns, which are kept."""
+    rain = "precipitation_sum" if "precipitation_sum" in raw.columns else "precip"
+    temperatures = {old: SHORT_NAMES[old] for old in SHORT_NAMES if old.startswith("temperature")}
+    copied = coerce_numeric(normalise_nulls(raw), temperatures)
+    return coerce_numeric(copied, {rain: "precipitation"}, absent=0.0)
+
+
+def preprocess_all(spark: SparkSession, weather_path: str | None = None,
+                   cyclone_path: str | None = None, output_dir: str | None = None
+                   ) -> tuple[DataFrame | None, DataFrame | None]:
+    """Processed weather and cyclone frames, also written as CSV if a folder is given.
+
+    Unlike the ETL table this keeps the source columns and every row.
+    """
+    weather = cyclones = None
+    if weather_path is not None:
+        raw = with_copies(read_station_csv(spark, weather_path)[0])
+        weather = weather_features(raw, drop_unlagged=False, gust_col="wind_gusts_10m_max")
+    if cyclone_path is not None:
+        cyclones = prepare_tracks(read_tracks_csv(spark, cyclone_path))
+    if output_dir is not None:
+        for name, frame in (("weather_processed", weather), ("cyclones_processed", cyclones)):
+            if frame is not None:
+                write_csv(frame, f"{output_dir}/{name}")
+    return weather, cyclones

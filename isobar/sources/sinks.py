@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from isobar.functions.columns import normalise_nulls
 from isobar.operators.chunks import CHUNK, with_chunk
 
 SINGLE_FILE_ROWS = 1_000_000
@@ -47,3 +49,9 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
 def append(df: DataFrame, path: str) -> None:
     """Append rows to a log or ledger table."""
     df.write.mode("append").parquet(path)
+
+
+def json_records(df: DataFrame, out: str = "record") -> DataFrame:
+    """Each row as a JSON object: NaN and NULL as null, times in ISO form."""
+    options = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"}
+    return normalise_nulls(df).select(F.to_json(F.struct("*"), options).alias(out))
