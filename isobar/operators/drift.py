@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isobar.functions.ks import p_value
-from isobar.operators.ranking import SALTS, SLICES, cumulative, with_slices
+from isobar.operators.lookup import SALTS
+from isobar.operators.ranking import SLICES, cumulative, with_slices
 
 # Log window, smallest log and sample, significance level.
 LAST = 500

@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isobar.operators.lookup import lookup_join
+
 # Rank error of percentile_approx is at most n / ACCURACY. A bracket of 4 / ACCURACY on both sides
 # of a quantile must contain it; groups up to FULL_GROUP rows are ranked whole, so that the
 # bracket is always several rows wide.
@@ -21,7 +23,6 @@ ACCURACY = 2_000
 MARGIN = 4.0 / ACCURACY
 FULL_GROUP = 2_000
 SLICES = 64
-SALTS = 32
 
 
 def cumulative(df: DataFrame, by: Sequence[str], slice_col: str, order: Sequence[Column],
@@ -75,18 +76,6 @@ def with_slices(df: DataFrame, by: Sequence[str], value: str, slices: int = SLIC
     return df.withColumn("_slice", place.cast("int") - 1)
 
 
-def salted_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], spread: Sequence[str],
-                salts: int = SALTS) -> DataFrame:
-    """Left join of a one-row-per-key frame, with every key spread over ``salts`` join keys.
-
-    ``spread`` names columns that differ between the rows of one key.
-    """
-    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return (rows.withColumn("_salt", salt)
-            .join(copies, [*keys, "_salt"], "left").drop("_salt"))
-
-
 def _bracket(value: str, probs: Sequence[float]) -> Column:
     """Row count and, for each quantile, a value below and a value above it."""
     ends = [p for q in probs for p in (max(0.0, q - MARGIN), min(1.0, q + MARGIN))]
@@ -137,8 +126,9 @@ def group_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], by: S
     """Quantiles of ``value`` per group, one column per entry of ``probs`` (ascending).
 
     NULL and NaN are ignored. ``exact`` interpolates linearly between ranks; ``approx`` returns an
-    element of the group from a bounded sketch. ``spread`` names columns that tell the rows of one
-    group apart, used to split large groups in the bracket join.
+    element of the group from a bounded sketch. The exact form runs the bracket pass at once, to
+    know its size. ``spread`` names columns that tell the rows of one group apart, used to split
+    large groups when the brackets are too many to broadcast.
     """
     clean = df.where(F.col(value).isNotNull() & ~F.isnan(value))
     spread = list(spread or [value])
@@ -150,7 +140,7 @@ def group_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], by: S
         raise ValueError(f"unknown quantile method {method!r}")
     qs = list(probs.values())
     brackets = rows.groupBy(*by).agg(_bracket("_v", qs).alias("_b"))
-    counted = _compress(salted_join(rows, brackets, by, spread), by, "_v", len(qs))
+    counted = _compress(lookup_join(rows, brackets, by, spread), by, "_v", len(qs))
     return _interpolate(counted, by, probs)
 
 

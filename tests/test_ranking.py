@@ -7,7 +7,8 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from isobar.operators import ranking
+from isobar.operators import lookup, ranking
+from isobar.operators.labels import label_rainfall
 from isobar.operators.matrices import impute_median
 
 QS = {"p05": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99}
@@ -48,7 +49,7 @@ def test_quantiles_equal_numpy(spark, request, coarse):
 def test_brackets_keep_few_candidates(spark, bracketed):
     df = spark.range(20_000).select(F.lit("x").alias("g"), "id", F.rand(3).alias("v"))
     brackets = df.groupBy("g").agg(ranking._bracket("v", [0.95]).alias("_b"))
-    joined = ranking.salted_join(df, brackets, ["g"], ["id"])
+    joined = lookup.salted_join(df, brackets, ["g"], ["id"])
     assert ranking._compress(joined, ["g"], "v", 1).count() < 20_000 * 0.08
 
 
@@ -75,7 +76,7 @@ def test_column_quantiles(spark, bracketed):
 def test_salted_join_keeps_every_row(spark):
     left = spark.range(500).select((F.col("id") % 3).alias("k"), "id")
     right = spark.createDataFrame([(0, "a"), (1, "b")], "k long, name string")
-    got = ranking.salted_join(left, right, ["k"], ["id"])
+    got = lookup.salted_join(left, right, ["k"], ["id"])
     assert got.count() == 500 and got.where("name IS NULL").count() == 166
 
 
@@ -94,3 +95,26 @@ def test_impute_median(spark):
         (1.0, 0.0, 8.0, 1.0), (2.5, 0.0, 8.0, 2.0), (4.0, 0.0, 8.0, 3.0)]
     kept = impute_median(df, ["a", "b", "n"], all_null_value=None, float_only=True).collect()
     assert all(r["b"] is None for r in kept) and any(r["n"] is None for r in kept)
+
+
+def test_large_lookups_take_the_salted_path(spark, monkeypatch, bracketed):
+    from isobar.plans.weather import label_events
+
+    rng = random.Random(9)
+    data = [("hot" if i % 3 else f"c{i % 7}", f"2024-01-01 {i // 60:02d}:{i % 60:02d}:00",
+             rng.uniform(30, 50), rng.expovariate(1)) for i in range(1200)]
+    df = spark.createDataFrame(data, "city string, t string, temp_max double, precipitation double")
+    df = df.withColumn("time", F.col("t").cast("timestamp"))
+
+    def flags():
+        alone = rows(label_rainfall(df), "time")
+        shared = rows(label_events(df, unit="hour"), "time")
+        return [[r[c] for r in f] for f in (alone, shared)
+                for c in ("extreme_rainfall", "heavy_rainfall")]
+
+    small = flags()
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 0)
+    plan = label_rainfall(df)._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" in plan
+    assert flags() == small
+    assert small[0] == small[2] and sum(small[0]) > 40
