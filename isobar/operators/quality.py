@@ -30,7 +30,9 @@ def check_features(df: DataFrame, rules: Mapping[str, Rule]) -> DataFrame:
     values = {}
     for name, rule in rules.items():
         value = to_number(F.col(name)) if name in df.columns else F.lit(None).cast("double")
-        values[name] = value if rule.default is None else F.coalesce(value, F.lit(float(rule.default)))
+        if rule.default is not None:
+            value = F.coalesce(value, F.lit(float(rule.default)))
+        values[name] = value
     filled = df.withColumns(values)
     broken = []
     for name, rule in rules.items():

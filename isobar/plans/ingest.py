@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isobar.functions.columns import normalise_nulls
 from isobar.operators.store import batch_states, latest_per_key, upsert_latest
 from isobar.schemas import BATCHES, OBSERVATION_KEY, OBSERVATIONS
-from isobar.session import materialize, new_path
+from isobar.session import materialize
 from isobar.sources.files import read_station_csv
 from isobar.sources.sinks import append, overwrite_touched, path_exists
 
@@ -52,10 +52,7 @@ def upsert_into(spark: SparkSession, path: str, incoming: DataFrame,
     stored ones, so the table never depends on its own files, and a rerun gives the same table.
     """
     fresh = latest_per_key(incoming, keys, order).withColumn(YEAR, F.year(time))
-    counted = Observation()
-    staged_new = new_path(spark, "incoming")
-    fresh.observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(staged_new)
-    fresh = spark.read.schema(fresh.schema).parquet(staged_new)
+    fresh = materialize(fresh, "incoming")
     merged = fresh
     if path_exists(spark, path):
         touched = fresh.select(entity, YEAR).distinct()
@@ -64,7 +61,7 @@ def upsert_into(spark: SparkSession, path: str, incoming: DataFrame,
         merged = materialize(upsert_latest(affected, fresh, keys, order), "merged")
     spread = merged.repartition(entity, YEAR).sortWithinPartitions(entity, YEAR, time)
     overwrite_touched(spread, path, [entity, YEAR])
-    return counted.get["n"]
+    return fresh.count()
 
 
 def _record(spark: SparkSession, ledger: str, batch_id: int, started_at: str, recorded_at: str,

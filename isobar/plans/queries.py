@@ -7,13 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isobar.functions import columns as C
 from isobar.functions import events as E
 from isobar.operators import cyclone, dimension, drift, explore, health, labels, matrices
-from isobar.operators import metrics, panel, quality, ranking, store, weights
+from isobar.operators import metrics, panel, quality, store, weights
 from isobar.plans import ingest, scoring, training, views, weather
 from isobar.plans.views import batch_ledger, dim_station, prediction_log, table, track_points
 from isobar.schemas import (CYCLONE_FEATURES, CYCLONE_RULES, HEATWAVE_FEATURES, LAG_COLUMNS,

@@ -62,6 +62,6 @@ def to_prediction_log(scored: DataFrame, task: str, as_of: Column) -> DataFrame:
     features = F.map_from_arrays(F.array(*[F.lit(c) for c in names]),
                                  F.array(*[F.col(c).cast("double") for c in names]))
     outcome = {"cyclone": "category", "heatwave": "is_heatwave", "rainfall": "is_extreme"}[task]
-    return scored.select(F.lit(task).alias("model_name"), as_of.cast("timestamp").alias("timestamp"),
-                         features.alias("features"),
+    return scored.select(F.lit(task).alias("model_name"),
+                         as_of.cast("timestamp").alias("timestamp"), features.alias("features"),
                          F.col(outcome).cast("string").alias("prediction"))
