@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,3 +37,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a batch of texts end to end, and where each starts and the last one ends."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:][:len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+    return data[offsets[0]:offsets[-1]], offsets - offsets[0]
+
+
+def beside(docs: DataFrame, text_col: str, keep: Sequence[str] | None = None,
+           **more: Column) -> tuple[DataFrame, Callable[[pa.RecordBatch], pa.Array], str]:
+    """Rows for an Arrow function: the kept columns in a struct ``doc``, the text, ``more``.
+
+    A struct keeps the columns of the caller apart from the function's own, whatever their names.
+    The text travels once: as a field of ``doc`` if it is kept, else as a column ``text``. Returns
+    the rows, a function that finds the text in a batch, and the type of ``doc``.
+    """
+    keep = list(docs.columns if keep is None else keep)
+    doc = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc")
+    own = [] if text_col in keep else [F.col(f"`{text_col}`").alias("text")]
+    rows = docs.select(doc, *own, *[v.alias(k) for k, v in more.items()])
+    at = keep.index(text_col) if text_col in keep else None
+
+    def text_of(batch: pa.RecordBatch) -> pa.Array:
+        return batch.column("text") if at is None else batch.column("doc").field(at)
+
+    return rows, text_of, rows.schema["doc"].dataType.simpleString()

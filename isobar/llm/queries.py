@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isobar.llm import mixing, quality, sharding
+from isobar.llm import langid, mixing, quality, sharding
 from isobar.llm.common import table
 from isobar.session import tune
 
@@ -23,6 +23,15 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable:
     return fn
 
 
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", "lang", langid.held_out(F.col("doc_id"), 5, 0).alias("held_out"))
+    model = langid.fit(docs.filter(~F.col("held_out")).select("lang", "text"))
+    return langid.identify(docs, model, keep=["doc_id", "held_out"]).select(
+        "doc.doc_id", "doc.held_out", "lang_pred", "score")
+
+
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
