@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +66,11 @@ def beside(docs: DataFrame, text_col: str, keep: Sequence[str] | None = None,
         return batch.column("text") if at is None else batch.column("doc").field(at)
 
     return rows, text_of, rows.schema["doc"].dataType.simpleString()
+
+
+def slices(texts: pa.Array, limit: int = 4 << 20) -> list[tuple[int, int]]:
+    """Ranges of rows, as (first, number), of at most ``limit`` bytes or of a single text."""
+    sizes = pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes.astype(np.int64)) // limit
+    cuts = np.flatnonzero(np.diff(part, prepend=-1))
+    return list(zip(cuts.tolist(), np.diff(cuts, append=len(part)).tolist()))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isobar.llm import langid, mixing, quality, sharding
+from isobar.llm import langid, mixing, quality, sharding, toxicity
 from isobar.llm.common import table
 from isobar.session import tune
 
@@ -89,6 +89,16 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = langid.held_out(F.col("doc_id"), 3, 1)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", out.alias("held_out"))
+    labels = table(spark, sf_dir, "labels").filter(~out)
+    model = toxicity.fit(docs, labels)
+    return toxicity.score(docs, model, keep=["doc_id", "held_out"]).select(
+        "doc.doc_id", "doc.held_out", "score", "predicted")
+
+
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
