@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isobar.llm import langid, mixing, quality, sharding, toxicity
+from isobar.llm import langid, mixing, quality, sharding, simhash, toxicity
 from isobar.llm.common import table
 from isobar.session import tune
 
@@ -32,6 +32,13 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc.doc_id", "doc.held_out", "lang_pred", "score")
 
 
+@query
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs, keep=["doc_id"]).select(
+        "doc.doc_id", "fingerprint", "component_id")
+
+
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
