@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isobar.llm import langid, mixing, quality, sharding, simhash, toxicity
+from isobar.llm import langid, mixing, pii, quality, sharding, simhash, toxicity
 from isobar.llm.common import table
 from isobar.session import tune
 
@@ -39,6 +39,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc.doc_id", "fingerprint", "component_id")
 
 
+@query
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find(docs, pii.fit(docs), keep=["doc_id"], redact=False).select(
+        "doc.doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
