@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isobar.llm import langid, mixing, pii, quality, sharding, simhash, toxicity
+from isobar.llm import langid, lines, mixing, pii, quality, sharding, simhash, toxicity
 from isobar.llm.common import table
 from isobar.session import tune
 
@@ -39,6 +39,63 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc.doc_id", "fingerprint", "component_id")
 
 
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.drop_recurring_lines(docs).select(
+        "doc.doc_id", "n_lines", "n_dropped", "kept_text")
+
+
+ORACLE["op5_line_dedup"] = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+doc AS (SELECT r, dense_rank() OVER (ORDER BY doc_id, text) AS k FROM d),
+raw AS (
+  SELECT r, unnest(range(0, len(l))) AS pos, unnest(l) AS line
+  FROM (SELECT r, string_split(text, chr(10)) AS l FROM d)),
+line AS (
+  SELECT r, k, pos, t AS tokens,
+         concat_ws(' ', len(t), array_to_string(t[1:4], ' ')) AS leaf
+  FROM (SELECT r, pos, list_transform(
+                 regexp_extract_all(line, '[^\x20\x09-\x0D]+'),
+                 lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t
+        FROM raw) JOIN doc USING (r)
+  WHERE len(t) > 0),
+busy AS (SELECT leaf FROM line GROUP BY leaf HAVING count(DISTINCT k) >= 5),
+found AS (SELECT * FROM line SEMI JOIN busy USING (leaf)),
+kinds AS (SELECT leaf, tokens, count(*) AS n FROM found GROUP BY leaf, tokens),
+token AS (
+  SELECT leaf, place, token, sum(n) AS n
+  FROM (SELECT leaf, n, unnest(range(0, len(tokens))) AS place, unnest(tokens) AS token FROM kinds)
+  GROUP BY leaf, place, token),
+top AS (
+  SELECT leaf, place, token, 2 * n >= sum(n) OVER (PARTITION BY leaf, place) AS fixed,
+         row_number() OVER (PARTITION BY leaf, place ORDER BY n DESC, token) AS nth FROM token),
+agree AS (
+  SELECT x.leaf, x.tokens, count(*) AS same
+  FROM (SELECT leaf, tokens, unnest(range(0, len(tokens))) AS place, unnest(tokens) AS token
+        FROM kinds) x
+  JOIN top ON top.leaf = x.leaf AND top.place = x.place AND top.token = x.token
+           AND top.nth = 1 AND top.fixed
+  GROUP BY x.leaf, x.tokens),
+follower AS (SELECT leaf, tokens FROM agree WHERE 100 * same >= 70 * len(tokens)),
+recurring AS (
+  SELECT leaf FROM found SEMI JOIN follower USING (leaf, tokens)
+  GROUP BY leaf HAVING count(DISTINCT k) >= 5),
+bad AS (
+  SELECT leaf, tokens FROM follower SEMI JOIN recurring USING (leaf)
+  UNION
+  SELECT leaf, tokens FROM found GROUP BY leaf, tokens HAVING count(DISTINCT k) >= 5),
+gone AS (SELECT r, pos, 1 AS hit FROM found SEMI JOIN bad USING (leaf, tokens)),
+kept AS (
+  SELECT r, count(hit) AS n_dropped,
+         string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE hit IS NULL) AS text
+  FROM (SELECT r, raw.pos, line FROM raw) x LEFT JOIN gone USING (r, pos) GROUP BY r),
+n AS (SELECT r, count(*) AS n FROM line GROUP BY r)
+SELECT doc_id, coalesce(n.n, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped,
+       CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS kept_text
+FROM d LEFT JOIN kept USING (r) LEFT JOIN n USING (r)"""
+
+
 @query
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
