@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isobar.llm import langid, lines, mixing, pii, quality, sharding, simhash, toxicity
+from isobar.llm import decontaminate, langid, lines, mixing, pii, quality, sharding, simhash, toxicity
 from isobar.llm.common import table
 from isobar.session import tune
 
@@ -23,6 +23,48 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable:
     return fn
 
 
+@query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(
+        table(spark, sf_dir, "documents").select("doc_id", "text"),
+        table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "item_id", "start", F.round("similarity", 6).alias("similarity"))
+
+
+# The SQL lays the same windows and verifies all of them: the index may lose no similar one.
+ORACLE["op1_decontamination"] = """
+WITH item AS (
+  SELECT item_id, w, least(5, len(w)) AS size, len(w) - least(5, len(w)) + 1 AS runs
+  FROM (SELECT item_id, list_filter(string_split(regexp_replace(
+          lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w
+        FROM (SELECT DISTINCT item_id, text FROM benchmark)) WHERE len(w) > 0),
+doc AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split(regexp_replace(
+           lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w
+  FROM (SELECT DISTINCT doc_id, text FROM documents)),
+irun AS (
+  SELECT item_id, size, runs, len(w) AS length, o,
+         array_to_string(w[o + 1 : o + size], ' ') AS run
+  FROM (SELECT *, unnest(range(0, runs)) AS o FROM item)),
+drun AS (
+  SELECT r, size, len(w) AS n, p, array_to_string(w[p + 1 : p + size], ' ') AS run
+  FROM (SELECT *, unnest(range(0, len(w) - size + 1)) AS p
+        FROM doc, (SELECT DISTINCT size FROM item) WHERE len(w) >= size)),
+win AS (
+  SELECT DISTINCT r, item_id, size, runs, greatest(0, least(p - o, n - length)) AS start
+  FROM drun JOIN irun USING (size, run)),
+wrun AS (
+  SELECT r, item_id, start, runs, run, count(*) AS times
+  FROM win JOIN drun USING (r, size) WHERE p >= start AND p < start + runs GROUP BY ALL),
+weight AS (SELECT item_id, run, count(*) AS times FROM irun GROUP BY ALL),
+sim AS (
+  SELECT r, item_id, start,
+         sum(least(a.times, coalesce(b.times, 0))) / greatest(sum(a.times), any_value(runs)) AS s
+  FROM wrun a LEFT JOIN weight b USING (item_id, run) GROUP BY ALL)
+SELECT doc_id, item_id, arg_max(start, (s, -start)) AS start, round(max(s), 6) AS similarity
+FROM sim JOIN doc USING (r) WHERE s >= 0.8 GROUP BY r, doc_id, item_id"""
+
+
 @query
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
