@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isobar.llm import decontaminate, langid, lines, mixing, pii, quality, sharding, simhash, toxicity
+from isobar.llm import decontaminate, langid, lines, mixing, pii, quality, sharding, simhash, suffixes, toxicity
 from isobar.llm.common import table
 from isobar.session import tune
 
@@ -81,6 +81,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc.doc_id", "fingerprint", "component_id")
 
 
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixes.remove_repeats(docs, keep=["doc_id"], with_rest=False).select(
+        "doc.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
