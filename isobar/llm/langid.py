@@ -21,14 +21,14 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isobar.llm.common import beside, utf8
+from isobar.llm.common import beside, slices, utf8
 
 ORDER = 4
 # Bound of the fit: expected labelled rows per language (whole texts), and contexts in the trees.
 ROWS_PER_LANGUAGE = 1_000
 CONTEXTS = 12_000
 UNDETERMINED = "und"
-CHUNK = 1 << 19
+CHUNK = 1 << 20
 
 
 @dataclass
@@ -61,10 +61,11 @@ def count_runs(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.Rec
         langs = batch.column(0)
         for lang in langs.unique().to_pylist():
             texts = batch.column(1).filter(pa.compute.equal(langs, lang))
-            for length, run, n in _grams(texts, order):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(run)), pa.array([length] * len(run), pa.int32()),
-                     pa.array(run), pa.array(n, pa.int64())], ["lang", "length", "run", "n"])
+            for at, rows in slices(texts, CHUNK):
+                for length, run, n in _grams(texts.slice(at, rows), order):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(run)), pa.array([length] * len(run), pa.int32()),
+                         pa.array(run), pa.array(n, pa.int64())], ["lang", "length", "run", "n"])
 
 
 def fit(labelled: DataFrame, order: int = ORDER, rows: int = ROWS_PER_LANGUAGE,
@@ -179,7 +180,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text",
         for batch in batches:
             if not len(batch):
                 continue
-            best, share = posterior(code_lengths(model, text_of(batch)))
+            texts = text_of(batch)
+            best, share = posterior(np.concatenate(
+                [code_lengths(model, texts.slice(at, n)) for at, n in slices(texts, CHUNK)]))
             letters = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc"),
