@@ -13,7 +13,7 @@ sixteen, which bounds the distinct fingerprints of a node.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from itertools import combinations
 
@@ -39,13 +39,22 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
 
     A-Z are lower-cased; fewer words than ``size`` form one run.
     """
+    return simhash(run_hashes(text, size))
+
+
+def run_hashes(text: bytes, size: int) -> list[int]:
     words = text.lower().split()
     if not words:
-        return 0
+        return []
     size = min(size, len(words))
     runs = words if size == 1 else map(b" ".join, zip(*(words[k:] for k in range(size))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(run, 42) for run in runs], dtype=">u8")
+    return [digest(run, 42) for run in runs]
+
+
+def simhash(hashes: Sequence[int]) -> int:
+    """The majority of each bit; 0 without hashes."""
+    hashes = np.array(hashes, dtype=">u8")
     votes = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = np.unpackbits(hashes[at:at + (1 << 16)].view(np.uint8)).reshape(-1, BITS)
@@ -87,23 +96,21 @@ def _split(first: int, width: int, parts: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def _deal(rows: DataFrame, width: int, blocks: int, radius: int, level: int) -> DataFrame:
-    """Every row ``(node, free, bits)`` once per choice of equal blocks among its free bits.
+def _deal(points: DataFrame, width: int, blocks: int, radius: int) -> DataFrame:
+    """Every point once per choice of equal blocks among the ``width`` low bits of ``free``.
 
-    ``free`` holds the ``width`` low bits not yet fixed. The choice and its bits extend ``node``.
+    ``node`` becomes a hash of the node before, the choice and its bits, ``free`` the other bits.
     """
     spans = _split(BITS - width, width, blocks)
     dealt = []
-    for chosen in combinations(range(blocks), blocks - radius):
-        fixed = [spans[k] for k in chosen]
+    for no, chosen in enumerate(combinations(range(blocks), blocks - radius)):
         rest = [spans[k] for k in range(blocks) if k not in chosen]
         dealt.append(F.struct(
-            F.concat(F.col("node"), F.array(F.lit(level * 1_000 + sum(1 << k for k in chosen))
-                                            .cast("long"), _gather(F.col("free"), fixed)))
-            .alias("node"),
-            _gather(F.col("free"), rest).alias("free")))
-    return (rows.select("bits", F.explode(F.array(*dealt)).alias("x"))
-            .select("x.node", "x.free", "bits"))
+            F.xxhash64("node", F.lit(no), _gather(F.col("free"), [spans[k] for k in chosen]))
+            .alias("node"), _gather(F.col("free"), rest).alias("free")))
+    others = [c for c in points.columns if c not in ("node", "free")]
+    return (points.select(*others, F.explode(F.array(*dealt)).alias("x"))
+            .select(*others, "x.node", "x.free"))
 
 
 def gray_rank(value: Column) -> Column:
@@ -158,13 +165,22 @@ def _descend(node: np.ndarray, free: np.ndarray, width: int,
         yield from walk(0, roots, roots, np.zeros(len(roots), dtype=np.int64))
 
 
-def _search(radius: int, width: int):
+Admit = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
+
+
+def _search(radius: int, width: int, columns: Sequence[str], admit: Admit | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _closed(batches, "key"):
-            node = np.cumsum(rows["key"].diff().fillna(0).ne(0).to_numpy())
-            bits = rows["bits"].to_numpy()
+        for rows in _closed(batches, "node"):
+            node = np.cumsum(rows["node"].diff().fillna(0).ne(0).to_numpy())
+            bits, values = rows["bits"].to_numpy(), rows[["bits", *columns]]
             for a, b in _descend(node, rows["free"].to_numpy(), width, radius):
-                yield pd.DataFrame({"a": bits[a], "b": bits[b]})
+                # Nodes are told apart by a hash, so the whole fingerprints have the last word.
+                near = np.bitwise_count((bits[a] ^ bits[b]).view(np.uint64)) <= radius
+                x, y = (values.iloc[k[near]].reset_index(drop=True) for k in (a, b))
+                if admit is not None:
+                    fit = admit(x, y)
+                    x, y = x[fit], y[fit]
+                yield pd.concat([x.add_prefix("a_"), y.add_prefix("b_")], axis=1)
 
     return run
 
@@ -183,45 +199,56 @@ def _closed(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]
         yield rest.reset_index(drop=True)
 
 
-def near_pairs(bits: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
-    """All pairs ``a, b`` of distinct values of ``bits`` that differ in 1 to ``radius`` bits.
+def blocks_for(n: int, radius: int) -> int:
+    """Blocks such that a top node holds a few of ``n`` fingerprints if these are random."""
+    blocks = radius + 1
+    while blocks < BITS // 2 and 4 << (BITS * (blocks - radius) // blocks) < n:
+        blocks += 1
+    return blocks
+
 
-    Every pair is found, some more than once. ``bits`` holds each value once; it may be empty.
+def near_pairs(points: DataFrame, radius: int = RADIUS, blocks: int | None = None,
+               admit: Admit | None = None) -> DataFrame:
+    """Pairs of ``points`` whose ``bits`` differ in at most ``radius`` bits.
+
+    Columns ``a_bits``, ``b_bits`` and likewise for all other columns. Every pair is found, some
+    more than once. ``admit`` may turn down pairs, given the rows of both. May be empty.
     """
-    blocks = blocks or radius + 2
-    rows = bits.select(F.array().cast("array<bigint>").alias("node"), F.col("bits").alias("free"),
-                       "bits")
-    found, level, width = [], 0, BITS
+    columns = [c for c in points.columns if c != "bits"]
+    blocks = blocks or blocks_for(points.count(), radius)
+    rows = points.withColumns({"node": F.lit(0).cast("long"), "free": F.col("bits")})
+    kinds = [f"{side}_{c} {points.schema[c].dataType.simpleString()}"
+             for side in "ab" for c in ("bits", *columns)]
+    found, width = [], BITS
     while True:
-        dealt = stored(_deal(rows, width, blocks, radius, level)
-                       .withColumn("key", F.xxhash64("node")), "index")
-        sizes = dealt.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-        sized = dealt.join(sizes, "key")
+        dealt = _deal(rows, width, blocks, radius)
         # Free bits of the choice that leaves most; the others start with zeros, which agree.
         width = sum(sorted((w for _, w in _split(0, width, blocks)), reverse=True)[:radius])
-        last = width <= 16
-        small = sized if last else sized.filter(F.col("n") <= LARGE_NODE)
-        nodes = (small.select("key", "free", "bits", gray_rank(F.col("free")).alias("rank"))
-                 .repartition("key").sortWithinPartitions("key", "rank"))
-        found.append(nodes.select("key", "free", "bits")
-                     .mapInPandas(_search(radius, width), "a bigint, b bigint"))
-        if last:
-            break
-        rows = stored(sized.filter(F.col("n") > LARGE_NODE).select("node", "free", "bits"), "index")
-        if rows.isEmpty():
+        large = None
+        if width > 16:  # at most one node per LARGE_NODE points dealt
+            large = stored(dealt.groupBy("node").agg(F.count("*").alias("members"))
+                           .filter(F.col("members") > LARGE_NODE).select("node"), "large-nodes")
+            large = None if large.isEmpty() else large
+        small = dealt if large is None else dealt.join(large, "node", "left_anti")
+        nodes = (small.withColumn("rank", gray_rank(F.col("free"))).repartition("node")
+                 .sortWithinPartitions("node", "rank"))
+        found.append(nodes.select("node", "free", "bits", *columns).mapInPandas(
+            _search(radius, width, columns, admit), ", ".join(kinds)))
+        if large is None:
             break
-        level += 1
+        rows = stored(dealt.join(large, "node", "left_semi"), "index")
     return reduce(DataFrame.unionAll, found)
 
 
-def link_groups(ids: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+def link_groups(ids: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``bits`` and ``component_id`` of every fingerprint in ``ids (id, bits)``.
 
     The component id is the smallest id that is not null among all rows whose fingerprints are
     linked to it through any number of steps; null if all are.
     """
     distinct = stored(ids.groupBy("bits").agg(F.min("id").alias("id")), "fingerprints")
-    groups = stored(components(near_pairs(distinct.select("bits"), radius, blocks)), "groups")
+    links = near_pairs(distinct.select("bits"), radius).toDF("a", "b")
+    groups = stored(components(links), "groups")
     rooted = (distinct.join(groups.withColumnRenamed("node", "bits"), "bits", "left")
               .select("bits", "id", F.coalesce("root", "bits").alias("root")))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
