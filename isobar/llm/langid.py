@@ -73,13 +73,14 @@ def fit(labelled: DataFrame, order: int = ORDER, rows: int = ROWS_PER_LANGUAGE,
     """A model from rows ``(lang, text)``; rows with a null in either are left out.
 
     Learns from about ``rows`` rows per language, chosen by a hash of the text, and keeps the
-    ``contexts`` most frequent contexts. Raises if there is no labelled row.
+    ``contexts`` most frequent contexts. Without a labelled row it knows no language, so that
+    every text is undetermined.
     """
     rest = labelled.select(F.col("lang").cast("string"), "text").dropna()
     share = {r["lang"]: min(1.0, rows / r["n"])
              for r in rest.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not share:
-        raise ValueError("no labelled rows to learn languages from")
+        return Model([], order, *(np.zeros(0) for _ in range(3)))
     limit = F.element_at(F.create_map(*[F.lit(x) for p in share.items() for x in p]), F.col("lang"))
     sample = rest.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < limit * 1_000_000)
     runs = (sample.mapInArrow(lambda it: count_runs(it, order),
@@ -181,6 +182,11 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text",
             if not len(batch):
                 continue
             texts = text_of(batch)
+            if not names.size:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc"), pa.array([UNDETERMINED] * len(batch)),
+                     pa.array(np.zeros(len(batch)))], ["doc", "lang_pred", "score"])
+                continue
             best, share = posterior(np.concatenate(
                 [code_lengths(model, texts.slice(at, n)) for at, n in slices(texts, CHUNK)]))
             letters = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool)
