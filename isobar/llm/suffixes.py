@@ -180,14 +180,17 @@ def maximal_repeats(lefts: Sequence[bytes], rights: Sequence[bytes],
 def _scan_buckets(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _buckets(batches):
-            found = {(rows[i][1], before, after)
-                     for before, after, members in maximal_repeats(
-                         [r[2] for r in rows], [r[3] for r in rows], length) for i in members}
-            if found:
-                c, before, after = zip(*found)
+            reach: dict[int, tuple[int, int]] = {}
+            for before, after, members in maximal_repeats(
+                    [r[2] for r in rows], [r[3] for r in rows], length):
+                for i in members:  # all repeats of a context hold its anchor: one range in sum
+                    a, b = reach.get(i, (0, 0))
+                    reach[i] = max(a, before), max(b, after)
+            if reach:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([rows[0][0]] * len(c), pa.int64()), pa.array(c, pa.int64()),
-                     pa.array(before, pa.int32()), pa.array(after, pa.int32())],
+                    [pa.array([rows[0][0]] * len(reach), pa.int64()),
+                     pa.array([rows[i][1] for i in reach], pa.int64()),
+                     *(pa.array([x[k] for x in reach.values()], pa.int32()) for k in (0, 1))],
                     ["g", "c", "before", "after"])
 
     return run
@@ -258,13 +261,12 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, bucket: int = BUCKET)
     dealt = (strings.join(twice, ["g", "before", "string"], "left_semi")
              .select("g", "c", "before", (F.lit(length) - F.col("before")).alias("after")))
     parts = stored(scanned.unionByName(dealt).groupBy("g", "c").agg(
-        F.collect_set(F.struct("before", "after")).alias("parts")), "parts")
+        F.max("before").alias("before"), F.max("after").alias("after")), "parts")
 
     counted = again.filter("differ").join(classes.select("g", "c", "n"), ["g", "c"])
     once = (counted.filter("n = 1").join(parts, ["g", "c"])
-            .select(*KEY, "p", F.explode("parts").alias("x"))
-            .select(*KEY, (F.col("p") - F.col("x.before")).alias("a"),
-                    (F.col("p") + F.col("x.after")).alias("b")))
+            .select(*KEY, (F.col("p") - F.col("before")).alias("a"),
+                    (F.col("p") + F.col("after")).alias("b")))
     spans = (again.filter("NOT differ").select(*KEY, *whole)
              .unionAll(counted.filter("n > 1").select(*KEY, *whole)).unionAll(once))
     return spans.groupBy(*KEY).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
