@@ -15,7 +15,6 @@ from pyspark.sql.types import DoubleType
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TERMS = 100
-EXACT_LIMIT = 10_000
 
 
 def asymptotic_p(statistic: Column, n_ref: Column, n_cur: Column) -> Column:
@@ -63,13 +62,10 @@ def exact_p(statistic: pd.Series, n_ref: pd.Series, n_cur: pd.Series) -> pd.Seri
                       for d, n, m in rows], dtype="float64")
 
 
-def p_value(statistic: Column, n_ref: Column, n_cur: Column, method: str = "auto") -> Column:
-    """``auto`` is exact while both samples are at most ``EXACT_LIMIT`` long."""
-    limit = asymptotic_p(statistic, n_ref, n_cur)
+def p_value(statistic: Column, n_ref: Column, n_cur: Column, method: str) -> Column:
+    """``exact``, whose work grows with the product of the sample sizes, or ``asymptotic``."""
     if method == "asymptotic":
-        return limit
-    small = F.greatest(n_ref, n_cur) <= EXACT_LIMIT
-    # Large samples are masked to NULL before the UDF, which would otherwise compute them too.
-    exact = exact_p(F.when(small, statistic), F.when(small, n_ref).otherwise(1),
-                    F.when(small, n_cur).otherwise(1))
-    return F.when(small, exact).otherwise(limit)
+        return asymptotic_p(statistic, n_ref, n_cur)
+    if method != "exact":
+        raise ValueError(f"unknown method {method!r}")
+    return exact_p(statistic, n_ref, n_cur)

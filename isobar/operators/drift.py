@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isobar.functions.ks import p_value
-from isobar.operators.lookup import SALTS
-from isobar.operators.ranking import SLICES, cumulative, with_slices
+from isobar.operators.ranking import SLICE_ROWS, by_ranges, cumulative, same_keys
+from isobar.session import materialize
 
 # Log window, smallest log and sample, significance level.
 LAST = 500
@@ -19,34 +19,41 @@ ALPHA = 0.05
 
 
 def last_rows(log: DataFrame, last: int = LAST, model: str = "model_name",
-              order: str = "id") -> DataFrame:
+              order: Sequence[str] = ("id",)) -> DataFrame:
     """The newest ``last`` rows of each model with ``age`` 1 for the newest.
 
     Two rounds: the newest rows of each salted part of a model first, then of what is left, so a
-    model that owns most of the log is never ranked whole.
+    model that owns most of the log is never ranked whole. There are as many parts as shuffle
+    partitions.
     """
-    salt = F.pmod(F.xxhash64(order), F.lit(SALTS)).cast("int")
-    part = Window.partitionBy(model, "_salt").orderBy(F.desc(order))
+    parts = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int")
+    newest_first = [F.desc(c) for c in order]
+    part = Window.partitionBy(model, "_salt").orderBy(*newest_first)
     few = (log.withColumn("_salt", salt).withColumn("_rank", F.row_number().over(part))
            .where(F.col("_rank") <= last).drop("_salt", "_rank"))
-    newest = Window.partitionBy(model).orderBy(F.desc(order))
+    newest = Window.partitionBy(model).orderBy(*newest_first)
     return few.withColumn("age", F.row_number().over(newest)).where(F.col("age") <= last)
 
 
 def window_split(log: DataFrame, last: int = LAST, parity_order: bool = False,
-                 model: str = "model_name", order: str = "id") -> DataFrame:
+                 model: str = "model_name", order: Sequence[str] = ("id",),
+                 usable: Column | None = None) -> DataFrame:
     """Tag the newest rows of each model as ``reference`` (older two thirds) or ``current``.
 
     ``parity_order`` counts the two thirds from the newest row instead. ``samples`` is the window
-    size of the model.
+    size of the model. Rows that are not ``usable`` count as samples, but not for the thirds, and
+    have no side.
     """
-    recent = last_rows(log, last, model, order)
-    n = F.count(F.lit(1)).over(Window.partitionBy(model))
-    first = F.floor(n * 2 / 3)
-    place = F.col("age") if parity_order else n - F.col("age") + 1
-    return recent.withColumns({
-        "samples": n,
-        "side": F.when(place <= first, "reference").otherwise("current")})
+    usable = F.lit(True) if usable is None else F.coalesce(usable, F.lit(False))
+    recent = last_rows(log, last, model, order).withColumn("_usable", usable)
+    whole = Window.partitionBy(model)
+    n = F.count(F.when(F.col("_usable"), 1)).over(whole)
+    age = F.count(F.when(F.col("_usable"), 1)).over(whole.orderBy("age"))
+    place = age if parity_order else n - age + 1
+    side = F.when(place <= F.floor(n * 2 / 3), "reference").otherwise("current")
+    return recent.withColumns({"samples": F.count(F.lit(1)).over(whole),
+                               "side": F.when(F.col("_usable"), side)}).drop("_usable")
 
 
 def unpivot_features(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -69,12 +76,12 @@ def moments(long: DataFrame, by: Sequence[str] = ("model_name",)) -> DataFrame:
 
 
 def ks_two_sample(long: DataFrame, by: Sequence[str] = ("model_name",),
-                  min_sample: int = MIN_SAMPLE, slices: int = SLICES) -> DataFrame:
+                  min_sample: int = MIN_SAMPLE, range_rows: int = SLICE_ROWS) -> DataFrame:
     """Largest distance of the two empirical distributions per feature.
 
     Features with fewer than ``min_sample`` values on a side are left out. Values are reduced to
-    counts first and ordered inside value slices, so the samples may have any size; ``slices=1``
-    saves the extra pass where samples are known to be small.
+    counts first and ordered inside ranges of values, so the samples may have any size. A NULL key
+    is a key like any other.
     """
     keys = [*by, "feature"]
 
@@ -83,42 +90,60 @@ def ks_two_sample(long: DataFrame, by: Sequence[str] = ("model_name",),
 
     counts = long.groupBy(*keys, "value").agg(side("reference").alias("_ref"),
                                               side("current").alias("_cur"))
-    running = cumulative(with_slices(counts, keys, "value", slices), keys, "_slice",
-                         [F.col("value")], {"_at_ref": "_ref", "_at_cur": "_cur"})
-    sizes = counts.groupBy(*keys).agg(F.sum("_ref").alias("n_ref"), F.sum("_cur").alias("n_cur"))
+    ranged = by_ranges(counts, [*keys, "value"], range_rows)
+    running = cumulative(ranged, keys, "_slice", [F.col("value")],
+                         {"_at_ref": "_ref", "_at_cur": "_cur"})
+    sizes = ranged.groupBy(*keys).agg(F.sum("_ref").alias("n_ref"), F.sum("_cur").alias("n_cur"))
     big = sizes.where((F.col("n_ref") >= min_sample) & (F.col("n_cur") >= min_sample))
-    # The slice directory carries the sizes, so the join key is as fine as the slices are.
-    slots = running.select(*keys, "_slice").distinct().join(big, keys)
+    # The directory of the ranges carries the sizes, so the join key is as fine as the ranges are.
+    slots = (ranged.select(*keys, "_slice").distinct().alias("l")
+             .join(big.alias("r"), same_keys(keys)).select("l.*", "r.n_ref", "r.n_cur"))
     gap = F.abs(F.col("_at_ref") / F.col("n_ref") - F.col("_at_cur") / F.col("n_cur"))
-    return running.join(slots, [*keys, "_slice"]).groupBy(*keys).agg(
+    sized = (running.alias("l").join(slots.alias("r"), same_keys([*keys, "_slice"]))
+             .select("l.*", "r.n_ref", "r.n_cur"))
+    return sized.groupBy(*keys).agg(
         F.max("n_ref").alias("n_ref"), F.max("n_cur").alias("n_cur"),
         F.max(gap).alias("statistic"))
 
 
-def compute_drift(long: DataFrame, by: Sequence[str] = ("model_name",), alpha: float = ALPHA,
-                  method: str = "auto", slices: int = SLICES) -> DataFrame:
-    """Statistic, p-value, decision and moments per feature."""
+def compute_drift(long: DataFrame, method: str, by: Sequence[str] = ("model_name",),
+                  alpha: float = ALPHA, range_rows: int = SLICE_ROWS) -> DataFrame:
+    """Statistic, p-value, decision and moments per feature.
+
+    ``method`` is ``exact``, for samples of a bounded window, or ``asymptotic``.
+    """
     keys = [*by, "feature"]
-    tested = ks_two_sample(long, by, slices=slices)
+    tested = ks_two_sample(long, by, range_rows=range_rows)
     p = p_value(F.col("statistic"), F.col("n_ref"), F.col("n_cur"), method)
     scored = tested.withColumn("p_value", p).withColumn("drifted", F.col("p_value") < alpha)
-    return scored.join(moments(long, by).drop("n_ref", "n_cur"), keys)
+    return (scored.alias("l").join(moments(long, by).drop("n_ref", "n_cur").alias("r"),
+                                   same_keys(keys))
+            .select("l.*", *[f"r.{side}_{m}" for side in ("reference", "current")
+                             for m in ("mean", "std")]))
 
 
-def feature_rows(split: DataFrame, features: Sequence[str]) -> DataFrame:
-    return unpivot_features(split.where(F.col("samples") >= MIN_ROWS), features,
-                            ["model_name", "side"])
+def feature_rows(split: DataFrame, features: Sequence[str] | None = None) -> DataFrame:
+    """Values of the logged features by model and side, from columns or from the map of the log."""
+    enough = split.where((F.col("samples") >= MIN_ROWS) & F.col("side").isNotNull())
+    if features is not None:
+        return unpivot_features(enough, features, ["model_name", "side"])
+    pairs = enough.select("model_name", "side", F.explode("features").alias("feature", "value"))
+    return pairs.where("value IS NOT NULL AND NOT isnan(value)")
 
 
-def drift_report(log: DataFrame, features: Sequence[str], alpha: float = ALPHA, last: int = LAST,
-                 method: str = "auto", parity_order: bool = False) -> DataFrame:
+def drift_report(log: DataFrame, features: Sequence[str] | None = None, alpha: float = ALPHA,
+                 last: int = LAST, method: str = "exact", parity_order: bool = False,
+                 order: Sequence[str] = ("id",), as_of: Column | None = None) -> DataFrame:
     """One row per model: status, drifted share, alert and the tested features.
 
-    A model alerts when at least ``max(2, tested // 3)`` features drifted; models with fewer than
-    ``MIN_ROWS`` logged rows are reported as ``insufficient_data``.
+    Without ``features`` all features found in the log's map column are tested; rows without a map
+    are left out before the window is split. A model alerts when at least ``max(2, tested // 3)``
+    features drifted; models with fewer than ``MIN_ROWS`` logged rows are reported as
+    ``insufficient_data`` with a message. ``as_of`` is the time of the report.
     """
-    split = window_split(log, last, parity_order)
-    results = compute_drift(feature_rows(split, features), alpha=alpha, method=method, slices=1)
+    usable = F.size("features") > 0 if features is None else None
+    split = materialize(window_split(log, last, parity_order, order=order, usable=usable), "window")
+    results = compute_drift(feature_rows(split, features), method, alpha=alpha)
     detail = F.struct(
         "feature", F.round("statistic", 4).alias("statistic"),
         F.round("p_value", 4).alias("p_value"), "drifted",
@@ -132,9 +157,13 @@ def drift_report(log: DataFrame, features: Sequence[str], alpha: float = ALPHA,
     total, drifted = (F.coalesce(F.col(c), F.lit(0)).alias(c)
                       for c in ("total_features", "drifted_features"))
     enough = F.col("samples") >= MIN_ROWS
-    wide = models.join(per_model, "model_name", "left").select(
-        "model_name", "samples",
+    joined = models.alias("l").join(per_model.alias("r"), same_keys(["model_name"]), "left")
+    wide = joined.select(
+        "l.model_name", "samples",
         F.when(enough, "ok").otherwise("insufficient_data").alias("status"),
+        F.when(~enough, F.concat(F.lit(f"at least {MIN_ROWS} samples are needed, found "),
+                                 F.col("samples").cast("string"))).alias("message"),
+        (F.current_timestamp() if as_of is None else as_of.cast("timestamp")).alias("timestamp"),
         total, drifted, F.coalesce("features", F.array()).alias("features"))
     score = F.col("drifted_features") / F.greatest("total_features", F.lit(1))
     needed = F.greatest(F.lit(2), F.floor(F.col("total_features") / 3))

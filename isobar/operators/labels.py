@@ -50,7 +50,7 @@ def label_rainfall(df: DataFrame, q: tuple[float, float] = RAIN_QUANTILES,
                    method: str = "exact", entity: str = "city", time: str = "time") -> DataFrame:
     """Flags for rain above the entity's own quantiles."""
     thresholds = rain_thresholds(df, q, method, entity, time)
-    joined = lookup_join(df, thresholds, [entity], [time])
+    joined = lookup_join(df, thresholds, [entity])
     rain = F.col("precipitation")
     return joined.withColumns({
         "extreme_rainfall": rain_flag(rain, high=False),

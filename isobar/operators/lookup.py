@@ -9,37 +9,33 @@ from pyspark.sql import functions as F
 
 from isobar.session import materialize
 
-# Fixed-width rows up to this number are broadcast (a few megabytes).
-BROADCAST_ROWS = 50_000
-SALTS = 32
+# A lookup of up to this many bytes, as counted, is broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
-def sized(lookup: DataFrame) -> tuple[DataFrame, bool]:
-    """The frame as a written table, and whether its counted rows are few enough to broadcast."""
-    table = materialize(lookup, "lookup")
-    return table, table.count() <= BROADCAST_ROWS
-
+def counted_bytes(table: DataFrame) -> int:
+    """Bytes of the values of a written table, from one pass over it."""
+    widths = [F.octet_length(F.col(f"`{c}`").cast("string")) + 8 if kind == "string"
+              or kind.startswith(("array", "struct", "map")) else F.lit(16)
+              for c, kind in table.dtypes]
+    size = widths[0]
+    for w in widths[1:]:
+        size = size + F.coalesce(w, F.lit(8))
+    return table.agg(F.sum(size)).first()[0] or 0
 
-def salted_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], spread: Sequence[str],
-                salts: int = SALTS) -> DataFrame:
-    """Left join of a one-row-per-key frame, with every key spread over ``salts`` join keys.
 
-    ``spread`` names columns that differ between the rows of one key.
-    """
-    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return (rows.withColumn("_salt", salt)
-            .join(copies, [*keys, "_salt"], "left").drop("_salt"))
+def sized(lookup: DataFrame) -> tuple[DataFrame, bool]:
+    """The frame as a written table, and whether its counted bytes are few enough to broadcast."""
+    table = materialize(lookup, "lookup")
+    return table, counted_bytes(table) <= BROADCAST_BYTES
 
 
-def lookup_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str],
-                spread: Sequence[str]) -> DataFrame:
+def lookup_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join of a one-row-per-key frame.
 
-    The lookup is computed and counted first: a small one is broadcast, so that the rows are not
-    shuffled at all; a large one is joined on salted keys.
+    The lookup is computed and measured first: a small one is broadcast, so that the rows are not
+    shuffled at all. A large one is joined by a shuffle of both sides, in which adaptive execution
+    splits the partitions of hot keys.
     """
     table, small = sized(lookup)
-    if small:
-        return rows.join(F.broadcast(table), list(keys), "left")
-    return salted_join(rows, table, keys, spread)
+    return rows.join(F.broadcast(table) if small else table, list(keys), "left")

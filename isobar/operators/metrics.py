@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isobar.operators.ranking import SLICES, cumulative, with_slices
+from isobar.operators.ranking import SLICE_ROWS, by_ranges, cumulative
 
 # Probabilities are clipped by the double-precision epsilon before taking logarithms.
 EPSILON = 2.220446049250313e-16
@@ -65,7 +65,7 @@ def classification_metrics(df: DataFrame, label: str = "label",
                        weighted("precision"), weighted("recall"), weighted("f1"))
 
 
-def _auc(rows: DataFrame, by: Sequence[str], slices: int) -> DataFrame:
+def _auc(rows: DataFrame, by: Sequence[str], range_rows: int) -> DataFrame:
     """Mann-Whitney area per group from (score, positive) rows; ties count half.
 
     Scores are reduced to distinct values before they are ordered.
@@ -73,7 +73,7 @@ def _auc(rows: DataFrame, by: Sequence[str], slices: int) -> DataFrame:
     pos = F.col("_pos").cast("long")
     known = rows.where("_score IS NOT NULL AND _pos IS NOT NULL")
     counted = known.groupBy(*by, "_score").agg(F.sum(pos).alias("_p"), F.sum(1 - pos).alias("_m"))
-    ranked = cumulative(with_slices(counted, by, "_score", slices), by, "_slice",
+    ranked = cumulative(by_ranges(counted, [*by, "_score"], range_rows), by, "_slice",
                         [F.col("_score")], {"_below": "_m"})
     wins = F.sum(F.col("_p").cast("double") * (F.col("_below") - F.col("_m") / 2))
     pairs = F.sum("_p").cast("double") * F.sum("_m").cast("double")
@@ -82,27 +82,34 @@ def _auc(rows: DataFrame, by: Sequence[str], slices: int) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
-            slices: int = SLICES) -> DataFrame:
+            range_rows: int = SLICE_ROWS) -> DataFrame:
     """Binary area under the ROC curve, one row; 0.5 if a class is absent."""
     rows = df.select(F.col(score).cast("double").alias("_score"),
                      (F.col(label) == 1).alias("_pos"))
-    return _auc(rows, [], slices)
+    return _auc(rows, [], range_rows)
 
 
 def roc_auc_by_class(df: DataFrame, label: str, probabilities: str, n_classes: int,
-                     slices: int = SLICES) -> DataFrame:
+                     range_rows: int = SLICE_ROWS) -> DataFrame:
     """One-versus-rest area of each class from an array of class probabilities."""
     sides = F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)), lambda k: F.struct(
         k.alias("class"), F.get(F.col(probabilities), k).cast("double").alias("_score"),
         (F.col(label) == k).alias("_pos")))
-    return _auc(df.select(F.inline(sides)), ["class"], slices)
+    return _auc(df.select(F.inline(sides)), ["class"], range_rows)
 
 
 def roc_auc_ovr(df: DataFrame, label: str, probabilities: str, n_classes: int,
-                slices: int = SLICES) -> DataFrame:
-    """Unweighted mean of the one-versus-rest areas."""
-    return roc_auc_by_class(df, label, probabilities, n_classes, slices).agg(
-        F.avg("roc_auc").alias("roc_auc"))
+                range_rows: int = SLICE_ROWS) -> DataFrame:
+    """Unweighted mean of the one-versus-rest areas.
+
+    With two classes among the labels it is the area of class 1 against the rest, with one class,
+    or with more but not all, 0.5.
+    """
+    areas = roc_auc_by_class(df, label, probabilities, n_classes, range_rows)
+    present = df.agg(F.count_distinct(label).alias("n")).scalar()
+    return areas.agg(F.when(present == n_classes, F.avg("roc_auc")).when(
+        present == 2, F.max(F.when(F.col("class") == 1, F.col("roc_auc")))).otherwise(0.5)
+        .alias("roc_auc"))
 
 
 def _mean_loss(df: DataFrame, of_truth: Column) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isobar.operators.lookup import lookup_join
+from isobar.session import materialize
 
 # Rank error of percentile_approx is at most n / ACCURACY. A bracket of 4 / ACCURACY on both sides
 # of a quantile must contain it; groups up to FULL_GROUP rows are ranked whole, so that the
@@ -22,14 +23,25 @@ from isobar.operators.lookup import lookup_join
 ACCURACY = 2_000
 MARGIN = 4.0 / ACCURACY
 FULL_GROUP = 2_000
+# Parts of a bracket, and rows of a range of counted values.
 SLICES = 64
+SLICE_ROWS = 200_000
+
+
+def same_keys(keys: Sequence[str], left: str = "l", right: str = "r") -> Column:
+    """Equality of keys in which NULL equals NULL."""
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
+    return same
 
 
 def cumulative(df: DataFrame, by: Sequence[str], slice_col: str, order: Sequence[Column],
                sums: Mapping[str, str]) -> DataFrame:
     """Running totals per ``by`` group in ``(slice_col, *order)`` order, two-level.
 
-    ``sums`` maps output names to summed columns. ``slice_col`` must grow with the order.
+    ``sums`` maps output names to summed columns. ``slice_col`` must grow with the order. NULL is
+    a group like any other.
     """
     keys = [*by, slice_col]
     spread = df.repartition(*keys)
@@ -40,13 +52,22 @@ def cumulative(df: DataFrame, by: Sequence[str], slice_col: str, order: Sequence
     inside = (Window.partitionBy(*keys).orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     running = spread.withColumns({f"_r_{n}": F.sum(c).over(inside) for n, c in sums.items()})
-    joined = running.join(offsets, keys, "left")
-    return (joined.withColumns({n: F.col(f"_o_{n}") + F.col(f"_r_{n}") for n in sums})
-            .drop(*[f"_o_{n}" for n in sums], *[f"_r_{n}" for n in sums]))
+    joined = running.alias("l").join(offsets.alias("r"), same_keys(keys))
+    return joined.select(*[F.col(f"l.{c}") for c in df.columns],
+                         *[(F.col(f"r._o_{n}") + F.col(f"l._r_{n}")).alias(n) for n in sums])
 
 
-def group_key(by: Sequence[str]) -> Column:
-    return F.concat_ws("\x01", *[F.col(c).cast("string") for c in by]) if by else F.lit("")
+def by_ranges(df: DataFrame, order: Sequence[str], rows: int = SLICE_ROWS) -> DataFrame:
+    """``df`` as a written table with ``_slice``, its range of the order, of about ``rows`` rows.
+
+    The number of ranges follows from a count, so a range does not grow with the table. Written,
+    since a range is the partition that a sample of the rows has put a row in.
+    """
+    counted = materialize(df, "counted")
+    ranges = max(1, -(-counted.count() // rows))
+    placed = counted if ranges == 1 else counted.repartitionByRange(ranges, *order)
+    number = F.lit(0) if ranges == 1 else F.spark_partition_id()
+    return materialize(placed.withColumn("_slice", number), "ranges")
 
 
 def as_map(frame: DataFrame, key: Column, value: Column) -> Column:
@@ -59,23 +80,6 @@ def as_map(frame: DataFrame, key: Column, value: Column) -> Column:
     return frame.agg(F.map_from_entries(entries).alias("m")).scalar()
 
 
-def with_slices(df: DataFrame, by: Sequence[str], value: str, slices: int = SLICES) -> DataFrame:
-    """Add ``_slice``: the number of equal-frequency cut points of the group below the value.
-
-    ``by`` must have a schema-bounded number of groups (features, classes).
-    """
-    if slices <= 1:
-        return df.withColumn("_slice", F.lit(0))
-    cut_points = [i / slices for i in range(1, slices)]
-    cuts = (df.withColumn("_key", group_key(by)).groupBy("_key")
-            .agg(F.percentile_approx(value, cut_points, ACCURACY).alias("_cuts")))
-    own = F.try_element_at(as_map(cuts, F.col("_key"), F.col("_cuts")), group_key(by))
-    # The value's place among the sorted cuts. A lambda over the cuts would be interpreted and
-    # would carry the subquery's whole plan into every task.
-    place = F.array_position(F.sort_array(F.array_append(own, F.col(value))), F.col(value))
-    return df.withColumn("_slice", place.cast("int") - 1)
-
-
 def _bracket(value: str, probs: Sequence[float]) -> Column:
     """Row count and, for each quantile, a value below and a value above it."""
     ends = [p for q in probs for p in (max(0.0, q - MARGIN), min(1.0, q + MARGIN))]
@@ -108,17 +112,25 @@ def _compress(rows: DataFrame, by: Sequence[str], value: str, n_probs: int) -> D
 
 
 def _interpolate(counted: DataFrame, by: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
-    """Linear interpolation between the values around rank ``q * (n - 1)``."""
+    """Linear interpolation between the values around rank ``q * (n - 1)``.
+
+    Raises if a rank falls into the counted rows outside the bracket, which the error bound of the
+    sketch rules out.
+    """
     ranked = cumulative(counted, by, "_slice", [F.col("_at"), F.col("_gap")], {"_cum": "_count"})
     parts, outs = [], []
     for i, (name, q) in enumerate(probs.items()):
         rank = F.lit(float(q)) * (F.col("_n") - 1)
-        parts += [F.min(F.when(F.col("_cum") > F.floor(rank), F.col("_at"))).alias(f"_a{i}"),
-                  F.min(F.when(F.col("_cum") > F.ceil(rank), F.col("_at"))).alias(f"_z{i}"),
-                  F.max(rank - F.floor(rank)).alias(f"_w{i}")]
-        low, high, weight = F.col(f"_a{i}"), F.col(f"_z{i}"), F.col(f"_w{i}")
-        outs.append((low + (high - low) * weight).alias(name))
-    return ranked.where(~F.col("_gap")).groupBy(*by).agg(*parts).select(*by, *outs)
+        for side, end in (("a", F.floor(rank)), ("z", F.ceil(rank))):
+            parts.append(F.min(F.when(F.col("_cum") > end, F.struct("_cum", "_at", "_gap")))
+                         .alias(f"_{side}{i}"))
+        parts.append(F.max(rank - F.floor(rank)).alias(f"_w{i}"))
+        low, high, weight = F.col(f"_a{i}._at"), F.col(f"_z{i}._at"), F.col(f"_w{i}")
+        missed = F.col(f"_a{i}._gap") | (F.col(f"_z{i}._gap") & (weight > 0))
+        value = F.when(low == high, low).otherwise(low + (high - low) * weight)
+        outs.append(F.when(missed, F.raise_error(F.lit("a quantile lies outside its bracket")))
+                    .when(weight == 0, low).otherwise(value).alias(name))
+    return ranked.groupBy(*by).agg(*parts).select(*by, *outs)
 
 
 def group_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str],
@@ -140,7 +152,7 @@ def group_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], by: S
         raise ValueError(f"unknown quantile method {method!r}")
     qs = list(probs.values())
     brackets = rows.groupBy(*by).agg(_bracket("_v", qs).alias("_b"))
-    counted = _compress(lookup_join(rows, brackets, by, spread), by, "_v", len(qs))
+    counted = _compress(lookup_join(rows, brackets, by), by, "_v", len(qs))
     return _interpolate(counted, by, probs)
 
 

@@ -4,20 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isobar.schemas import OBSERVATION_KEY
 
 
-def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The row with the greatest ``order`` values of each key.
+def batch_number(col: str = "batch_id") -> Column:
+    """The number at the end of a batch id, so that batch 10 follows batch 9."""
+    return F.regexp_extract(F.col(col).cast("string"), "([0-9]+)$", 1).try_cast("long")
+
+
+def newest_batch() -> list[Column]:
+    """Rows by time of ingest, then by number of the batch."""
+    return [F.col("ingested_at"), batch_number()]
+
+
+def latest_per_key(df: DataFrame, keys: Sequence[str],
+                   order: Sequence[str | Column]) -> DataFrame:
+    """The row with the greatest ``order`` values of each key; a hash of the row decides ties.
 
     An aggregate rather than a ranked window: copies of a key are reduced before the shuffle, so
     a key with very many copies costs one row per input task.
     """
     rest = [c for c in df.columns if c not in keys]
-    newest = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
+    places = [F.col(o) if isinstance(o, str) else o for o in order]
+    newest = F.max_by(F.struct(*rest), F.struct(*places, F.xxhash64(*rest))).alias("_row")
     merged = df.groupBy(*keys).agg(newest)
     return merged.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c)
                            for c in df.columns])
@@ -25,9 +37,10 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 
 def upsert_latest(existing: DataFrame, incoming: DataFrame,
                   keys: Sequence[str] = OBSERVATION_KEY,
-                  order: Sequence[str] = ("ingested_at", "batch_id")) -> DataFrame:
+                  order: Sequence[str | Column] | None = None) -> DataFrame:
     """Merge by key, the latest ingested row wins; repeating a merge changes nothing."""
-    return latest_per_key(existing.unionByName(incoming, allowMissingColumns=True), keys, order)
+    both = existing.unionByName(incoming, allowMissingColumns=True)
+    return latest_per_key(both, keys, newest_batch() if order is None else order)
 
 
 def new_rows(incoming: DataFrame, existing: DataFrame,

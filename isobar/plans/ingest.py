@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isobar.functions.columns import normalise_nulls
-from isobar.operators.store import batch_states, latest_per_key, upsert_latest
+from isobar.operators.store import batch_states, latest_per_key, newest_batch, upsert_latest
 from isobar.schemas import BATCHES, OBSERVATION_KEY, OBSERVATIONS
 from isobar.session import materialize
 from isobar.sources.files import read_station_csv
@@ -17,7 +17,8 @@ from isobar.sources.sinks import append, overwrite_touched, path_exists
 # Fixed value: stored length of an error text.
 STORED_ERROR = 500
 YEAR = "_year"
-ORDER = ("ingested_at", "batch_id")
+# Up to this number of touched partitions are named in the filter of the stored table.
+NAMED_PARTITIONS = 10_000
 
 
 def as_observations(raw: DataFrame, batch_id: str, ingested_at: Column) -> DataFrame:
@@ -43,20 +44,22 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def upsert_into(spark: SparkSession, path: str, incoming: DataFrame,
-                keys: Sequence[str] = OBSERVATION_KEY, order: Sequence[str] = ORDER,
+                keys: Sequence[str] = OBSERVATION_KEY, order: Sequence[str | Column] | None = None,
                 entity: str = "city", time: str = "time") -> int:
     """Merge ``incoming`` into the Parquet table at ``path``; returns its number of keys.
 
-    The table is partitioned by (entity, year) and only the partitions that receive rows are read
-    and replaced. The merged partitions are written to the shared folder before they replace the
+    The table is partitioned by (entity, year) and only the partitions that receive rows are
+    replaced. Their entities and years are few and named in the filter, so that only these
+    partitions are read; beyond ``NAMED_PARTITIONS`` the join alone selects them. The merged partitions are written to the shared folder before they replace the
     stored ones, so the table never depends on its own files, and a rerun gives the same table.
     """
+    order = newest_batch() if order is None else order
     fresh = latest_per_key(incoming, keys, order).withColumn(YEAR, F.year(time))
     fresh = materialize(fresh, "incoming")
     merged = fresh
     if path_exists(spark, path):
         touched = fresh.select(entity, YEAR).distinct()
-        stored = spark.read.schema(fresh.schema).parquet(path)
+        stored = stored_partitions(spark.read.schema(fresh.schema).parquet(path), touched, entity)
         affected = stored.join(touched, [entity, YEAR], "left_semi").select(*fresh.columns)
         merged = materialize(upsert_latest(affected, fresh, keys, order), "merged")
     spread = merged.repartition(entity, YEAR).sortWithinPartitions(entity, YEAR, time)
@@ -64,6 +67,15 @@ def upsert_into(spark: SparkSession, path: str, incoming: DataFrame,
     return fresh.count()
 
 
+def stored_partitions(stored: DataFrame, touched: DataFrame, entity: str = "city") -> DataFrame:
+    """The stored rows of the touched entities and years, as a filter on the partitions."""
+    named = touched.limit(NAMED_PARTITIONS + 1).collect()
+    if len(named) > NAMED_PARTITIONS:
+        return stored
+    entities, years = ({r[c] for r in named} for c in (entity, YEAR))
+    return stored.where(F.col(entity).isin(sorted(entities)) & F.col(YEAR).isin(sorted(years)))
+
+
 def _record(spark: SparkSession, ledger: str, batch_id: int, started_at: str, recorded_at: str,
             status: str, cities: int = 0, rows: int = 0, error: str | None = None) -> None:
     done = None if status == "running" else recorded_at
@@ -80,8 +92,8 @@ def run_batch(spark: SparkSession, landed: str, table: str, ledger: str, quarant
     """Ingest the landed CSV files as one batch; returns the rows per city and status.
 
     The batch is always closed: ``completed`` with its number of rows, also when that is zero, or
-    ``failed`` with the error. Rows without a complete key go to the quarantine table and do not
-    hold up the others.
+    ``failed`` with the error. Rows without a complete key go to the quarantine table, in the
+    partition of their batch, which a repeated run replaces; they do not hold up the others.
     """
     _record(spark, ledger, batch_id, started_at, started_at, "running")
     try:
@@ -89,7 +101,7 @@ def run_batch(spark: SparkSession, landed: str, table: str, ledger: str, quarant
         stamped = materialize(
             as_observations(raw, str(batch_id), F.lit(finished_at).cast("timestamp")), "landed")
         good, bad = split_keyed(stamped)
-        append(bad, quarantine)
+        overwrite_touched(bad, quarantine, ["batch_id"])
         rows = upsert_into(spark, table, good)
         cities = good.agg(F.count_distinct("city").alias("n")).first()["n"]
         _record(spark, ledger, batch_id, started_at, finished_at, "completed", cities, rows)

@@ -131,14 +131,14 @@ def matrix(features: list[str], target: str) -> str:
 
 
 BATCHES = """two_batches AS (
-  SELECT city, time, precipitation, '1' AS batch_id FROM station_daily
+  SELECT city, time, precipitation, '9' AS batch_id FROM station_daily
   WHERE time < DATE '1999-01-01'
   UNION ALL
-  SELECT city, time, ROUND(precipitation + 1, 2), '2' FROM station_daily
+  SELECT city, time, ROUND(precipitation + 1, 2), '10' FROM station_daily
   WHERE time >= DATE '1998-01-01')"""
 MERGED = """merged AS (
   SELECT city, time, precipitation, batch_id FROM two_batches
-  QUALIFY ROW_NUMBER() OVER (PARTITION BY city, time ORDER BY batch_id DESC) = 1)"""
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY city, time ORDER BY CAST(batch_id AS INT) DESC) = 1)"""
 STORED = ctes(STATION, BATCHES, MERGED) + """
 SELECT city, COUNT(*) AS n_rows, MIN(time) AS earliest, MAX(time) AS latest,
        ROUND(SUM(precipitation), 2) AS precipitation FROM merged GROUP BY city"""

@@ -448,10 +448,10 @@ def two_batches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         return df.withColumns({"batch_id": F.lit(batch),
                                "ingested_at": F.lit(day).cast("timestamp")})
 
-    first = stamped(days.where("time < DATE '1999-01-01'"), "1", "2024-01-01")
+    first = stamped(days.where("time < DATE '1999-01-01'"), "9", "2024-01-01")
     later = days.where("time >= DATE '1998-01-01'")
     later = later.withColumn("precipitation", F.round(F.col("precipitation") + 1, 2))
-    return first, stamped(later, "2", "2024-01-02")
+    return first, stamped(later, "10", "2024-01-01")
 
 
 @query
@@ -522,13 +522,12 @@ def ingest_run(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The same batches through the streaming job, one run after each landing."""
-    path, state = new_path(spark, "table"), new_path(spark, "stream-state")
-    landed = land(spark, sf)
-    inbox = new_path(spark, "inbox")
-    for folder in landed:
+    path, state, inbox, bad = (new_path(spark, n) for n in (
+        "table", "stream-state", "inbox", "quarantine"))
+    for folder in land(spark, sf):
         arrived = spark.read.option("header", True).csv(folder)
         arrived.write.mode("append").option("header", True).csv(inbox)
-        stream_landed(spark, inbox, path, state).awaitTermination()
+        stream_landed(spark, inbox, path, state, bad).awaitTermination()
     return stored_extent(ingest.read_table(spark, path))
 
 
@@ -739,7 +738,7 @@ def drift_ks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def drift_pvalue_asymp(spark: SparkSession, sf: str) -> DataFrame:
-    found = drift.compute_drift(sided_log(spark, sf), method="asymptotic")
+    found = drift.compute_drift(sided_log(spark, sf), "asymptotic")
     return rounded(found.select("model_name", "feature", "statistic", "p_value", "drifted"), 6,
                    ["statistic", "p_value"])
 
@@ -747,15 +746,15 @@ def drift_pvalue_asymp(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def drift_pvalue_exact(spark: SparkSession, sf: str) -> DataFrame:
     split = drift.window_split(prediction_log(spark, sf))
-    found = drift.compute_drift(drift.feature_rows(split, LOGGED), slices=1)
+    found = drift.compute_drift(drift.feature_rows(split, LOGGED), "exact")
     return found.select("model_name", "feature", "n_ref", "n_cur", "statistic", "p_value",
                         "drifted")
 
 
 def report_text(report: DataFrame) -> DataFrame:
-    text = F.transform("features", lambda f: F.concat_ws(
-        "=", f["feature"], f["drifted"].cast("string")))
-    return report.withColumn("features", F.array_join(text, ","))
+    """The report with one row per tested feature, as columns; one row for models without any."""
+    kept = report.drop("timestamp").withColumn("f", F.explode_outer("features"))
+    return kept.drop("features").select("*", "f.*").drop("f")
 
 
 @query

@@ -65,7 +65,7 @@ OBSERVATION_KEY = ["city", "time"]
 BATCHES = _schema(id=_L, started_at=_T, completed_at=_T, cities_count=_I, rows_ingested=_L,
                   status=_S, error_message=_S, recorded_at=_T)
 
-PREDICTION_LOG = _schema(model_name=_S, timestamp=_T,
+PREDICTION_LOG = _schema(id=_L, model_name=_S, timestamp=_T,
                          features=T.MapType(_S, _D), prediction=_S)
 
 RUN_METRICS = _schema(run_id=_S, model=_S, split=_S, metric=_S, value=_D)

@@ -15,6 +15,8 @@ from isobar.functions.columns import normalise_nulls, project_available, to_numb
 from isobar.schemas import DAILY_VARIABLES, STATION, TRACK_COLUMNS, TRACKS
 
 CORRUPT = "_corrupt_record"
+# Columns of a processed table that are no numbers.
+TEXT_COLUMNS = ("city", "state", "zone")
 
 
 def _typed(col_name: str, kind: T.DataType):
@@ -26,34 +28,75 @@ def _typed(col_name: str, kind: T.DataType):
     return col.try_cast(kind).alias(col_name)
 
 
+def header_line(spark: SparkSession, file: str, encoding: str = "UTF-8") -> str | None:
+    """The first line of a file, also of a compressed one; None if the file is empty."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(file)
+    stream = path.getFileSystem(conf).open(path)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+        plain = stream if codec is None else codec.createInputStream(stream)
+        return jvm.java.io.BufferedReader(
+            jvm.java.io.InputStreamReader(plain, encoding)).readLine()
+    finally:
+        stream.close()
+
+
+def files_by_header(spark: SparkSession, paths: Sequence[str],
+                    encoding: str = "UTF-8") -> dict[str, list[str]]:
+    """The files behind ``paths`` by header line; empty files have none and are left out.
+
+    Spark applies one header to all files of a read, by position. One line per file is read here,
+    by the driver, which also plans the scan of every file.
+    """
+    found: dict[str, list[str]] = {}
+    for file in sorted(spark.read.text(list(paths)).inputFiles()):
+        header = header_line(spark, file, encoding)
+        if header is not None:
+            found.setdefault(header, []).append(file)
+    return found
+
+
 def read_text_csv(spark: SparkSession, path: str | Sequence[str], encoding: str = "UTF-8",
-                  keep_corrupt: bool = False) -> DataFrame:
-    """CSV with a header, every column as text; only the header line is read to name columns.
+                  keep_corrupt: bool = False, landed_at: str | None = None) -> DataFrame:
+    """CSV files with a header, every column as text, matched by name.
 
-    With ``keep_corrupt`` lines with a wrong number of fields keep their text in
-    ``_corrupt_record``.
+    Files with different headers are read apart and joined by column name; a column that some
+    files lack is NULL there. With ``keep_corrupt`` lines with a wrong number of fields keep their
+    text in ``_corrupt_record``. ``landed_at`` names a column for the time a file was written.
     """
     paths = [path] if isinstance(path, str) else list(path)
     reader = (spark.read.option("header", True).option("encoding", encoding)
               .option("mode", "PERMISSIVE"))
-    plain = reader.csv(paths)
-    if not keep_corrupt:
-        return plain
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*plain.columns, CORRUPT]])
-    return reader.schema(schema).option("columnNameOfCorruptRecord", CORRUPT).csv(paths)
+
+    def read(group: Sequence[str]) -> DataFrame:
+        out = reader.csv(list(group))
+        if keep_corrupt:
+            schema = T.StructType([T.StructField(c, T.StringType())
+                                   for c in [*out.columns, CORRUPT]])
+            out = (spark.read.option("header", True).option("encoding", encoding)
+                   .option("mode", "PERMISSIVE").schema(schema)
+                   .option("columnNameOfCorruptRecord", CORRUPT).csv(list(group)))
+        if landed_at:
+            out = out.withColumn(landed_at, F.col("_metadata.file_modification_time"))
+        return out
+
+    groups = files_by_header(spark, paths, encoding)
+    return union_by_name([read(group) for group in groups.values()] or [read(paths)])
 
 
 def read_station_csv(spark: SparkSession, path: str | Sequence[str],
-                     schema: T.StructType = STATION,
-                     encoding: str = "UTF-8") -> tuple[DataFrame, list[str]]:
+                     schema: T.StructType = STATION, encoding: str = "UTF-8",
+                     landed_at: str | None = None) -> tuple[DataFrame, list[str]]:
     """Raw station columns by name with their declared types, and the names the files lack.
 
     ``path`` may be a glob or a list. A value that does not parse becomes NULL; there is no
-    pass over the data to infer types.
+    pass over the data to infer types. ``landed_at`` adds the time a file was written.
     """
-    available, missing = project_available(read_text_csv(spark, path, encoding), schema.names)
-    typed = available.select(*[_typed(c, schema[c].dataType) for c in available.columns])
-    return typed, missing
+    text = read_text_csv(spark, path, encoding, landed_at=landed_at)
+    available, missing = project_available(text, schema.names)
+    typed = [_typed(c, schema[c].dataType) for c in available.columns]
+    return text.select(*typed, *([landed_at] if landed_at else [])), missing
 
 
 def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
@@ -72,21 +115,22 @@ def read_tracks_csv(spark: SparkSession, path: str | Sequence[str],
 
 def read_tracks_zip(spark: SparkSession, path: str, encoding: str = "ISO-8859-1",
                     rows_per_batch: int = 50_000) -> DataFrame:
-    """Track CSVs inside zip archives, one archive per task, emitted in batches."""
+    """All track CSVs inside zip archives, by column name, one archive per task, in batches."""
     names = TRACKS.names
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    members = [m for m in archive.namelist() if m.endswith(".csv")]
+                    members = [m for m in archive.namelist() if m.lower().endswith(".csv")]
                     if not members:
                         raise ValueError("no CSV in zip archive")
-                    with archive.open(members[0]) as member:
-                        for part in pd.read_csv(member, dtype=str, encoding=encoding,
-                                                chunksize=rows_per_batch):
-                            text = part.reindex(columns=names).astype(object)
-                            yield text.where(text.notna(), None)
+                    for name in members:
+                        with archive.open(name) as member:
+                            for part in pd.read_csv(member, dtype=str, encoding=encoding,
+                                                    chunksize=rows_per_batch):
+                                text = part.reindex(columns=names).astype(object)
+                                yield text.where(text.notna(), None)
 
     archives = spark.read.format("binaryFile").load(path).select("content")
     return archives.mapInPandas(unpack, TRACKS)
@@ -120,7 +164,10 @@ def read_processed_or_raw(spark: SparkSession, processed: str | None, raw: str,
     from isobar.sources.sinks import path_exists
 
     if processed is not None and path_exists(spark, processed):
-        table = spark.read.csv(processed, header=True, inferSchema=True)
+        table = read_text_csv(spark, processed)
+        kinds = {"time": to_time} | {c: to_number for c in table.columns
+                                     if c not in TEXT_COLUMNS and c != "time"}
+        table = table.withColumns({c: f(F.col(c)) for c, f in kinds.items() if c in table.columns})
         if "city" in table.columns and "zone" not in table.columns:
             table = table.join(dimension.select("city", "zone"), "city", "left")
         return table

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from isobar.functions.columns import normalise_nulls
 from isobar.operators.chunks import CHUNK, with_chunk
 
-SINGLE_FILE_ROWS = 1_000_000
-
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark._jvm
@@ -36,14 +34,9 @@ def overwrite_touched(df: DataFrame, path: str, partitions: Sequence[str]) -> No
      .partitionBy(*partitions).parquet(path))
 
 
-def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """CSV with a header. One file is allowed for small results only; more rows raise."""
-    out = df
-    if single_file:
-        if df.limit(SINGLE_FILE_ROWS + 1).count() > SINGLE_FILE_ROWS:
-            raise ValueError(f"more than {SINGLE_FILE_ROWS} rows; write part files instead")
-        out = df.coalesce(1)
-    out.write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV part files, each with a header."""
+    df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def append(df: DataFrame, path: str) -> None:

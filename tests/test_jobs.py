@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-import math
-import random
+import re
 import zipfile
 
 import pytest
@@ -21,20 +20,23 @@ from isobar.sources import files, jdbc, sinks
 from isobar.streaming.landing import stream_landed
 
 
-def raw_weather(spark, days=90, cities=("Mumbai", "Chennai", "Delhi"), seed=42):
-    """Hot days 20 to 23 and a rain spike on day 50 in every city."""
-    rng = random.Random(seed)
+# A cycle of days on both sides of the heat limits, with a gap, and one of rain around its limits.
+HEAT = [31.0, 38.5, 40.0, 40.1, 42.0, 45.0, 45.2, 46.0, None, 29.5, 33.0]
+RAIN = [0.0, 0.2, 7.5, 49.9, 50.0, 50.1, 12.0, 100.1, 0.0, 3.3]
+FIRST = dt.datetime(2021, 3, 1)
+
+
+def station_days(spark, days, cities, shift=0):
+    """Daily rows by rule: day ``d`` takes the ``d + shift``-th entry of every cycle."""
     data = []
-    for city in cities:
+    for place, city in enumerate(cities):
         for d in range(days):
-            t = 44 + rng.uniform(-1, 2) if 20 <= d <= 23 else 29 + 5 * math.sin(d / 58)
-            p = 120 + rng.uniform(0, 30) if d == 50 else rng.expovariate(1 / 5)
-            row = {v: rng.uniform(10, 60) for v in DAILY_VARIABLES}
-            row |= {"temperature_2m_max": round(t + rng.uniform(2, 5), 1),
-                    "temperature_2m_min": round(t - 6, 1), "precipitation_sum": round(p, 1),
-                    "pressure_msl_mean": 1000 + rng.uniform(0, 20), "latitude": 1.0,
-                    "longitude": 2.0, "city": city, "state": "s", "zone": "z",
-                    "time": dt.datetime(2024, 1, 1) + dt.timedelta(days=d)}
+            k = d + shift
+            row = {v: 10.0 + (7 * k + i) % 40 for i, v in enumerate(DAILY_VARIABLES)}
+            row |= {"temperature_2m_max": HEAT[k % 11], "temperature_2m_min": 18.0 + k % 5,
+                    "precipitation_sum": 250.0 if d == 50 else RAIN[3 * k % 10], "pressure_msl_mean": 995.0 + k % 25,
+                    "latitude": 8.0 + place, "longitude": 77.0 + place, "city": city,
+                    "state": "none", "zone": "none", "time": FIRST + dt.timedelta(days=d)}
             data.append(tuple(row[c] for c in STATION.names))
     return spark.createDataFrame(data, STATION)
 
@@ -55,6 +57,19 @@ def test_csv_columns_are_matched_by_name(spark, tmp_path):
         files.read_station_csv(spark, str(tmp_path / "none_*.csv"))
 
 
+def test_files_of_other_column_order(spark, tmp_path):
+    (tmp_path / "weather_a.csv").write_text("city,time,temperature_2m_max,precipitation_sum\n"
+                                            "Pune,2024-01-01,30,7\n")
+    (tmp_path / "weather_b.csv").write_text("precipitation_sum,city,rain_sum,time,temperature_2m_max\n"
+                                            "5,Surat,1,2024-01-01,31\n")
+    (tmp_path / "weather_c.csv").write_text("")
+    df, missing = files.read_station_csv(spark, str(tmp_path / "weather_*.csv"))
+    got = {r["city"]: (r["temperature_2m_max"], r["precipitation_sum"], r["rain_sum"])
+           for r in df.collect()}
+    assert got == {"Pune": (30.0, 7.0, None), "Surat": (31.0, 5.0, 1.0)}
+    assert "rain_sum" not in missing
+
+
 def test_corrupt_lines_are_kept_on_request(spark, tmp_path):
     (tmp_path / "x.csv").write_text("a,b\n1,2\n3\n")
     got = rows(files.read_text_csv(spark, str(tmp_path / "x.csv"), keep_corrupt=True), "a")
@@ -68,11 +83,13 @@ def test_latin1_tracks_plain_and_zipped(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "t.zip", "w") as z:
         z.writestr("readme.txt", "x")
         z.writestr("t.csv", text)
+        z.writestr("more/u.csv", "LAT,NATURE,ISO_TIME\n7.5,DS,2020-01-03 00:00:00\n")
     plain = files.read_tracks_csv(spark, str(tmp_path / "t.csv"))
     assert plain.columns == ["ISO_TIME", "NATURE", "LAT", "LON", "WMO_WIND"]
     zipped = files.read_tracks_zip(spark, str(tmp_path / "t.zip"))
     for df in (plain, zipped):
         assert [r["LAT"] for r in df.where("NATURE = 'TS'").collect()] == ["1.5"]
+    assert [r["LAT"] for r in zipped.where("NATURE = 'DS'").collect()] == ["7.5"]
     name = files.read_text_csv(spark, str(tmp_path / "t.csv"), "ISO-8859-1").where("NAME IS NOT NULL")
     assert name.first()["NAME"] == "José"
 
@@ -90,7 +107,7 @@ def test_daily_json(spark):
 
 
 def test_processed_or_raw(spark, tmp_path):
-    raw = raw_weather(spark, 3).drop("zone")
+    raw = station_days(spark, 3, ("Mumbai", "Delhi")).drop("zone")
     raw.write.option("header", True).csv(str(tmp_path / "raw"))
     dim = station_dimension(spark)
     got = files.read_processed_or_raw(spark, str(tmp_path / "nope"), str(tmp_path / "raw"), dim)
@@ -117,7 +134,7 @@ def test_page_options():
 
 def test_partitioned_write_prunes_and_spreads(spark, tmp_path):
     path = str(tmp_path / "t")
-    sinks.write_partitioned(raw_weather(spark, 800, ("Mumbai", "Pune")), path)
+    sinks.write_partitioned(station_days(spark, 800, ("Mumbai", "Pune")), path)
     table = spark.read.parquet(path)
     assert table.count() == 1600
     one = table.where("city = 'Pune'").select("time")
@@ -125,18 +142,9 @@ def test_partitioned_write_prunes_and_spreads(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(city" in plan and "ReadSchema: struct<time:timestamp>" in plan
 
 
-def test_single_csv_file_is_for_small_results(spark, tmp_path, monkeypatch):
-    df = spark.range(10)
-    sinks.write_csv(df, str(tmp_path / "one"), single_file=True)
-    assert len(list((tmp_path / "one").glob("*.csv"))) == 1
-    monkeypatch.setattr(sinks, "SINGLE_FILE_ROWS", 5)
-    with pytest.raises(ValueError):
-        sinks.write_csv(df, str(tmp_path / "two"), single_file=True)
-
-
 def test_only_the_given_cities_are_replaced(spark, tmp_path):
     path = str(tmp_path / "backup")
-    df = raw_weather(spark, 5, ("Pune", "Surat"))
+    df = station_days(spark, 5, ("Pune", "Surat"))
     sinks.overwrite_touched(df, path, ["city"])
     sinks.overwrite_touched(df.where("city = 'Pune'").limit(2), path, ["city"])
     got = {r["city"]: r["count"] for r in spark.read.parquet(path).groupBy("city").count().collect()}
@@ -159,14 +167,15 @@ def test_shared_folder_comes_from_the_session(spark):
 # ------------------------------------------------------------------------------------ ETL
 
 def test_etl_writes_labelled_table(spark, tmp_path):
-    raw_weather(spark).write.option("header", True).csv(str(tmp_path / "raw"))
+    station_days(spark, 66, ("Jaipur", "Kochi")).write.option("header", True).csv(str(tmp_path / "raw"))
     for kind in ("parquet", "csv"):
         out = str(tmp_path / kind)
         totals = weather.run_etl(spark, str(tmp_path / "raw"), out, kind).first()
-        assert totals["heatwave_days"] == 6  # days 22 and 23 in three cities
-        assert totals["extreme_rain_days"] >= 3
+        # of each cycle above 40 for five days, the last three; the first day has no full lags
+        assert totals["heatwave_days"] == 2 * 6 * 3
+        assert totals["extreme_rain_days"] >= 2
     table = spark.read.parquet(str(tmp_path / "parquet"))
-    assert table.count() == 3 * 89
+    assert table.count() == 2 * 65
     assert {"temp_max_lag_7", "precipitation_roll_std_7", "wind_speed_10m_max_lag_3", "month_cos",
             "heavy_rainfall", "wind_gust_max"} <= set(table.columns)
     with pytest.raises(ValueError):
@@ -174,9 +183,9 @@ def test_etl_writes_labelled_table(spark, tmp_path):
 
 
 def test_targets_are_the_next_days_flags(spark):
-    named = weather.with_short_names(raw_weather(spark))
+    named = weather.with_short_names(station_days(spark, 66, ("Jaipur", "Kochi")))
     wide = weather.weather_features(named, targets=True, drop_unlagged=False)
-    got = rows(wide.where("city = 'Delhi'"), "time")
+    got = rows(wide.where("city = 'Kochi'"), "time")
     for a, b in zip(got, got[1:]):
         assert a["heatwave_flag_next"] == b["heatwave_flag"]
         assert a["extreme_rainfall_next"] == b["extreme_rainfall"]
@@ -186,19 +195,19 @@ def test_targets_are_the_next_days_flags(spark):
 def test_short_names_fill_absent_columns(spark):
     got = weather.with_short_names(spark.createDataFrame([("x",)], "city string")).first()
     assert (got["temp_max"], got["precipitation"]) == (None, 0.0)
-    assert weather.with_short_names(raw_weather(spark, 1)).columns.count("temp_max") == 1
+    assert weather.with_short_names(station_days(spark, 1, ("Pune",))).columns.count("temp_max") == 1
     assert set(SHORT_NAMES) & set(DAILY_VARIABLES) == set(SHORT_NAMES)
 
 
 def test_preprocess_all_keeps_sources_and_rows(spark, tmp_path):
-    raw_weather(spark).write.option("header", True).csv(str(tmp_path / "raw"))
+    station_days(spark, 66, ("Jaipur", "Kochi")).write.option("header", True).csv(str(tmp_path / "raw"))
     (tmp_path / "t.csv").write_text("ISO_TIME,NATURE,LAT,LON,WMO_WIND\n"
                                     "2020-01-02 06:00:00,TS,1.5,80,64\n")
     days, storms = weather.preprocess_all(spark, str(tmp_path / "raw"), str(tmp_path / "t.csv"),
                                           str(tmp_path / "out"))
-    assert days.count() == 270 and storms.first()["category"] == 2
+    assert days.count() == 132 and storms.first()["category"] == 2
     assert {"temperature_2m_max", "temp_max", "precipitation", "cyclonic_flag"} <= set(days.columns)
-    assert spark.read.csv(str(tmp_path / "out" / "weather_processed"), header=True).count() == 270
+    assert spark.read.csv(str(tmp_path / "out" / "weather_processed"), header=True).count() == 132
     assert days.agg(F.sum("cyclonic_flag")).first()[0] == 0  # gusts stay below 60
     assert weather.preprocess_all(spark) == (None, None)
 
@@ -214,8 +223,8 @@ def paths(tmp_path):
 
 
 def test_batches_merge_and_close(spark, tmp_path):
-    first = raw_weather(spark, 40, ("Pune",))
-    later = (first.where(F.col("time") >= "2024-02-01")
+    first = station_days(spark, 40, ("Pune",))
+    later = (first.where(F.col("time") >= "2021-04-01")
              .withColumn("precipitation_sum", F.lit(1.0)))
     broken = later.limit(1).withColumn("city", F.lit(None).cast("string"))
     land(first, str(tmp_path / "in1"))
@@ -237,24 +246,47 @@ def test_batches_merge_and_close(spark, tmp_path):
     before = rows(table, "time")
     ingest.run_batch(spark, str(tmp_path / "in2"), **p, batch_id=2,
                      started_at="2024-03-02 00:00:00", finished_at="2024-03-02 00:10:00")
+    assert spark.read.parquet(p["quarantine"]).count() == 1  # a repeated run replaces its rows
     assert rows(ingest.read_table(spark, p["table"]), "time") == before
 
 
 def test_untouched_partitions_are_not_rewritten(spark, tmp_path):
     path = str(tmp_path / "table")
-    df = ingest.as_observations(raw_weather(spark, 400, ("Pune", "Surat")), "1",
+    df = ingest.as_observations(station_days(spark, 400, ("Pune", "Surat")), "1",
                                 F.lit("2024-03-01").cast("timestamp"))
     ingest.upsert_into(spark, path, df)
     old = set(spark.read.parquet(path).inputFiles())
-    ingest.upsert_into(spark, path, df.where("city = 'Pune' AND time < '2024-06-01'"))
+    ingest.upsert_into(spark, path, df.where("city = 'Pune' AND time < '2021-06-01'"))
     kept = old & set(spark.read.parquet(path).inputFiles())
-    assert kept and all("city=Pune/_year=2024" not in f for f in kept)
+    assert kept and all("city=Pune/_year=2021" not in f for f in kept)
     assert spark.read.parquet(path).count() == 800
 
 
+def test_a_tie_goes_to_the_higher_batch_number(spark, tmp_path):
+    path = str(tmp_path / "table")
+    day = station_days(spark, 1, ("Pune",))
+    for batch, rain in (("9", 1.0), ("10", 2.0), ("9", 3.0)):
+        ingest.upsert_into(spark, path, ingest.as_observations(
+            day.withColumn("precipitation_sum", F.lit(rain)), batch,
+            F.lit("2024-03-01").cast("timestamp")))
+    assert ingest.read_table(spark, path).first()["batch_id"] == "10"
+
+
+def test_only_touched_partitions_are_read(spark, tmp_path):
+    path = str(tmp_path / "table")
+    df = ingest.as_observations(station_days(spark, 400, ("Pune", "Surat")), "1",
+                                F.lit("2024-03-01").cast("timestamp"))
+    ingest.upsert_into(spark, path, df)
+    touched = spark.createDataFrame([("Pune", 2022)], "city string, _year int")
+    stored = ingest.stored_partitions(spark.read.parquet(path), touched)
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*city[^\]]*Pune[^\]]*_year[^\]]*2022", plan)
+    assert stored.count() == 400 - 306
+
+
 def test_empty_and_failing_batches_close(spark, tmp_path):
     p = paths(tmp_path)
-    land(raw_weather(spark, 1).limit(0), str(tmp_path / "empty"))
+    land(station_days(spark, 1, ("Pune",)).limit(0), str(tmp_path / "empty"))
     (tmp_path / "empty" / "weather.csv").write_text(",".join(STATION.names) + "\n")
     at = dict(started_at="2024-03-01 00:00:00", finished_at="2024-03-01 00:01:00")
     ingest.run_batch(spark, str(tmp_path / "empty"), **p, batch_id=1, **at)
@@ -267,33 +299,37 @@ def test_empty_and_failing_batches_close(spark, tmp_path):
 
 
 def test_stream_equals_batch_and_takes_files_once(spark, tmp_path):
-    path, state, inbox = (str(tmp_path / k) for k in ("table", "state", "inbox"))
-    first, second = raw_weather(spark, 30, ("Pune",)), raw_weather(spark, 45, ("Pune",), seed=1)
+    path, state, inbox, bad = (str(tmp_path / k) for k in ("table", "state", "inbox", "bad"))
+    first, second = (station_days(spark, n, ("Pune",), shift) for n, shift in ((30, 0), (45, 4)))
     land(first, inbox)
-    stream_landed(spark, inbox, path, state).awaitTermination()
+    stream_landed(spark, inbox, path, state, bad).awaitTermination()
     assert ingest.read_table(spark, path).count() == 30
     second.select(*STATION.names).write.mode("append").option("header", True).csv(inbox)
-    stream_landed(spark, inbox, path, state, max_files=1).awaitTermination()
+    stream_landed(spark, inbox, path, state, bad, max_files=1).awaitTermination()
     merged = ingest.read_table(spark, path)
     assert merged.count() == 45
     total = merged.agg(F.sum("precipitation_sum")).first()[0]
     assert total == pytest.approx(second.agg(F.sum("precipitation_sum")).first()[0])
-    stream_landed(spark, inbox, path, state).awaitTermination()
-    assert ingest.read_table(spark, path).count() == 45
+    odd = "time,city,precipitation_sum\nno day,Pune,3\n2021-08-01,Pune,4\n"
+    (tmp_path / "inbox" / "odd.csv").write_text(odd)
+    stream_landed(spark, inbox, path, state, bad).awaitTermination()
+    assert ingest.read_table(spark, path).count() == 46
+    kept = spark.read.parquet(bad).collect()
+    assert [(r["city"], r["time"], r["precipitation_sum"]) for r in kept] == [("Pune", None, 3.0)]
 
 
 # ------------------------------------------------------------------- training and scoring
 
 def tracks(spark, n=600):
-    """Pressure falls with wind, so the category can be learned."""
-    rng = random.Random(1)
+    """Storms of twenty fixes whose wind rises and falls; pressure drops with its square."""
     data = []
     for i in range(n):
-        wind = rng.expovariate(1 / 40) + 25
-        lat = rng.uniform(-25, 25)
-        data.append((i, abs(lat), rng.uniform(60, 95), lat, 1020 - wind * 0.7 + rng.gauss(0, 2),
-                     rng.uniform(0, 500), rng.randint(2010, 2024), rng.randint(1, 12),
-                     rng.randint(1, 365), wind))
+        storm, step = divmod(i, 20)
+        wind = 20.0 + (25 + 13 * storm % 110) * (1 - abs(step - 9.5) / 10)
+        lat = 4.0 + storm % 17 + 0.4 * step
+        data.append((i, lat, 92.0 - 0.5 * step - storm % 7, lat,
+                     1014.0 - (wind / 14) ** 2 + 0.3 * (37 * i % 11 - 5), 40.0 * ((storm + step) % 12),
+                     1990 + storm % 30, 1 + storm % 12, 1 + 11 * i % 365, wind))
     df = spark.createDataFrame(
         data, "point_id long, " + ", ".join(
             f"{c} {'int' if c in ('year', 'month', 'dayofyear') else 'double'}"
@@ -328,7 +364,7 @@ def test_train_score_and_reload(spark, tmp_path):
 
 
 def test_heatwave_model_beats_chance(spark):
-    named = weather.with_short_names(raw_weather(spark, 200))
+    named = weather.with_short_names(station_days(spark, 200, ("Jaipur", "Kochi", "Pune")))
     processed = materialize(weather.weather_features(named, targets=True), "p")
     model, table = training.train(processed, "heatwave", "r1", n_estimators=3, max_depth=3)
     got = {(r["split"], r["metric"]): r["value"] for r in table.collect()}

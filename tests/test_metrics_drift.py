@@ -48,11 +48,11 @@ def brute_auc(data):
     return ((diff > 0).sum() + 0.5 * (diff == 0).sum()) / diff.size
 
 
-@pytest.mark.parametrize("slices", [1, 8, 64])
-def test_auc_equals_all_pairs(spark, slices):
+@pytest.mark.parametrize("size", [5, 40, 200_000])
+def test_auc_equals_all_pairs(spark, size):
     data = labelled()
     df = spark.createDataFrame(data, "label int, score double")
-    assert metrics.roc_auc(df, slices=slices).first()["roc_auc"] == pytest.approx(brute_auc(data))
+    assert metrics.roc_auc(df, range_rows=size).first()["roc_auc"] == pytest.approx(brute_auc(data))
 
 
 def test_auc_of_one_class_is_half(spark):
@@ -114,20 +114,20 @@ def brute_ks(a, b):
                   - np.searchsorted(b, at, "right") / len(b)).max()
 
 
-@pytest.mark.parametrize("slices", [1, 16])
-def test_ks_statistic(spark, slices):
+@pytest.mark.parametrize("size", [60, 200_000])
+def test_ks_statistic(spark, size):
     rng = np.random.default_rng(0)
     a, b = rng.normal(0, 1, 1500).round(2), rng.normal(0.2, 1, 700).round(2)
-    got = drift.ks_two_sample(long_rows(spark, a, b), slices=slices).first()
+    got = drift.ks_two_sample(long_rows(spark, a, b), range_rows=size).first()
     assert got["statistic"] == pytest.approx(brute_ks(a, b))
     assert (got["n_ref"], got["n_cur"]) == (1500, 700)
 
 
 def test_ks_extremes(spark):
-    apart = drift.compute_drift(long_rows(spark, range(1, 11), range(11, 21))).first()
+    apart = drift.compute_drift(long_rows(spark, range(1, 11), range(11, 21)), "exact").first()
     assert apart["statistic"] == 1.0 and apart["drifted"]
     assert apart["p_value"] == pytest.approx(2 / math.comb(20, 10))
-    same = drift.compute_drift(long_rows(spark, range(1, 11), range(1, 11))).first()
+    same = drift.compute_drift(long_rows(spark, range(1, 11), range(1, 11)), "exact").first()
     assert (same["statistic"], same["p_value"], same["drifted"]) == (0.0, 1.0, False)
 
 
@@ -166,11 +166,47 @@ def test_asymptotic_p_value(spark):
     assert abs(exact - got[0]) < 0.01
 
 
-def test_large_samples_use_the_limit(spark):
-    df = spark.createDataFrame([(0.02, 20_000, 20_000)], "d double, n long, m long")
+def test_the_method_is_a_choice(spark):
+    df = spark.createDataFrame([(0.3, 40, 50)], "d double, n long, m long")
     args = (F.col("d"), F.col("n"), F.col("m"))
-    auto, limit = df.select(p_value(*args), asymptotic_p(*args)).first()
-    assert auto == limit
+    exact, limit = df.select(p_value(*args, "exact"), p_value(*args, "asymptotic")).first()
+    assert exact == pytest.approx(exact_p_value(0.3, 40, 50)) and exact != limit
+    with pytest.raises(ValueError):
+        p_value(*args, "other")
+
+
+def test_null_models_are_tested(spark):
+    named = long_rows(spark, range(30), range(5, 40))
+    both = named.unionByName(named.withColumn("model_name", F.lit(None).cast("string")))
+    got = {r["model_name"]: r["statistic"] for r in drift.compute_drift(both, "exact").collect()}
+    assert len(got) == 2 and len(set(got.values())) == 1
+
+
+@pytest.mark.parametrize("labels,area", [([0, 1, 2, 2], None), ([0, 1, 1], 1.0), ([2, 2], 0.5)])
+def test_ovr_area_of_absent_classes(spark, labels, area):
+    data = [(y, [0.1, 0.2 + 0.1 * y, 0.3 * (y == 2)]) for y in labels]
+    df = spark.createDataFrame(data, "label int, p array<double>")
+    got = metrics.roc_auc_ovr(df, "label", "p", 3).first()["roc_auc"]
+    mean = metrics.roc_auc_by_class(df, "label", "p", 3).agg(F.avg("roc_auc")).first()[0]
+    assert got == (mean if area is None else area)
+
+
+def test_report_on_the_own_log(spark):
+    rng = np.random.default_rng(7)
+    data = [(i % 10, "m", f"2024-01-{1 + i // 10:02d} 00:00:00",
+             None if i % 6 == 5 else {"a": float(rng.normal(9 if i >= 60 else 0, 1)), "b": 1.0 * i})
+            for i in range(90)] + [(1, "n", "2024-01-01 00:00:00", {"a": 1.0})]
+    log = spark.createDataFrame(data, "id long, model_name string, timestamp string, "
+                                      "features map<string,double>")
+    got = {r["model_name"]: r for r in drift.drift_report(
+        log, order=("timestamp", "id"), as_of=F.lit("2024-05-01")).collect()}
+    m, n = got["m"], got["n"]
+    assert (m["samples"], m["total_features"], m["drifted_features"], m["alert"]) == (90, 2, 2, True)
+    assert m["message"] is None and str(m["timestamp"]) == "2024-05-01 00:00:00"
+    assert n["status"] == "insufficient_data" and n["message"].endswith("found 1")
+    side = drift.window_split(log, order=("timestamp", "id"), usable=F.col("features").isNotNull())
+    assert {r["side"]: r["count"] for r in side.where("model_name = 'm'").groupBy("side").count()
+            .collect()} == {"reference": 50, "current": 25, None: 15}
 
 
 def log_of(spark, n, model="m", shift=0.0):
