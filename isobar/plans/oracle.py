@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from isobar.schemas import (CYCLONE_FEATURES, HEATWAVE_FEATURES, HEATWAVE_RULES,
+                            RAINFALL_FEATURES)
+
 STATION = """station_daily AS (
   SELECT n.n_name AS city, r.r_name AS zone, CAST(l.l_shipdate AS DATE) AS time,
          MAX(l.l_quantity) AS temp_max, MIN(l.l_quantity) AS temp_min,
@@ -106,17 +109,6 @@ FEATURES = f"""features AS (
 ROUNDED = {*rolling(False), "month_sin", "month_cos"}
 WIDE = EVENTS.rstrip() + ",\n" + FEATURES + "\n"
 
-HEATWAVE_FEATURES = [
-    "temp_max_lag_1", "temp_max_lag_3", "temp_max_lag_7", "temp_max_roll_mean_3",
-    "temp_max_roll_mean_7", "temp_min_lag_1", "precipitation_lag_1",
-    "relative_humidity_2m_mean", "wind_speed_10m_max", "pressure_msl_mean", "month_sin",
-    "month_cos", "month"]
-RAINFALL_FEATURES = [
-    "precipitation_lag_1", "precipitation_lag_3", "precipitation_lag_7",
-    "precipitation_roll_mean_3", "precipitation_roll_mean_7", "temp_max_lag_1",
-    "temp_max_roll_mean_3", "relative_humidity_2m_mean", "wind_speed_10m_max",
-    "pressure_msl_mean", "cloud_cover_mean", "month_sin", "month_cos", "month"]
-
 
 def matrix(features: list[str], target: str) -> str:
     rows = f"rows AS (SELECT * FROM features WHERE {target} IS NOT NULL)"
@@ -563,15 +555,123 @@ add("drift_pvalue_asymp", ctes(LOG, SIDED, KS, PVALUE) + """
 SELECT model_name, feature, ROUND(statistic, 6) AS statistic, ROUND(p_value, 6) AS p_value,
        p_value < 0.05 AS drifted FROM tested""")
 add("drift_report", ctes(LOG, WINDOWED, WINDOW_SIDED, KS, PVALUE) + """
-SELECT model_name, samples, CASE WHEN samples >= 20 THEN 'ok' ELSE 'insufficient_data' END
+SELECT m.model_name, samples, CASE WHEN samples >= 20 THEN 'ok' ELSE 'insufficient_data' END
          AS status,
+       CASE WHEN samples < 20 THEN 'at least 20 samples are needed, found ' || samples END
+         AS message,
        COALESCE(total, 0) AS total_features, COALESCE(bad, 0) AS drifted_features,
-       COALESCE(names, '') AS features,
        ROUND(CAST(COALESCE(bad, 0) AS DOUBLE) / GREATEST(COALESCE(total, 0), 1), 3) AS drift_score,
-       COALESCE(bad, 0) >= GREATEST(2, COALESCE(total, 0) // 3) AS alert
+       COALESCE(bad, 0) >= GREATEST(2, COALESCE(total, 0) // 3) AS alert,
+       t.feature, ROUND(t.statistic, 4) AS statistic, ROUND(t.p_value, 4) AS p_value,
+       t.p_value < 0.05 AS drifted, ROUND(reference_mean, 2) AS reference_mean,
+       ROUND(current_mean, 2) AS current_mean
 FROM (SELECT model_name, MAX(samples) AS samples FROM split GROUP BY model_name) m
 LEFT JOIN (SELECT model_name, COUNT(*) AS total,
-                  CAST(SUM(CASE WHEN p_value < 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS bad,
-                  STRING_AGG(feature || '=' || CASE WHEN p_value < 0.05 THEN 'true' ELSE 'false'
-                             END, ',' ORDER BY feature) AS names
-           FROM tested GROUP BY model_name) t USING (model_name)""")
+                  CAST(SUM(CASE WHEN p_value < 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS bad
+           FROM tested GROUP BY model_name) n USING (model_name)
+LEFT JOIN tested t ON t.model_name = m.model_name
+LEFT JOIN (SELECT model_name, feature, AVG(value) FILTER (WHERE side = 'reference')
+                    AS reference_mean, AVG(value) FILTER (WHERE side = 'current') AS current_mean
+           FROM sided GROUP BY model_name, feature) s
+       ON s.model_name = t.model_name AND s.feature = t.feature""")
+
+# ------------------------------------------------- queries whose values SQL can only bound
+
+# Exact p-values: the chance of lattice paths that keep the distance, diagonal by diagonal.
+add("drift_pvalue_exact", "WITH RECURSIVE " + ctes(LOG, WINDOWED, WINDOW_SIDED, KS)
+    .lstrip().removeprefix("WITH ").rstrip() + """,
+walk AS (
+  SELECT model_name, feature, n_ref AS n, n_cur AS m, statistic, 0 AS step,
+         CAST(ROUND(statistic * n_ref * n_cur) AS BIGINT) AS bound,
+         list_transform(range(0, n_ref + 1),
+                        lambda i: CAST(CASE WHEN i = 0 THEN 1 ELSE 0 END AS DOUBLE)) AS inside
+  FROM ks
+  UNION ALL
+  SELECT model_name, feature, n, m, statistic, step + 1, bound,
+         list_transform(range(0, n + 1), lambda i: CASE
+           WHEN step + 1 - i BETWEEN 0 AND m AND abs(i * m - (step + 1 - i) * n) < bound
+           THEN inside[i + 1] * (1 - LEAST(GREATEST((n - i) / (n + m - step), 0), 1))
+                + CASE WHEN i > 0 THEN inside[i] * LEAST(GREATEST((n - i + 1) / (n + m - step), 0), 1)
+                       ELSE 0 END
+           ELSE CAST(0 AS DOUBLE) END)
+  FROM walk WHERE step < n + m),
+exact AS (
+  SELECT *, CASE WHEN bound <= 0 THEN 1 ELSE LEAST(GREATEST(1 - inside[n + 1], 0), 1) END AS p
+  FROM walk WHERE step = n + m)
+SELECT model_name, feature, n AS n_ref, m AS n_cur, ROUND(statistic, 6) AS statistic,
+       ROUND(p, 6) AS p_value, p < 0.05 AS drifted FROM exact""")
+add("entity_percentiles_approx", ctes(STATION) + """
+SELECT city, COUNT(*) AS n_rows, true AS low_within, true AS high_within FROM station_daily
+GROUP BY city""")
+
+
+def _runs(model: str, labels: str) -> str:
+    """Rows per split, and the metrics of a run by name; their values are checked by range."""
+    names = ", ".join(f"'{m}'" for m in ("accuracy", "precision", "recall", "f1", "roc_auc",
+                                         "log_loss"))
+    return f"""{labels},
+sizes AS (SELECT label, COUNT(*) AS n, ROUND(COUNT(*) * CAST(0.2 AS DOUBLE)) AS t
+          FROM labels GROUP BY label),
+parts AS (SELECT 'test' AS split, CAST(SUM(t) AS BIGINT) AS n FROM sizes
+          UNION ALL SELECT 'train', CAST(SUM(n - t) AS BIGINT) FROM sizes)
+SELECT 'bench' AS run_id, '{model}' AS model, split, metric, n AS n_rows, true AS in_range
+FROM parts, (SELECT unnest([{names}]) AS metric)"""
+
+
+def _targets(target: str) -> str:
+    return (WIDE.rstrip() + f""",
+labels AS (SELECT {target} AS label FROM features WHERE {target} IS NOT NULL)""")
+
+
+add("train_cyclone", _runs("cyclone", STORMS.rstrip()
+                           + ",\nlabels AS (SELECT category AS label FROM prepared)"))
+add("train_heatwave", _runs("heatwave", _targets("heatwave_next")))
+add("train_rainfall", _runs("rainfall", _targets("rain_next")))
+
+
+def _broken() -> str:
+    """Rules that rows of the feature table break, as the scorer names them."""
+    tests = []
+    for name, rule in HEATWAVE_RULES.items():
+        if rule.default is None:
+            tests.append(f"SELECT '{name}: required' AS outcome, COUNT(*) AS n_rows "
+                         f"FROM features WHERE {name} IS NULL")
+        for word, sign, limit in (("below", "<", rule.low), ("above", ">", rule.high)):
+            if limit is not None:
+                tests.append(f"SELECT '{name}: {word} {limit}', COUNT(*) FROM features "
+                             f"WHERE {name} {sign} {limit}")
+    bad = " OR ".join(f"{n} IS NULL" for n, r in HEATWAVE_RULES.items() if r.default is None)
+    tests.append(f"SELECT 'scored', COUNT(*) FROM features WHERE NOT ({bad})")
+    return "SELECT * FROM (" + " UNION ALL ".join(tests) + ") WHERE n_rows > 0"
+
+
+add("score_heatwave", WIDE + _broken())
+LOGGED = ", ".join(f"UNION ALL SELECT model_name, side, '{c}', CAST({c} AS DOUBLE) FROM split "
+                   for c in CYCLONE_FEATURES[1:]).replace(", UNION", "UNION")
+add("score_log_drift", STORMS.rstrip() + f""",
+logged AS (
+  SELECT *, CAST(YEAR(iso_time) AS INT) AS year, CAST(MONTH(iso_time) AS INT) AS month,
+         CAST(DAYOFYEAR(iso_time) AS INT) AS dayofyear, 'cyclone' AS model_name,
+         iso_time >= TIMESTAMP '2024-01-16 00:00:00' AS second FROM prepared),
+recent AS (
+  SELECT *, ROW_NUMBER() OVER (ORDER BY second DESC, point_id DESC) AS age
+  FROM logged QUALIFY age <= 500),
+split AS (
+  SELECT *, CASE WHEN samples - age + 1 <= (samples * 2) // 3 THEN 'reference' ELSE 'current' END
+         AS side FROM (SELECT *, COUNT(*) OVER () AS samples FROM recent) q),
+sided AS (
+  SELECT * FROM (SELECT model_name, side, '{CYCLONE_FEATURES[0]}' AS feature,
+                        CAST({CYCLONE_FEATURES[0]} AS DOUBLE) AS value FROM split
+                 {LOGGED}) u WHERE value IS NOT NULL),
+""" + KS + ",\n" + PVALUE + """
+SELECT model_name, feature, n_ref, n_cur, ROUND(statistic, 4) AS statistic,
+       ROUND(p_value, 4) AS p_value, p_value < 0.05 AS drifted,
+       (SELECT MAX(samples) FROM split) AS samples FROM tested""")
+add("feature_importances", f"""
+SELECT feature, true AS in_range FROM (SELECT unnest([{', '.join(
+    f"'{c}'" for c in CYCLONE_FEATURES)}]) AS feature)""")
+add("ablation_cyclone", """
+SELECT subset, 'pressure_min' AS feature, true AS in_range
+FROM (SELECT unnest(['full', 'without', 'only']) AS subset)""")
+add("tune_rainfall", """
+SELECT CAST(unnest(range(0, 20)) AS INT) AS trial, 'areaUnderROC' AS metric, true AS in_range""")

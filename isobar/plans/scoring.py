@@ -56,17 +56,18 @@ def score(model: PipelineModel, df: DataFrame, task: str) -> tuple[DataFrame, Da
     return decide(scored.drop(*internal), task), quarantine
 
 
-def to_prediction_log(scored: DataFrame, task: str, as_of: Column) -> DataFrame:
+def to_prediction_log(scored: DataFrame, task: str, as_of: Column,
+                      row_id: Column | None = None) -> DataFrame:
     """Scored rows in the shape of the prediction log.
 
-    ``id`` orders the rows of one call; rows of several calls are in the order of
-    ``(timestamp, id)``.
+    ``id`` orders the rows of one call, by ``row_id`` if given; rows of several calls are in the
+    order of ``(timestamp, id)``.
     """
     names = CONTRACTS[task]
     features = F.map_from_arrays(F.array(*[F.lit(c) for c in names]),
                                  F.array(*[F.col(c).cast("double") for c in names]))
     outcome = {"cyclone": "category", "heatwave": "is_heatwave", "rainfall": "is_extreme"}[task]
-    return scored.select(F.monotonically_increasing_id().alias("id"),
+    return scored.select((F.monotonically_increasing_id() if row_id is None else row_id).alias("id"),
                          F.lit(task).alias("model_name"),
                          as_of.cast("timestamp").alias("timestamp"), features.alias("features"),
                          F.col(outcome).cast("string").alias("prediction"))

@@ -35,6 +35,11 @@ DEFAULTS = {
     "rainfall": {"n_estimators": 200, "max_depth": 12, "random_state": 42},
 }
 
+# Rows a node needs to be split. The learners here bound the rows of a child.
+MIN_SPLIT = {"cyclone": 5, "heatwave": 10, "rainfall": 5}
+# Bound of a fit: about this many labelled rows, chosen by a hash of all columns.
+FIT_ROWS = 1_000_000
+
 # Search ranges (low, high, step; step None is continuous) of the parameters that
 # reach the learner, number of draws and of folds.
 SPACES = {
@@ -66,7 +71,8 @@ def build_estimator(task: str, contract: Sequence[str] | None = None,
     """
     p = _params(task, params)
     common = dict(featuresCol="features", labelCol="label", maxDepth=p["max_depth"],
-                  seed=p["random_state"], cacheNodeIds=True, checkpointInterval=10)
+                  minInstancesPerNode=MIN_SPLIT[task] // 2, seed=p["random_state"],
+                  cacheNodeIds=True, checkpointInterval=10)
     if weight:
         common["weightCol"] = weight
     if "subsample" in p:
@@ -86,11 +92,20 @@ def with_weights(df: DataFrame, task: str) -> DataFrame:
     return with_pos_weight(df) if task == "heatwave" else with_balanced_weight(df)
 
 
+def bounded(df: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+    """About ``rows`` rows of ``df``, or all if there are no more."""
+    n = df.count()
+    if n <= rows:
+        return df
+    draw = F.pmod(F.xxhash64(*df.columns), F.lit(1_000_000)) / 1_000_000
+    return df.where(draw < rows / n)
+
+
 def fit(df: DataFrame, task: str, contract: Sequence[str] | None = None, balanced: bool = True,
-        **params: float) -> PipelineModel:
-    """Fit a task's pipeline on a matrix with ``label``."""
+        rows: int = FIT_ROWS, **params: float) -> PipelineModel:
+    """Fit a task's pipeline on a matrix with ``label``, of which it takes about ``rows`` rows."""
     contract = list(contract or CONTRACTS[task])
-    ready = align_features(df, contract, ["label"])
+    ready = bounded(align_features(df, contract, ["label"]), rows)
     if balanced:
         ready = with_weights(ready, task)
     return build_estimator(task, contract, "weight" if balanced else None, **params).fit(ready)
@@ -122,7 +137,7 @@ def run_metrics(metrics: DataFrame, run_id: str, model: str, split: str) -> Data
 
 def train(processed: DataFrame, task: str, run_id: str, test: float = 0.2,
           **params: float) -> tuple[PipelineModel, DataFrame]:
-    """Matrix, stratified split, fit, and metrics of the train and test parts.
+    """Matrix, stratified split, fit, and metrics and rows of the train and test parts.
 
     The matrix and the scored rows are written out once: learner and metrics read them often.
     """
@@ -132,8 +147,9 @@ def train(processed: DataFrame, task: str, run_id: str, test: float = 0.2,
     scored = materialize(predict(model, marked).select(
         "label", "prediction", "probabilities", "is_test"), f"scored-{task}")
     parts = {"train": scored.where(~F.col("is_test")), "test": scored.where("is_test")}
-    tables = [run_metrics(measure(part, task), run_id, task, name)
-              for name, part in parts.items()]
+    tables = [run_metrics(measure(part, task).unionAll(part.select(
+        F.lit("rows"), F.count(F.lit(1)).cast("double"))), run_id, task, name)
+        for name, part in parts.items()]
     return model, tables[0].unionByName(tables[1])
 
 
@@ -189,7 +205,7 @@ def tune(df: DataFrame, task: str, trials: int = TRIALS, folds: int = FOLDS,
         space["scale_pos_weight"] = (max(1, ratio // 2), max(1, ratio * 2), 1)
     settings = draw(space, trials, seed)
     fold = F.pmod(F.xxhash64(*KEYS[task], F.lit(seed)), F.lit(folds)).cast("int")
-    ready = align_features(df.withColumn("fold", fold), contract, ["label", "fold"])
+    ready = bounded(align_features(df.withColumn("fold", fold), contract, ["label", "fold"]))
     weights = sorted({s["scale_pos_weight"] for s in settings if "scale_pos_weight" in s})
     if weights:
         ready = ready.withColumns({

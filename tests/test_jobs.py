@@ -344,7 +344,7 @@ SMALL = {"n_estimators": 5, "max_depth": 4}
 def test_train_score_and_reload(spark, tmp_path):
     model, table = training.train(tracks(spark), "cyclone", "r1", **SMALL)
     got = {(r["split"], r["metric"]): r["value"] for r in table.collect()}
-    assert len(got) == 12 and got["test", "accuracy"] > 0.6 and got["test", "roc_auc"] > 0.8
+    assert len(got) == 14 and got["test", "accuracy"] > 0.6 and got["test", "roc_auc"] > 0.8
     ranked = training.importances(model, CYCLONE_FEATURES).orderBy("rank").collect()
     assert len(ranked) == 8 and ranked[0]["feature"] == "pressure_min"
     training.save(model, str(tmp_path / "m"))
@@ -360,7 +360,7 @@ def test_train_score_and_reload(spark, tmp_path):
     sinks.append(log, path)
     back = spark.read.parquet(path)
     assert back.count() == 2 * scored.count()
-    assert set(back.first()["features"]) == set(CYCLONE_FEATURES)
+    assert set(back.first()["features"]) == set(CYCLONE_FEATURES) and "id" in back.columns
 
 
 def test_heatwave_model_beats_chance(spark):
