@@ -40,6 +40,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# A table of up to this many narrow rows (some megabytes) is broadcast; a larger one is shuffled.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a written table of narrow rows, to be broadcast if its counted rows allow it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a batch of texts end to end, and where each starts and the last one ends."""
     texts = texts.cast(pa.large_binary()).fill_null(b"")

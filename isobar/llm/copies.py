@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isobar.llm.common import slices, stored
+from isobar.llm.common import slices, small, stored
 from isobar.llm.components import components
 from isobar.llm.simhash import near_pairs, run_hashes, simhash
 
@@ -32,12 +32,6 @@ WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 6
 FAR = 20
-# Keys up to this number (some megabytes) are broadcast; more are joined by a shuffle.
-BROADCAST_KEYS = 100_000
-
-
-def _few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +84,7 @@ def _verified(pairs: DataFrame, units: DataFrame, docs: DataFrame, similarity: f
     asked = pairs.select(F.col("a").alias("unit")).unionAll(pairs.select("b")).distinct()
     one = units.join(asked, "unit", "left_semi").select("unit", "one.id", "one.digest")
     one = stored(one, "asked")
-    texts = docs.join(_few(one), ["id", "digest"]).dropDuplicates(["unit"]).select("unit", "text")
+    texts = docs.join(small(one), ["id", "digest"]).dropDuplicates(["unit"]).select("unit", "text")
     sets = stored(texts.mapInArrow(_run_sets, "unit string, set array<bigint>"), "run-sets")
     both = (pairs.join(sets.select(F.col("unit").alias("a"), F.col("set").alias("x")), "a")
             .join(sets.select(F.col("unit").alias("b"), F.col("set").alias("y")), "b"))
@@ -147,9 +141,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   .select("id", "digest"), "gone")
     twice = stored(grouped.filter("rows > 1").select("id", "digest"), "repeated")
     same = (F.col("l.digest") == F.col("r.digest")) & F.col("l.id").eqNullSafe(F.col("r.id"))
-    kept = keyed.drop("text").alias("l").join(_few(gone).alias("r"), same, "left_anti")
+    kept = keyed.drop("text").alias("l").join(small(gone).alias("r"), same, "left_anti")
     if twice.isEmpty():
         return kept.select("doc.*")
-    once = kept.alias("l").join(_few(twice).alias("r"), same, "left_anti")
-    several = kept.alias("l").join(_few(twice).alias("r"), same, "left_semi")
+    once = kept.alias("l").join(small(twice).alias("r"), same, "left_anti")
+    several = kept.alias("l").join(small(twice).alias("r"), same, "left_semi")
     return once.unionAll(several.dropDuplicates(["id", "digest"])).select("doc.*")

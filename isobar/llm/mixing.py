@@ -106,7 +106,7 @@ def _sample(units: DataFrame, seed: int, block: int) -> DataFrame:
     while True:
         counts = stored(units.groupBy("source_key").agg(F.count("*").alias("n")), "mix-counts")
         last = (counts.agg(F.max("n")).first()[0] or 0) <= block
-        dealt = (lookup_join(units, counts, ["source_key"], ["uid1", "uid2"])
+        dealt = (lookup_join(units, counts, ["source_key"])
                  .withColumn("block", F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "uid1", "uid2"),
                                              F.ceil(F.col("n") / block)).cast("long")).drop("n"))
 
@@ -144,7 +144,7 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source",
     aims = (targets(sizes.select(source.alias("source"), "size"), **target_params)
             .select(F.coalesce(F.concat(F.lit("1"), "source"), F.lit("0")).alias("source_key"),
                     F.col("size").alias("source_size"), "target"))
-    aimed = lookup_join(units, aims, ["source_key"], ["uid1", "uid2"])
+    aimed = lookup_join(units, aims, ["source_key"])
     factor = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")),
                         F.lit(0.0))
     factored = aimed.withColumn("whole", F.floor(factor + 1e-12)).withColumn(
