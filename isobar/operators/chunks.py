@@ -74,19 +74,22 @@ def _edge_rows(chunked: DataFrame, back: int, ahead: int, entity: str, time: str
 
 def over_chunks(df: DataFrame, stages: Sequence[Stage], back: int = 0, ahead: int = 0,
                 entity: str = "city", time: str = "time", unit: str = "year",
-                keep_chunk: bool = False) -> DataFrame:
+                keep_chunk: bool = False, reads: Sequence[str] | None = None) -> DataFrame:
     """Add window columns whose frames reach at most ``back`` rows back and ``ahead`` rows on.
 
     Each stage maps the window spec to new columns; a later stage may use columns of an earlier
     one. ``(entity, time)`` must be unique (see ``quality.duplicate_keys``), otherwise the row
-    order, and with it a lag, is undefined. A frame that already carries the chunk column, from
+    order, and with it a lag, is undefined. ``reads`` names the columns that the stages read; border
+    rows carry no others. A frame that already carries the chunk column, from
     :func:`with_chunk`, is not shuffled again.
     """
     chunked = df if CHUNK in df.columns else with_chunk(df, entity, time, unit)
     rows = chunked.withColumn(EDGE, F.lit(False))
     if back or ahead:
-        edges = _edge_rows(chunked, back, ahead, entity, time)
-        rows = rows.unionByName(edges.withColumn(EDGE, F.lit(True)))
+        carried = chunked.columns if reads is None else dict.fromkeys(
+            [entity, time, CHUNK, *(c for c in reads if c in chunked.columns)])
+        edges = _edge_rows(chunked.select(*carried), back, ahead, entity, time)
+        rows = rows.unionByName(edges.withColumn(EDGE, F.lit(True)), allowMissingColumns=True)
     spec = chunk_window(entity, time)
     for stage in stages:
         rows = rows.withColumns(stage(spec))

@@ -38,7 +38,7 @@ def gaps(df: DataFrame, entity: str = "city", time: str = "time",
     """Runs of missing days between two rows of an entity."""
     days = df.select(entity, F.to_date(time).alias(time))
     nexts = over_chunks(days, [lambda w: {"next_time": F.lead(time).over(w)}], ahead=1,
-                        entity=entity, time=time, unit=unit)
+                        entity=entity, time=time, unit=unit, reads=[])
     missing = F.datediff("next_time", time) - 1
     return nexts.where(missing > 0).select(
         entity, F.date_add(time, 1).alias("gap_start"),

@@ -31,7 +31,7 @@ def label_heatwave(df: DataFrame, hot: float = HOT, severe: float = SEVERE_HOT,
                    unit: str = "year") -> DataFrame:
     """Flags set from the ``days``-th consecutive row above the (strict) thresholds."""
     return over_chunks(df, [lambda w: heatwave_columns(w, hot, severe, days)], back=days - 1,
-                       entity=entity, time=time, unit=unit)
+                       entity=entity, time=time, unit=unit, reads=["temp_max"])
 
 
 def rain_thresholds(df: DataFrame, q: tuple[float, float] = RAIN_QUANTILES,

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from isobar.operators.chunks import CHUNK, chunk_window, over_chunks, with_chunk
+from isobar.operators.chunks import CHUNK, Stage, chunk_window, over_chunks, with_chunk
 from isobar.schemas import LAGS, ROLL_WINDOWS
 
 
@@ -49,7 +49,7 @@ def lag_features(df: DataFrame, cols: Sequence[str], lags: Sequence[int] = LAGS,
                  skip_missing: bool = False) -> DataFrame:
     cols = _require(df, cols, skip_missing)
     return over_chunks(df, [lambda w: lag_columns(w, cols, lags)], back=max(lags),
-                       entity=entity, time=time, unit=unit)
+                       entity=entity, time=time, unit=unit, reads=cols)
 
 
 def rolling_stats(df: DataFrame, cols: Sequence[str], windows: Sequence[int] = ROLL_WINDOWS,
@@ -57,14 +57,21 @@ def rolling_stats(df: DataFrame, cols: Sequence[str], windows: Sequence[int] = R
                   unit: str = "year", skip_missing: bool = False) -> DataFrame:
     cols = _require(df, cols, skip_missing)
     return over_chunks(df, [lambda w: rolling_columns(w, cols, windows, include_current)],
-                       back=max(windows), entity=entity, time=time, unit=unit)
+                       back=max(windows), entity=entity, time=time, unit=unit, reads=cols)
 
 
 def lead_target(df: DataFrame, col: str, out: str = "label", periods: int = 1,
-                entity: str = "city", time: str = "time", unit: str = "year") -> DataFrame:
-    """The value ``periods`` rows on; rows without one are dropped."""
-    led = over_chunks(df, [lambda w: {out: F.lead(col, periods).over(w)}], ahead=periods,
-                      entity=entity, time=time, unit=unit)
+                entity: str = "city", time: str = "time", unit: str = "year",
+                stages: Sequence[Stage] = (), back: int = 0,
+                reads: Sequence[str] | None = None) -> DataFrame:
+    """The value ``periods`` rows on; rows without one are dropped.
+
+    ``stages`` may make the column first, from up to ``back`` rows before and the columns
+    ``reads``, so that both share one shuffle.
+    """
+    led = over_chunks(df, [*stages, lambda w: {out: F.lead(col, periods).over(w)}], back=back,
+                      ahead=periods, entity=entity, time=time, unit=unit,
+                      reads=[col] if reads is None else reads)
     return led.where(F.col(out).isNotNull())
 
 

@@ -149,7 +149,8 @@ def streak_length_gaps(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def next_day_target(spark: SparkSession, sf: str) -> DataFrame:
     base = station_daily(spark, sf).select("city", "time", "temp_max")
-    return panel.lead_target(labels.label_heatwave(base), "heatwave_flag")
+    return panel.lead_target(base, "heatwave_flag", stages=[labels.heatwave_columns],
+                             back=labels.HOT_DAYS - 1, reads=["temp_max"])
 
 
 @query

@@ -16,6 +16,7 @@ from isobar.operators.labels import (HOT, HOT_DAYS, RAIN_QUANTILES, SEVERE_HOT,
                                      heatwave_columns, rain_flag, rain_thresholds)
 from isobar.operators.panel import lag_columns, rolling_columns
 from isobar.schemas import LAG_COLUMNS, LAGS, ROLL_COLUMNS, ROLL_WINDOWS, SHORT_NAMES
+from isobar.session import materialize
 from isobar.sources.files import read_station_csv, read_tracks_csv
 from isobar.sources.sinks import write_csv, write_partitioned
 
@@ -41,7 +42,8 @@ def _labelled(df: DataFrame, stages: Sequence[Stage], back: int, ahead: int,
     a stage made ``_rain_next``, the next row's rain flag is added too.
     """
     wide = over_chunks(df, stages, back=back, ahead=ahead, entity=entity, time=time, unit=unit,
-                       keep_chunk=True)
+                       keep_chunk=True,
+                       reads=["temp_max", "precipitation", *LAG_COLUMNS, *ROLL_COLUMNS])
     joined = join_per_entity(wide, chunk_directory(df, entity, time, unit),
                              rain_thresholds(df, q, method, entity, time), entity)
     rain = {"extreme_rainfall": rain_flag(F.col("precipitation"), high=False),
@@ -99,7 +101,8 @@ def run_etl(spark: SparkSession, raw_path: str | list[str], output_path: str,
             output_format: str = "parquet") -> DataFrame:
     """Raw station files to the partitioned feature table; returns the event totals of it."""
     raw, _ = read_station_csv(spark, raw_path)
-    table = weather_features(with_short_names(raw))
+    # The text is parsed once; brackets, counts and rows read the written table.
+    table = weather_features(materialize(with_short_names(raw), "parsed"))
     if output_format == "parquet":
         write_partitioned(table, output_path)
         written = spark.read.parquet(output_path)
