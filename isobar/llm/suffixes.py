@@ -233,8 +233,10 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, bucket: int = BUCKET)
     Rows equal in id and text count as often as they occur. Ranges may overlap.
     """
     found = stored(keyed.select(*KEY, "text").mapInArrow(_find_anchors(length), ANCHOR), "anchors")
-    groups = (found.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("c0"),
-                                     F.max("c").alias("c1")).filter("n > 1"))
+    # Counts are written before they are joined: adaptive execution splits the hot keys of a join
+    # of two exchanges, but not beside an aggregate.
+    groups = stored(found.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("c0"),
+                                           F.max("c").alias("c1")).filter("n > 1"), "buckets")
     again = stored(found.join(groups.select("g", (F.col("c0") != F.col("c1")).alias("differ")),
                               "g"), "repeated")
     whole = [F.col("lo").alias("a"), (F.col("hi") + length).alias("b")]
@@ -249,15 +251,15 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, bucket: int = BUCKET)
     contexts = stored(texts.dropDuplicates(KEY).select("text", "asked").mapInArrow(
         _contexts(length), "g bigint, c bigint, n bigint, left binary, right binary"), "bytes")
 
-    sizes = classes.groupBy("g").agg(F.count("*").alias("classes"))
+    sizes = stored(classes.groupBy("g").agg(F.count("*").alias("classes")), "sizes")
     sized = contexts.join(sizes, "g")
     small = (sized.filter(F.col("classes") <= bucket).select("g", "c", "left", "right")
              .repartition("g").sortWithinPartitions("g"))
     scanned = small.mapInArrow(_scan_buckets(length), "g bigint, c bigint, before int, after int")
     strings = sized.filter(F.col("classes") > bucket).select("g", "c", "left", "right").mapInArrow(
         _whole_strings(length), "g bigint, c bigint, before int, string binary")
-    twice = (strings.groupBy("g", "before", "string").agg(F.count("*").alias("n")).filter("n > 1")
-             .drop("n"))
+    twice = stored(strings.groupBy("g", "before", "string").agg(F.count("*").alias("n"))
+                   .filter("n > 1").drop("n"), "strings")
     dealt = (strings.join(twice, ["g", "before", "string"], "left_semi")
              .select("g", "c", "before", (F.lit(length) - F.col("before")).alias("after")))
     parts = stored(scanned.unionByName(dealt).groupBy("g", "c").agg(
