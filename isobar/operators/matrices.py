@@ -78,13 +78,14 @@ def split_test(df: DataFrame, label: str = "label", key: Sequence[str] = PANEL_K
     """Mark an exact, repeatable share of every class as test rows.
 
     Rows are ordered by a hash of their (unique) key and the first ``round(test * n)`` of each
-    class are test rows. Rather than ranking a class in one task, hashes are counted by prefix,
+    class are test rows; a NULL label is a class of its own. Rather than ranking a class in one task, hashes are counted by prefix,
     only the prefix in which the share ends is ranked, and rows compare with the hash found there.
     """
     digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
     rows = df.withColumn("_hash", digest)
     prefix = F.substring("_hash", 1, digits)
-    name = F.col(label).cast("string")
+    # Map keys must not be NULL; a label is marked to tell it from a missing one.
+    name = F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit("missing"))
     counts = rows.groupBy(name.alias("_class"), prefix.alias("_prefix")).agg(
         F.count(F.lit(1)).alias("_n"))
     whole = Window.partitionBy("_class")

@@ -141,7 +141,7 @@ def train(processed: DataFrame, task: str, run_id: str, test: float = 0.2,
 
     The matrix and the scored rows are written out once: learner and metrics read them often.
     """
-    matrix = MATRICES[task](processed)
+    matrix = materialize(MATRICES[task](processed), "matrix")
     marked = materialize(split_test(matrix, key=KEYS[task], test=test), f"matrix-{task}")
     model = fit(marked.where(~F.col("is_test")), task, **params)
     scored = materialize(predict(model, marked).select(
@@ -245,7 +245,8 @@ def ablation(processed: DataFrame, task: str, feature: str, **params: float) ->
     contract = list(CONTRACTS[task])
     subsets = {"full": contract, "without": [c for c in contract if c != feature],
                "only": [feature]}
-    matrix = materialize(split_test(MATRICES[task](processed), key=KEYS[task]), "ablation")
+    whole = materialize(MATRICES[task](processed), "matrix")
+    matrix = materialize(split_test(whole, key=KEYS[task]), "ablation")
     train_part, test_part = matrix.where(~F.col("is_test")), matrix.where("is_test")
     rows = None
     for name, cols in subsets.items():

@@ -91,6 +91,13 @@ def test_stratified_split_is_exact_and_repeatable(spark):
     assert {r["city"] for r in test.collect()} != {r["city"] for r in other.collect()}
 
 
+def test_missing_labels_are_a_class(spark):
+    df = spark.createDataFrame([(str(i), "2024-01-01", None if i % 2 else 1) for i in range(100)],
+                               "city string, time string, label int")
+    got = matrices.split_test(df).groupBy("label").agg(F.sum(F.col("is_test").cast("int")).alias("n"))
+    assert {r["label"]: r["n"] for r in got.collect()} == {1: 10, None: 10}
+
+
 def test_temporal_split(spark):
     days = [(dt.date(2024, 1, 1) + dt.timedelta(days=i // 2),) for i in range(20)]
     train, test = matrices.temporal_split(spark.createDataFrame(days, "time date"))
