@@ -42,7 +42,7 @@ RULES = (
     Rule("mean_word_length", "word_chars", "n_words", low=200, high=2_000),
     Rule("symbol_ratio", "n_symbols", "n_words", high=10),
     Rule("stop_word_ratio", "n_stop_words", "n_words", low=2, at_least=50),
-    Rule("dup_line_ratio", "n_dup_lines", "n_lines", high=30, at_least=6),
+    Rule("dup_line_ratio", "n_dup_lines", "n_lines", high=50, at_least=6),
 )
 BASE = (
     Rule("min_words", "n_words", "one", low=2_000),

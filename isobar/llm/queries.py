@@ -194,7 +194,7 @@ v AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND 100 * word_chars BETWEEN 200 * n_words AND 2000 * n_words
        AND 100 * n_symbols <= 10 * n_words AND (n_words < 50 OR 100 * n_stop >= 2 * n_words)
-       AND (n_lines < 6 OR 100 * n_dup_lines <= 30 * n_lines) AS kept
+       AND (n_lines < 6 OR 100 * n_dup_lines <= 50 * n_lines) AS kept
 FROM v"""
 
 
