@@ -124,8 +124,9 @@ def train(texts: Sequence[str | None], toxic: Sequence[int], seed: int = 9, roun
     def first_guess() -> np.ndarray:
         """Windows by their most telling word: log odds of a word to stand in a toxic text."""
         doc = np.repeat(np.arange(len(label)), np.diff(starts))
-        pair = np.unique(np.stack([doc, words]), axis=1) if len(words) else np.zeros((2, 0), int)
-        hits = [np.bincount(pair[1][label[pair[0]] == y], minlength=len(vocabulary)) for y in (0, 1)]
+        pair = np.unique(doc * max(len(vocabulary), 1) + words)  # each word once per text
+        text, word = np.divmod(pair, max(len(vocabulary), 1))
+        hits = [np.bincount(word[label[text] == y], minlength=len(vocabulary)) for y in (0, 1)]
         odds = (np.log((hits[1] + 0.5) / (np.sum(label == 1) + 1))
                 - np.log((hits[0] + 0.5) / (np.sum(label == 0) + 1)))
         told = np.append(odds[words], -99.0) if len(words) else np.array([-99.0])
