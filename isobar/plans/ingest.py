@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from isobar.functions.columns import normalise_nulls
 from isobar.operators.store import batch_states, latest_per_key, newest_batch, upsert_latest
 from isobar.schemas import BATCHES, OBSERVATION_KEY, OBSERVATIONS
 from isobar.session import materialize
-from isobar.sources.files import read_station_csv
+from isobar.sources.files import read_station_csv, union_by_name
 from isobar.sources.sinks import append, overwrite_touched, path_exists
 
 # Fixed value: stored length of an error text.
@@ -87,30 +87,51 @@ def _record(spark: SparkSession, ledger: str, batch_id: int, started_at: str, re
     append(state.select(*[F.col(f.name).cast(f.dataType) for f in BATCHES.fields]), ledger)
 
 
-def run_batch(spark: SparkSession, landed: str, table: str, ledger: str, quarantine: str,
-              batch_id: int, started_at: str, finished_at: str) -> DataFrame:
+def _landed(spark: SparkSession, landed: str | Mapping[str, str], batch_id: int,
+            ingested_at: Column) -> tuple[DataFrame, dict[str, str]]:
+    """The written rows of a batch, and the error of each city whose files cannot be read."""
+    frames, errors = [], {}
+    for city, path in ({"": landed} if isinstance(landed, str) else landed).items():
+        try:
+            raw, _ = read_station_csv(spark, path)
+            frames.append(materialize(as_observations(raw, str(batch_id), ingested_at), "landed"))
+        except Exception as exc:
+            if not city:
+                raise
+            errors[city] = str(exc)
+    if not frames:
+        raise RuntimeError("no city could be read: " + "; ".join(sorted(errors)))
+    return union_by_name(frames), errors
+
+
+def run_batch(spark: SparkSession, landed: str | Mapping[str, str], table: str, ledger: str,
+              quarantine: str, batch_id: int, started_at: str, finished_at: str) -> DataFrame:
     """Ingest the landed CSV files as one batch; returns the rows per city and status.
 
+    ``landed`` is one path for all files, or a path per city: then a city whose files cannot be
+    read does not stop the others. It has a row ``failed`` in the result and is named in the ledger.
+
     The batch is always closed: ``completed`` with its number of rows, also when that is zero, or
     ``failed`` with the error. Rows without a complete key go to the quarantine table, in the
     partition of their batch, which a repeated run replaces; they do not hold up the others.
     """
     _record(spark, ledger, batch_id, started_at, started_at, "running")
     try:
-        raw, _ = read_station_csv(spark, landed)
-        stamped = materialize(
-            as_observations(raw, str(batch_id), F.lit(finished_at).cast("timestamp")), "landed")
+        stamped, errors = _landed(spark, landed, batch_id, F.lit(finished_at).cast("timestamp"))
         good, bad = split_keyed(stamped)
         overwrite_touched(bad, quarantine, ["batch_id"])
         rows = upsert_into(spark, table, good)
         cities = good.agg(F.count_distinct("city").alias("n")).first()["n"]
-        _record(spark, ledger, batch_id, started_at, finished_at, "completed", cities, rows)
+        _record(spark, ledger, batch_id, started_at, finished_at, "completed", cities, rows,
+                f"failed: {', '.join(sorted(errors))}" if errors else None)
     except Exception as exc:
         _record(spark, ledger, batch_id, started_at, finished_at, "failed", error=str(exc))
         raise
     status = F.when(F.col("city").isNull() | F.col("time").isNull(), "quarantined")
-    return stamped.groupBy("city", status.otherwise("ingested").alias("status")).agg(
+    counted = stamped.groupBy("city", status.otherwise("ingested").alias("status")).agg(
         F.count(F.lit(1)).alias("n_rows"))
+    failed = [(city, "failed", 0) for city in sorted(errors)]
+    return counted.unionAll(spark.createDataFrame(failed, counted.schema))
 
 
 def ledger_states(spark: SparkSession, ledger: str) -> DataFrame:

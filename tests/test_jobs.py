@@ -298,6 +298,18 @@ def test_empty_and_failing_batches_close(spark, tmp_path):
     assert health.latest_batches(ingest.ledger_states(spark, p["ledger"])).count() == 2
 
 
+def test_a_city_that_fails_does_not_stop_the_others(spark, tmp_path):
+    p = paths(tmp_path)
+    land(station_days(spark, 5, ("Pune",)), str(tmp_path / "pune"))
+    got = ingest.run_batch(spark, {"Pune": str(tmp_path / "pune"), "Surat": str(tmp_path / "no")},
+                           **p, batch_id=1, started_at="2024-03-01 00:00:00",
+                           finished_at="2024-03-01 00:01:00")
+    assert {tuple(r) for r in got.collect()} == {("Pune", "ingested", 5), ("Surat", "failed", 0)}
+    state = ingest.ledger_states(spark, p["ledger"]).first()
+    assert (state["status"], state["cities_count"], state["error_message"]) == (
+        "completed", 1, "failed: Surat")
+
+
 def test_stream_equals_batch_and_takes_files_once(spark, tmp_path):
     path, state, inbox, bad = (str(tmp_path / k) for k in ("table", "state", "inbox", "bad"))
     first, second = (station_days(spark, n, ("Pune",), shift) for n, shift in ((30, 0), (45, 4)))
