@@ -132,8 +132,12 @@ MERGED = """merged AS (
   SELECT city, time, precipitation, batch_id FROM two_batches
   QUALIFY ROW_NUMBER() OVER (PARTITION BY city, time ORDER BY CAST(batch_id AS INT) DESC) = 1)"""
 STORED = ctes(STATION, BATCHES, MERGED) + """
-SELECT city, COUNT(*) AS n_rows, MIN(time) AS earliest, MAX(time) AS latest,
-       ROUND(SUM(precipitation), 2) AS precipitation FROM merged GROUP BY city"""
+SELECT 'stored' AS kind, city, COUNT(*) AS n_rows, MIN(time) AS earliest, MAX(time) AS latest,
+       ROUND(SUM(precipitation), 2) AS precipitation FROM merged GROUP BY city
+UNION ALL
+SELECT 'quarantined', city, COUNT(*), NULL, NULL, ROUND(SUM(p), 2)
+FROM (SELECT city, batch_id, MAX(precipitation) AS p FROM two_batches GROUP BY city, batch_id)
+GROUP BY city"""
 UPSERT = ctes(STATION, BATCHES, MERGED) + "SELECT * FROM merged"
 
 LEDGER = """states AS (
@@ -444,7 +448,10 @@ extent AS ({EXTENT}),
 years AS (SELECT *, UNNEST(range(YEAR(earliest), YEAR(latest) + 1)) AS y FROM extent)
 SELECT city, GREATEST(earliest, MAKE_DATE(y, 1, 1)) AS chunk_start,
        LEAST(latest, MAKE_DATE(y, 12, 31)) AS chunk_end FROM years""")
-add("ingest_run", STORED)
+add("ingest_run", STORED + """
+UNION ALL
+SELECT 'batch completed', CASE batch_id WHEN '9' THEN '1' ELSE '2' END, COUNT(*), NULL, NULL, NULL
+FROM two_batches GROUP BY batch_id""")
 add("ingest_stream", STORED)
 
 add("matrix_cyclone", STORMS.rstrip() + """,

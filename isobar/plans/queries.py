@@ -501,21 +501,33 @@ def year_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def land(spark: SparkSession, sf: str) -> list[str]:
-    """The two batches as landed CSV folders, in the order of the station schema."""
+    """The two batches as landed CSV folders, with a row without a day for every city.
+
+    The second batch has its columns in another order.
+    """
     from isobar.schemas import STATION
     paths = []
     for i, batch in enumerate(two_batches(spark, sf)):
         raw = batch.withColumnsRenamed({"precipitation": "precipitation_sum"})
         absent = {f.name: F.lit(None).cast(f.dataType) for f in STATION.fields
                   if f.name not in raw.columns}
+        whole = raw.withColumns(absent).select(*STATION.names)
+        broken = whole.groupBy("city").agg(F.max("precipitation_sum").alias("precipitation_sum"))
+        names = STATION.names[::-1] if i else STATION.names
         path = new_path(spark, f"landed-{i}")
-        raw.withColumns(absent).select(*STATION.names).write.option("header", True).csv(path)
+        (whole.unionByName(broken, allowMissingColumns=True).select(*names)
+         .write.option("header", True).csv(path))
         paths.append(path)
     return paths
 
 
-def stored_extent(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("city").agg(
+def outcome(spark: SparkSession, path: str, quarantine: str) -> DataFrame:
+    """Extent and totals of the stored and of the quarantined rows of each city."""
+    both = ingest.read_table(spark, path).select("city", "time", "precipitation_sum",
+                                                 F.lit("stored").alias("kind"))
+    both = both.unionByName(spark.read.parquet(quarantine).select(
+        "city", "time", "precipitation_sum", F.lit("quarantined").alias("kind")))
+    return both.groupBy("kind", "city").agg(
         F.count(F.lit(1)).alias("n_rows"), F.to_date(F.min("time")).alias("earliest"),
         F.to_date(F.max("time")).alias("latest"),
         F.round(F.sum("precipitation_sum"), 2).alias("precipitation"))
@@ -528,7 +540,10 @@ def ingest_run(spark: SparkSession, sf: str) -> DataFrame:
     for i, landed in enumerate(land(spark, sf), start=1):
         ingest.run_batch(spark, landed, path, ledger, bad, i, f"2024-01-0{i} 00:00:00",
                          f"2024-01-0{i} 00:10:00")
-    return stored_extent(ingest.read_table(spark, path))
+    batches = ingest.ledger_states(spark, ledger).select(
+        F.concat(F.lit("batch "), "status").alias("kind"), F.col("id").cast("string").alias("city"),
+        F.col("rows_ingested").alias("n_rows"))
+    return outcome(spark, path, bad).unionByName(batches, allowMissingColumns=True)
 
 
 @query
@@ -537,10 +552,10 @@ def ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
     path, state, inbox, bad = (new_path(spark, n) for n in (
         "table", "stream-state", "inbox", "quarantine"))
     for folder in land(spark, sf):
-        arrived = spark.read.option("header", True).csv(folder)
+        arrived = files.read_text_csv(spark, folder)
         arrived.write.mode("append").option("header", True).csv(inbox)
         stream_landed(spark, inbox, path, state, bad).awaitTermination()
-    return stored_extent(ingest.read_table(spark, path))
+    return outcome(spark, path, bad)
 
 
 # ------------------------------------------------------------------ matrices and splits
