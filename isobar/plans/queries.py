@@ -206,9 +206,13 @@ def scan_station_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def scan_station_csv(spark: SparkSession, sf: str) -> DataFrame:
-    path = new_path(spark, "station-csv")
-    sinks.write_csv(raw_station(station_daily(spark, sf)), path)
-    named = weather.with_short_names(files.read_station_csv(spark, path)[0])
+    """Files of two column orders, read back by name."""
+    days = raw_station(panel_once(spark, sf))
+    early = F.col("time") < F.lit("1996-01-01").cast("date")
+    paths = [new_path(spark, "station-csv") for _ in range(2)]
+    sinks.write_csv(days.where(early), paths[0])
+    sinks.write_csv(days.where(~early).select(*days.columns[::-1]), paths[1])
+    named = weather.with_short_names(files.read_station_csv(spark, paths)[0])
     return named.select("city", F.to_date("time").alias("time"), "temp_max", "temp_min",
                         "precipitation", "wind_gust_max", "pressure_msl_mean")
 
