@@ -123,6 +123,11 @@ def test_base_spans_equal_the_patterns():
         assert pii.base_spans(text) == plain_base(text), text
 
 
+def test_long_numbers():
+    assert pii.base_spans("0" * 9_000 + "7.0.0.1") == [(1, 0, 9_007)]
+    assert pii.base_spans("9" * 9_000 + ".0.0.1") == []
+
+
 def test_patterns_are_linear():
     for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "a@" * 150_000, "+1" + "(" * 300_000,
                  "1-" * 150_000, "a@b." * 80_000, "f:" * 100_000, "x at y dot " * 30_000):
