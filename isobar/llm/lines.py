@@ -9,10 +9,10 @@ the line itself up to its fields, occurs in ``min_docs`` documents or more.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isobar.llm.common import stored, words
+from isobar.llm.common import bind, small, stored, words
 
 DEPTH = 4
 MIN_DOCS = 5
@@ -22,15 +22,13 @@ FIELD = "<*>"
 KEY = ["id", "digest"]
 
 
-def _parsed(docs: DataFrame) -> DataFrame:
-    """A row per line with a token: its document, place, tokens and leaf."""
-    lines = docs.select(*KEY, F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    raw = words(F.col("line"))
-    masked = F.transform(raw, lambda w: F.when(w.rlike("[0-9]"), FIELD).otherwise(w))
-    tokens = F.when(F.col("line").rlike("[0-9]"), masked).otherwise(raw)
-    return (lines.select(*KEY, "at", tokens.alias("tokens")).filter(F.size("tokens") > 0)
-            .select(*KEY, "at", "tokens", F.concat_ws(
-                " ", F.size("tokens").cast("string"), F.slice("tokens", 1, DEPTH)).alias("leaf")))
+def _masked(tokens: Column) -> Column:
+    """The tokens; those with a digit become a field."""
+    return F.transform(tokens, lambda w: F.when(w.rlike("[0-9]"), FIELD).otherwise(w))
+
+
+def _leaf(tokens: Column) -> Column:
+    return F.concat_ws(" ", F.size(tokens).cast("string"), _masked(F.slice(tokens, 1, DEPTH)))
 
 
 def _in_documents(rows: DataFrame, group: list[str], min_docs: int) -> DataFrame:
@@ -65,11 +63,14 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
         F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("id"),
         F.xxhash64(F.col(id_col).isNull(), text_col).alias("digest"),
         F.col(text_col).alias("text"))
-    lines = _parsed(keyed.select(*KEY, "text"))
-    hashed = lines.select(*KEY, F.xxhash64("leaf").alias("hash"))
-    busy = _in_documents(hashed, ["hash"], min_docs)
-    found = stored(lines.withColumn("hash", F.xxhash64("leaf")).join(busy, "hash", "left_semi")
-                   .drop("hash"), "lines")
+    lines = keyed.select(*KEY, F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    leaf = bind(words(F.col("line")), lambda t: F.when(F.size(t) > 0, F.xxhash64(_leaf(t))))
+    hashed = lines.select(*KEY, "at", "line", leaf.alias("hash")).filter("hash IS NOT NULL")
+    busy = stored(_in_documents(hashed, ["hash"], min_docs), "busy-leaves")
+    # Few leaves are busy; where they are many, the lines are shuffled as texts, not as tokens.
+    found = stored(hashed.join(small(busy), "hash", "left_semi")
+                   .select(*KEY, "at", _masked(words(F.col("line"))).alias("tokens"))
+                   .withColumn("leaf", _leaf(F.col("tokens"))), "lines")
 
     kinds = stored(found.groupBy("leaf", "tokens").agg(F.count("*").alias("n")), "line-kinds")
     same = F.size(F.filter(F.zip_with("tokens", "template", lambda a, b: a.eqNullSafe(b)),
