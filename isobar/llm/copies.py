@@ -7,10 +7,10 @@ differences are three bits on average, by a search of the Gray-order index with
 two such fingerprints, from independent hashes, make up for each other's misses. The fingerprints of the runs (``FAR`` bits at most) and the sizes of the sets turn down nearly all
 others inside the search; the exact similarity decides.
 
-A large family of copies would link every pair, so links are made in two rounds. First every text
-is compared with one text of its own word fingerprint, and these with those within two bits, of
-which there are few. The second round searches with the full radius, but only across the groups
-that the first has made.
+A large family of copies would link every pair. So texts whose word fingerprints are connected by
+steps of two bits first try one leader after the other, one comparison per text and round. The
+search with the full radius then looks only across the groups made so far, and proposes the closest
+pair of two groups that meet in a node of the index.
 """
 
 from __future__ import annotations
@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 
 from isobar.llm.common import slices, small, stored
 from isobar.llm.components import components
-from isobar.llm.simhash import near_pairs, run_hashes, simhash
+from isobar.llm.simhash import near_pairs, run_hashes, simhash, spanning
 
 WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 6
 FAR = 20
+# Rounds in which chained texts try a leader; what is left over meets in the full search.
+LEADERS = 3
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,12 +71,18 @@ def _unit(bits: str = "bits", runs: str = "runs") -> Column:
     return F.concat(F.hex(bits), F.lit("-"), F.hex(runs))
 
 
-def _comparable(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-    """Whether two texts of different groups can be similar enough."""
-    far = np.bitwise_count((a["runs"].to_numpy() ^ b["runs"].to_numpy()).view(np.uint64)) > FAR
-    n, m = a["n"].to_numpy(), b["n"].to_numpy()
-    small = np.minimum(n, m) < SIMILARITY * np.maximum(n, m)
-    return ~far & ~small & (a["group"].to_numpy() != b["group"].to_numpy())
+def _closest(rows: pd.DataFrame, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs that can be similar enough, the closest one of every two groups."""
+    runs, n, group = (rows[c].to_numpy() for c in ("runs", "n", "group"))
+    far = np.bitwise_count((runs[a] ^ runs[b]).view(np.uint64)).astype(np.int64)
+    fit = ((far <= FAR) & (group[a] != group[b])
+           & (np.minimum(n[a], n[b]) >= SIMILARITY * np.maximum(n[a], n[b])))
+    a, b, far = a[fit], b[fit], far[fit]
+    low, high = np.minimum(group[a], group[b]), np.maximum(group[a], group[b])
+    order = np.lexsort((far, high, low))
+    first = np.ones(len(order), dtype=bool)
+    first[1:] = (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
+    return a[order[first]], b[order[first]]
 
 
 def _verified(pairs: DataFrame, units: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
@@ -102,19 +110,28 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS
     units = stored(marked.groupBy("unit", "bits", "runs").agg(
         F.max("n").alias("n"), F.first("bits2").alias("bits2"), F.min(F.struct("id", "digest")).alias("one")), "units")
 
-    heads = stored(units.groupBy("bits").agg(F.min("runs").alias("runs")), "heads")
-    star = units.select("bits", F.col("unit").alias("a")).join(
-        heads.select("bits", _unit().alias("b")), "bits").select("a", "b")
-    close = near_pairs(heads, 2).select(_unit("a_bits", "a_runs").alias("a"),
-                                        _unit("b_bits", "b_runs").alias("b"))
-    first = stored(_verified(star.unionAll(close), units, docs, similarity), "links")
+    chained = stored(components(near_pairs(units.select("bits").distinct(), 2, choose=spanning)
+                                .toDF("a", "b")), "chains")
+    alone = stored(units.join(chained.withColumnRenamed("node", "bits"), "bits", "left").select(
+        F.coalesce("root", "bits").alias("chain"), "unit", "one"), "chained")
+    links = []
+    for _ in range(LEADERS):
+        leaders = stored(alone.groupBy("chain").agg(
+            F.min(F.struct("one", "unit"))["unit"].alias("a"), F.count("*").alias("n"))
+            .filter("n > 1").select("chain", "a"), "leaders")
+        tried = alone.join(leaders, "chain").select("a", F.col("unit").alias("b"))
+        links.append(stored(_verified(tried, units, docs, similarity), "links"))
+        settled = links[-1].select(F.col("a").alias("unit")).unionAll(links[-1].select("b"))
+        settled = stored(settled.unionAll(leaders.select("a")).distinct(), "settled")
+        alone = stored(alone.join(settled, "unit", "left_anti"), "chained")
+    first = reduce(DataFrame.unionAll, links)
     made = stored(components(first), "groups")
     points = stored(units.join(made, units["unit"] == made["node"], "left").select(
         F.col("bits").alias("words"), "bits", "bits2", "runs", "n",
         F.xxhash64(F.coalesce("root", "unit")).alias("group")), "points")
     views = [points.drop("bits2"), points.drop("bits").withColumnRenamed("bits2", "bits")]
     across = reduce(DataFrame.unionAll, [
-        near_pairs(view, radius, admit=_comparable).select(
+        near_pairs(view, radius, choose=_closest).select(
             _unit("a_words", "a_runs").alias("a"), _unit("b_words", "b_runs").alias("b"))
         for view in views])
     second = stored(_verified(across, units, docs, similarity), "links")
@@ -136,7 +153,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         F.col(text_col).alias("text"))
     grouped = stored(groups(keyed.select("id", "digest", "text"), similarity, radius), "grouped")
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
-    stays = grouped.groupBy("group").agg(F.min(rank).alias("stays"))
+    stays = stored(grouped.groupBy("group").agg(F.min(rank).alias("stays")), "stays")
     gone = stored(grouped.join(stays, "group").filter(rank != F.col("stays"))
                   .select("id", "digest"), "gone")
     twice = stored(grouped.filter("rows > 1").select("id", "digest"), "repeated")

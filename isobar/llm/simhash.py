@@ -165,10 +165,30 @@ def _descend(node: np.ndarray, free: np.ndarray, width: int,
         yield from walk(0, roots, roots, np.zeros(len(roots), dtype=np.int64))
 
 
-Admit = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
+# Chooses among pairs of rows: given all rows and the places of both sides, returns places.
+Choose = Callable[[pd.DataFrame, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def _search(radius: int, width: int, columns: Sequence[str], admit: Admit | None):
+def spanning(rows: pd.DataFrame, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One pair per row that connects the same rows as all pairs do.
+
+    For components it is enough, and its size is that of the rows, however many pairs there are.
+    """
+    root = np.arange(len(rows))
+    while True:
+        low = root.copy()
+        np.minimum.at(low, a, root[b])
+        np.minimum.at(low, b, root[a])
+        np.minimum.at(low, root, low)
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    linked = np.flatnonzero(root != np.arange(len(rows)))
+    return linked, root[linked]
+
+
+def _search(radius: int, width: int, columns: Sequence[str], choose: Choose | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _closed(batches, "node"):
             node = np.cumsum(rows["node"].diff().fillna(0).ne(0).to_numpy())
@@ -176,10 +196,10 @@ def _search(radius: int, width: int, columns: Sequence[str], admit: Admit | None
             for a, b in _descend(node, rows["free"].to_numpy(), width, radius):
                 # Nodes are told apart by a hash, so the whole fingerprints have the last word.
                 near = np.bitwise_count((bits[a] ^ bits[b]).view(np.uint64)) <= radius
-                x, y = (values.iloc[k[near]].reset_index(drop=True) for k in (a, b))
-                if admit is not None:
-                    fit = admit(x, y)
-                    x, y = x[fit], y[fit]
+                a, b = a[near], b[near]
+                if choose is not None:
+                    a, b = choose(values, a, b)
+                x, y = (values.iloc[k].reset_index(drop=True) for k in (a, b))
                 yield pd.concat([x.add_prefix("a_"), y.add_prefix("b_")], axis=1)
 
     return run
@@ -208,11 +228,11 @@ def blocks_for(n: int, radius: int) -> int:
 
 
 def near_pairs(points: DataFrame, radius: int = RADIUS, blocks: int | None = None,
-               admit: Admit | None = None) -> DataFrame:
+               choose: Choose | None = None) -> DataFrame:
     """Pairs of ``points`` whose ``bits`` differ in at most ``radius`` bits.
 
     Columns ``a_bits``, ``b_bits`` and likewise for all other columns. Every pair is found, some
-    more than once. ``admit`` may turn down pairs, given the rows of both. May be empty.
+    more than once, unless ``choose`` takes some of those found together. May be empty.
     """
     columns = [c for c in points.columns if c != "bits"]
     blocks = blocks or blocks_for(points.count(), radius)
@@ -233,7 +253,7 @@ def near_pairs(points: DataFrame, radius: int = RADIUS, blocks: int | None = Non
         nodes = (small.withColumn("rank", gray_rank(F.col("free"))).repartition("node")
                  .sortWithinPartitions("node", "rank"))
         found.append(nodes.select("node", "free", "bits", *columns).mapInPandas(
-            _search(radius, width, columns, admit), ", ".join(kinds)))
+            _search(radius, width, columns, choose), ", ".join(kinds)))
         if large is None:
             break
         rows = stored(dealt.join(large, "node", "left_semi"), "index")
@@ -247,12 +267,12 @@ def link_groups(ids: DataFrame, radius: int = RADIUS) -> DataFrame:
     linked to it through any number of steps; null if all are.
     """
     distinct = stored(ids.groupBy("bits").agg(F.min("id").alias("id")), "fingerprints")
-    links = near_pairs(distinct.select("bits"), radius).toDF("a", "b")
+    links = near_pairs(distinct.select("bits"), radius, choose=spanning).toDF("a", "b")
     groups = stored(components(links), "groups")
     rooted = (distinct.join(groups.withColumnRenamed("node", "bits"), "bits", "left")
               .select("bits", "id", F.coalesce("root", "bits").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    return rooted.join(least, "root").select("bits", "component_id")
+    least = stored(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "least")
+    return stored(rooted.join(least, "root").select("bits", "component_id"), "components")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
