@@ -4,13 +4,15 @@ Similarity is the Jaccard index of the sets of runs of ``WORDS`` words. At 0.8 t
 those runs still differ in ten bits on average, too many for any index. One changed word changes
 five runs but a single word, so candidates come from the SimHash of the set of words, whose
 differences are three bits on average, by a search of the Gray-order index with a radius of six;
-two such fingerprints, from independent hashes, make up for each other's misses. The fingerprints of the runs (``FAR`` bits at most) and the sizes of the sets turn down nearly all
-others inside the search; the exact similarity decides.
+two such fingerprints, from independent hashes, make up for each other's misses. The fingerprints
+of the runs (``FAR`` bits at most) and the sizes of the sets turn down most others inside the
+search; the exact similarity decides.
 
 A large family of copies would link every pair. So texts whose word fingerprints are connected by
 steps of two bits first try one leader after the other, one comparison per text and round. The
-search with the full radius then looks only across the groups made so far, and proposes the closest
-pair of two groups that meet in a node of the index.
+search with the full radius then looks only across the groups made so far, and proposes to every
+group the closest text of another one in each node of the index; it is run twice, the second time
+with the groups of the first.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ RADIUS = 6
 FAR = 20
 # Rounds in which chained texts try a leader; what is left over meets in the full search.
 LEADERS = 3
+# Searches with the full radius; each proposes one partner per group and node.
+SEARCHES = 2
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,16 +76,16 @@ def _unit(bits: str = "bits", runs: str = "runs") -> Column:
 
 
 def _closest(rows: pd.DataFrame, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs that can be similar enough, the closest one of every two groups."""
+    """For every group the closest row of another one, among the pairs that can be similar enough."""
     runs, n, group = (rows[c].to_numpy() for c in ("runs", "n", "group"))
     far = np.bitwise_count((runs[a] ^ runs[b]).view(np.uint64)).astype(np.int64)
     fit = ((far <= FAR) & (group[a] != group[b])
            & (np.minimum(n[a], n[b]) >= SIMILARITY * np.maximum(n[a], n[b])))
     a, b, far = a[fit], b[fit], far[fit]
-    low, high = np.minimum(group[a], group[b]), np.maximum(group[a], group[b])
-    order = np.lexsort((far, high, low))
+    a, b, far = np.append(a, b), np.append(b, a), np.append(far, far)
+    order = np.lexsort((group[b], far, group[a]))
     first = np.ones(len(order), dtype=bool)
-    first[1:] = (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
+    first[1:] = np.diff(group[a][order]) != 0
     return a[order[first]], b[order[first]]
 
 
@@ -124,18 +128,26 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS
         settled = links[-1].select(F.col("a").alias("unit")).unionAll(links[-1].select("b"))
         settled = stored(settled.unionAll(leaders.select("a")).distinct(), "settled")
         alone = stored(alone.join(settled, "unit", "left_anti"), "chained")
-    first = reduce(DataFrame.unionAll, links)
-    made = stored(components(first), "groups")
-    points = stored(units.join(made, units["unit"] == made["node"], "left").select(
-        F.col("bits").alias("words"), "bits", "bits2", "runs", "n",
-        F.xxhash64(F.coalesce("root", "unit")).alias("group")), "points")
-    views = [points.drop("bits2"), points.drop("bits").withColumnRenamed("bits2", "bits")]
-    across = reduce(DataFrame.unionAll, [
-        near_pairs(view, radius, choose=_closest).select(
-            _unit("a_words", "a_runs").alias("a"), _unit("b_words", "b_runs").alias("b"))
-        for view in views])
-    second = stored(_verified(across, units, docs, similarity), "links")
-    whole = stored(components(first.unionAll(second)), "groups")
+    whole = stored(components(reduce(DataFrame.unionAll, links)), "groups")
+    asked = None
+    for _ in range(SEARCHES):
+        points = units.join(whole, units["unit"] == whole["node"], "left").select(
+            F.col("bits").alias("words"), "bits", "bits2", "runs", "n",
+            F.xxhash64(F.coalesce("root", "unit")).alias("group"), "unit")
+        points = stored(points if asked is None else points.join(asked, "unit", "left_semi"),
+                        "points").drop("unit")
+        views = [points.drop("bits2"), points.drop("bits").withColumnRenamed("bits2", "bits")]
+        across = stored(reduce(DataFrame.unionAll, [
+            near_pairs(view, radius, choose=_closest).select(
+                _unit("a_words", "a_runs").alias("a"), _unit("b_words", "b_runs").alias("b"))
+            for view in views]).distinct(), "proposed")
+        links.append(stored(_verified(across, units, docs, similarity), "links"))
+        # Who proposed nothing and was not proposed has no copy: the next search leaves it out.
+        met = across.select(F.col("a").alias("unit")).unionAll(across.select("b")).distinct()
+        roots = whole.withColumnRenamed("node", "unit")
+        mates = roots.join(roots.join(met, "unit").select("root").distinct(), "root").select("unit")
+        asked = stored(met.unionAll(mates).distinct(), "asked")
+        whole = stored(components(reduce(DataFrame.unionAll, links)), "groups")
     return (marked.join(whole.withColumnRenamed("node", "unit"), "unit", "left")
             .select("id", "digest", F.coalesce("root", "unit").alias("group"), "rows"))
 
