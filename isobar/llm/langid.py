@@ -28,7 +28,7 @@ ORDER = 4
 ROWS_PER_LANGUAGE = 1_000
 CONTEXTS = 12_000
 UNDETERMINED = "und"
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 @dataclass
