@@ -31,7 +31,7 @@ BITS = 64
 SHINGLE = 3
 RADIUS = 2
 LARGE_NODE = 20_000
-PAIRS = 1 << 21
+PAIRS = 1 << 19
 
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
