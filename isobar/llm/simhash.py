@@ -6,7 +6,7 @@ sorted by the Gray rank of the result: all that share the chosen bits form one t
 index, its lower nodes share eight bits more each. A search walks pairs of nodes downwards, adds up
 the differences of their shared bit patterns and drops a pair of groups once they pass the radius.
 
-Only distinct fingerprints are indexed, so copies cost nothing. A top node that is still large is
+Copies of a fingerprint share their leaf, and their pairs are made apart from the index. A top node that is still large is
 dealt again by the same rule on its free bits, until a node is small or its free bits are at most
 sixteen, which bounds the distinct fingerprints of a node.
 """
@@ -124,9 +124,24 @@ def _patterns(free: np.ndarray, width: int, depth: int) -> np.ndarray:
     return (free >> shift if shift >= 0 else free << -shift) & 255
 
 
+def _crossed(a: np.ndarray, b: np.ndarray, of_a: np.ndarray,
+             of_b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of the leaves that start at ``a`` and ``b`` and hold ``of_`` rows each."""
+    size = of_a * of_b
+    ends = np.cumsum(size)
+    for lo in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
+        nth = np.arange(lo, min(lo + PAIRS, int(ends[-1])))
+        at = np.searchsorted(ends, nth, side="right")
+        nth = nth - (ends[at] - size[at])
+        yield a[at] + nth // of_b[at], b[at] + nth % of_b[at]
+
+
 def _descend(node: np.ndarray, free: np.ndarray, width: int,
              radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one node within ``radius``. Rows are in the order of the index."""
+    """Pairs of rows of one node within ``radius``. Rows are in the order of the index.
+
+    Every row of a leaf takes part; pairs inside a leaf are left out.
+    """
     ones = np.array([bin(x).count("1") for x in range(256)], dtype=np.int64)
     depth_of = -(-width // 8)
     starts = [np.flatnonzero(np.diff(node, prepend=-1))]  # the first row of every node of a level
@@ -137,6 +152,7 @@ def _descend(node: np.ndarray, free: np.ndarray, width: int,
         label.append(np.cumsum(new) - 1)
         starts.append(np.flatnonzero(new))
         pattern.append(bits[starts[-1]])
+    held = np.diff(np.append(starts[-1], len(node)))  # the rows of every leaf
     # children[d][i]: the nodes of level d + 1 that lie in node i of level d
     first = [np.searchsorted(starts[d + 1], starts[d]) for d in range(depth_of)]
     count = [np.diff(np.append(first[d], len(starts[d + 1]))) for d in range(depth_of)]
@@ -144,7 +160,8 @@ def _descend(node: np.ndarray, free: np.ndarray, width: int,
     def walk(depth: int, a: np.ndarray, b: np.ndarray, far: np.ndarray):
         if depth == depth_of:
             other = a != b
-            yield starts[depth][a[other]], starts[depth][b[other]]
+            a, b = a[other], b[other]
+            yield from _crossed(starts[depth][a], starts[depth][b], held[a], held[b])
             return
         size = count[depth][a] * count[depth][b]
         cuts = np.flatnonzero(np.diff(np.cumsum(size) // PAIRS, prepend=-1))
@@ -196,15 +213,31 @@ def _search(radius: int, width: int, columns: Sequence[str], choose: Choose | No
             for a, b in _descend(node, rows["free"].to_numpy(), width, radius):
                 # Nodes are told apart by a hash, so the whole fingerprints have the last word.
                 near = np.bitwise_count((bits[a] ^ bits[b]).view(np.uint64)) <= radius
-                a, b = a[near], b[near]
-                if choose is not None:
-                    a, b = choose(values, a, b)
-                x, y = (values.iloc[k].reset_index(drop=True) for k in (a, b))
-                yield pd.concat([x.add_prefix("a_"), y.add_prefix("b_")], axis=1)
+                yield _paired(values, a[near], b[near], choose)
 
     return run
 
 
+def _search_equal(columns: Sequence[str], choose: Choose | None):
+    """All pairs of rows with one fingerprint."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _closed(batches, "bits"):
+            bits = rows["bits"].to_numpy()
+            starts = np.flatnonzero(np.append(True, bits[1:] != bits[:-1]))
+            held = np.diff(np.append(starts, len(bits)))
+            for a, b in _crossed(starts, starts, held, held):
+                yield _paired(rows[["bits", *columns]], a[a < b], b[a < b], choose)
+
+    return run
+
+
+def _paired(values: pd.DataFrame, a: np.ndarray, b: np.ndarray, choose: Choose | None) -> pd.DataFrame:
+    if choose is not None:
+        a, b = choose(values, a, b)
+    x, y = (values.iloc[k].reset_index(drop=True) for k in (a, b))
+    return pd.concat([x.add_prefix("a_"), y.add_prefix("b_")], axis=1)
+
+
 def _closed(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
     """The sorted batches, cut so that no key lies in two of them."""
     rest = None
@@ -232,7 +265,8 @@ def near_pairs(points: DataFrame, radius: int = RADIUS, blocks: int | None = Non
     """Pairs of ``points`` whose ``bits`` differ in at most ``radius`` bits.
 
     Columns ``a_bits``, ``b_bits`` and likewise for all other columns. Every pair is found, some
-    more than once, unless ``choose`` takes some of those found together. May be empty.
+    more than once, unless ``choose`` takes some of those found together. May be empty. Points with
+    other columns may share their ``bits``; they are compared with each other apart from the index.
     """
     columns = [c for c in points.columns if c != "bits"]
     blocks = blocks or blocks_for(points.count(), radius)
@@ -240,6 +274,13 @@ def near_pairs(points: DataFrame, radius: int = RADIUS, blocks: int | None = Non
     kinds = [f"{side}_{c} {points.schema[c].dataType.simpleString()}"
              for side in "ab" for c in ("bits", *columns)]
     found, width = [], BITS
+    if columns:
+        twice = stored(points.groupBy("bits").agg(F.count("*").alias("members"))
+                       .filter(F.col("members") > 1).select("bits"), "repeated-bits")
+        if not twice.isEmpty():
+            equal = points.join(twice, "bits", "left_semi").select("bits", *columns)
+            found.append(equal.repartition("bits").sortWithinPartitions("bits").mapInPandas(
+                _search_equal(columns, choose), ", ".join(kinds)))
     while True:
         dealt = _deal(rows, width, blocks, radius)
         # Free bits of the choice that leaves most; the others start with zeros, which agree.

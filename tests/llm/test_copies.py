@@ -116,6 +116,31 @@ def test_one_of_the_near_copies_stays(spark):
     assert {family[i] for i in got} == set(family)
 
 
+def test_all_points_with_one_fingerprint_are_paired(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRS", 50)
+    points = [(b, no) for no, b in enumerate([7] * 9 + [5] * 6 + [-1] * 3 + [1 << 40])]
+    got = simhash.near_pairs(spark.createDataFrame(points, "bits bigint, no bigint"), 2, 4).collect()
+    assert {(min(r.a_no, r.b_no), max(r.a_no, r.b_no)) for r in got} == {
+        (i, j) for a, i in points for b, j in points
+        if i < j and ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
+
+
+def test_groups_of_one_word_set_are_told_apart(spark):
+    rng = random.Random(9)
+    words, docs, family = [f"w{k}" for k in range(120)], [], []
+    for f in range(12):  # one set of words, in another order per family
+        order = rng.sample(words, len(words))
+        for _ in range(5):
+            edited = list(order)
+            k = rng.randrange(len(order) - 1)
+            edited[k], edited[k + 1] = edited[k + 1], edited[k]
+            docs.append(" ".join(edited))
+            family.append(f)
+    got = [r["doc_id"] for r in copies.keep_one(spark.createDataFrame(
+        list(enumerate(docs)), "doc_id bigint, text string")).collect()]
+    assert sorted(family[i] for i in got) == list(range(12))
+
+
 def plain_removal(texts, length):
     where = {}
     for d, t in enumerate(texts):
