@@ -11,8 +11,9 @@ search; the exact similarity decides.
 A large family of copies would link every pair. So texts whose word fingerprints are connected by
 steps of two bits first try one leader after the other, one comparison per text and round. The
 search with the full radius then looks only across the groups made so far, and proposes to every
-group the closest text of another one in each node of the index; it is run twice, the second time
-with the groups of the first.
+text its closest ones of other groups. It is repeated, with the groups of the search before and
+from the last partner on, for the texts that may have more partners, until none is left: every
+candidate pair is compared unless links connect it already.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isobar.llm.common import slices, small, stored
 from isobar.llm.components import components
-from isobar.llm.simhash import near_pairs, run_hashes, simhash, spanning
+from isobar.llm.simhash import Choose, near_pairs, run_hashes, simhash, spanning
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -36,8 +37,8 @@ RADIUS = 6
 FAR = 20
 # Rounds in which chained texts try a leader; what is left over meets in the full search.
 LEADERS = 3
-# Searches with the full radius; each proposes one partner per group and node.
-SEARCHES = 2
+# Partners per text in the first search with the full radius; sixteen times as many in each further one.
+PARTNERS = 4
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,18 +76,33 @@ def _unit(bits: str = "bits", runs: str = "runs") -> Column:
     return F.concat(F.hex(bits), F.lit("-"), F.hex(runs))
 
 
-def _closest(rows: pd.DataFrame, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every group the closest row of another one, among the pairs that can be similar enough."""
-    runs, n, group = (rows[c].to_numpy() for c in ("runs", "n", "group"))
-    far = np.bitwise_count((runs[a] ^ runs[b]).view(np.uint64)).astype(np.int64)
-    fit = ((far <= FAR) & (group[a] != group[b])
-           & (np.minimum(n[a], n[b]) >= SIMILARITY * np.maximum(n[a], n[b])))
-    a, b, far = a[fit], b[fit], far[fit]
-    a, b, far = np.append(a, b), np.append(b, a), np.append(far, far)
-    order = np.lexsort((group[b], far, group[a]))
-    first = np.ones(len(order), dtype=bool)
-    first[1:] = np.diff(group[a][order]) != 0
-    return a[order[first]], b[order[first]]
+def _closest(most: int) -> Choose:
+    """For every row its ``most`` closest partners, among the pairs left that can be similar enough.
+
+    Partners go by the differing bits and then by their fingerprints. What lies at or before the
+    ``seen_`` partner of either side was compared in an earlier search.
+    """
+    def choose(rows: pd.DataFrame, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        runs, words, n, group = (rows[c].to_numpy() for c in ("runs", "words", "n", "group"))
+        far = np.bitwise_count((runs[a] ^ runs[b]).view(np.uint64)).astype(np.int64)
+        fit = ((far <= FAR) & (group[a] != group[b])
+               & (np.minimum(n[a], n[b]) >= SIMILARITY * np.maximum(n[a], n[b])))
+        a, b, far = a[fit], b[fit], far[fit]
+        if "seen_far" in rows:
+            last = [rows[f"seen_{c}"].to_numpy() for c in ("far", "runs", "words")]
+            new = np.ones(len(a), dtype=bool)
+            for x, y in ((a, b), (b, a)):
+                new &= ((far > last[0][x]) | (far == last[0][x]) & (
+                    (runs[y] > last[1][x]) | (runs[y] == last[1][x]) & (words[y] > last[2][x])))
+            a, b, far = a[new], b[new], far[new]
+        a, b, far = np.append(a, b), np.append(b, a), np.append(far, far)
+        order = np.lexsort((words[b], runs[b], far, a))
+        a, b = a[order], b[order]
+        starts = np.flatnonzero(np.diff(a, prepend=-1))
+        nth = np.arange(len(a)) - np.repeat(starts, np.diff(np.append(starts, len(a))))
+        return a[nth < most], b[nth < most]
+
+    return choose
 
 
 def _verified(pairs: DataFrame, units: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
@@ -129,25 +145,30 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS
         settled = stored(settled.unionAll(leaders.select("a")).distinct(), "settled")
         alone = stored(alone.join(settled, "unit", "left_anti"), "chained")
     whole = stored(components(reduce(DataFrame.unionAll, links)), "groups")
-    asked = None
-    for _ in range(SEARCHES):
-        points = units.join(whole, units["unit"] == whole["node"], "left").select(
-            F.col("bits").alias("words"), "bits", "bits2", "runs", "n",
-            F.xxhash64(F.coalesce("root", "unit")).alias("group"), "unit")
-        points = stored(points if asked is None else points.join(asked, "unit", "left_semi"),
-                        "points").drop("unit")
-        views = [points.drop("bits2"), points.drop("bits").withColumnRenamed("bits2", "bits")]
+    points, most = units.select(F.col("bits").alias("words"), "bits", "bits2", "runs", "n", "unit"), PARTNERS
+    while True:
+        grouped = stored(points.join(whole, points["unit"] == whole["node"], "left").withColumn(
+            "group", F.xxhash64(F.coalesce("root", "unit"))).drop("node", "root", "unit"), "points")
+        views = [grouped.drop("bits2"), grouped.drop("bits").withColumnRenamed("bits2", "bits")]
         across = stored(reduce(DataFrame.unionAll, [
-            near_pairs(view, radius, choose=_closest).select(
-                _unit("a_words", "a_runs").alias("a"), _unit("b_words", "b_runs").alias("b"))
-            for view in views]).distinct(), "proposed")
-        links.append(stored(_verified(across, units, docs, similarity), "links"))
-        # Who proposed nothing and was not proposed has no copy: the next search leaves it out.
-        met = across.select(F.col("a").alias("unit")).unionAll(across.select("b")).distinct()
-        roots = whole.withColumnRenamed("node", "unit")
-        mates = roots.join(roots.join(met, "unit").select("root").distinct(), "root").select("unit")
-        asked = stored(met.unionAll(mates).distinct(), "asked")
+            near_pairs(view, radius, choose=_closest(most)).select(
+                "a_words", "a_runs", "b_words", "b_runs") for view in views]).distinct()
+            .withColumn("far", F.bit_count(F.col("a_runs").bitwiseXOR(F.col("b_runs"))))
+            .withColumn("nth", F.row_number().over(Window.partitionBy("a_words", "a_runs").orderBy(
+                "far", "b_runs", "b_words"))).filter(F.col("nth") <= most), "proposed")
+        if across.isEmpty():
+            break
+        links.append(stored(_verified(across.select(
+            _unit("a_words", "a_runs").alias("a"), _unit("b_words", "b_runs").alias("b")),
+            units, docs, similarity), "links"))
         whole = stored(components(reduce(DataFrame.unionAll, links)), "groups")
+        # Who proposed fewer has met all its partners: the next search leaves it out.
+        more = across.filter(F.col("nth") == most).select(
+            _unit("a_words", "a_runs").alias("unit"), F.col("far").alias("seen_far"),
+            F.col("b_runs").alias("seen_runs"), F.col("b_words").alias("seen_words"))
+        points = stored(points.select("words", "bits", "bits2", "runs", "n", "unit")
+                        .join(more, "unit"), "unfinished")
+        most *= 16
     return (marked.join(whole.withColumnRenamed("node", "unit"), "unit", "left")
             .select("id", "digest", F.coalesce("root", "unit").alias("group"), "rows"))
 

@@ -116,6 +116,20 @@ def test_one_of_the_near_copies_stays(spark):
     assert {family[i] for i in got} == set(family)
 
 
+def test_all_partners_of_a_large_family_are_tried(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10 ** 6)}" for _ in range(150)]
+    docs = []
+    for _ in range(200):  # near the base, but not near each other
+        edited = list(base)
+        for k in rng.sample(range(150), 3):
+            edited[k] = f"x{rng.randrange(10 ** 6)}"
+        docs.append(" ".join(edited))
+    docs.append(" ".join(base))
+    kept = copies.keep_one(spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string"))
+    assert kept.count() <= 0.05 * len(docs)  # recall of the search
+
+
 def test_all_points_with_one_fingerprint_are_paired(spark, monkeypatch):
     monkeypatch.setattr(simhash, "PAIRS", 50)
     points = [(b, no) for no, b in enumerate([7] * 9 + [5] * 6 + [-1] * 3 + [1 << 40])]
