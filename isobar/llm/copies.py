@@ -112,7 +112,9 @@ def _verified(pairs: DataFrame, units: DataFrame, docs: DataFrame, similarity: f
     asked = pairs.select(F.col("a").alias("unit")).unionAll(pairs.select("b")).distinct()
     one = units.join(asked, "unit", "left_semi").select("unit", "one.id", "one.digest")
     one = stored(one, "asked")
-    texts = docs.join(small(one), ["id", "digest"]).dropDuplicates(["unit"]).select("unit", "text")
+    same = (F.col("l.digest") == F.col("r.digest")) & F.col("l.id").eqNullSafe(F.col("r.id"))
+    texts = (docs.alias("l").join(small(one).alias("r"), same)
+             .dropDuplicates(["unit"]).select("unit", "text"))
     sets = stored(texts.mapInArrow(_run_sets, "unit string, set array<bigint>"), "run-sets")
     both = (pairs.join(sets.select(F.col("unit").alias("a"), F.col("set").alias("x")), "a")
             .join(sets.select(F.col("unit").alias("b"), F.col("set").alias("y")), "b"))
@@ -128,7 +130,8 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS
         *[F.first(c).alias(c) for c in ("bits", "bits2", "runs", "n")],
         F.count("*").alias("rows")).withColumn("unit", _unit()), "marked")
     units = stored(marked.groupBy("unit", "bits", "runs").agg(
-        F.max("n").alias("n"), F.first("bits2").alias("bits2"), F.min(F.struct("id", "digest")).alias("one")), "units")
+        F.max("n").alias("n"), F.first("bits2").alias("bits2"),
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("one")), "units")
 
     chained = stored(components(near_pairs(units.select("bits").distinct(), 2, choose=spanning)
                                 .toDF("a", "b")), "chains")

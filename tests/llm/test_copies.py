@@ -155,6 +155,20 @@ def test_groups_of_one_word_set_are_told_apart(spark):
     assert sorted(family[i] for i in got) == list(range(12))
 
 
+def test_near_copies_with_null_ids(spark):
+    rng = random.Random(10)
+    docs = []
+    for f in range(6):
+        words = [f"f{f}w{rng.randrange(10 ** 6)}" for _ in range(150)]
+        for copy in range(4):
+            edited = list(words)
+            edited[rng.randrange(8, 150)] = "zz"
+            docs.append((None if f < 4 or copy == 0 else 10 * f + copy, " ".join(edited)))
+    got = copies.keep_one(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"].split()[7][:2]) for r in got) == [
+        (0, "f0"), (0, "f1"), (0, "f2"), (0, "f3"), (41, "f4"), (51, "f5")]
+
+
 def plain_removal(texts, length):
     where = {}
     for d, t in enumerate(texts):
