@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isobar.llm import decontaminate, langid, lines, mixing, pii, quality, sharding, simhash, suffixes, toxicity
+from isobar.llm import (
+    decontaminate,
+    langid,
+    lines,
+    mixing,
+    ngram_join,
+    pii,
+    quality,
+    sharding,
+    simhash,
+    suffixes,
+    toxicity,
+)
 from isobar.llm.common import table
 from isobar.session import tune
 
@@ -225,3 +237,33 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select(
         "doc.doc_id", "size", "source_size", "target",
         (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
+@query
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.linked_documents(docs, keep=["doc_id"]).select(
+        "doc.doc_id", "n_shingles", "component_id")
+
+
+ORACLE["op13_ngram_join"] = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT r, array_to_string(w[i : i + 4], ' ') AS shingle
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+shared AS (
+  SELECT x.r AS a, y.r AS b, count(*) AS k FROM s x JOIN s y USING (shingle)
+  WHERE x.r <> y.r GROUP BY x.r, y.r),
+link AS (
+  SELECT a, b FROM shared JOIN n x ON x.r = a JOIN n y ON y.r = b
+  WHERE 100 * k >= 80 * (x.n + y.n - k)),
+reach AS (
+  SELECT r AS a, r AS b FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+least AS (SELECT a, min(doc_id) AS component_id FROM reach JOIN d ON d.r = b GROUP BY a)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id
+FROM d JOIN least ON a = d.r LEFT JOIN n ON n.r = d.r"""

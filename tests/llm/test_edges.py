@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import pytest
 
-from isobar.llm import copies, decontaminate, langid, lines, mixing, pii, quality, sharding
-from isobar.llm import simhash, suffixes, toxicity
+from isobar.llm import copies, decontaminate, langid, lines, mixing, ngram_join, pii, quality
+from isobar.llm import sharding, simhash, suffixes, toxicity
 
 LONG = " ".join(f"word{i % 977} of{i % 31} text" for i in range(20_000))
 CLASHES = ("doc id digest bits runs node free n size key unit group text_ shard slot copies target "
-           "quality lang_pred spans rest at leaf tokens p lo hi g c block rank").split()
+           "quality lang_pred spans rest at leaf tokens p lo hi g c block rank u cluster cell").split()
 ROWS = [
     (1, "The plain text of a short document here.", "en", "a"),
     (1, "The plain text of a short document here.", "en", "a"),
@@ -51,10 +51,12 @@ def operators(language_model, toxic_model):
         "sharding": lambda d: sharding.shuffle_to_shards(d, 3, ("doc_id", "text")),
         "toxicity": lambda d: toxicity.score(d, toxic_model).select("doc.*", "score"),
         "mixing": lambda d: mixing.mix(d).select("doc.*", "copies"),
+        "ngram_join": lambda d: ngram_join.linked_documents(d).select("doc.*", "component_id"),
     }
 
 
-NAMES = ("decontaminate langid simhash suffixes lines pii quality sharding toxicity mixing").split()
+NAMES = ("decontaminate langid simhash suffixes lines pii quality sharding toxicity mixing "
+         "ngram_join").split()
 
 
 @pytest.mark.parametrize("name", NAMES)
