@@ -12,6 +12,7 @@ from isobar.llm import (
     langid,
     lines,
     mixing,
+    negatives,
     ngram_join,
     pii,
     quality,
@@ -239,6 +240,40 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"),
+                                    anchor=F.col("vec_id") % 100 == 0, label=label)
+
+
+ORACLE["op12_hard_negatives"] = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT a.r AS anchor, a.vec_id AS anchor_id, b.vec_id, b.label = a.label AS same,
+         CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON b.r <> a.r AND len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0),
+pos AS (
+  SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST) AS nth
+  FROM s WHERE same QUALIFY nth <= 5),
+neg AS (
+  SELECT pos.anchor_id, pos.vec_id AS positive_id, s.vec_id AS negative_id,
+         pos.score AS positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY pos.anchor, pos.nth
+                            ORDER BY s.score DESC, s.vec_id NULLS LAST) AS rank
+  FROM pos JOIN s ON s.anchor = pos.anchor AND NOT s.same
+       AND 80 * pos.score <= 100 * s.score AND s.score <= pos.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score,
+       negative_score
+FROM neg WHERE rank <= 5"""
+
+
 @query
 def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
