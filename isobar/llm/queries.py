@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isobar.llm import (
+    alignment,
     decontaminate,
     langid,
     lines,
@@ -27,6 +28,10 @@ from isobar.session import tune
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
+# Vocabularies of public tokenizers; the operators take the paths as parameters.
+BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,6 +245,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
+@query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, BYTE_LEVEL, PIECES, keep=["doc_id"]).select(
+        "doc.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 @query
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))

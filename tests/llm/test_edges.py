@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import pytest
 
-from isobar.llm import copies, decontaminate, langid, lines, mixing, ngram_join, pii, quality
-from isobar.llm import sharding, simhash, suffixes, toxicity
+from isobar.llm import alignment, copies, decontaminate, langid, lines, mixing, ngram_join, pii
+from isobar.llm import quality, sharding, simhash, suffixes, toxicity
+from isobar.llm.queries import BYTE_LEVEL, PIECES
 
 LONG = " ".join(f"word{i % 977} of{i % 31} text" for i in range(20_000))
 CLASHES = ("doc id digest bits runs node free n size key unit group text_ shard slot copies target "
@@ -51,12 +52,13 @@ def operators(language_model, toxic_model):
         "sharding": lambda d: sharding.shuffle_to_shards(d, 3, ("doc_id", "text")),
         "toxicity": lambda d: toxicity.score(d, toxic_model).select("doc.*", "score"),
         "mixing": lambda d: mixing.mix(d).select("doc.*", "copies"),
+        "alignment": lambda d: alignment.align(d, BYTE_LEVEL, PIECES).select("doc.*", "n_links"),
         "ngram_join": lambda d: ngram_join.linked_documents(d).select("doc.*", "component_id"),
     }
 
 
 NAMES = ("decontaminate langid simhash suffixes lines pii quality sharding toxicity mixing "
-         "ngram_join").split()
+         "ngram_join alignment").split()
 
 
 @pytest.mark.parametrize("name", NAMES)
