@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -136,15 +136,17 @@ def run_metrics(metrics: DataFrame, run_id: str, model: str, split: str) -> Data
 
 
 def train(processed: DataFrame, task: str, run_id: str, test: float = 0.2,
-          **params: float) -> tuple[PipelineModel, DataFrame]:
+          fit_with: Callable = fit, predict_with: Callable = predict,
+          **params: float) -> tuple[object, DataFrame]:
     """Matrix, stratified split, fit, and metrics and rows of the train and test parts.
 
     The matrix and the scored rows are written out once: learner and metrics read them often.
+    Other learners come as a function that fits a matrix and one that predicts it.
     """
     matrix = materialize(MATRICES[task](processed), "matrix")
     marked = materialize(split_test(matrix, key=KEYS[task], test=test), f"matrix-{task}")
-    model = fit(marked.where(~F.col("is_test")), task, **params)
-    scored = materialize(predict(model, marked).select(
+    model = fit_with(marked.where(~F.col("is_test")), task, **params)
+    scored = materialize(predict_with(model, marked).select(
         "label", "prediction", "probabilities", "is_test"), f"scored-{task}")
     parts = {"train": scored.where(~F.col("is_test")), "test": scored.where("is_test")}
     tables = [run_metrics(measure(part, task).unionAll(part.select(
