@@ -17,6 +17,7 @@ import hashlib
 import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -31,7 +32,7 @@ from tokenizers import Tokenizer
 from isobar.llm.common import beside, slices, stored
 
 # Bytes of text of a slice that is encoded at once, and of a block whose counts are looked up at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 BLOCK = 4 << 20
 # Links of one join; groups beyond it are joined one after the other.
 JOINED = 1 << 22
@@ -82,6 +83,16 @@ class Encoders:
         return pa.array([x.ids for x in a], ids), pa.array(b, ids)
 
 
+@lru_cache(maxsize=1)
+def loaded(files: tuple[bytes, bytes]) -> tuple[Encoders, pa.Array, int]:
+    """The tokenizers, kept by a worker for its next tasks, and the strings of ``group_texts``."""
+    encoders = Encoders.load(*files)
+    width = max(len(encoders.bytes_a), len(encoders.bytes_b))
+    strings = pa.array([f"{k}{sign}" for sign in (",", "|", ";", "") for k in range(width)],
+                       pa.binary())
+    return encoders, strings, width
+
+
 @dataclass
 class Tokens:
     """The tokens of several texts end to end: document, id, and the byte at which each ends."""
@@ -218,10 +229,7 @@ def _encoded(texts: list[bytes | None], encoders: Encoders, strings: pa.Array, w
 
 def _encode(files: Broadcast, text_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoders = Encoders.load(*files.value)
-        width = max(len(encoders.bytes_a), len(encoders.bytes_b))
-        strings = pa.array([f"{k}{sign}" for sign in (",", "|", ";", "") for k in range(width)],
-                           pa.binary())
+        encoders, strings, width = loaded(files.value)
         task, size = TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = text_of(batch)
@@ -280,8 +288,7 @@ def align(docs: DataFrame, byte_level: str, pieces: str, text_col: str = "text",
     rows count as documents of their own. An empty table stays empty.
     """
     files = (Path(byte_level).read_bytes(), Path(pieces).read_bytes())
-    encoders = Encoders.load(*files)
-    width = max(len(encoders.bytes_a), len(encoders.bytes_b))
+    width = loaded(files)[2]
     files = docs.sparkSession.sparkContext.broadcast(files)
     rows, text_of, kind = beside(docs, text_col, keep)
     encoded = stored(rows.mapInArrow(_encode(files, text_of), f"doc {kind}, {SCHEMA}"), "encoded")

@@ -3,181 +3,85 @@
 Similarity is the Jaccard index of the sets of runs of ``WORDS`` words. At 0.8 the fingerprints of
 those runs still differ in ten bits on average, too many for any index. One changed word changes
 five runs but a single word, so candidates come from the SimHash of the set of words, whose
-differences are three bits on average, by a search of the Gray-order index with a radius of six;
-two such fingerprints, from independent hashes, make up for each other's misses. The fingerprints
-of the runs (``FAR`` bits at most) and the sizes of the sets turn down most others inside the
-search; the exact similarity decides.
+differences are three bits on average: the Gray-order index links fingerprints of ``RADIUS`` bits or
+fewer, in two views from independent hashes that make up for each other's misses.
 
-A large family of copies would link every pair. So texts whose word fingerprints are connected by
-steps of two bits first try one leader after the other, one comparison per text and round. The
-search with the full radius then looks only across the groups made so far, and proposes to every
-text its closest ones of other groups. It is repeated, with the groups of the search before and
-from the last partner on, for the texts that may have more partners, until none is left: every
-candidate pair is compared unless links connect it already.
+What the links connect is a cluster, which no candidate pair leaves. The exact similarity is then
+decided inside the clusters, over the whole sets of runs, by the cells of the prefix-tree join: every
+similar pair of a cluster is linked, a large cluster is dealt into cells of bounded size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isobar.llm.common import slices, small, stored
+from isobar.llm.common import slices, stored
 from isobar.llm.components import components
-from isobar.llm.simhash import Choose, near_pairs, run_hashes, simhash, spanning
+from isobar.llm.ngram_join import links_within, units_of
+from isobar.llm.shingles import mix, shingle_sets
+from isobar.llm.simhash import near_pairs, simhash, spanning
+from isobar.operators.lookup import sized
 
 WORDS = 5
-SIMILARITY = 0.8
+PERCENT = 80
 RADIUS = 6
-FAR = 20
-# Rounds in which chained texts try a leader; what is left over meets in the full search.
-LEADERS = 3
-# Partners per text in the first search with the full radius; sixteen times as many in each further one.
-PARTNERS = 4
 
 
-def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("text")
-        for at, n in slices(texts):
-            rows = []
-            for text in texts.slice(at, n).cast(pa.large_binary()).to_pylist():
-                runs = set(run_hashes(text or b"", WORDS))
-                words = np.array(list(set(run_hashes(text or b"", 1))), dtype=np.uint64)
-                again = words * np.uint64(0x9E3779B97F4A7C15)  # a second hash, made of the first
-                again = (again ^ (again >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-                rows.append((simhash(words), simhash(again ^ (again >> np.uint64(32))),
-                             simhash(list(runs)), len(runs)))
-            marks = np.array(rows, dtype=np.uint64).reshape(-1, 4).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").slice(at, n), batch.column("digest").slice(at, n),
-                 *(pa.array(np.ascontiguousarray(marks[:, k])) for k in range(4))],
-                ["id", "digest", "bits", "bits2", "runs", "n"])
+def _mark(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text")
+            for at, n in slices(texts, 1 << 20):
+                some = texts.slice(at, n).cast(pa.large_binary()).to_pylist()
+                units, held = units_of(some, size)
+                text, words = shingle_sets(some, 1)
+                cuts = np.cumsum(np.bincount(text, minlength=n))[:-1]
+                views = [np.array([simhash(x) for x in np.split(hashes, cuts)], dtype=np.uint64)
+                         .view(np.int64) for hashes in (words, mix(words))]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").slice(at, n), batch.column("digest").slice(at, n), units,
+                     pa.array(held), *(pa.array(v) for v in views)],
+                    ["id", "digest", "unit", "n", "bits", "bits2"])
 
+    return run
 
-def _run_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("text")
-        for at, n in slices(texts):
-            sets = [np.unique(np.array(run_hashes(t or b"", WORDS), dtype=np.uint64)).view(np.int64)
-                    for t in texts.slice(at, n).cast(pa.large_binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("unit").slice(at, n), pa.array(sets, pa.list_(pa.int64()))],
-                ["unit", "set"])
 
-
-def _unit(bits: str = "bits", runs: str = "runs") -> Column:
-    """Texts with both fingerprints equal, 128 bits, are one unit."""
-    return F.concat(F.hex(bits), F.lit("-"), F.hex(runs))
-
-
-def _closest(most: int) -> Choose:
-    """For every row its ``most`` closest partners, among the pairs left that can be similar enough.
-
-    Partners go by the differing bits and then by their fingerprints. What lies at or before the
-    ``seen_`` partner of either side was compared in an earlier search.
-    """
-    def choose(rows: pd.DataFrame, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        runs, words, n, group = (rows[c].to_numpy() for c in ("runs", "words", "n", "group"))
-        far = np.bitwise_count((runs[a] ^ runs[b]).view(np.uint64)).astype(np.int64)
-        fit = ((far <= FAR) & (group[a] != group[b])
-               & (np.minimum(n[a], n[b]) >= SIMILARITY * np.maximum(n[a], n[b])))
-        a, b, far = a[fit], b[fit], far[fit]
-        if "seen_far" in rows:
-            last = [rows[f"seen_{c}"].to_numpy() for c in ("far", "runs", "words")]
-            new = np.ones(len(a), dtype=bool)
-            for x, y in ((a, b), (b, a)):
-                new &= ((far > last[0][x]) | (far == last[0][x]) & (
-                    (runs[y] > last[1][x]) | (runs[y] == last[1][x]) & (words[y] > last[2][x])))
-            a, b, far = a[new], b[new], far[new]
-        a, b, far = np.append(a, b), np.append(b, a), np.append(far, far)
-        order = np.lexsort((words[b], runs[b], far, a))
-        a, b = a[order], b[order]
-        starts = np.flatnonzero(np.diff(a, prepend=-1))
-        nth = np.arange(len(a)) - np.repeat(starts, np.diff(np.append(starts, len(a))))
-        return a[nth < most], b[nth < most]
-
-    return choose
-
-
-def _verified(pairs: DataFrame, units: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``(a, b)`` of units with the exact similarity."""
-    pairs = stored(pairs.filter("a != b").select(F.least("a", "b").alias("a"),
-                                                 F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    asked = pairs.select(F.col("a").alias("unit")).unionAll(pairs.select("b")).distinct()
-    one = units.join(asked, "unit", "left_semi").select("unit", "one.id", "one.digest")
-    one = stored(one, "asked")
-    same = (F.col("l.digest") == F.col("r.digest")) & F.col("l.id").eqNullSafe(F.col("r.id"))
-    texts = (docs.alias("l").join(small(one).alias("r"), same)
-             .dropDuplicates(["unit"]).select("unit", "text"))
-    sets = stored(texts.mapInArrow(_run_sets, "unit string, set array<bigint>"), "run-sets")
-    both = (pairs.join(sets.select(F.col("unit").alias("a"), F.col("set").alias("x")), "a")
-            .join(sets.select(F.col("unit").alias("b"), F.col("set").alias("y")), "b"))
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
-
-
-def groups(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def groups(docs: DataFrame, percent: int = PERCENT, radius: int = RADIUS,
+           size: int = WORDS) -> DataFrame:
     """``id, digest, group, rows`` for the distinct rows of ``docs (id, digest, text)``."""
     marked = stored(docs.mapInArrow(
-        _mark, f"id {docs.schema['id'].dataType.simpleString()}, digest bigint, bits bigint, "
-               "bits2 bigint, runs bigint, n bigint").groupBy("id", "digest").agg(
-        *[F.first(c).alias(c) for c in ("bits", "bits2", "runs", "n")],
-        F.count("*").alias("rows")).withColumn("unit", _unit()), "marked")
-    units = stored(marked.groupBy("unit", "bits", "runs").agg(
-        F.max("n").alias("n"), F.first("bits2").alias("bits2"),
+        _mark(size), f"id {docs.schema['id'].dataType.simpleString()}, digest bigint, unit binary, "
+                     "n bigint, bits bigint, bits2 bigint").groupBy("id", "digest").agg(
+        *[F.first(c).alias(c) for c in ("unit", "n", "bits", "bits2")],
+        F.count("*").alias("rows")), "marked")
+    units = stored(marked.groupBy("unit").agg(
+        F.first("bits").alias("bits"), F.first("bits2").alias("bits2"), F.first("n").alias("n"),
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("one")), "units")
-
-    chained = stored(components(near_pairs(units.select("bits").distinct(), 2, choose=spanning)
-                                .toDF("a", "b")), "chains")
-    alone = stored(units.join(chained.withColumnRenamed("node", "bits"), "bits", "left").select(
-        F.coalesce("root", "bits").alias("chain"), "unit", "one"), "chained")
-    links = []
-    for _ in range(LEADERS):
-        leaders = stored(alone.groupBy("chain").agg(
-            F.min(F.struct("one", "unit"))["unit"].alias("a"), F.count("*").alias("n"))
-            .filter("n > 1").select("chain", "a"), "leaders")
-        tried = alone.join(leaders, "chain").select("a", F.col("unit").alias("b"))
-        links.append(stored(_verified(tried, units, docs, similarity), "links"))
-        settled = links[-1].select(F.col("a").alias("unit")).unionAll(links[-1].select("b"))
-        settled = stored(settled.unionAll(leaders.select("a")).distinct(), "settled")
-        alone = stored(alone.join(settled, "unit", "left_anti"), "chained")
-    whole = stored(components(reduce(DataFrame.unionAll, links)), "groups")
-    points, most = units.select(F.col("bits").alias("words"), "bits", "bits2", "runs", "n", "unit"), PARTNERS
-    while True:
-        grouped = stored(points.join(whole, points["unit"] == whole["node"], "left").withColumn(
-            "group", F.xxhash64(F.coalesce("root", "unit"))).drop("node", "root", "unit"), "points")
-        views = [grouped.drop("bits2"), grouped.drop("bits").withColumnRenamed("bits2", "bits")]
-        across = stored(reduce(DataFrame.unionAll, [
-            near_pairs(view, radius, choose=_closest(most)).select(
-                "a_words", "a_runs", "b_words", "b_runs") for view in views]).distinct()
-            .withColumn("far", F.bit_count(F.col("a_runs").bitwiseXOR(F.col("b_runs"))))
-            .withColumn("nth", F.row_number().over(Window.partitionBy("a_words", "a_runs").orderBy(
-                "far", "b_runs", "b_words"))).filter(F.col("nth") <= most), "proposed")
-        if across.isEmpty():
-            break
-        links.append(stored(_verified(across.select(
-            _unit("a_words", "a_runs").alias("a"), _unit("b_words", "b_runs").alias("b")),
-            units, docs, similarity), "links"))
-        whole = stored(components(reduce(DataFrame.unionAll, links)), "groups")
-        # Who proposed fewer has met all its partners: the next search leaves it out.
-        more = across.filter(F.col("nth") == most).select(
-            _unit("a_words", "a_runs").alias("unit"), F.col("far").alias("seen_far"),
-            F.col("b_runs").alias("seen_runs"), F.col("b_words").alias("seen_words"))
-        points = stored(points.select("words", "bits", "bits2", "runs", "n", "unit")
-                        .join(more, "unit"), "unfinished")
-        most *= 16
+    # A node of the graph is a fingerprint of a view; a text connects its two.
+    near = [near_pairs(units.select(F.col(view).alias("bits")).distinct(), radius, choose=spanning)
+            .toDF("a", "b").select(*[F.struct(F.lit(no).alias("view"), F.col(c).alias("bits")).alias(c)
+                                     for c in "ab"]) for no, view in enumerate(("bits", "bits2"))]
+    node = [F.struct(F.lit(no).alias("view"), F.col(view).alias("bits"))
+            for no, view in enumerate(("bits", "bits2"))]
+    own = units.select(node[0].alias("a"), node[1].alias("b"))
+    clusters = components(near[0].unionAll(near[1]).unionAll(own))
+    members = units.filter("n > 0").select("unit", "n", "one.id", "one.digest", node[0].alias("node")) \
+        .join(clusters, "node").withColumnRenamed("root", "cluster").drop("node")
+    several = members.groupBy("cluster").agg(F.count("*").alias("units")).filter("units > 1")
+    several, few = sized(several.select("cluster"))
+    members = members.join(F.broadcast(several) if few else several, "cluster", "left_semi")
+    whole = components(links_within(docs, members, size, percent))
     return (marked.join(whole.withColumnRenamed("node", "unit"), "unit", "left")
             .select("id", "digest", F.coalesce("root", "unit").alias("group"), "rows"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+             percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` but one of each group of near copies, with their own columns.
 
     The row with the smallest id stays; nulls count as the largest, equal ids go by a hash of the
@@ -187,16 +91,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
                         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"),
                         F.col(text_col).alias("text"))
-    grouped = stored(groups(keyed.select("id", "digest", "text"), similarity, radius), "grouped")
+    grouped = stored(groups(keyed.select("id", "digest", "text"), percent, radius), "grouped")
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
-    stays = stored(grouped.groupBy("group").agg(F.min(rank).alias("stays")), "stays")
-    gone = stored(grouped.join(stays, "group").filter(rank != F.col("stays"))
-                  .select("id", "digest"), "gone")
-    twice = stored(grouped.filter("rows > 1").select("id", "digest"), "repeated")
+    stays = grouped.groupBy("group").agg(F.min(rank).alias("stays"))
+    gone, few = sized(grouped.join(stays, "group").filter(rank != F.col("stays"))
+                      .select("id", "digest"))
+    twice, rare = sized(grouped.filter("rows > 1").select("id", "digest"))
     same = (F.col("l.digest") == F.col("r.digest")) & F.col("l.id").eqNullSafe(F.col("r.id"))
-    kept = keyed.drop("text").alias("l").join(small(gone).alias("r"), same, "left_anti")
+    kept = keyed.drop("text").alias("l").join((F.broadcast(gone) if few else gone).alias("r"), same,
+                                              "left_anti")
     if twice.isEmpty():
         return kept.select("doc.*")
-    once = kept.alias("l").join(small(twice).alias("r"), same, "left_anti")
-    several = kept.alias("l").join(small(twice).alias("r"), same, "left_semi")
+    twice = F.broadcast(twice) if rare else twice
+    once = kept.alias("l").join(twice.alias("r"), same, "left_anti")
+    several = kept.alias("l").join(twice.alias("r"), same, "left_semi")
     return once.unionAll(several.dropDuplicates(["id", "digest"])).select("doc.*")
