@@ -1,10 +1,11 @@
 """Line dedup by a template tree of fixed depth, with DataFrame functions only.
 
 A line is parsed by its number of tokens and then by its leading tokens; tokens with a digit count
-as a variable field from the start. Lines that reach the same leaf share a template: per place the
-most frequent token if half of the lines have it, else a variable field. Lines that agree with the
-fixed places of their template closely enough follow it. Lines are dropped if their template, or
-the line itself up to its fields, occurs in ``min_docs`` documents or more.
+as a variable field from the start. The lines that reach one leaf form groups: behind the leading
+tokens, a token that several texts have at this place of the leaf is fixed, any other is a variable
+field, and lines with the same fixed tokens at the same places share a template. A leaf so holds as
+many templates as its lines have, however many lines share it. Lines of a template that fixes enough
+of its tokens are dropped if it occurs in several texts, and so are lines that occur word for word.
 """
 
 from __future__ import annotations
@@ -12,14 +13,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isobar.llm.common import bind, small, stored, words
+from isobar.llm.common import bind, stored
+from isobar.operators.lookup import sized
 
 DEPTH = 4
-MIN_DOCS = 5
-# A line follows a template if at least this percentage of its tokens are the template's.
-SIMILAR = 70
+# A line recurs in two texts; one of fewer tokens than ``SHORT`` in ``SHORT_DOCS``.
+SHORT, SHORT_DOCS = 4, 5
+# A template fixes at least this percentage of its tokens.
+FIXED = 50
 FIELD = "<*>"
-KEY = ["id", "digest"]
+
+
+def _tokens(line: Column) -> Column:
+    """Maximal runs of characters other than the space and the control characters 9 to 13."""
+    for sign in "\t\x0b\f\r":
+        line = F.replace(line, F.lit(sign), F.lit(" "))
+    return F.array_remove(F.split(line, " "), "")
 
 
 def _masked(tokens: Column) -> Column:
@@ -28,66 +37,86 @@ def _masked(tokens: Column) -> Column:
 
 
 def _leaf(tokens: Column) -> Column:
-    return F.concat_ws(" ", F.size(tokens).cast("string"), _masked(F.slice(tokens, 1, DEPTH)))
-
-
-def _in_documents(rows: DataFrame, group: list[str], min_docs: int) -> DataFrame:
-    """The groups found in ``min_docs`` documents or more; a document counts once."""
-    return (rows.select(*group, *KEY).distinct().groupBy(*group).agg(F.count("*").alias("docs"))
-            .filter(F.col("docs") >= min_docs).select(*group))
-
-
-def templates(kinds: DataFrame) -> DataFrame:
-    """``leaf, template`` from distinct lines ``(leaf, tokens, n)``; null marks a variable field."""
-    places = (kinds.select("leaf", "n", F.posexplode("tokens").alias("place", "token"))
-              .groupBy("leaf", "place", "token").agg(F.sum("n").alias("n"))
-              .groupBy("leaf", "place").agg(
-                  F.sum("n").alias("lines"),
-                  F.min(F.struct((-F.col("n")).alias("less"), "token")).alias("top")))
-    fixed = F.when((-F.col("top.less")) * 2 >= F.col("lines"), F.col("top.token"))
-    return (places.groupBy("leaf")
-            .agg(F.array_sort(F.collect_list(F.struct("place", fixed.alias("token")))).alias("t"))
-            .select("leaf", F.transform("t", lambda x: x["token"]).alias("template")))
+    return F.xxhash64(F.size(tokens), _masked(F.slice(tokens, 1, DEPTH)))
+
+
+def _several(texts: str = "digest") -> list[Column]:
+    """The smallest and the largest text of a group: more than one if they differ."""
+    return [F.min(texts).alias("low"), F.max(texts).alias("high")]
+
+
+def _joined(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    few, fits = sized(few)
+    return rows.join(F.broadcast(few) if fits else few, keys, how)
+
+
+def recurring(found: DataFrame, short_docs: int = SHORT_DOCS, fixed: int = FIXED) -> DataFrame:
+    """The distinct ``leaf, tokens`` of ``found (digest, leaf, tokens)`` that recur."""
+    kinds = stored(found.groupBy("leaf", "tokens").agg(*_several())
+                   .withColumn("masked", _masked(F.col("tokens"))), "line-kinds")
+    groups = stored(kinds.groupBy("leaf", "masked").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"))
+        .withColumn("kind", F.monotonically_increasing_id()), "masked-kinds")
+    # Places behind the leading ones; a place that several texts fill alike is fixed.
+    places = groups.select("leaf", "kind", "low", "high", F.posexplode(
+        F.slice("masked", DEPTH + 1, 1 << 30)).alias("place", "token")).filter(
+        F.col("token") != FIELD)
+    alike = places.groupBy("leaf", "place", "token").agg(
+        F.min("low").alias("low"), F.max("high").alias("high")).filter("low != high")
+    held = places.select("leaf", "place", "token", "kind").join(
+        alike.select("leaf", "place", "token"), ["leaf", "place", "token"]).groupBy("kind").agg(
+        F.collect_set("place").alias("held"))
+    template = F.transform("masked", lambda w, k: F.when(
+        (w != FIELD) & ((k < DEPTH) | F.coalesce(F.array_contains("held", k - DEPTH), F.lit(False))), w))
+    shaped = stored(groups.join(held, "kind", "left").withColumn("template", template).drop("held"),
+                    "templates")
+    enough = (F.size(F.filter("template", lambda w: w.isNotNull())) * 100
+              >= F.size("template") * fixed)
+    long = F.size("template") >= SHORT
+    several = shaped.filter(long & enough).groupBy("leaf", "template").agg(
+        F.min("low").alias("low"), F.max("high").alias("high")).filter("low != high")
+    follow = shaped.join(several.select("leaf", "template"), ["leaf", "template"], "left_semi")
+
+    def counted(rows: DataFrame, by: str, docs: int) -> DataFrame:
+        return rows.groupBy("leaf", by).agg(F.count_distinct("digest").alias("n")).filter(
+            F.col("n") >= docs).select("leaf", by)
+
+    small = found.filter(F.size("tokens") < SHORT).withColumn("masked", _masked(F.col("tokens")))
+    literal = F.size(F.filter("masked", lambda w: w != FIELD)) * 100 >= F.size("masked") * fixed
+    bad = follow.select("leaf", "masked").unionAll(
+        counted(small.filter(literal), "masked", short_docs))
+    exact = kinds.filter((F.size("tokens") >= SHORT) & (F.col("low") != F.col("high"))).select(
+        "leaf", "tokens").unionAll(counted(small, "tokens", short_docs))
+    return (kinds.join(bad.distinct(), ["leaf", "masked"], "left_semi").select("leaf", "tokens")
+            .unionAll(exact).distinct())
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                         min_docs: int = MIN_DOCS, similar: int = SIMILAR) -> DataFrame:
+                         short_docs: int = SHORT_DOCS, fixed: int = FIXED) -> DataFrame:
     """``docs`` in a struct ``doc``, with ``n_lines``, ``n_dropped`` and ``kept_text``.
 
-    Lines end at a newline; lines without a token are kept and not counted. A null text has no
-    lines and stays null. Rows equal in id and text count as one document, null ids as an id.
-    An empty table stays empty.
+    Lines end at a newline; lines without a token are kept and not counted. Recurrence is counted
+    in distinct texts, so an exact copy of a document alone drops no line. A null text has no lines
+    and stays null. Ids play no part and may be null or repeated. An empty table stays empty.
     """
-    keyed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
-        F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("id"),
-        F.xxhash64(F.col(id_col).isNull(), text_col).alias("digest"),
-        F.col(text_col).alias("text"))
-    lines = keyed.select(*KEY, F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    leaf = bind(words(F.col("line")), lambda t: F.when(F.size(t) > 0, F.xxhash64(_leaf(t))))
-    hashed = lines.select(*KEY, "at", "line", leaf.alias("hash")).filter("hash IS NOT NULL")
-    busy = stored(_in_documents(hashed, ["hash"], min_docs), "busy-leaves")
-    # Few leaves are busy; where they are many, the lines are shuffled as texts, not as tokens.
-    found = stored(hashed.join(small(busy), "hash", "left_semi")
-                   .select(*KEY, "at", _masked(words(F.col("line"))).alias("tokens"))
-                   .withColumn("leaf", _leaf(F.col("tokens"))), "lines")
-
-    kinds = stored(found.groupBy("leaf", "tokens").agg(F.count("*").alias("n")), "line-kinds")
-    same = F.size(F.filter(F.zip_with("tokens", "template", lambda a, b: a.eqNullSafe(b)),
-                           lambda x: x))
-    followers = (kinds.join(templates(kinds), "leaf")
-                 .filter(same * 100 >= F.size("tokens") * similar).select("leaf", "tokens"))
-    followed = found.join(followers, ["leaf", "tokens"], "left_semi")
-    recurring = followers.join(_in_documents(followed, ["leaf"], min_docs), "leaf", "left_semi")
-    exact = _in_documents(found, ["leaf", "tokens"], min_docs)
-    dropped = (found.join(recurring.unionByName(exact).distinct(), ["leaf", "tokens"], "left_semi")
-               .groupBy(*KEY).agg(F.collect_set("at").alias("dropped")))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+                        F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
+    lines = keyed.select("digest", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    leaf = bind(_tokens(F.col("line")), lambda t: F.when(F.size(t) > 0, _leaf(t)))
+    hashed = lines.withColumn("leaf", leaf).filter("leaf IS NOT NULL")
+    busy = hashed.groupBy("leaf").agg(*_several()).filter("low != high").select("leaf")
+    found = stored(_joined(hashed, busy, ["leaf"], "left_semi").select(
+        "digest", "at", "leaf", _tokens(F.col("line")).alias("tokens")), "lines")
+    dropped = _joined(found, recurring(found.select("digest", "leaf", "tokens"),
+                                       short_docs=short_docs, fixed=fixed),
+                      ["leaf", "tokens"], "left_semi").groupBy("digest").agg(
+        F.collect_set("at").alias("dropped"))
 
     every = F.split("text", "\n")
     places = F.sequence(F.lit(0), F.size(every) - 1)
     kept = F.transform(F.array_except(places, "dropped"), lambda k: F.get(every, k))
     counted = F.size(F.filter(every, lambda x: x.rlike(r"[^ \t\x0B\f\r]")))
-    return keyed.join(dropped, KEY, "left").select(
+    return _joined(keyed, dropped, ["digest"], "left").select(
         "doc", F.coalesce(counted, F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
         F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

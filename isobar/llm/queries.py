@@ -114,45 +114,44 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op5_line_dedup"] = """
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
-doc AS (SELECT r, dense_rank() OVER (ORDER BY doc_id, text) AS k FROM d),
+WITH d AS (
+  SELECT row_number() OVER () AS r, dense_rank() OVER (ORDER BY text) AS k, doc_id, text
+  FROM documents),
 raw AS (
-  SELECT r, unnest(range(0, len(l))) AS pos, unnest(l) AS line
-  FROM (SELECT r, string_split(text, chr(10)) AS l FROM d)),
+  SELECT r, k, unnest(range(0, len(l))) AS pos, unnest(l) AS line
+  FROM (SELECT r, k, string_split(text, chr(10)) AS l FROM d)),
 line AS (
-  SELECT r, k, pos, t AS tokens,
-         concat_ws(' ', len(t), array_to_string(t[1:4], ' ')) AS leaf
-  FROM (SELECT r, pos, list_transform(
-                 regexp_extract_all(line, '[^\x20\x09-\x0D]+'),
-                 lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t
-        FROM raw) JOIN doc USING (r)
+  SELECT *, len(t) AS n, concat_ws(' ', len(t), array_to_string(m[1:4], ' ')) AS leaf
+  FROM (SELECT *, list_transform(t, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>'
+                                                   ELSE x END) AS m
+        FROM (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS t FROM raw))
   WHERE len(t) > 0),
-busy AS (SELECT leaf FROM line GROUP BY leaf HAVING count(DISTINCT k) >= 5),
-found AS (SELECT * FROM line SEMI JOIN busy USING (leaf)),
-kinds AS (SELECT leaf, tokens, count(*) AS n FROM found GROUP BY leaf, tokens),
-token AS (
-  SELECT leaf, place, token, sum(n) AS n
-  FROM (SELECT leaf, n, unnest(range(0, len(tokens))) AS place, unnest(tokens) AS token FROM kinds)
-  GROUP BY leaf, place, token),
-top AS (
-  SELECT leaf, place, token, 2 * n >= sum(n) OVER (PARTITION BY leaf, place) AS fixed,
-         row_number() OVER (PARTITION BY leaf, place ORDER BY n DESC, token) AS nth FROM token),
-agree AS (
-  SELECT x.leaf, x.tokens, count(*) AS same
-  FROM (SELECT leaf, tokens, unnest(range(0, len(tokens))) AS place, unnest(tokens) AS token
-        FROM kinds) x
-  JOIN top ON top.leaf = x.leaf AND top.place = x.place AND top.token = x.token
-           AND top.nth = 1 AND top.fixed
-  GROUP BY x.leaf, x.tokens),
-follower AS (SELECT leaf, tokens FROM agree WHERE 100 * same >= 70 * len(tokens)),
-recurring AS (
-  SELECT leaf FROM found SEMI JOIN follower USING (leaf, tokens)
-  GROUP BY leaf HAVING count(DISTINCT k) >= 5),
-bad AS (
-  SELECT leaf, tokens FROM follower SEMI JOIN recurring USING (leaf)
-  UNION
-  SELECT leaf, tokens FROM found GROUP BY leaf, tokens HAVING count(DISTINCT k) >= 5),
-gone AS (SELECT r, pos, 1 AS hit FROM found SEMI JOIN bad USING (leaf, tokens)),
+fixed AS (
+  SELECT leaf, place, token
+  FROM (SELECT leaf, k, unnest(range(1, n + 1)) AS place, unnest(m) AS token FROM line)
+  WHERE place > 4 AND token <> '<*>'
+  GROUP BY leaf, place, token HAVING count(DISTINCT k) >= 2),
+placed AS (
+  SELECT r, pos, x.leaf, x.place, CASE WHEN x.token <> '<*>' AND (
+           x.place <= 4 OR fixed.token IS NOT NULL) THEN x.token END AS token
+  FROM (SELECT r, pos, leaf, unnest(range(1, n + 1)) AS place, unnest(m) AS token FROM line) x
+  LEFT JOIN fixed ON fixed.leaf = x.leaf AND fixed.place = x.place AND fixed.token = x.token),
+shaped AS (
+  SELECT r, pos, list(token ORDER BY place) AS template, count(token) AS held
+  FROM placed GROUP BY r, pos),
+full_line AS (SELECT line.*, template, held FROM line JOIN shaped USING (r, pos)),
+followed AS (
+  SELECT leaf, template FROM full_line WHERE 100 * held >= 50 * n
+  GROUP BY leaf, template HAVING count(DISTINCT k) >= CASE WHEN max(n) < 4 THEN 5 ELSE 2 END),
+exact AS (
+  SELECT t FROM full_line GROUP BY t
+  HAVING count(DISTINCT k) >= CASE WHEN max(n) < 4 THEN 5 ELSE 2 END),
+gone AS (
+  SELECT r, pos, 1 AS hit FROM full_line
+  WHERE t IN (SELECT t FROM exact)
+     OR 100 * held >= 50 * n AND EXISTS (
+          SELECT 1 FROM followed f
+          WHERE f.leaf = full_line.leaf AND f.template IS NOT DISTINCT FROM full_line.template)),
 kept AS (
   SELECT r, count(hit) AS n_dropped,
          string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE hit IS NULL) AS text

@@ -100,6 +100,22 @@ def test_variable_fields(spark):
     assert out == {0: 1, 1: 1, 2: 1, 3: 1, 4: 1, 9: 0}
 
 
+def test_several_templates_share_a_leaf(spark):
+    rng = random.Random(5)
+    made = lambda: "".join(rng.choices("bcdfghjklmnp", k=7))
+    docs = [f"this text was sent by {made()} to the list" for _ in range(6)]
+    docs += [f"this text was sent from {made()} at the harbour" for _ in range(3)]
+    docs += [f"this text was sent {made()} {made()} {made()} {made()} {made()}" for _ in range(200)]
+    docs += ["one line of prose\nthat is copied whole"] * 4          # copies of a whole text
+    docs += [f"{made()}\nEnd" for _ in range(4)] + [f"{made()}\nStop" for _ in range(5)]
+    docs += [f"{made()}\n11 22 33 {k} {k}" for k in range(4)]          # nothing but fields
+    docs += [f"{made()}\n7 7 7 7", f"{made()}\n7 7 7 7"]              # word for word
+    out = {r["doc"]["doc_id"]: r["n_dropped"] for r in lines.drop_recurring_lines(
+        spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")).collect()}
+    want = [1] * 9 + [0] * 200 + [0] * 4 + [0] * 4 + [1] * 5 + [0] * 4 + [1] * 2
+    assert [out[k] for k in range(len(docs))] == want
+
+
 def test_quality_measures(spark):
     rng = random.Random(4)
     texts = [" ".join(rng.choice("ab cd ef".split()) for _ in range(rng.randrange(40)))
