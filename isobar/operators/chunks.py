@@ -20,8 +20,6 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from isobar.operators.lookup import sized
-
 CHUNK = "_chunk"
 EDGE = "_edge"
 
@@ -107,12 +105,8 @@ def join_per_entity(chunked: DataFrame, directory: DataFrame, per_entity: DataFr
                     entity: str = "city") -> DataFrame:
     """Left join of a one-row-per-entity frame onto chunked rows.
 
-    Few entities are broadcast. Many are first joined to the chunk directory, so that the rows
-    join on ``(entity, chunk)``: they stay where the chunk shuffle put them, and an entity's rows
-    stay spread over its chunks.
+    The frame is joined to the chunk directory first, so that the rows join on ``(entity, chunk)``:
+    they stay where the chunk shuffle put them, and an entity's rows stay spread over its chunks.
     """
-    table, small = sized(per_entity)
-    if small:
-        return chunked.join(F.broadcast(table), entity, "left")
-    keyed = directory.join(table, entity, "left")
+    keyed = directory.join(per_entity, entity, "left")
     return chunked.join(keyed, [entity, CHUNK], "left")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from isobar.functions.columns import to_number
 from isobar.functions.events import flag
 from isobar.operators.chunks import over_chunks
-from isobar.operators.lookup import lookup_join
 from isobar.operators.panel import consecutive
 from isobar.operators.ranking import group_quantiles
 
@@ -50,7 +49,7 @@ def label_rainfall(df: DataFrame, q: tuple[float, float] = RAIN_QUANTILES,
                    method: str = "exact", entity: str = "city", time: str = "time") -> DataFrame:
     """Flags for rain above the entity's own quantiles."""
     thresholds = rain_thresholds(df, q, method, entity, time)
-    joined = lookup_join(df, thresholds, [entity])
+    joined = df.join(thresholds, [entity], "left")
     rain = F.col("precipitation")
     return joined.withColumns({
         "extreme_rainfall": rain_flag(rain, high=False),

@@ -14,7 +14,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isobar.operators.lookup import lookup_join
 from isobar.session import materialize
 
 # Rank error of percentile_approx is at most n / ACCURACY. A bracket of 4 / ACCURACY on both sides
@@ -138,9 +137,9 @@ def group_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], by: S
     """Quantiles of ``value`` per group, one column per entry of ``probs`` (ascending).
 
     NULL and NaN are ignored. ``exact`` interpolates linearly between ranks; ``approx`` returns an
-    element of the group from a bounded sketch. The exact form runs the bracket pass at once, to
-    know its size. ``spread`` names columns that tell the rows of one group apart, used to split
-    large groups when the brackets are too many to broadcast.
+    element of the group from a bounded sketch. No job runs here: adaptive execution broadcasts the
+    brackets if they turn out small and splits the partitions of large groups otherwise. ``spread``
+    names columns that tell the rows of one group apart.
     """
     clean = df.where(F.col(value).isNotNull() & ~F.isnan(value))
     spread = list(spread or [value])
@@ -152,7 +151,7 @@ def group_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], by: S
         raise ValueError(f"unknown quantile method {method!r}")
     qs = list(probs.values())
     brackets = rows.groupBy(*by).agg(_bracket("_v", qs).alias("_b"))
-    counted = _compress(lookup_join(rows, brackets, by), by, "_v", len(qs))
+    counted = _compress(rows.join(brackets, list(by), "left"), by, "_v", len(qs))
     return _interpolate(counted, by, probs)
 
 

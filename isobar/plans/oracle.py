@@ -276,6 +276,7 @@ add("weather_features", WIDE + f"SELECT {', '.join(BASE)}, "
     + ", ".join(f"ROUND({c}, 4) AS {c}" for c in sorted(ROUNDED))
     + f" FROM features WHERE COALESCE({', '.join(LAGS)}) IS NOT NULL")
 
+add("weather_features_incremental", ORACLE["weather_features"])
 add("lag_features", STATIONS
     + f"SELECT city, time, {', '.join(LAG_COLUMNS)}, {listed(LAGS)} FROM station_daily")
 for name, current in (("rolling_prior", False), ("rolling_inclusive", True)):

@@ -14,7 +14,7 @@ from isobar.functions import columns as C
 from isobar.functions import events as E
 from isobar.operators import cyclone, dimension, drift, explore, health, labels, matrices
 from isobar.operators import metrics, panel, quality, ranking, store, weights
-from isobar.plans import boosted, ingest, scoring, training, views, weather
+from isobar.plans import boosted, incremental, ingest, scoring, training, views, weather
 from isobar.plans.views import batch_ledger, dim_station, prediction_log, table, track_points
 from isobar.schemas import (CYCLONE_FEATURES, CYCLONE_RULES, HEATWAVE_FEATURES, LAG_COLUMNS,
                             RAINFALL_FEATURES, ROLL_COLUMNS)
@@ -106,6 +106,19 @@ def weather_features(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(weather.weather_features(panel_once(spark, sf)), 4, [*ROLLED, *SEASON])
 
 
+@query
+def weather_features_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """The feature table after the history, rows that came late, and corrections of wrong ones."""
+    panel = panel_once(spark, sf)
+    part = F.pmod(F.xxhash64("city", "time"), F.lit(10))
+    wrong = panel.where(part == 9).withColumns({"temp_max": F.lit(99.0), "precipitation": F.lit(0.0)})
+    store = new_path(spark, "feature-store")
+    for no, rows in enumerate([panel.where(part < 7).unionByName(wrong), panel.where(part >= 7)]):
+        incremental.update_features(spark, store, rows, version=no, targets=False)
+    out = incremental.read_features(spark, store)
+    return rounded(out.drop("hot_streak"), 4, [*ROLLED, *SEASON])
+
+
 @query
 def weather_etl_table(spark: SparkSession, sf: str) -> DataFrame:
     """Raw CSV files to the partitioned feature table, then the totals of that table."""

@@ -21,6 +21,10 @@ from isobar.sources.files import read_station_csv, read_tracks_csv
 from isobar.sources.sinks import write_csv, write_partitioned
 
 
+# Columns that the windows read; border rows carry no others.
+READS = list(dict.fromkeys(["temp_max", "precipitation", *LAG_COLUMNS, *ROLL_COLUMNS]))
+
+
 def with_short_names(raw: DataFrame) -> DataFrame:
     """Rename source columns to the short names, or NULL-fill the labelled ones it lacks."""
     named = normalise_nulls(rename_present(raw, SHORT_NAMES))
@@ -42,17 +46,21 @@ def _labelled(df: DataFrame, stages: Sequence[Stage], back: int, ahead: int,
     a stage made ``_rain_next``, the next row's rain flag is added too.
     """
     wide = over_chunks(df, stages, back=back, ahead=ahead, entity=entity, time=time, unit=unit,
-                       keep_chunk=True,
-                       reads=["temp_max", "precipitation", *LAG_COLUMNS, *ROLL_COLUMNS])
+                       keep_chunk=True, reads=READS)
     joined = join_per_entity(wide, chunk_directory(df, entity, time, unit),
                              rain_thresholds(df, q, method, entity, time), entity)
+    return flagged(joined, df, gust_col).drop(CHUNK)
+
+
+def flagged(joined: DataFrame, df: DataFrame, gust_col: str = "wind_gust_max") -> DataFrame:
+    """The rain and cyclonic flags of rows that carry their thresholds; ``df`` has the source columns."""
     rain = {"extreme_rainfall": rain_flag(F.col("precipitation"), high=False),
             "heavy_rainfall": rain_flag(F.col("precipitation"), high=True),
             "cyclonic_flag": cyclonic_flag(df, gust_col=gust_col)}
-    if "_rain_next" in wide.columns:
+    if "_rain_next" in joined.columns:
         has_next = F.col("heatwave_flag_next").isNotNull()
         rain["extreme_rainfall_next"] = F.when(has_next, rain_flag(F.col("_rain_next"), high=False))
-    return joined.withColumns(rain).drop("rain_q_low", "rain_q_high", "_rain_next", CHUNK)
+    return joined.withColumns(rain).drop("rain_q_low", "rain_q_high", "_rain_next")
 
 
 def label_events(df: DataFrame, hot: float = HOT, severe: float = SEVERE_HOT,
@@ -77,6 +85,16 @@ def weather_features(df: DataFrame, hot: float = HOT, severe: float = SEVERE_HOT
     ``extreme_rainfall_next`` (NULL on an entity's last row). ``drop_unlagged`` drops rows on
     which every lag is NULL.
     """
+    stages, back, ahead = window_stages(df, hot, severe, days, lags, windows, include_current, targets)
+    out = _labelled(df, stages, back, ahead, q, method, entity, time, unit, gust_col)
+    return finished(out, df, lags, drop_unlagged, time, tz)
+
+
+def window_stages(df: DataFrame, hot: float = HOT, severe: float = SEVERE_HOT, days: int = HOT_DAYS,
+                  lags: Sequence[int] = LAGS, windows: Sequence[int] = ROLL_WINDOWS,
+                  include_current: bool = False,
+                  targets: bool = False) -> tuple[list[Stage], int, int]:
+    """The window columns of the feature table, and how many rows they reach back and ahead."""
     lag_cols = [c for c in LAG_COLUMNS if c in df.columns]
     roll_cols = [c for c in ROLL_COLUMNS if c in df.columns]
 
@@ -89,8 +107,13 @@ def weather_features(df: DataFrame, hot: float = HOT, severe: float = SEVERE_HOT
                 "_rain_next": F.lead("precipitation").over(w)}
 
     stages = [features, following] if targets else [features]
-    out = _labelled(df, stages, max([*lags, *windows, days - 1]), 1 if targets else 0, q, method,
-                    entity, time, unit, gust_col)
+    return stages, max([*lags, *windows, days - 1]), 1 if targets else 0
+
+
+def finished(out: DataFrame, df: DataFrame, lags: Sequence[int] = LAGS, drop_unlagged: bool = True,
+             time: str = "time", tz: str = "UTC") -> DataFrame:
+    """The season columns added, and rows without any lag dropped if so wanted."""
+    lag_cols = [c for c in LAG_COLUMNS if c in df.columns]
     out = seasonal_features(out, time, tz)
     if not (drop_unlagged and lag_cols):
         return out

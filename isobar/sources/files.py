@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -28,33 +29,24 @@ def _typed(col_name: str, kind: T.DataType):
     return col.try_cast(kind).alias(col_name)
 
 
-def header_line(spark: SparkSession, file: str, encoding: str = "UTF-8") -> str | None:
-    """The first line of a file, also of a compressed one; None if the file is empty."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(file)
-    stream = path.getFileSystem(conf).open(path)
-    try:
-        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
-        plain = stream if codec is None else codec.createInputStream(stream)
-        return jvm.java.io.BufferedReader(
-            jvm.java.io.InputStreamReader(plain, encoding)).readLine()
-    finally:
-        stream.close()
+def header_groups(spark: SparkSession, paths: Sequence[str]) -> list[list[str]]:
+    """The given paths, or their files by header line if these differ.
 
-
-def files_by_header(spark: SparkSession, paths: Sequence[str],
-                    encoding: str = "UTF-8") -> dict[str, list[str]]:
-    """The files behind ``paths`` by header line; empty files have none and are left out.
-
-    Spark applies one header to all files of a read, by position. One line per file is read here,
-    by the driver, which also plans the scan of every file.
+    Spark applies one header to all files of a read, by position. The first lines are found by tasks:
+    the first row of a file in the partition that holds its start. Only the distinct headers come to
+    the driver; files are named one by one only if there are several. Empty files have no header
+    and are left out then.
     """
-    found: dict[str, list[str]] = {}
-    for file in sorted(spark.read.text(list(paths)).inputFiles()):
-        header = header_line(spark, file, encoding)
-        if header is not None:
-            found.setdefault(header, []).append(file)
-    return found
+    lines = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("file"), "value").where(
+        F.col("_metadata.file_block_start") == 0)
+    first = lines.groupBy("file").agg(F.first("value").alias("header"))
+    headers = first.select("header").distinct()
+    if headers.limit(2).count() < 2:
+        return [list(paths)]
+    grouped = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    # Paths of the metadata are encoded as URIs.
+    return [[unquote(f) for f in r["files"]] for r in grouped.orderBy("header").collect()]
 
 
 def read_text_csv(spark: SparkSession, path: str | Sequence[str], encoding: str = "UTF-8",
@@ -81,8 +73,7 @@ def read_text_csv(spark: SparkSession, path: str | Sequence[str], encoding: str
             out = out.withColumn(landed_at, F.col("_metadata.file_modification_time"))
         return out
 
-    groups = files_by_header(spark, paths, encoding)
-    return union_by_name([read(group) for group in groups.values()] or [read(paths)])
+    return union_by_name([read(group) for group in header_groups(spark, paths)])
 
 
 def read_station_csv(spark: SparkSession, path: str | Sequence[str],
