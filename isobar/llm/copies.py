@@ -62,16 +62,19 @@ def groups(docs: DataFrame, percent: int = PERCENT, radius: int = RADIUS,
     units = stored(marked.groupBy("unit").agg(
         F.first("bits").alias("bits"), F.first("bits2").alias("bits2"), F.first("n").alias("n"),
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("one")), "units")
-    # A node of the graph is a fingerprint of a view; a text connects its two.
-    near = [near_pairs(units.select(F.col(view).alias("bits")).distinct(), radius, choose=spanning)
-            .toDF("a", "b").select(*[F.struct(F.lit(no).alias("view"), F.col(c).alias("bits")).alias(c)
-                                     for c in "ab"]) for no, view in enumerate(("bits", "bits2"))]
-    node = [F.struct(F.lit(no).alias("view"), F.col(view).alias("bits"))
-            for no, view in enumerate(("bits", "bits2"))]
-    own = units.select(node[0].alias("a"), node[1].alias("b"))
-    clusters = components(near[0].unionAll(near[1]).unionAll(own))
-    members = units.filter("n > 0").select("unit", "n", "one.id", "one.digest", node[0].alias("node")) \
-        .join(clusters, "node").withColumnRenamed("root", "cluster").drop("node")
+    # Clusters are made of first fingerprints; a second one stands for the smallest first beside it.
+    other = stored(units.groupBy("bits2").agg(F.min("bits").alias("low"), F.max("bits").alias("high")),
+                   "second-views")
+    first = near_pairs(units.select("bits").distinct(), radius, choose=spanning).toDF("a", "b")
+    second = near_pairs(other.select(F.col("bits2").alias("bits")), radius, choose=spanning)
+    second = second.join(other.select(F.col("bits2").alias("a_bits"), F.col("low").alias("a")),
+                         "a_bits").join(other.select(F.col("bits2").alias("b_bits"),
+                                                     F.col("low").alias("b")), "b_bits")
+    beside = units.join(other.filter("low != high").select("bits2", "low"), "bits2").select(
+        F.col("bits").alias("a"), F.col("low").alias("b"))
+    clusters = components(first.unionAll(second.select("a", "b")).unionAll(beside))
+    members = units.filter("n > 0").join(clusters.withColumnRenamed("node", "bits"), "bits", "left") \
+        .select("unit", "n", "one.id", "one.digest", F.coalesce("root", "bits").alias("cluster"))
     several = members.groupBy("cluster").agg(F.count("*").alias("units")).filter("units > 1")
     several, few = sized(several.select("cluster"))
     members = members.join(F.broadcast(several) if few else several, "cluster", "left_semi")
