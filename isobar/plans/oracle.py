@@ -608,6 +608,7 @@ exact AS (
   FROM walk WHERE step = n + m)
 SELECT model_name, feature, n AS n_ref, m AS n_cur, ROUND(statistic, 6) AS statistic,
        ROUND(p, 6) AS p_value, p < 0.05 AS drifted FROM exact""")
+add("drift_report_stream", ORACLE["drift_report"])
 add("entity_percentiles_approx", ctes(STATION) + """
 SELECT city, COUNT(*) AS n_rows, true AS low_within, true AS high_within FROM station_daily
 GROUP BY city""")

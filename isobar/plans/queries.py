@@ -20,6 +20,7 @@ from isobar.schemas import (CYCLONE_FEATURES, CYCLONE_RULES, HEATWAVE_FEATURES,
                             RAINFALL_FEATURES, ROLL_COLUMNS)
 from isobar.session import materialize, new_path, tune
 from isobar.sources import files, sinks
+from isobar.streaming.drift import stream_drift
 from isobar.streaming.landing import stream_landed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -806,6 +807,22 @@ def drift_report(spark: SparkSession, sf: str) -> DataFrame:
     return report_text(drift.drift_report(prediction_log(spark, sf), LOGGED, method="asymptotic"))
 
 
+@query
+def drift_report_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same report from a log that grows by three files, of which a stream keeps the windows."""
+    log, reports, checkpoint = (new_path(spark, x) for x in ("log", "reports", "drift-stream"))
+    rows = prediction_log(spark, sf).select(
+        "id", "model_name", F.lit("2024-01-01").cast("timestamp").alias("timestamp"),
+        F.create_map(*[x for c in LOGGED for x in (F.lit(c), F.col(c))]).alias("features"),
+        F.lit(None).cast("string").alias("prediction"))
+    for no in range(3):
+        sinks.append(rows.where(F.pmod(F.xxhash64("id"), F.lit(3)) == no), log)
+    stream_drift(spark, log, reports, checkpoint, method="asymptotic",
+                 max_files=1).awaitTermination()
+    return report_text(spark.read.parquet(reports).drop("epoch")).select(
+        *drift_report(spark, sf).columns)
+
+
 # ------------------------------------------------------------------------------- models
 
 RUN_ID = "bench"
