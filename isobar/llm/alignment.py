@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
+import tiktoken
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,11 +50,39 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+# How a byte-level vocabulary splits a text before its merges.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def by_ranks(tokenizer: Tokenizer, raw: dict, spelt: list[bytes]) -> tiktoken.Encoding | None:
+    """The same byte-level encoding by ranks, several times faster; None where it may differ.
+
+    Merging by the rank of the result equals merging by the list of pairs if results are in the
+    order of their ids and every token, alone, is merged to itself: then no other pair of
+    neighbours spells a token.
+    """
+    model, before = raw["model"], raw.get("pre_tokenizer") or {}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [model["vocab"].get("".join(p), -1) for p in pairs]
+    special = {x["id"] for x in raw.get("added_tokens", [])}
+    single = [no for no, t in enumerate(spelt) if len(t) == 1 and no not in special]
+    if (raw.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space")
+            or not before.get("use_regex", True) or model.get("ignore_merges")
+            or len(single) != 256 or any(x >= y for x, y in zip([max(single), *made], made))
+            or len(spelt) != 256 + len(made) + len(special)
+            or any([x.id for x in tokenizer.model.tokenize("".join(p))] != [no]
+                   for p, no in zip(pairs, made))):
+        return None
+    ranks = {spelt[no]: no for no in (*single, *made)}
+    return tiktoken.Encoding("byte-level", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+
 @dataclass
 class Encoders:
     """Both tokenizers with the bytes of their tokens, as read from the contents of their files."""
 
     first: Tokenizer
+    ranked: tiktoken.Encoding | None
     second: sentencepiece.SentencePieceProcessor
     bytes_a: pa.Array
     bytes_b: pa.Array
@@ -64,23 +93,28 @@ class Encoders:
         first.encode_special_tokens = True
         second = sentencepiece.SentencePieceProcessor(model_proto=pieces)
         alphabet = byte_alphabet()
-        vocabulary = json.loads(byte_level)["model"]["vocab"]
+        raw = json.loads(byte_level)
         of_a = [b""] * first.get_vocab_size()
-        for token, no in vocabulary.items():
+        for token, no in raw["model"]["vocab"].items():
             of_a[no] = bytes(alphabet[c] for c in token) if set(token) <= alphabet.keys() else b""
         of_b = []
         for no in range(second.vocab_size()):
             piece = second.id_to_piece(no)
             of_b.append(bytes([int(piece[3:-1], 16)]) if second.is_byte(no) else b""
                         if second.is_control(no) else piece.replace("▁", " ").encode())
-        return cls(first, second, pa.array(of_a, pa.binary()), pa.array(of_b, pa.binary()))
+        return cls(first, by_ranks(first, raw, of_a), second, pa.array(of_a, pa.binary()),
+                   pa.array(of_b, pa.binary()))
 
     def encode(self, texts: Sequence[str]) -> tuple[pa.Array, pa.Array]:
         """The ids of every text by the first (with a space in front) and the second."""
-        a = self.first.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        if self.ranked is not None:
+            a = [self.ranked.encode_ordinary(" " + t) for t in texts]
+        else:
+            a = [x.ids for x in self.first.encode_batch_fast([" " + t for t in texts],
+                                                             add_special_tokens=False)]
         b = self.second.encode(list(texts), num_threads=1)
         ids = pa.list_(pa.int32())
-        return pa.array([x.ids for x in a], ids), pa.array(b, ids)
+        return pa.array(a, ids), pa.array(b, ids)
 
 
 @lru_cache(maxsize=1)
@@ -121,9 +155,9 @@ class Tokens:
 
 def shared_ends(a: Tokens, b: Tokens) -> tuple[np.ndarray, np.ndarray]:
     """The group of every token of both sides: groups end where tokens of both end."""
-    left, right = (pa.table({"doc": x.doc, "end": x.end, "at": np.arange(len(x.doc))})
+    left, right = (pa.table({"end": (x.doc << 40) + x.end, "at": np.arange(len(x.doc))})
                    for x in (a, b))
-    both = left.join(right, ["doc", "end"], join_type="inner", right_suffix="_b", use_threads=False)
+    both = left.join(right, "end", join_type="inner", right_suffix="_b", use_threads=False)
     groups = []
     for tokens, name in ((a, "at"), (b, "at_b")):
         cut = np.zeros(len(tokens.doc), dtype=np.int64)
@@ -138,29 +172,35 @@ def linked_pairs(a: Tokens, b: Tokens, group_a: np.ndarray, group_b: np.ndarray,
     if not len(a.doc):
         return pa.table({"doc": pa.array([], pa.int64()), "pair": pa.array([], pa.int64()),
                          "times": pa.array([], pa.int64())})
-    sides = []
-    for tokens, group in ((a, group_a), (b, group_b)):
-        sides.append(pa.table({"group": group, "id": tokens.ids}).group_by(
-            ["group", "id"], use_threads=False).aggregate([([], "count_all")]))
-    number = [np.bincount(x.column("group").to_numpy(), minlength=group_a[-1] + 1) for x in sides]
-    part = np.cumsum(number[0] * number[1]) // JOINED  # groups that are joined together
     doc_of = np.zeros(group_a[-1] + 1, dtype=np.int64)
     doc_of[group_a] = a.doc
+    size = np.cumsum(np.bincount(group_a) * np.bincount(group_b))
+    if size[-1] <= JOINED:
+        one, other = (pa.table({"group": group, "id": tokens.ids})
+                      for tokens, group in ((a, group_a), (b, group_b)))
+        links = one.join(other, "group", join_type="inner", right_suffix="_b", use_threads=False)
+        rows = pa.table({"doc": doc_of[links.column("group").to_numpy()],
+                         "pair": links.column("id").to_numpy().astype(np.int64) * width
+                         + links.column("id_b").to_numpy()})
+        return rows.group_by(["doc", "pair"], use_threads=False).aggregate(
+            [([], "count_all")]).rename_columns({"count_all": "times"})
+    # Long groups repeat their ids: each is joined once with its number, a part of them at a time.
+    sides = [pa.table({"group": group, "id": tokens.ids}).group_by(
+        ["group", "id"], use_threads=False).aggregate([([], "count_all")])
+        for tokens, group in ((a, group_a), (b, group_b))]
+    number = [np.bincount(x.column("group").to_numpy(), minlength=group_a[-1] + 1) for x in sides]
+    part = np.cumsum(number[0] * number[1]) // JOINED
     found = []
     for no in np.unique(part).tolist():
-        left, right = sides if part[-1] == 0 else (
-            x.filter(pa.array(part[x.column("group").to_numpy()] == no)) for x in sides)
+        left, right = (x.filter(pa.array(part[x.column("group").to_numpy()] == no)) for x in sides)
         links = left.join(right, "group", join_type="inner", right_suffix="_b", use_threads=False)
         group, one, other, n, m = (links.column(c).to_numpy() for c in (
             "group", "id", "id_b", "count_all", "count_all_b"))
         rows = pa.table({"doc": doc_of[group], "times": n * m,
                          "pair": one.astype(np.int64) * width + other})
         found.append(rows.group_by(["doc", "pair"], use_threads=False).aggregate([("times", "sum")]))
-    rows = pa.concat_tables(found).rename_columns({"times_sum": "times"})
-    if len(found) > 1:
-        rows = rows.group_by(["doc", "pair"], use_threads=False).aggregate(
-            [("times", "sum")]).rename_columns({"times_sum": "times"})
-    return rows
+    return pa.concat_tables(found).group_by(["doc", "pair"], use_threads=False).aggregate(
+        [("times_sum", "sum")]).rename_columns({"times_sum_sum": "times"})
 
 
 def group_texts(a: Tokens, b: Tokens, group_a: np.ndarray, group_b: np.ndarray,

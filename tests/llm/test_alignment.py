@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 from collections import Counter
 
@@ -86,6 +87,25 @@ def test_links_equal_a_plain_version(spark, monkeypatch, piece, block, joined):
     assert sum(w[0] > 0 for w in want) >= len(texts) - 4
 
 
+def test_merging_by_ranks_is_the_same_encoding():
+    with open(BYTE_LEVEL, "rb") as a, open(PIECES, "rb") as b:
+        encoders = alignment.Encoders.load(a.read(), b.read())
+    assert encoders.ranked is not None
+    rng = random.Random(6)
+    texts = [f"a{chr(c)}1 {chr(c)}" for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    texts += ["".join(rng.choice([chr(rng.randrange(0x250)), " ", "  ", "\n", "'s", "'LL", "a", "12"])
+                      for _ in range(rng.randrange(1, 40))) for _ in range(20_000)]
+    for at in range(0, len(texts), 4_000):
+        some = texts[at:at + 4_000]
+        want = [x.ids for x in encoders.first.encode_batch_fast(some, add_special_tokens=False)]
+        assert [encoders.ranked.encode_ordinary(t) for t in some] == want
+    raw = json.loads(open(BYTE_LEVEL, encoding="utf-8").read())
+    spelt = encoders.bytes_a.to_pylist()
+    assert alignment.by_ranks(encoders.first, raw | {"normalizer": {"type": "NFC"}}, spelt) is None
+    raw["model"]["merges"] = raw["model"]["merges"][::-1]
+    assert alignment.by_ranks(encoders.first, raw, spelt) is None
+
+
 def test_texts_that_are_not_utf8(spark):
     docs = spark.sql("SELECT 1L AS doc_id, cast(unhex('41ff42') AS string) AS text UNION ALL "
                      "SELECT 2L, 'fine' UNION ALL SELECT NULL, 'fine'")
