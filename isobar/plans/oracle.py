@@ -322,7 +322,9 @@ SELECT city, time, temp_max, temp_min, precipitation, wind_gust_max, pressure_ms
 FROM station_daily""")
 PREPARED = f"""SELECT {{0}}{PARTS.format('iso_time')}, wind_kts, category, pressure_min,
        lat, lat_abs, lon, dist_to_land FROM prepared"""
-add("scan_tracks_csv", STORMS + PREPARED.format(""))
+for name in ("scan_tracks_csv", "scan_tracks_zip"):
+    add(name, STORMS + PREPARED.format(""))
+add("scan_paged_orders", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
 add("scan_daily_json", STATIONS.rstrip() + """,
 years AS (SELECT city, YEAR(time) AS y, MIN(time) AS a, MAX(time) AS z FROM station_daily
           GROUP BY ALL),

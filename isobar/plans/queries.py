@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from isobar.plans.views import batch_ledger, dim_station, prediction_log, table,
 from isobar.schemas import (CYCLONE_FEATURES, CYCLONE_RULES, HEATWAVE_FEATURES, LAG_COLUMNS,
                             RAINFALL_FEATURES, ROLL_COLUMNS)
 from isobar.session import materialize, new_path, tune
-from isobar.sources import files, sinks
+from isobar.sources import archives, files, paged, sinks
 from isobar.streaming.drift import stream_drift
 from isobar.streaming.landing import stream_landed
 
@@ -231,10 +232,8 @@ def scan_station_csv(spark: SparkSession, sf: str) -> DataFrame:
                         "precipitation", "wind_gust_max", "pressure_msl_mean")
 
 
-@query
-def scan_tracks_csv(spark: SparkSession, sf: str) -> DataFrame:
-    """Tracks as a latin-1 archive with a line of units, read back and cleaned."""
-    path = new_path(spark, "tracks-csv")
+def track_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Tracks as the text columns of their archive, with its line of units."""
     names = {"ISO_TIME": F.date_format("iso_time", "yyyy-MM-dd HH:mm:ss"), "NATURE": "nature",
              "LAT": "lat", "LON": "lon", "WMO_WIND": "wmo_wind", "WMO_PRES": "wmo_pres",
              "USA_WIND": "usa_wind", "DIST2LAND": "dist2land"}
@@ -242,13 +241,45 @@ def scan_tracks_csv(spark: SparkSession, sf: str) -> DataFrame:
         (F.col(c) if isinstance(c, str) else c).cast("string").alias(n) for n, c in names.items()])
     units = spark.createDataFrame([("", "TS", "degrees_north", "degrees_east", "kts", "mb", "kts",
                                     "km")], text.schema)
-    text.unionByName(units).write.option("header", True).option(
-        "encoding", "ISO-8859-1").csv(path)
-    clean = cyclone.prepare_tracks(files.read_tracks_csv(spark, path), dated_only=True)
+    return text.unionByName(units)
+
+
+def cleaned_tracks(text: DataFrame) -> DataFrame:
+    clean = cyclone.prepare_tracks(text, dated_only=True)
     return clean.select("year", "month", "day", "dayofyear", "wind_kts", "category",
                         "pressure_min", "lat", "lat_abs", "lon", "dist_to_land")
 
 
+@query
+def scan_tracks_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Tracks as latin-1 CSV with a line of units, read back and cleaned."""
+    path = new_path(spark, "tracks-csv")
+    track_text(spark, sf).write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return cleaned_tracks(files.read_tracks_csv(spark, path))
+
+
+@query
+def scan_tracks_zip(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from zip archives of several members, a member per task."""
+    folder = new_path(spark, "tracks-zip")
+    archives.write_zipped_csv(track_text(spark, sf).repartition(3), folder, "ISO-8859-1",
+                              rows_per_member=1_000)
+    return cleaned_tracks(files.read_tracks_zip(spark, folder))
+
+
+@query
+def scan_paged_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as an endpoint would hand them out: pages of the table, read by several tasks."""
+    path, columns = f"{sf}/orders.parquet", ["o_orderkey", "o_custkey", "o_orderstatus"]
+
+    def fetch(offset: int, limit: int) -> list[tuple]:
+        page = pq.read_table(path, columns=columns).slice(offset, limit)
+        return list(zip(*(page.column(c).to_pylist() for c in columns)))
+
+    schema = spark.read.parquet(path).select(*columns).schema
+    return paged.read_pages(spark, fetch, schema, limit=5_000)
+
+
 @query
 def scan_daily_json(spark: SparkSession, sf: str) -> DataFrame:
     """One JSON response per station and year, with arrays over the days, back to rows."""

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from urllib.parse import unquote
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from isobar.functions.columns import normalise_nulls, project_available, to_number, to_time
 from isobar.schemas import DAILY_VARIABLES, STATION, TRACK_COLUMNS, TRACKS
+from isobar.sources.archives import read_zipped_csv
 
 CORRUPT = "_corrupt_record"
 # Columns of a processed table that are no numbers.
@@ -104,27 +102,9 @@ def read_tracks_csv(spark: SparkSession, path: str | Sequence[str],
     return project_available(read_text_csv(spark, path, encoding), TRACK_COLUMNS)[0]
 
 
-def read_tracks_zip(spark: SparkSession, path: str, encoding: str = "ISO-8859-1",
-                    rows_per_batch: int = 50_000) -> DataFrame:
-    """All track CSVs inside zip archives, by column name, one archive per task, in batches."""
-    names = TRACKS.names
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    members = [m for m in archive.namelist() if m.lower().endswith(".csv")]
-                    if not members:
-                        raise ValueError("no CSV in zip archive")
-                    for name in members:
-                        with archive.open(name) as member:
-                            for part in pd.read_csv(member, dtype=str, encoding=encoding,
-                                                    chunksize=rows_per_batch):
-                                text = part.reindex(columns=names).astype(object)
-                                yield text.where(text.notna(), None)
-
-    archives = spark.read.format("binaryFile").load(path).select("content")
-    return archives.mapInPandas(unpack, TRACKS)
+def read_tracks_zip(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
+    """All track CSVs inside zip archives, by column name, one member per task, in batches."""
+    return read_zipped_csv(spark, path, TRACKS, encoding)
 
 
 def parse_daily_json(df: DataFrame, json_col: str = "value",

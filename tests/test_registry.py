@@ -13,7 +13,8 @@ SAMPLE = ["events_by_zone", "weather_features", "weather_etl_table", "label_rain
           "coerce_numeric", "date_parts", "latest_batches", "upsert_latest_wins", "upsert_table",
           "ingest_plan", "matrix_heatwave", "impute_median", "stratified_split", "standardize",
           "roc_auc_ovr", "log_loss_multiclass", "drift_ks", "drift_report", "drift_pvalue_exact",
-          "score_log_drift", "ingest_run", "ingest_stream"]
+          "score_log_drift", "ingest_run", "ingest_stream", "weather_features_incremental",
+          "drift_report_stream", "scan_tracks_zip", "scan_paged_orders"]
 
 
 @pytest.fixture(scope="module")
