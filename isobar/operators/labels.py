@@ -46,9 +46,14 @@ def rain_flag(col: Column, high: bool) -> Column:
 
 
 def label_rainfall(df: DataFrame, q: tuple[float, float] = RAIN_QUANTILES,
-                   method: str = "exact", entity: str = "city", time: str = "time") -> DataFrame:
-    """Flags for rain above the entity's own quantiles."""
-    thresholds = rain_thresholds(df, q, method, entity, time)
+                   method: str = "exact", entity: str = "city", time: str = "time",
+                   fit_on: DataFrame | None = None) -> DataFrame:
+    """Flags for rain above the entity's own quantiles.
+
+    Quantiles come from ``fit_on`` if given, for instance the training part; an entity without any
+    has the fixed thresholds.
+    """
+    thresholds = rain_thresholds(df if fit_on is None else fit_on, q, method, entity, time)
     joined = df.join(thresholds, [entity], "left")
     rain = F.col("precipitation")
     return joined.withColumns({

@@ -266,6 +266,12 @@ add("label_heatwave", ctes(STATION, HEAT)
     + "SELECT city, time, temp_max, heatwave_flag, severe_heatwave_flag FROM heat")
 add("label_rainfall", EVENTS
     + "SELECT city, time, precipitation, extreme_rainfall, heavy_rainfall FROM labelled")
+add("label_rainfall_default", ctes(STATION, RAIN) + """
+SELECT d.city, time, precipitation,
+       CAST(COALESCE(precipitation > COALESCE(p95, 50), false) AS INT) AS extreme_rainfall,
+       CAST(COALESCE(precipitation > COALESCE(p99, 100), false) AS INT) AS heavy_rainfall
+FROM station_daily d LEFT JOIN (
+  SELECT * FROM rain WHERE ASCII(RIGHT(city, 1)) % 2 = 0) r ON r.city = d.city""")
 add("label_cyclonic", EVENTS
     + "SELECT city, time, wind_gust_max, pressure_msl_mean, cyclonic_flag FROM labelled")
 BASE = ["city", "zone", "time", "temp_max", "temp_min", "temp_mean", "precipitation",
@@ -437,6 +443,18 @@ add("upsert_table", UPSERT)
 add("new_rows_anti", STATIONS + """
 SELECT city, time, ROUND(precipitation + 1, 2) AS precipitation FROM station_daily
 WHERE time >= DATE '1999-01-01'""")
+add("coverage_plan", STATIONS.rstrip() + """,
+held AS (SELECT city, CAST(time AS DATE) AS day FROM station_daily WHERE DAY(time) NOT IN (7, 8, 21)),
+ends AS (SELECT MIN(CAST(time AS DATE)) - 3 AS first, MAX(CAST(time AS DATE)) + 2 AS last
+         FROM station_daily),
+days AS (SELECT city, CAST(UNNEST(generate_series(CAST(first AS TIMESTAMP), CAST(last AS TIMESTAMP),
+                                                  INTERVAL 1 DAY)) AS DATE) AS day
+         FROM (SELECT DISTINCT city FROM station_daily), ends),
+missing AS (SELECT city, day FROM days ANTI JOIN held USING (city, day)),
+runs AS (SELECT *, day - CAST(ROW_NUMBER() OVER (PARTITION BY city ORDER BY day) AS INT) AS run
+         FROM missing)
+SELECT city, MIN(day) AS fetch_start, MAX(day) AS fetch_end, COUNT(*) AS n_days
+FROM runs GROUP BY city, run""")
 add("ingest_plan", STATIONS.rstrip() + f""",
 extent AS ({EXTENT}),
 ranges AS (SELECT n_name AS city, latest, COALESCE(latest + 1, DATE '1995-01-01') AS a

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from isobar.functions import columns as C
 from isobar.functions import events as E
-from isobar.operators import cyclone, dimension, drift, explore, health, labels, matrices
+from isobar.operators import coverage, cyclone, dimension, drift, explore, health, labels, matrices
 from isobar.operators import metrics, panel, quality, ranking, store, weights
 from isobar.plans import boosted, incremental, ingest, scoring, training, views, weather
 from isobar.plans.views import batch_ledger, dim_station, prediction_log, table, track_points
@@ -97,6 +97,14 @@ def label_rainfall(spark: SparkSession, sf: str) -> DataFrame:
         panel_once(spark, sf).select("city", "time", "precipitation"))
 
 
+@query
+def label_rainfall_default(spark: SparkSession, sf: str) -> DataFrame:
+    """Thresholds learned from some stations only: the others have the fixed ones."""
+    panel = panel_once(spark, sf).select("city", "time", "precipitation")
+    known = panel.where(F.ascii(F.right("city", F.lit(1))) % 2 == 0)
+    return labels.label_rainfall(panel, fit_on=known)
+
+
 @query
 def label_cyclonic(spark: SparkSession, sf: str) -> DataFrame:
     return labels.label_cyclonic(station_daily(spark, sf)).select(
@@ -537,6 +545,20 @@ def new_rows_anti(spark: SparkSession, sf: str) -> DataFrame:
     return store.new_rows(second, first).select("city", "time", "precipitation")
 
 
+@query
+def coverage_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """Days to fetch from stored intervals, which a second batch has extended; no rows are read again."""
+    panel = panel_once(spark, sf).select("city", "time")
+    held = panel.where(~F.dayofmonth("time").isin(7, 8, 21))
+    early = F.year("time") % 2 == 0
+    stored = materialize(coverage.intervals(held.where(early)), "coverage")
+    stored = materialize(coverage.extended(stored, held.where(~early)), "coverage")
+    ends = panel.agg(F.min(F.to_date("time")).alias("a"), F.max(F.to_date("time")).alias("z"))
+    return coverage.holes(panel.select("city").distinct(), stored,
+                          F.date_sub(ends.select("a").scalar(), 3),
+                          F.date_add(ends.select("z").scalar(), 2))
+
+
 @query
 def ingest_plan(spark: SparkSession, sf: str) -> DataFrame:
     return store.plan_ranges(dim_station(spark, sf), station_daily(spark, sf),
