@@ -50,45 +50,63 @@ def _joined(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner"
     return rows.join(F.broadcast(few) if fits else few, keys, how)
 
 
+def _name(tokens: str) -> list[Column]:
+    """A list of tokens as 128 bits, for joins."""
+    return [F.xxhash64(F.lit(k), tokens).alias(f"{tokens}{k}") for k in (1, 2)]
+
+
+def _literal(tokens: str, fixed: int) -> Column:
+    return F.size(F.filter(tokens, lambda w: w != FIELD)) * 100 >= F.size(tokens) * fixed
+
+
 def recurring(found: DataFrame, short_docs: int = SHORT_DOCS, fixed: int = FIXED) -> DataFrame:
-    """The distinct ``leaf, tokens`` of ``found (digest, leaf, tokens)`` that recur."""
+    """``tokens1, tokens2``, the names of the lines of ``found (digest, leaf, tokens)`` that recur."""
     kinds = stored(found.groupBy("leaf", "tokens").agg(*_several())
-                   .withColumn("masked", _masked(F.col("tokens"))), "line-kinds")
-    groups = stored(kinds.groupBy("leaf", "masked").agg(
+                   .withColumn("masked", _masked(F.col("tokens")))
+                   .select("*", *_name("tokens"), *_name("masked")), "line-kinds")
+    groups = stored(kinds.groupBy("leaf", "masked", "masked1", "masked2").agg(
         F.min("low").alias("low"), F.max("high").alias("high"))
         .withColumn("kind", F.monotonically_increasing_id()), "masked-kinds")
-    # Places behind the leading ones; a place that several texts fill alike is fixed.
-    places = groups.select("leaf", "kind", "low", "high", F.posexplode(
+    long = F.size("masked") >= SHORT
+    # A leaf with one masked line has one template; the lines of others are compared by places.
+    crowded = groups.filter(long).groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1")
+    crowded = _joined(groups.filter(long), crowded.select("leaf"), ["leaf"], "left_semi")
+    places = crowded.select("leaf", "kind", "low", "high", F.posexplode(
         F.slice("masked", DEPTH + 1, 1 << 30)).alias("place", "token")).filter(
         F.col("token") != FIELD)
+    # A token that several texts have at a place is fixed there.
     alike = places.groupBy("leaf", "place", "token").agg(
         F.min("low").alias("low"), F.max("high").alias("high")).filter("low != high")
     held = places.select("leaf", "place", "token", "kind").join(
         alike.select("leaf", "place", "token"), ["leaf", "place", "token"]).groupBy("kind").agg(
         F.collect_set("place").alias("held"))
     template = F.transform("masked", lambda w, k: F.when(
-        (w != FIELD) & ((k < DEPTH) | F.coalesce(F.array_contains("held", k - DEPTH), F.lit(False))), w))
-    shaped = stored(groups.join(held, "kind", "left").withColumn("template", template).drop("held"),
+        (k < DEPTH) | F.coalesce(F.array_contains("held", k - DEPTH), F.lit(False)), w)
+        .otherwise(FIELD))
+    shaped = crowded.join(held, "kind", "left").withColumn("template", template).filter(
+        _literal("template", fixed))
+    shaped = stored(shaped.select("leaf", "masked1", "masked2", "low", "high", *_name("template")),
                     "templates")
-    enough = (F.size(F.filter("template", lambda w: w.isNotNull())) * 100
-              >= F.size("template") * fixed)
-    long = F.size("template") >= SHORT
-    several = shaped.filter(long & enough).groupBy("leaf", "template").agg(
-        F.min("low").alias("low"), F.max("high").alias("high")).filter("low != high")
-    follow = shaped.join(several.select("leaf", "template"), ["leaf", "template"], "left_semi")
-
-    def counted(rows: DataFrame, by: str, docs: int) -> DataFrame:
-        return rows.groupBy("leaf", by).agg(F.count_distinct("digest").alias("n")).filter(
-            F.col("n") >= docs).select("leaf", by)
+    group = ["leaf", "template1", "template2"]
+    several = shaped.groupBy(*group).agg(
+        F.min("low").alias("low"), F.max("high").alias("high")).filter("low != high").select(*group)
+    follow = shaped.join(several, group, "left_semi")
+    # A masked line of several texts is its own template, wherever it stands.
+    whole = groups.filter(long & (F.col("low") != F.col("high")) & _literal("masked", fixed))
+
+    def counted(rows: DataFrame, by: str) -> DataFrame:
+        names = [f"{by}1", f"{by}2"]
+        return rows.select(*_name(by), "digest").groupBy(*names).agg(
+            F.count_distinct("digest").alias("n")).filter(F.col("n") >= short_docs).select(*names)
 
     small = found.filter(F.size("tokens") < SHORT).withColumn("masked", _masked(F.col("tokens")))
-    literal = F.size(F.filter("masked", lambda w: w != FIELD)) * 100 >= F.size("masked") * fixed
-    bad = follow.select("leaf", "masked").unionAll(
-        counted(small.filter(literal), "masked", short_docs))
-    exact = kinds.filter((F.size("tokens") >= SHORT) & (F.col("low") != F.col("high"))).select(
-        "leaf", "tokens").unionAll(counted(small, "tokens", short_docs))
-    return (kinds.join(bad.distinct(), ["leaf", "masked"], "left_semi").select("leaf", "tokens")
-            .unionAll(exact).distinct())
+    names = ["masked1", "masked2"]
+    bad = follow.select(*names).unionAll(whole.select(*names)).unionAll(
+        counted(small.filter(_literal("masked", fixed)), "masked")).distinct()
+    exact = kinds.filter((F.size("tokens") >= SHORT) & (F.col("low") != F.col("high")))
+    return (_joined(kinds, bad, names, "left_semi").select("tokens1", "tokens2")
+            .unionAll(exact.select("tokens1", "tokens2")).unionAll(counted(small, "tokens"))
+            .distinct())
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -103,21 +121,24 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
                         F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
     lines = keyed.select("digest", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     leaf = bind(_tokens(F.col("line")), lambda t: F.when(F.size(t) > 0, _leaf(t)))
-    hashed = lines.withColumn("leaf", leaf).filter("leaf IS NOT NULL")
+    hashed = stored(lines.withColumn("leaf", leaf).filter("leaf IS NOT NULL"), "lines")
     busy = hashed.groupBy("leaf").agg(*_several()).filter("low != high").select("leaf")
-    found = stored(_joined(hashed, busy, ["leaf"], "left_semi").select(
-        "digest", "at", "leaf", _tokens(F.col("line")).alias("tokens")), "lines")
-    dropped = _joined(found, recurring(found.select("digest", "leaf", "tokens"),
-                                       short_docs=short_docs, fixed=fixed),
-                      ["leaf", "tokens"], "left_semi").groupBy("digest").agg(
+    found = _joined(hashed, busy, ["leaf"], "left_semi").withColumn("tokens", _tokens(F.col("line")))
+    found = stored(found.select("digest", "at", "leaf", "tokens", *_name("tokens")), "busy-lines")
+    bad = recurring(found.select("digest", "leaf", "tokens"), short_docs, fixed)
+    dropped = _joined(found.select("digest", "at", "tokens1", "tokens2"), bad,
+                      ["tokens1", "tokens2"], "left_semi").groupBy("digest").agg(
         F.collect_set("at").alias("dropped"))
 
-    every = F.split("text", "\n")
-    places = F.sequence(F.lit(0), F.size(every) - 1)
-    kept = F.transform(F.array_except(places, "dropped"), lambda k: F.get(every, k))
-    counted = F.size(F.filter(every, lambda x: x.rlike(r"[^ \t\x0B\f\r]")))
+    def kept(every: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(every) - 1)
+        return F.array_join(F.transform(F.array_except(places, "dropped"),
+                                        lambda k: F.get(every, k)), "\n")
+
+    blank = F.lit(" \t\x0b\f\r")
+    counted = F.size(F.filter(F.split("text", "\n"), lambda x: F.btrim(x, blank) != ""))
     return _joined(keyed, dropped, ["digest"], "left").select(
         "doc", F.coalesce(counted, F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-        .alias("kept_text"))
+        F.when(F.col("dropped").isNull(), F.col("text")).otherwise(
+            bind(F.split("text", "\n"), kept)).alias("kept_text"))
