@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from isobar.llm import copies, simhash, suffixes
+from isobar.llm import copies, ngram_join, simhash, suffixes
 from isobar.llm.components import components
 
 
@@ -120,14 +120,23 @@ def test_all_partners_of_a_large_family_are_tried(spark):
     rng = random.Random(8)
     base = [f"w{rng.randrange(10 ** 6)}" for _ in range(150)]
     docs = []
-    for _ in range(200):  # near the base, but not near each other
+    for _ in range(1_000):  # near the base, but not near each other
         edited = list(base)
         for k in rng.sample(range(150), 3):
             edited[k] = f"x{rng.randrange(10 ** 6)}"
         docs.append(" ".join(edited))
     docs.append(" ".join(base))
     kept = copies.keep_one(spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string"))
-    assert kept.count() <= 0.05 * len(docs)  # recall of the search
+    assert kept.count() <= 2
+
+
+def test_recall_on_the_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    kept = {r["doc_id"] for r in copies.keep_one(docs).collect()}
+    exact = ngram_join.linked_documents(docs, keep=["doc_id"])
+    want = {r["component_id"] for r in exact.select("component_id").distinct().collect()}
+    near = docs.select("text").distinct().count() - len(want)  # copies that are not exact
+    assert want <= kept and len(kept - want) <= 0.05 * near
 
 
 def test_all_points_with_one_fingerprint_are_paired(spark, monkeypatch):
