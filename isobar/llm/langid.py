@@ -91,8 +91,9 @@ def fit(labelled: DataFrame, order: int = ORDER, rows: int = ROWS_PER_LANGUAGE,
         seen = (runs.groupBy("length", "context").agg(F.sum("n").alias("total"))
                 .orderBy(F.desc("total"), "length", "context").limit(contexts))
         table = runs.join(F.broadcast(seen.select("length", "context")), ["length", "context"])
-        return compile_model(table.select("lang", "length", "run", "n").toPandas(),
-                             sorted(share), order)
+        # As Arrow columns: rows of Python objects would be many times larger on the driver.
+        found = table.select("lang", "length", "run", "n").toArrow()
+        return compile_model(found.to_pandas(strings_to_categorical=True), sorted(share), order)
     finally:
         runs.unpersist()
 
@@ -118,7 +119,9 @@ def compile_model(runs, languages: list[str], order: int) -> Model:
             child[parent[at], symbol[context >> 8 * (depth - 1)]] = at
     counts = np.zeros((lost, n_symbols, len(languages)), dtype=np.float32)
     place = {lang: i for i, lang in enumerate(languages)}
-    for lang, length, run, n in zip(runs["lang"], runs["length"], runs["run"], runs["n"]):
+    # Column by column in plain numbers, one at a time.
+    columns = (runs[c].to_numpy() for c in ("length", "run", "n"))
+    for lang, length, run, n in zip(runs["lang"], *columns):
         at = nodes.get((int(length) - 1, int(run) >> 8))
         if at is not None:
             counts[at, symbol[int(run) & 255], place[lang]] = n
