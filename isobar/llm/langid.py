@@ -3,9 +3,13 @@
 Per language a tree of byte contexts of order 0 to ``order`` with symbol counts. A symbol seen in
 the longest known context costs its share there; an unseen one pays the escape and is looked up
 one order lower, down to a uniform byte. Counts are frozen, so a text's exact code length under a
-language is a sum over its bytes, each of which depends on the ``order`` bytes before it. The
-trees of all languages are merged and their costs written out per context and symbol: a batch of
-texts is then scored by walking the merged tree for all bytes at once.
+language is a sum over its bytes, each of which depends on the ``order`` bytes before it.
+
+The trees of all languages are merged and hold every context of the sample. They are kept as sorted
+runs (a context and its symbol): per run the symbol's cost there, escapes included, and the escapes
+that are due when the run is a context in which a symbol is unknown. A byte costs what its longest
+known run says, plus the escapes of the longer contexts. Runs of a part of a batch are looked up
+once each, in order.
 
 Escapes follow method C (as many escapes as distinct symbols seen) without exclusion.
 """
@@ -24,117 +28,124 @@ from pyspark.sql import functions as F
 from isobar.llm.common import beside, slices, utf8
 
 ORDER = 4
-# Bound of the fit: expected labelled rows per language (whole texts), and contexts in the trees.
+# Bound of the fit: expected distinct labelled texts per language, whole texts.
 ROWS_PER_LANGUAGE = 1_000
-CONTEXTS = 12_000
 UNDETERMINED = "und"
 CHUNK = 1 << 18
+# A run is a number, newest byte first, so that its front is the run with fewer bytes before it.
+# A digit of DIGIT bits is the byte plus one, or zero where the text has not begun.
+DIGIT = 9
 
 
 @dataclass
 class Model:
-    """The merged tree. Node 0 is the empty context, the last node means "no such context"."""
+    """The merged trees. Row 0 of both tables belongs to the empty run, row i + 1 to ``runs[i]``."""
 
     languages: list[str]
     order: int
-    symbol: np.ndarray  # byte -> symbol; the last two symbols are "never seen" and "no byte"
-    child: np.ndarray  # (node, older symbol) -> node
-    bits: np.ndarray  # (node, symbol) -> code length per language
+    runs: np.ndarray  # sorted, therefore by length; every run of a known run is known
+    bits: np.ndarray  # code length per language of the newest byte behind the others
+    escapes: np.ndarray  # bits per language of all escapes if the run is a context
 
+    def cuts(self) -> np.ndarray:
+        """Where the runs of each length start and the last ones end."""
+        return np.searchsorted(self.runs, [1 << DIGIT * k for k in range(self.order + 2)])
 
-def _grams(texts: pa.Array, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Counts of runs of 1 to ``order + 1`` bytes inside the texts, as (length, run, count)."""
-    data, starts = utf8(texts)
-    end_of = np.repeat(starts[1:], np.diff(starts))
-    run = np.zeros(len(data), dtype=np.int64)
+
+def _runs(data: np.ndarray, back: np.ndarray, first: int, order: int) -> np.ndarray:
+    """The runs of ``order + 1`` bytes that end at ``first`` and the places behind it.
+
+    ``back``: how many bytes of its text precede each place.
+    """
+    out = np.zeros(len(back), dtype=np.int64)
+    at = np.arange(first, first + len(back))
     for k in range(order + 1):
-        if len(data) <= k:
-            return
-        run = (run[:len(data) - k] << 8) | data[k:]
-        inside = np.arange(len(run)) + k < end_of[:len(run)]
-        found, n = np.unique(run[inside], return_counts=True)
-        yield k + 1, found, n
+        digit = data[np.maximum(at - k, 0)].astype(np.int64) + 1
+        out |= np.where(back >= k, digit, 0) << DIGIT * (order - k)
+    return out
 
 
 def count_runs(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+    """Counts of all runs of 1 to ``order + 1`` bytes inside texts of a language."""
     for batch in batches:
         langs = batch.column(0)
         for lang in langs.unique().to_pylist():
             texts = batch.column(1).filter(pa.compute.equal(langs, lang))
             for at, rows in slices(texts, CHUNK):
-                for length, run, n in _grams(texts.slice(at, rows), order):
+                data, starts = utf8(texts.slice(at, rows))
+                back = np.arange(len(data)) - np.repeat(starts[:-1], np.diff(starts))
+                whole = _runs(data, back, 0, order)
+                for length in range(1, order + 2):
+                    inside = whole[back >= length - 1] >> DIGIT * (order + 1 - length)
+                    run, n = np.unique(inside, return_counts=True)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(run)), pa.array([length] * len(run), pa.int32()),
-                         pa.array(run), pa.array(n, pa.int64())], ["lang", "length", "run", "n"])
+                        [pa.array(np.full(len(run), lang, dtype=np.int32)), pa.array(run),
+                         pa.array(n, pa.int64())], ["lang", "run", "n"])
 
 
-def fit(labelled: DataFrame, order: int = ORDER, rows: int = ROWS_PER_LANGUAGE,
-        contexts: int = CONTEXTS) -> Model:
+def fit(labelled: DataFrame, order: int = ORDER, rows: int = ROWS_PER_LANGUAGE) -> Model:
     """A model from rows ``(lang, text)``; rows with a null in either are left out.
 
-    Learns from about ``rows`` rows per language, chosen by a hash of the text, and keeps the
-    ``contexts`` most frequent contexts. Without a labelled row it knows no language, so that
-    every text is undetermined.
+    Learns from about ``rows`` distinct texts per language, chosen by a hash of the text, so that
+    copies of a chosen text add nothing, and keeps all of their contexts. Without a labelled row it
+    knows no language, and every text is undetermined. ``order`` is 5 at most.
     """
     rest = labelled.select(F.col("lang").cast("string"), "text").dropna()
-    share = {r["lang"]: min(1.0, rows / r["n"])
-             for r in rest.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not share:
+    share = {r["lang"]: min(1.0, rows / max(r["n"], 1))
+             for r in rest.groupBy("lang").agg(
+                 F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()}
+    languages = sorted(share)
+    if not languages:
         return Model([], order, *(np.zeros(0) for _ in range(3)))
-    limit = F.element_at(F.create_map(*[F.lit(x) for p in share.items() for x in p]), F.col("lang"))
-    sample = rest.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < limit * 1_000_000)
-    runs = (sample.mapInArrow(lambda it: count_runs(it, order),
-                              "lang string, length int, run bigint, n bigint")
-            .groupBy("lang", "length", "run").agg(F.sum("n").alias("n")))
-    runs = runs.withColumn("context", F.shiftright("run", 8)).persist()
-    try:
-        seen = (runs.groupBy("length", "context").agg(F.sum("n").alias("total"))
-                .orderBy(F.desc("total"), "length", "context").limit(contexts))
-        table = runs.join(F.broadcast(seen.select("length", "context")), ["length", "context"])
-        # As Arrow columns: rows of Python objects would be many times larger on the driver.
-        found = table.select("lang", "length", "run", "n").toArrow()
-        return compile_model(found.to_pandas(strings_to_categorical=True), sorted(share), order)
-    finally:
-        runs.unpersist()
-
-
-def compile_model(runs, languages: list[str], order: int) -> Model:
-    """Write the trees out as tables. ``runs``: lang, length, run (bytes as a number), n."""
-    used = np.unique(runs["run"].to_numpy() & 255)
-    n_symbols = len(used) + 2
-    symbol = np.full(256, n_symbols - 2, dtype=np.int64)
-    symbol[used] = np.arange(len(used))
-    nodes: dict[tuple[int, int], int] = {(0, 0): 0}
-    parent = [0]
-    known = sorted(set(zip((runs["length"] - 1).tolist(), (runs["run"].to_numpy() >> 8).tolist())))
-    for depth, context in known:
-        shorter = (depth - 1, context & ((1 << 8 * (depth - 1)) - 1)) if depth else None
-        if depth and shorter in nodes:
-            nodes[(depth, context)] = len(parent)
-            parent.append(nodes[shorter])
-    lost = len(parent)
-    child = np.full((lost + 1, n_symbols), lost, dtype=np.int32)
-    for (depth, context), at in nodes.items():
-        if depth:
-            child[parent[at], symbol[context >> 8 * (depth - 1)]] = at
-    counts = np.zeros((lost, n_symbols, len(languages)), dtype=np.float32)
-    place = {lang: i for i, lang in enumerate(languages)}
-    # Column by column in plain numbers, one at a time.
-    columns = (runs[c].to_numpy() for c in ("length", "run", "n"))
-    for lang, length, run, n in zip(runs["lang"], *columns):
-        at = nodes.get((int(length) - 1, int(run) >> 8))
-        if at is not None:
-            counts[at, symbol[int(run) & 255], place[lang]] = n
-    bits = np.empty((lost + 1, n_symbols, len(languages)), dtype=np.float32)
-    for at in range(lost):  # parents come first
-        lower = bits[parent[at]] if at else np.float32(8.0)
-        total, kinds = counts[at].sum(axis=0), (counts[at] > 0).sum(axis=0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            here = np.log2(total + kinds) - np.log2(counts[at])
-            escape = np.where(total > 0, np.log2(total + kinds) - np.log2(kinds), 0.0)
-        bits[at] = np.where(counts[at] > 0, here, escape + lower)
-    bits[lost] = bits[0]
-    return Model(languages, order, symbol, child, bits)
+    place = {lang: (i, share[lang]) for i, lang in enumerate(languages)}
+    by_lang = F.create_map(*[c for lang, (i, part) in place.items() for c in (
+        F.lit(lang), F.struct(F.lit(i).alias("i"), F.lit(part).alias("part")))])[F.col("lang")]
+    sample = (rest.select(by_lang.alias("l"), "text")
+              .filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.col("l.part") * 1_000_000)
+              .select(F.col("l.i").alias("lang"), "text").distinct())
+    counts = (sample.mapInArrow(lambda it: count_runs(it, order), "lang int, run bigint, n bigint")
+              .groupBy("lang", "run").agg(F.sum("n").alias("n")))
+    # As Arrow columns: rows of Python objects would be many times larger on the driver.
+    found = counts.toArrow()
+    return compile_model(*(found.column(c).to_numpy() for c in ("lang", "run", "n")),
+                         languages, order)
+
+
+def compile_model(lang: np.ndarray, run: np.ndarray, n: np.ndarray, languages: list[str],
+                  order: int) -> Model:
+    """Write the trees out as tables. A row: the place of a language, a run, its count."""
+    runs = np.unique(run)
+    counts = np.zeros((len(runs) + 1, len(languages)), dtype=np.float32)
+    counts[np.searchsorted(runs, run) + 1, lang] = n
+    bits, escapes = np.zeros_like(counts), np.zeros_like(counts)
+    model = Model(languages, order, runs, bits, escapes)
+    cuts = model.cuts()
+    contexts, shorter = slice(0, 1), np.zeros(1, dtype=np.int64)  # one order up; without a byte
+    for length in range(1, order + 2):
+        mine = slice(cuts[length - 1] + 1, cuts[length] + 1)
+        keys = runs[cuts[length - 1]:cuts[length]]
+        context = np.searchsorted(runs, keys & ((1 << DIGIT * (length - 1)) - 1)) + 1
+        lower = np.searchsorted(runs, keys >> DIGIT) + 1
+        if length == 1:
+            context, lower = np.zeros_like(context), np.zeros_like(lower)
+        for j in range(len(languages)):
+            here = counts[mine, j]
+            size = contexts.stop - contexts.start
+            total = np.bincount(context - contexts.start, here, size)
+            kinds = np.bincount(context - contexts.start, here > 0, size)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                whole = np.log2(total + kinds)
+                escape = np.where(total > 0, whole - np.log2(kinds), 0.0)
+                known = whole[context - contexts.start] - np.log2(here)
+            if length == 1:
+                bits[0, j] = 8.0 + escape[0]
+                below = 8.0
+            else:
+                escapes[contexts, j] = escape + escapes[shorter, j]
+                below = bits[lower, j]
+            bits[mine, j] = np.where(here > 0, known, escape[context - contexts.start] + below)
+        contexts, shorter = mine, lower
+    return model
 
 
 def code_lengths(model: Model, texts: pa.Array) -> np.ndarray:
@@ -142,23 +153,33 @@ def code_lengths(model: Model, texts: pa.Array) -> np.ndarray:
     data, starts = utf8(texts)
     lengths = np.diff(starts)
     total = np.zeros((len(lengths), len(model.languages)))
-    n_symbols, lost = model.child.shape[1], len(model.child) - 1
-    child, bits = model.child.ravel(), model.bits.reshape(-1, len(model.languages))
-    symbols = model.symbol[data]
     doc = np.repeat(np.arange(len(lengths)), lengths)
+    order, cuts = model.order, model.cuts()
     for first in range(0, len(data), CHUNK):  # bounded memory, also for one very long text
+        lead = max(first - 1, 0)  # the byte before, whose run is the context of the first one
         last = min(first + CHUNK, len(data))
-        owner = doc[first:last]
-        back = np.arange(first, last) - starts[owner]
-        node, best = np.zeros(last - first, dtype=np.int64), np.zeros(last - first, dtype=np.int64)
-        for k in range(1, model.order + 1):
-            older = symbols[np.maximum(np.arange(first - k, last - k), 0)]
-            older[back < k] = n_symbols - 1
-            node = child[node * n_symbols + older]
-            best = np.where(node == lost, best, node)
-        cost = bits[best * n_symbols + symbols[first:last]]
-        cuts = np.flatnonzero(np.diff(owner, prepend=-1))
-        np.add.at(total, owner[cuts], np.add.reduceat(cost, cuts, axis=0, dtype=np.float64))
+        back = np.arange(lead, last) - starts[doc[lead:last]]
+        distinct, at = np.unique(_runs(data, back, lead, order), return_inverse=True)
+        known = np.zeros(len(distinct), dtype=np.int64)  # length of the longest known run
+        row = np.zeros((order + 2, len(distinct)), dtype=np.int64)  # by length
+        for length in range(1, order + 2):
+            low, high = cuts[length - 1:length + 1]
+            run = distinct >> DIGIT * (order + 1 - length)
+            place = low + np.searchsorted(model.runs[low:high], run)
+            hit = (place < high) & (model.runs[np.minimum(place, len(model.runs) - 1)] == run)
+            row[length] = np.where(hit, place + 1, 0)
+            known += hit
+        best = model.bits[row[known, np.arange(len(distinct))]]
+        before = np.concatenate([at[:1], at[:-1]])
+        context = np.where(back > 0, np.minimum(known[before], order), 0)
+        seen = np.maximum(known[at] - 1, 0)
+        cost = best[at]
+        left = np.flatnonzero(context > seen)
+        cost[left] += (model.escapes[row[context[left], before[left]]]
+                       - model.escapes[row[seen[left], before[left]]])
+        cost, owner = cost[first - lead:], doc[first:last]
+        heads = np.flatnonzero(np.diff(owner, prepend=-1))
+        np.add.at(total, owner[heads], np.add.reduceat(cost, heads, axis=0, dtype=np.float64))
     return total
 
 

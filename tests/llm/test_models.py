@@ -57,6 +57,17 @@ def test_chunks_of_a_long_text_add_up(spark, monkeypatch):
     assert np.allclose(langid.code_lengths(model, probe), whole)
 
 
+def test_every_context_is_kept_and_copies_add_nothing(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefghij klmnop", k=400)) for _ in range(60)]
+    schema = "lang string, text string"
+    model = langid.fit(spark.createDataFrame([("x", t) for t in texts], schema))
+    again = langid.fit(spark.createDataFrame([("x", t) for t in texts + texts[:1] * 5_000], schema))
+    runs = {t[i:i + k] for t in texts for k in range(1, 6) for i in range(len(t) - k + 1)}
+    assert len(model.runs) == len(runs) and len(runs) > 12_000
+    assert np.array_equal(model.runs, again.runs) and np.array_equal(model.bits, again.bits)
+
+
 def test_languages_of_held_out_rows(spark):
     found = QUERIES["op2_language_id"](spark, SMALL).toPandas()
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "lang").toPandas()
