@@ -3,9 +3,10 @@
 Every source gets a target in words. A document is taken ``floor(f)`` times for sure and once more
 with probability ``f - floor(f)``, ``f`` being its source's target over its size. The cube method
 turns these probabilities into a sample: in the flight phase they move along the null space of the
-constraints (number of documents and of words, three documents at a time) until all but two of a
-block are 0 or 1, with both totals unchanged. What remains of all blocks is dealt into new, fewer
-blocks; only the last block of a source is landed by giving up one constraint after the other.
+constraints (number of documents and of words; the longest open document against all shorter ones)
+until all but two of a block are 0 or 1, with both totals unchanged. What remains of all blocks is
+dealt into new, fewer blocks; only the last block of a source is landed by giving up one constraint
+after the other.
 """
 
 from __future__ import annotations
@@ -55,41 +56,69 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float
                                                                 F.col("cap"))).alias("target")))
 
 
-def _move(prob: list[float], at: Sequence[int], u: Sequence[float], draw: float) -> None:
-    """A random step along ``u`` or against it, until a probability is 0 or 1; its mean is zero."""
-    ahead = min((1 - prob[i]) / d if d > 0 else prob[i] / -d for i, d in zip(at, u) if d)
-    back = min(prob[i] / d if d > 0 else (1 - prob[i]) / -d for i, d in zip(at, u) if d)
-    step = ahead if draw * (ahead + back) < back else -back
-    for i, d in zip(at, u):
-        x = prob[i] + step * d
-        prob[i] = 0.0 if x < 1e-9 else 1.0 if x > 1 - 1e-9 else x
+def _reach(prob: np.ndarray, u: np.ndarray) -> float:
+    """How far the probabilities can go along ``u`` until one of them is 0 or 1."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        room = np.where(u > 0, (1 - prob) / u, np.where(u < 0, -prob / u, np.inf))
+    return float(room.min())
+
+
+def _direction(prob: np.ndarray, size: np.ndarray, both: bool) -> np.ndarray | None:
+    """A step of the first text that all others make up for: in words and, if ``both``, in number.
+
+    Others move by the room they have on both sides. None if nothing can make up for the first.
+    """
+    room = np.minimum(prob[1:], 1 - prob[1:])
+    if not both:
+        words = room @ size[1:]
+        return np.r_[1.0, -size[0] * room / words] if words > 0 else None
+    share = room / room.sum()
+    away = size[1:] - share @ size[1:]
+    if size[1:].min() == size[1:].max():
+        return np.r_[1.0, -share] if size[0] == size[1] else None
+    lean = (size[0] - share @ size[1:]) / (share @ away ** 2)
+    return np.r_[1.0, -share * (1 + lean * away)]
 
 
 def flight(prob: Sequence[float], size: Sequence[float], rng: np.random.Generator,
            land: bool) -> list[float]:
-    """The probabilities after the flight phase: at most two lie between 0 and 1, none if landed."""
-    prob, open_ = list(map(float, prob)), []
-    for i in range(len(prob)):
-        if not 0 < prob[i] < 1:
+    """The probabilities after the flight phase: at most two lie between 0 and 1, none if landed.
+
+    Texts are decided in the given order, long ones first, while many shorter ones can make up for
+    them: every step moves the first open text against all others, along the null space of both
+    constraints, and has mean zero. The landing gives up the number of documents first, then the
+    words. It starts where a text cannot be decided at once within both constraints, but can within
+    that of the words: later, too few open texts would be left to make up for it.
+    """
+    prob, size = np.array(prob, dtype=np.float64), np.asarray(size, dtype=np.float64)
+    open_ = np.flatnonzero((prob > 0) & (prob < 1))
+    left = []  # a text that nothing can make up for: all others have the same other length
+    while len(open_) > (1 if land or left else 2):
+        p, s = prob[open_], size[open_]
+        u = _direction(p, s, True)
+        if land and (u is None or _reach(p, u) < 1 - p[0] or _reach(p, -u) < p[0]):
+            v = _direction(p, s, False)
+            if u is None or (v is not None and _reach(p, v) >= 1 - p[0]
+                             and _reach(p, -v) >= p[0]):
+                u = v
+        if u is None:
+            left.append(open_[0])
+            open_ = open_[1:]
             continue
-        open_.append(i)
-        if len(open_) == 3:
-            a, b, c = (size[k] for k in open_)
-            u = (b - c, c - a, a - b) if a != b or b != c else (1.0, -1.0, 0.0)
-            _move(prob, open_, u, rng.random())
-            open_ = [k for k in open_ if 0 < prob[k] < 1]
-    if land and len(open_) == 2:  # the number of documents is given up first, then of words
-        a, b = (max(size[k], 1) for k in open_)
-        _move(prob, open_, (1.0 / a, -1.0 / b), rng.random())
-        open_ = [k for k in open_ if 0 < prob[k] < 1]
-    if land and open_:
-        prob[open_[0]] = float(rng.random() < prob[open_[0]])
-    return prob
+        ahead, back = _reach(p, u), _reach(p, -u)
+        p = p + (ahead if rng.random() * (ahead + back) < back else -back) * u
+        p[p < 1e-9], p[p > 1 - 1e-9] = 0.0, 1.0
+        prob[open_] = p
+        open_ = open_[(p > 0) & (p < 1)]
+    if land:
+        for k in [*left, *open_]:
+            prob[k] = float(rng.random() < prob[k])
+    return prob.tolist()
 
 
 def _solver(names: Sequence[str], seed: int, level: int, land: bool):
     def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        # Long texts first, so that short ones remain.
+        # Long texts first, so that short ones remain to make up for them.
         rows = rows.sort_values(["words", "uid2", "uid1"], ascending=[False, True, True])
         name = np.frombuffer(str(key[0]).encode(), dtype=np.uint8)
         rng = np.random.default_rng([seed, level, int(key[1]), *name.tolist()])

@@ -48,6 +48,20 @@ def test_flight_keeps_both_totals_and_all_probabilities():
     assert mean == pytest.approx(small, abs=0.03)
 
 
+def test_landing_of_few_texts_of_very_different_lengths():
+    """50 texts, the longest of 13 times the median, end near their words, with unchanged means."""
+    size = np.sort(np.ceil(np.exp(np.random.default_rng(7).normal(6, 1.1, 50))))[::-1]
+    prob = np.full(50, 0.37)
+    drawn = np.array([mixing.flight(prob, size, np.random.default_rng(k), land=True)
+                      for k in range(600)])
+    words = np.abs((drawn - prob) @ size) / (prob @ size)
+    assert words.mean() < 0.01 and np.quantile(words, 0.95) < 0.03
+    assert np.abs(drawn.sum(axis=1) - prob.sum()).mean() < 6
+    assert drawn.mean(axis=0) == pytest.approx(prob, abs=0.1)
+    lone = np.array(mixing.flight([0.5] * 4, [9, 2, 2, 2], np.random.default_rng(1), land=False))
+    assert ((lone > 0) & (lone < 1)).sum() <= 2 and lone.sum() == pytest.approx(2)
+
+
 @pytest.mark.parametrize("block", [2_000, 40])
 def test_mix_comes_near_its_targets(spark, block):
     docs = spark.range(3_000).selectExpr(
