@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from isobar.functions.events import (argmax_class, category_text, confidence, positive,
                                      probability_map, severity_band)
+from isobar.operators.forest import Forest
 from isobar.operators.quality import validate_features
 from isobar.schemas import (CYCLONE_FEATURES, CYCLONE_RULES, HEATWAVE_FEATURES, HEATWAVE_RULES,
                             RAINFALL_FEATURES, RAINFALL_RULES, Rule)
@@ -47,7 +48,7 @@ def decide(df: DataFrame, task: str, probabilities: str = "probabilities") -> Da
     return df.withColumns(rule(F.get(p, 1))).drop(probabilities)
 
 
-def score(model: PipelineModel, df: DataFrame, task: str) -> tuple[DataFrame, DataFrame]:
+def score(model: PipelineModel | Forest, df: DataFrame, task: str) -> tuple[DataFrame, DataFrame]:
     """(scored rows with decisions, quarantined rows with the rules they break)."""
     valid, quarantine = validate_features(df, RULES[task])
     scored = model.transform(valid).withColumn("probabilities", vector_to_array("probability"))

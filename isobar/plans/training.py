@@ -14,6 +14,8 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isobar.operators import forest
+from isobar.operators.forest import Forest
 from isobar.operators.matrices import cyclone_matrix, heatwave_matrix, rainfall_matrix, split_test
 from isobar.operators.metrics import (binary_metrics, classification_metrics,
                                       multiclass_metrics, ranked_importances)
@@ -102,23 +104,32 @@ def bounded(df: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
 
 
 def fit(df: DataFrame, task: str, contract: Sequence[str] | None = None, balanced: bool = True,
-        rows: int = FIT_ROWS, **params: float) -> PipelineModel:
-    """Fit a task's pipeline on a matrix with ``label``, of which it takes about ``rows`` rows."""
+        rows: int = FIT_ROWS, **params: float) -> PipelineModel | Forest:
+    """Fit a task's learner on a matrix with ``label``, of which it takes about ``rows`` rows.
+
+    The forests are those of ``operators.forest``, whose trees grow side by side: the trees of
+    ``pyspark.ml`` grow together, with many passes whose sums and nodes meet on the driver.
+    """
     contract = list(contract or CONTRACTS[task])
     ready = bounded(align_features(df, contract, ["label"]), rows)
+    if task != "heatwave":
+        p = _params(task, params)
+        return forest.fit(ready, contract, forest.Settings(
+            CLASSES[task], p["n_estimators"], p["max_depth"], MIN_SPLIT[task] // 2, balanced,
+            p.get("subsample", 1.0), p["random_state"]), 2 * rows)
     if balanced:
         ready = with_weights(ready, task)
     return build_estimator(task, contract, "weight" if balanced else None, **params).fit(ready)
 
 
-def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
+def predict(model: PipelineModel | Forest, df: DataFrame) -> DataFrame:
     """Add ``prediction`` (class) and ``probabilities`` (array)."""
     out = model.transform(df).withColumn("probabilities", vector_to_array("probability"))
     return (out.withColumn("prediction", F.col("prediction").cast("int"))
             .drop("raw_features", "features", "rawPrediction", "probability"))
 
 
-def evaluate(model: PipelineModel, df: DataFrame, task: str) -> DataFrame:
+def evaluate(model: PipelineModel | Forest, df: DataFrame, task: str) -> DataFrame:
     """Metrics of a model on a matrix as (metric, value) rows."""
     return measure(predict(model, df), task)
 
@@ -157,7 +168,7 @@ def train(processed: DataFrame, task: str, run_id: str, test: float = 0.2,
 
 def train_all(processed: Mapping[str, DataFrame], run_id: str,
               params: Mapping[str, Mapping[str, float]] | None = None
-              ) -> tuple[dict[str, PipelineModel], DataFrame]:
+              ) -> tuple[dict[str, PipelineModel | Forest], DataFrame]:
     """Train every task that has a processed frame; one metrics table for all."""
     models, tables = {}, []
     for task, frame in processed.items():
@@ -169,9 +180,10 @@ def train_all(processed: Mapping[str, DataFrame], run_id: str,
     return models, metrics
 
 
-def importances(model: PipelineModel, contract: Sequence[str]) -> DataFrame:
+def importances(model: PipelineModel | Forest, contract: Sequence[str]) -> DataFrame:
     """Contract features ranked by the learner's importance."""
-    values = model.stages[-1].featureImportances.toArray()
+    values = (model.importances() if isinstance(model, Forest)
+              else model.stages[-1].featureImportances.toArray())
     pairs = [(name, float(v)) for name, v in zip(contract, values)]
     spark = SparkSession.active()
     return ranked_importances(spark.createDataFrame(pairs, "feature string, importance double"))
@@ -260,9 +272,12 @@ def ablation(processed: DataFrame, task: str, feature: str, **params: float) ->
     return rows
 
 
-def save(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save(model: PipelineModel | Forest, path: str) -> None:
+    if isinstance(model, Forest):
+        model.save(path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load(path: str) -> PipelineModel | Forest:
+    return forest.load(SparkSession.active(), path) or PipelineModel.load(path)
