@@ -8,7 +8,9 @@ are dealt, and neither do the trees.
 
 Rows lie in blocks of up to ``BLOCK_ROWS``, columns end to end. The sums of several blocks are added
 up by Spark, one job per level; only sums come to the driver, whose number depends on nodes,
-features and bins but not on rows. A fit of a single block runs inside one task.
+features and bins but not on rows. A fit of a single block runs inside one task, or, with a tree per
+class and many rows, in tasks that grow the trees of some classes each and tell each other the trees of
+a round.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from dataclasses import asdict, dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +33,8 @@ BLOCK_ROWS = 1 << 20
 # Rounds after which the margins of all rows are written down again, if there are several blocks.
 REWRITE = 20
 ACCURACY = 100_000
+# Rows from which the classes of a block are grown in tasks of their own: to meet takes a second a round.
+SIDE_ROWS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -132,12 +137,16 @@ def _spread(x: np.ndarray) -> np.ndarray:
 
 
 class Rows:
-    """The rows of one block, and where they stand in the trees of the current round."""
+    """The rows of one block, and where they stand in the trees of the current round.
+
+    ``own`` are the margins whose trees are grown here, all unless it is set.
+    """
 
     def __init__(self, bins: np.ndarray, label: np.ndarray, draw: np.ndarray, margin: np.ndarray,
                  settings: Settings):
         self.bins, self.label, self.draw = bins, label, draw
         self.margin, self.settings = margin, settings
+        self.own = list(range(settings.margins))
 
     def start(self, no: int) -> None:
         """Gradients and hessians of round ``no``; rows that it leaves out stand nowhere."""
@@ -147,9 +156,10 @@ class Rows:
             p = p[:, 1:]
             g, h = (p - (self.label == 1)[:, None]) * weight, p * (1 - p) * weight
         else:
-            g, h = p - (self.label[:, None] == np.arange(s.classes)), 2 * p * (1 - p)
+            p = p[:, self.own]
+            g, h = p - (self.label[:, None] == np.array(self.own)), 2 * p * (1 - p)
         self.sums = np.rint(np.stack((g, h)) / STEP)
-        self.at = np.zeros(self.margin.shape, dtype=np.int64)
+        self.at = np.zeros((len(self.label), len(self.own)), dtype=np.int64)
         if s.subsample < 1:
             seed = ((s.random_state << 20) + no + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
             drawn = _spread(self.draw + np.uint64(seed)) >> np.uint64(11)
@@ -237,14 +247,18 @@ def choose(sums: np.ndarray, able: np.ndarray, totals: np.ndarray | None, allowe
 Histograms = Callable[[int, list[list[Level]], list[np.ndarray]], list[np.ndarray]]
 
 
-def _round(no: int, histograms: Histograms, s: Settings, n_features: int) -> list[Tree]:
-    """One tree per margin. ``histograms`` gives the sums for the levels so far."""
+def _round(no: int, histograms: Histograms, s: Settings, n_features: int,
+           own: Sequence[int] | None = None) -> list[Tree]:
+    """One tree per margin, or for the margins ``own``. ``histograms`` gives the sums for the levels so
+    far."""
     rng = np.random.default_rng([s.random_state, no])
     allowed = np.zeros((s.margins, n_features), dtype=bool)
-    for own in allowed:
-        own[rng.permutation(n_features)[:max(int(s.colsample_bytree * n_features), 1)]] = True
-    trees: list[Tree] = [[] for _ in range(s.margins)]
-    levels, totals = [], [None] * s.margins
+    for own_features in allowed:
+        own_features[rng.permutation(n_features)[:max(int(s.colsample_bytree * n_features), 1)]] = True
+    if own is not None:
+        allowed = allowed[list(own)]
+    trees: list[Tree] = [[] for _ in allowed]
+    levels, totals = [], [None] * len(allowed)
     for depth in range(s.max_depth):
         able = [np.ones(1, bool) if t is None else t[1] * STEP >= 2 * s.min_child_weight
                 for t in totals]
@@ -260,8 +274,8 @@ def _round(no: int, histograms: Histograms, s: Settings, n_features: int) -> lis
     return trees
 
 
-def fit_rows(rows: Rows) -> list[list[Tree]]:
-    """All rounds over rows that are at hand."""
+def fit_rows(rows: Rows, told: Callable[[list[Tree]], list[Tree]] = lambda own: own) -> list[list[Tree]]:
+    """All rounds over rows that are at hand. ``told`` makes of the own trees of a round all of them."""
     def histograms(no: int, levels: list[list[Level]], able: list[np.ndarray]) -> list[np.ndarray]:
         if levels:
             rows.move(levels[-1])
@@ -271,7 +285,7 @@ def fit_rows(rows: Rows) -> list[list[Tree]]:
 
     rounds = []
     for no in range(rows.settings.n_estimators):
-        rounds.append(_round(no, histograms, rows.settings, len(rows.bins)))
+        rounds.append(told(_round(no, histograms, rows.settings, len(rows.bins), rows.own)))
         rows.finish(rounds[-1])
     return rounds
 
@@ -355,10 +369,58 @@ def some(rows: Rows, keep: np.ndarray) -> Rows:
                 rows.margin[keep].copy(), rows.settings)
 
 
+def _side_by_side(table: DataFrame, model: Boosted, tasks: int) -> Boosted:
+    """Fit ``model`` on the only block of ``table`` in ``tasks`` tasks that run at the same time.
+
+    Every task holds the block, grows the trees of its margins, and gets those of the others after
+    each round, so that all know all margins. Only trees are exchanged.
+    """
+    s, spark = model.settings, table.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = [row for batch in batches for row in batch.to_pylist()]  # one, as a rule
+        own = sorted(k for row in given for k in range(row["part"], s.margins, tasks))
+        context = BarrierTaskContext.get()
+
+        def told(trees: list[Tree]) -> list[Tree]:
+            found = {}
+            for text in context.allGather(json.dumps(list(zip(own, map(_listed, trees))))):
+                found |= {k: _tree(tree) for k, tree in json.loads(text)}
+            return [found[k] for k in range(s.margins)]
+
+        if not given:  # the others wait for every task
+            for _ in range(s.n_estimators):
+                told([])
+            return
+        rows, _ = unpacked(given[0], s)
+        rows.own = own
+        rounds = fit_rows(rows, told)
+        if 0 in own:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([dumps(Boosted(model.features, model.cuts, s, rounds))])], ["model"])
+
+    parts = spark.createDataFrame([(k, 0) for k in range(tasks)], "part int, block int")
+    dealt = parts.join(table, "block").repartitionByRange(tasks, "part")
+    found = materialize(dealt.mapInArrow(run, "model string", barrier=True), "model")
+    return loads(found.first()["model"])
+
+
+def _together(spark: SparkSession, margins: int) -> int:
+    """How many tasks are sure to run at the same time, ``margins`` at most."""
+    if spark.conf.get("spark.dynamicAllocation.enabled", "false") == "true":
+        return 1  # executors come and go
+    return min(margins, spark.sparkContext.defaultParallelism)
+
+
 def fit_blocks(table: DataFrame, model: Boosted) -> Boosted:
-    """Fit ``model`` on a table of :func:`blocks`, in one task if it has one block."""
+    """Fit ``model`` on a table of :func:`blocks`, without sums by Spark if it has one block."""
     s = model.settings
-    if table.count() <= 1:
+    sizes = [r["n"] for r in table.select("n").collect()]
+    if len(sizes) <= 1:
+        tasks = _together(table.sparkSession, s.margins)
+        if tasks > 1 and sizes and sizes[0] >= SIDE_ROWS:
+            return _side_by_side(table, model, tasks)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
@@ -454,17 +516,23 @@ def dumps(model: Boosted) -> str:
     return json.dumps({
         "features": model.features, "cuts": [c.tolist() for c in model.cuts],
         "settings": asdict(model.settings),
-        "rounds": [[[[getattr(x, c).tolist() for c in LEVEL] for x in tree] for tree in trees]
-                   for trees in model.rounds]})
+        "rounds": [[_listed(tree) for tree in trees] for trees in model.rounds]})
 
 
 LEVEL = {"feature": int, "bin": int, "missing_left": bool, "child": int, "value": float, "gain": float}
 
 
+def _listed(tree: Tree) -> list:
+    return [[getattr(x, c).tolist() for c in LEVEL] for x in tree]
+
+
+def _tree(raw: list) -> Tree:
+    return [Level(*(np.array(v, dtype=t) for v, t in zip(x, LEVEL.values()))) for x in raw]
+
+
 def loads(text: str) -> Boosted:
     raw = json.loads(text)
-    rounds = [[[Level(*(np.array(v, dtype=t) for v, t in zip(x, LEVEL.values()))) for x in tree]
-               for tree in trees] for trees in raw["rounds"]]
+    rounds = [[_tree(tree) for tree in trees] for trees in raw["rounds"]]
     return Boosted(raw["features"], [np.array(c, dtype=float) for c in raw["cuts"]],
                    Settings(**raw["settings"]), rounds)
 

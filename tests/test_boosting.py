@@ -110,6 +110,23 @@ def test_sums_of_several_blocks_give_the_same_trees(spark, monkeypatch, classes)
     assert boosting.nodes_table(spark, one).where("feature >= 0").count() > 10
 
 
+def test_classes_grown_in_tasks_of_their_own_give_the_same_trees(spark, monkeypatch):
+    df = frame(spark, samples(400, 4))
+    settings = Settings(classes=4, n_estimators=4, max_depth=4, subsample=0.8, colsample_bytree=0.7,
+                        bins=16)
+    one = boosting.fit(df, FEATURES, settings)
+    monkeypatch.setattr(boosting, "SIDE_ROWS", 1)
+    for tasks in (4, 3):
+        monkeypatch.setattr(boosting, "_together", lambda *_: tasks)
+        side = boosting.fit(df, FEATURES, settings)
+        assert boosting.dumps(side) == boosting.dumps(one)
+
+
+def test_a_fit_of_many_rows_uses_a_task_per_class(spark):
+    assert boosting._together(spark, 6) == min(6, spark.sparkContext.defaultParallelism) > 1
+    assert boosting._together(spark, 1) == 1
+
+
 def test_learns_and_stores(spark, tmp_path):
     df = frame(spark, samples(600, 3))
     model = boosting.fit(df.where("k < 400"), FEATURES, Settings(classes=3, n_estimators=30, max_depth=3))
