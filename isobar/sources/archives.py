@@ -1,4 +1,4 @@
-"""Zip archives of CSV files, one partition per member."""
+"""Zip archives of CSV files, read by several tasks per archive."""
 
 from __future__ import annotations
 
@@ -16,6 +16,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
 ROWS_PER_BATCH = 50_000
+# Tasks of an archive, if its members come to less than so many compressed bytes a task.
+TASKS, TASK_BYTES = 16, 8 << 20
 
 
 def placed(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -30,42 +32,61 @@ def opened(path: str) -> pa.NativeFile:
     return store.open_input_file(name)
 
 
+def tables(archive: zipfile.ZipFile) -> list[zipfile.ZipInfo]:
+    """The CSV members in the order of the directory."""
+    return [m for m in archive.infolist() if m.filename.lower().endswith(".csv")]
+
+
 @dataclass
-class Member(InputPartition):
+class Members(InputPartition):
     archive: str
-    name: str
+    first: int
+    until: int
 
 
 class ZippedCsvReader(DataSourceReader):
-    """Plans from the central directories; a task inflates its member as a stream, in batches."""
+    """Plans from the central directories; a task inflates its members as streams, in batches.
+
+    Of an archive with more than ``TASKS`` members, neighbours are read together, so that the directory
+    is not read once per member and small members need no task each.
+    """
 
     def __init__(self, schema: T.StructType, archives: list[str], encoding: str):
         self.schema, self.archives, self.encoding = schema, archives, encoding
 
-    def partitions(self) -> list[Member]:
+    def partitions(self) -> list[Members]:
         found = []
         for path in self.archives:
             with opened(path) as file, zipfile.ZipFile(file) as archive:
-                members = [(m.compress_size, m.filename) for m in archive.infolist()
-                           if m.filename.lower().endswith(".csv")]
-            if not members:
+                sizes = [m.compress_size for m in tables(archive)]
+            if not sizes:
                 raise ValueError(f"no CSV in {path}")
-            found += [(size, path, name) for size, name in members]
-        return [Member(path, name) for _, path, name in sorted(found, reverse=True)]
-
-    def read(self, partition: Member) -> Iterator[pa.RecordBatch]:
+            first, size = 0, 0
+            most = 0 if len(sizes) <= TASKS else min(TASK_BYTES, -(-sum(sizes) // TASKS))
+            for no, own in enumerate(sizes):
+                if no > first and size + own > most:
+                    found.append((size, path, first, no))
+                    first, size = no, 0
+                size += own
+            found.append((size, path, first, len(sizes)))
+        return [Members(*x) for _, *x in sorted(found, reverse=True)]
+
+    def read(self, partition: Members) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(self.schema)
-        with opened(partition.archive) as file, zipfile.ZipFile(file) as archive, \
-                archive.open(partition.name) as member:
-            try:
-                parts = pd.read_csv(member, dtype=str, encoding=self.encoding,
-                                    chunksize=ROWS_PER_BATCH)
-            except pd.errors.EmptyDataError:
-                return
-            for part in parts:
-                text = part.reindex(columns=self.schema.names).astype(object)
-                text = text.where(text.notna(), None)
-                yield pa.RecordBatch.from_pandas(text, schema=schema, preserve_index=False)
+        with opened(partition.archive) as file, zipfile.ZipFile(file) as archive:
+            for info in tables(archive)[partition.first:partition.until]:
+                with archive.open(info) as member:
+                    yield from self.batches(member, schema)
+
+    def batches(self, member: zipfile.ZipExtFile, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        try:
+            parts = pd.read_csv(member, dtype=str, encoding=self.encoding, chunksize=ROWS_PER_BATCH)
+        except pd.errors.EmptyDataError:
+            return
+        for part in parts:
+            text = part.reindex(columns=self.schema.names).astype(object)
+            text = text.where(text.notna(), None)
+            yield pa.RecordBatch.from_pandas(text, schema=schema, preserve_index=False)
 
 
 class ZippedCsv(DataSource):
@@ -111,7 +132,7 @@ def write_zipped_csv(df: DataFrame, folder: str, encoding: str = "UTF-8",
         store, name = placed(folder)
         with store.open_output_stream(f"{name}/part-{no:05d}.zip") as out, \
                 zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
-            rows, member = 0, None
+            rows, number, member = 0, 0, None
             for batch in batches:
                 for at in range(0, batch.num_rows, rows_per_member):
                     part = batch.slice(at, rows_per_member).to_pandas()
@@ -119,8 +140,9 @@ def write_zipped_csv(df: DataFrame, folder: str, encoding: str = "UTF-8",
                     if fresh:
                         if member is not None:
                             member.close()
-                        member = archive.open(f"m{len(archive.namelist()):05d}.csv", "w")
+                        member = archive.open(f"m{number:05d}.csv", "w")
                         rows = 0
+                        number += 1
                     rows += len(part)
                     member.write(part.to_csv(index=False, header=fresh, columns=columns)
                                  .encode(encoding))
