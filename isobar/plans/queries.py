@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -266,11 +265,17 @@ def scan_tracks_csv(spark: SparkSession, sf: str) -> DataFrame:
     return cleaned_tracks(files.read_tracks_csv(spark, path))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in three parts, or in more if it is large."""
+    rows = df.count()
+    return df.repartition(max(3, -(-rows // 200_000)))
+
+
 @query
 def scan_tracks_zip(spark: SparkSession, sf: str) -> DataFrame:
-    """The same from zip archives of several members, a member per task."""
+    """The same from zip archives of several members each, as many archives as the table has parts."""
     folder = new_path(spark, "tracks-zip")
-    archives.write_zipped_csv(track_text(spark, sf).repartition(3), folder, "ISO-8859-1",
+    archives.write_zipped_csv(spread(track_text(spark, sf)), folder, "ISO-8859-1",
                               rows_per_member=1_000)
     return cleaned_tracks(files.read_tracks_zip(spark, folder))
 
@@ -279,12 +284,8 @@ def scan_tracks_zip(spark: SparkSession, sf: str) -> DataFrame:
 def scan_paged_orders(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as an endpoint would hand them out: pages of the table, read by several tasks."""
     path, columns = f"{sf}/orders.parquet", ["o_orderkey", "o_custkey", "o_orderstatus"]
-
-    def fetch(offset: int, limit: int) -> list[tuple]:
-        page = pq.read_table(path, columns=columns).slice(offset, limit)
-        return list(zip(*(page.column(c).to_pylist() for c in columns)))
-
     schema = spark.read.parquet(path).select(*columns).schema
+    fetch = paged.ParquetPages(path, columns)
     return paged.read_pages(spark, fetch, schema, limit=5_000)
 
 
@@ -862,7 +863,10 @@ def drift_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def drift_report_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The same report from a log that grows by three files, of which a stream keeps the windows."""
+    """The same report from a log that grows three times, of which a stream keeps the windows.
+
+    A run of the stream takes all files of an append, so there are three reports for any number of files.
+    """
     log, reports, checkpoint = (new_path(spark, x) for x in ("log", "reports", "drift-stream"))
     rows = prediction_log(spark, sf).select(
         "id", "model_name", F.lit("2024-01-01").cast("timestamp").alias("timestamp"),
@@ -870,10 +874,9 @@ def drift_report_stream(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(None).cast("string").alias("prediction"))
     for no in range(3):
         sinks.append(rows.where(F.pmod(F.xxhash64("id"), F.lit(3)) == no), log)
-    stream_drift(spark, log, reports, checkpoint, method="asymptotic",
-                 max_files=1).awaitTermination()
-    return report_text(spark.read.parquet(reports).drop("epoch")).select(
-        *drift_report(spark, sf).columns)
+        stream_drift(spark, log, reports, checkpoint, method="asymptotic").awaitTermination()
+    report = spark.read.parquet(reports).drop("epoch")
+    return report_text(report.select("model_name", *[c for c in report.columns if c != "model_name"]))
 
 
 # ------------------------------------------------------------------------------- models

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import base64
+import bisect
+import itertools
 import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -81,3 +85,37 @@ def read_pages(spark: SparkSession, fetch: Fetch, schema: T.StructType | str, li
     options = {"fetch": base64.b64encode(cloudpickle.dumps(fetch)).decode(), "offset": offset,
                "limit": limit, "tasks": tasks, "attempts": attempts}
     return spark.read.format("paged").schema(schema).options(**options).load()
+
+
+class ParquetPages:
+    """Pages of the Parquet files at ``path`` in the order of their names, for :func:`read_pages`.
+
+    A page reads the row groups in which it lies, and the last of them stays for the next page: a task
+    reads every row group once at most, however many pages there are.
+    """
+
+    def __init__(self, path: str, columns: Sequence[str]):
+        self.path, self.columns = path, list(columns)
+        self.starts: list[int] = []
+
+    def __getstate__(self) -> dict:
+        return {"path": self.path, "columns": self.columns, "starts": []}
+
+    def read(self, group: int) -> pa.Table:
+        return self.groups[group].to_table(columns=self.columns)
+
+    def __call__(self, offset: int, limit: int) -> list[tuple]:
+        if not self.starts:
+            self.groups = [g for f in pq.ParquetDataset(self.path).fragments
+                           for g in f.split_by_row_group()]
+            sizes = [g.row_groups[0].num_rows for g in self.groups]
+            self.starts, self.held = [0, *itertools.accumulate(sizes)], (-1, None)
+        rows: list[tuple] = []
+        group = bisect.bisect_right(self.starts, offset) - 1
+        while len(rows) < limit and group < len(self.groups):
+            if self.held[0] != group:
+                self.held = (group, self.read(group))
+            page = self.held[1].slice(offset + len(rows) - self.starts[group], limit - len(rows))
+            rows += zip(*(page.column(c).to_pylist() for c in self.columns))
+            group += 1
+        return rows

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from isobar.sources.archives import ZippedCsvReader, read_zipped_csv, write_zipped_csv
 from isobar.sources.files import header_groups, read_text_csv
+from isobar.sources import paged
 from isobar.sources.paged import PagedReader, Stride, read_pages
 
 TEXT = T.StructType([T.StructField(c, T.StringType()) for c in ("a", "b", "c")])
@@ -112,3 +113,28 @@ def test_headers_are_found_by_tasks(spark, tmp_path):
     one.mkdir()
     (one / "x.csv").write_text("a,b\n1,2\n")
     assert header_groups(spark, [str(one)]) == [[str(one)]]
+
+
+def test_small_members_share_tasks_and_a_directory(spark, tmp_path):
+    rows = [(str(k), None, "x") for k in range(600)]
+    write_zipped_csv(spark.createDataFrame(rows, TEXT).repartition(1), str(tmp_path / "out"),
+                     rows_per_member=5)
+    got = read_zipped_csv(spark, str(tmp_path / "out"), TEXT)
+    assert sorted(map(tuple, got.collect())) == sorted(rows)
+    assert 8 <= got.rdd.getNumPartitions() <= 20  # 120 members
+
+
+def test_a_page_reads_its_row_groups_only(tmp_path):
+    import pyarrow as pa
+
+    (tmp_path / "t").mkdir()
+    for no, (lo, hi) in enumerate(((0, 1_000), (1_000, 1_000), (1_000, 2_500))):
+        pq.write_table(pa.table({"a": range(lo, hi), "b": [str(k) for k in range(lo, hi)]}),
+                       tmp_path / "t" / f"{no}.parquet", row_group_size=200)
+    fetch, seen = paged.ParquetPages(str(tmp_path / "t"), ["b", "a"]), []
+    plain = fetch.read
+    fetch.read = lambda group: seen.append(group) or plain(group)
+    pages = [fetch(at, 70) for at in range(0, 2_600, 70)]
+    assert [r for page in pages for r in page] == [(str(k), k) for k in range(2_500)]
+    assert len(pages[-3]) == 50 and pages[-1] == pages[-2] == [] and fetch(10 ** 6, 5) == []
+    assert len(seen) == len(set(seen)) <= 14  # one of a file without rows
