@@ -44,3 +44,26 @@ def test_reports_follow_the_log(spark, tmp_path, last):
     before = told(spark.read.parquet(reports).collect())
     stream_drift(spark, log, reports, checkpoint, last).awaitTermination()  # nothing new
     assert told(spark.read.parquet(reports).collect()) == before
+
+
+def test_reports_of_the_query_do_not_grow_with_the_files(spark, monkeypatch, tmp_path):
+    from isobar.plans import queries
+
+    made, plain = [], queries.stream_drift
+
+    def counted(*args, **kwargs):
+        query = plain(*args, **kwargs)
+        query.awaitTermination()
+        made.append(sum(p["numInputRows"] > 0 for p in query.recentProgress))
+        return query
+
+    for no in range(4):
+        spark.read.parquet("/root/testdata/sf0.001/events.parquet").where(f"event_id % 4 = {no}") \
+            .coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(queries, "stream_drift", counted)
+    monkeypatch.setattr(queries.sinks, "append", lambda df, path: df.repartition(4).write.mode(
+        "append").parquet(path))
+    got = queries.QUERIES["drift_report_stream"](spark, str(tmp_path))
+    assert made == [1, 1, 1]
+    want = queries.QUERIES["drift_report"](spark, str(tmp_path))
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
