@@ -3,7 +3,8 @@
 Texts are compared by their runs of five words, in lower case and without punctuation; an item of
 fewer words is one run. A window of a document has the size of a benchmark item. Windows without a
 run of the item have similarity zero, so windows are laid where a run of the document meets the
-same run of an item, aligned with it. SimHash fingerprints of the windows and items meet in an
+same run of an item, aligned with it; where none of them is similar, as in a copy whose parts have
+changed places, also so that they end with such a run. SimHash fingerprints of the windows and items meet in an
 index of ``radius + 1`` bit blocks: two fingerprints within the radius agree in one block at least,
 so the index loses none of them. Candidates are verified by the exact weighted similarity: shared
 runs, each as often as in both, over the runs of the larger side.
@@ -73,8 +74,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Columns: ``id`` and ``digest`` (the document's id as text and the hash of its text), the given
     document id and item id, ``start`` (first word of the best window; the first among equals) and
-    ``similarity``. Null and empty texts hold no run and match nothing; documents shorter than an
-    item are one window. Rows equal in id and text are one document, items equal in id and text
+    ``similarity``. Windows that no shared run is aligned with count only for pairs without a similar
+    aligned one. Null and empty texts hold no run and match nothing; documents shorter than an item
+    are one window. Rows equal in id and text are one document, items equal in id and text
     one item. Empty tables give no pairs.
     """
     items = stored(benchmark.select(
@@ -103,12 +105,38 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         start = F.greatest(F.lit(0), F.least(F.col("place") - F.col("offset"),
                                              F.col("n") - F.col("length")))
         found = places.join(F.broadcast(known) if small else known, "hash").select(
-            "id", "digest", "item_key", start.alias("start")).distinct()
+            "id", "digest", "item_key", (F.col("length") - size + 1).alias("most"), "place",
+            start.alias("start"))
         laid = found if laid is None else laid.unionAll(found)
     if laid is None:  # no item holds a word
-        laid = (keyed.select("id", "digest", F.lit(0).cast("long").alias("item_key"),
-                             F.lit(0).alias("start")).filter(F.lit(False)))
-
+        zero = F.lit(0)
+        laid = (keyed.select("id", "digest", zero.cast("long").alias("item_key"), zero.alias("most"),
+                             zero.alias("place"), zero.alias("start")).filter(F.lit(False)))
+    pairs = stored(laid.groupBy("id", "digest", "item_key").agg(
+        F.first("most").alias("most"), F.collect_set("start").alias("starts"),
+        F.sort_array(F.collect_set("place")).alias("places")), "pairs")
+    key = ["id", "digest", "item_key"]
+    aligned = stored(_verified(keyed, items, pairs.select(*key, F.explode("starts").alias("start")),
+                               similarity, radius), "aligned")
+
+    # Pairs without a similar aligned window. Shared runs only grow where a shared place enters at the
+    # end of a window, and so many of its places must be shared, so these windows hold the best.
+    need = F.ceil(F.col("most") * similarity).cast("int")
+    ends = F.filter(F.col("places"), lambda p, i: (i + 1 >= need) & (
+        p - F.get(F.col("places"), i - need + 1) < F.col("most")))
+    other = pairs.join(aligned, key, "left_anti").withColumn("ends", ends).filter(F.size("ends") > 0)
+    other = stored(other.select(*key, F.explode(F.array_distinct(F.transform(
+        "ends", lambda p: F.greatest(F.lit(0), p - F.col("most") + 1)))).alias("start")), "other")
+    best = aligned
+    if not other.isEmpty():
+        best = aligned.unionByName(_verified(keyed, items, other, similarity, radius))
+    return best.select("id", "digest", F.col("given").alias(id_col), F.col("item").alias(item_col),
+                       "start", "similarity")
+
+
+def _verified(keyed: DataFrame, items: DataFrame, laid: DataFrame, similarity: float,
+              radius: int) -> DataFrame:
+    """The best of the windows ``laid`` of every document and item, if it is similar."""
     # The words of the windows: only documents with a window are shuffled back to their texts.
     by_doc = stored(laid.groupBy("id", "digest").agg(
         F.collect_set(F.struct("item_key", "start")).alias("windows")), "windows")
@@ -145,8 +173,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back")))
     return (alike.filter(F.col("similarity") >= similarity)
             .groupBy("id", "digest", "item_key")
-            .agg(F.min("given").alias(id_col), F.min("item").alias(item_col), best.alias("best"))
-            .select("id", "digest", id_col, item_col, (-F.col("best.back")).alias("start"),
+            .agg(F.min("given").alias("given"), F.min("item").alias("item"), best.alias("best"))
+            .select("id", "digest", "item_key", "given", "item", (-F.col("best.back")).alias("start"),
                     F.col("best.similarity").alias("similarity")))
 
 
