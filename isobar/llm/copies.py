@@ -65,8 +65,11 @@ def groups(docs: DataFrame, percent: int = PERCENT, radius: int = RADIUS,
     # Clusters are made of first fingerprints; a second one stands for the smallest first beside it.
     other = stored(units.groupBy("bits2").agg(F.min("bits").alias("low"), F.max("bits").alias("high")),
                    "second-views")
-    first = near_pairs(units.select("bits").distinct(), radius, choose=spanning).toDF("a", "b")
-    second = near_pairs(other.select(F.col("bits2").alias("bits")), radius, choose=spanning)
+    # Each view is a written table: one plan of both would be planned anew after each of its stages.
+    first = stored(near_pairs(units.select("bits").distinct(), radius, choose=spanning)
+                   .toDF("a", "b"), "first-pairs")
+    second = stored(near_pairs(other.select(F.col("bits2").alias("bits")), radius,
+                               choose=spanning), "second-pairs")
     second = second.join(other.select(F.col("bits2").alias("a_bits"), F.col("low").alias("a")),
                          "a_bits").join(other.select(F.col("bits2").alias("b_bits"),
                                                      F.col("low").alias("b")), "b_bits")

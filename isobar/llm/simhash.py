@@ -16,21 +16,25 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isobar.llm.common import beside, slices, stored
 from isobar.llm.components import components
+from isobar.llm.shingles import mix
 
 BITS = 64
 SHINGLE = 3
 RADIUS = 2
 LARGE_NODE = 20_000
+# Rows that a task deals out, about.
+DEALT_ROWS = 1 << 20
 PAIRS = 1 << 19
 
 
@@ -82,12 +86,12 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", keep: Sequence[str
     return rows.mapInArrow(run, f"doc {kind}, bits bigint")
 
 
-def _gather(value: Column, spans: Sequence[tuple[int, int]]) -> Column:
+def _gather(value: np.ndarray, spans: Sequence[tuple[int, int]]) -> np.ndarray:
     """The bits of the spans (first, width; from the top of ``BITS``) side by side."""
-    out = F.lit(0).cast("long")
+    out = np.zeros_like(value)
     for first, width in spans:
-        field = F.shiftrightunsigned(value, BITS - first - width).bitwiseAND((1 << width) - 1)
-        out = F.shiftleft(out, width).bitwiseOR(field)
+        field = value >> np.uint64(BITS - first - width) & np.uint64((1 << width) - 1)
+        out = out << np.uint64(width) | field
     return out
 
 
@@ -96,26 +100,39 @@ def _split(first: int, width: int, parts: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def _deal(points: DataFrame, width: int, blocks: int, radius: int) -> DataFrame:
+def _deal(points: DataFrame, width: int, blocks: int, radius: int,
+          only: Sequence[str] | None = None) -> DataFrame:
     """Every point once per choice of equal blocks among the ``width`` low bits of ``free``.
 
-    ``node`` becomes a hash of the node before, the choice and its bits, ``free`` the other bits.
+    ``node`` becomes a hash of the node before, the choice and its bits, ``free`` the other bits,
+    ``rank`` their Gray rank. ``only`` these columns leave the tasks. The choices are made in the
+    tasks: as expressions they would make the plan, and the driver's memory, grow with their number.
     """
     spans = _split(BITS - width, width, blocks)
-    dealt = []
-    for no, chosen in enumerate(combinations(range(blocks), blocks - radius)):
-        rest = [spans[k] for k in range(blocks) if k not in chosen]
-        dealt.append(F.struct(
-            F.xxhash64("node", F.lit(no), _gather(F.col("free"), [spans[k] for k in chosen]))
-            .alias("node"), _gather(F.col("free"), rest).alias("free")))
     others = [c for c in points.columns if c not in ("node", "free")]
-    return (points.select(*others, F.explode(F.array(*dealt)).alias("x"))
-            .select(*others, "x.node", "x.free"))
+    names = list(only or [*others, "node", "free", "rank"])
+    kinds = {c: points.schema[c].dataType.simpleString() for c in points.columns} | {"rank": "bigint"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, free = (batch.column(c).to_numpy().view(np.uint64) for c in ("node", "free"))
+            for no, chosen in enumerate(combinations(range(blocks), blocks - radius)):
+                start = mix(node ^ np.uint64((no + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+                rest = _gather(free, [spans[k] for k in range(blocks) if k not in chosen])
+                own = {"node": mix(start ^ _gather(free, [spans[k] for k in chosen])),
+                       "free": rest, "rank": gray_rank(rest)}
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own[c].view(np.int64)) if c in own else batch.column(c)
+                     for c in names], names)
+
+    return points.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names))
 
 
-def gray_rank(value: Column) -> Column:
+def gray_rank(value: np.ndarray) -> np.ndarray:
     """Place of a bit pattern in the sequence in which neighbours differ in one bit."""
-    return reduce(lambda v, k: v.bitwiseXOR(F.shiftrightunsigned(v, k)), (1, 2, 4, 8, 16, 32), value)
+    for k in (1, 2, 4, 8, 16, 32):
+        value = value ^ (value >> np.uint64(k))
+    return value
 
 
 def _patterns(free: np.ndarray, width: int, depth: int) -> np.ndarray:
@@ -269,8 +286,12 @@ def near_pairs(points: DataFrame, radius: int = RADIUS, blocks: int | None = Non
     other columns may share their ``bits``; they are compared with each other apart from the index.
     """
     columns = [c for c in points.columns if c != "bits"]
-    blocks = blocks or blocks_for(points.count(), radius)
+    number = points.count()
+    blocks = blocks or blocks_for(number, radius)
     rows = points.withColumns({"node": F.lit(0).cast("long"), "free": F.col("bits")})
+    # Few narrow rows lie in one partition, but are dealt many times.
+    tasks = -(-number * comb(blocks, radius) // DEALT_ROWS)
+    rows = rows.repartition(tasks, "bits") if tasks > 1 else rows
     kinds = [f"{side}_{c} {points.schema[c].dataType.simpleString()}"
              for side in "ab" for c in ("bits", *columns)]
     found, width = [], BITS
@@ -282,22 +303,21 @@ def near_pairs(points: DataFrame, radius: int = RADIUS, blocks: int | None = Non
             found.append(equal.repartition("bits").sortWithinPartitions("bits").mapInPandas(
                 _search_equal(columns, choose), ", ".join(kinds)))
     while True:
-        dealt = _deal(rows, width, blocks, radius)
+        dealt, spans = _deal(rows, width, blocks, radius), (width, blocks, radius)
         # Free bits of the choice that leaves most; the others start with zeros, which agree.
         width = sum(sorted((w for _, w in _split(0, width, blocks)), reverse=True)[:radius])
         large = None
         if width > 16:  # at most one node per LARGE_NODE points dealt
-            large = stored(dealt.groupBy("node").agg(F.count("*").alias("members"))
+            large = stored(_deal(rows, *spans, only=["node"]).groupBy("node").agg(F.count("*").alias("members"))
                            .filter(F.col("members") > LARGE_NODE).select("node"), "large-nodes")
             large = None if large.isEmpty() else large
         small = dealt if large is None else dealt.join(large, "node", "left_anti")
-        nodes = (small.withColumn("rank", gray_rank(F.col("free"))).repartition("node")
-                 .sortWithinPartitions("node", "rank"))
+        nodes = small.repartition("node").sortWithinPartitions("node", "rank")
         found.append(nodes.select("node", "free", "bits", *columns).mapInPandas(
             _search(radius, width, columns, choose), ", ".join(kinds)))
         if large is None:
             break
-        rows = stored(dealt.join(large, "node", "left_semi"), "index")
+        rows = stored(dealt.drop("rank").join(large, "node", "left_semi"), "index")
     return reduce(DataFrame.unionAll, found)
 
 

@@ -53,6 +53,15 @@ def test_components_of_long_paths_and_stars(spark):
     assert {r["node"]: r["root"] for r in got} == {
         x: want[x] for a, b in links if a != b for x in (a, b)}
 
+def test_plan_of_the_index_does_not_grow_with_its_choices(spark):
+    points = spark.range(300).selectExpr("xxhash64(id) AS bits")
+
+    def size(radius, blocks):
+        found = simhash.near_pairs(points, radius, blocks, choose=simhash.spanning)
+        return len(found._jdf.queryExecution().analyzed().toString())
+
+    assert size(6, 8) < 1.2 * size(1, 2)  # 28 choices of blocks, and 2
+
 
 @pytest.mark.parametrize("radius,blocks,large", [(2, 4, 20_000), (2, 4, 8), (3, 6, 8), (6, 8, 20_000)])
 def test_index_finds_every_pair(spark, monkeypatch, radius, blocks, large):
