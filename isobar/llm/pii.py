@@ -3,9 +3,11 @@
 Base spans follow fixed rules and always stay. Beyond them, generators with high recall propose
 overlapping spans (numbers in any grouping, dotted quads, hexadecimal addresses, plain and spelt-out
 mail addresses); gradient-boosted trees score them by format and context, and a threshold per kind,
-calibrated on a held-out part, selects. No labels exist, so the trees learn from what the base
-rules find in a bounded sample: positives are base spans and the same data written in other ways,
-negatives are candidates without a base span and base spans spoilt so that they break a rule.
+calibrated on held-out texts, selects. No labels exist, so the trees learn from what the base
+rules find: positives are base spans and the same data written in other ways, negatives are
+candidates without a base span and base spans spoilt so that they break a rule. :func:`fit` learns
+from the examples of three quarters of all texts and calibrates on those of the others, both by sums
+that Spark adds up; :func:`train` does it at hand, for a few texts.
 
 All patterns run in time linear in the text; positions are code points.
 """
@@ -22,15 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isobar.llm.common import beside, slices
+from isobar.llm.common import beside, slices, stored
+from isobar.operators import boosting
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
 Span = tuple[int, int, int]  # kind, start, end
 
-# Bound of the fit: expected rows of the sample. Precision that a threshold must reach.
-ROWS = 3_000
+# Precision that a threshold must reach, and the steps between 0 and 1 of thresholds from counts.
 PRECISION = 0.98
+STEPS = 10_000
+TREES = 60
+# Examples that a task of the fit holds, about.
+BLOCK_ROWS = 1 << 19
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -263,13 +269,91 @@ def train(texts: Sequence[str | None], seed: int = 6, precision: float = PRECISI
     return Model(model, thresholds)
 
 
-def fit(docs: DataFrame, text_col: str = "text", rows: int = ROWS, seed: int = 6) -> Model | None:
-    """A model from about ``rows`` texts with a digit or an at sign, chosen by a hash."""
-    found = docs.select(F.col(text_col).alias("text")).filter(F.col("text").rlike("[0-9@]"))
-    n = found.count()
-    share = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1_000_000)) / 1_000_000
-    sample = found.filter(share < rows / max(n, 1)).orderBy(F.xxhash64("text"), "text")
-    return train(sample.toArrow().column("text").to_pylist(), seed)
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [*FEATURES, "label", "held"]
+    for batch in batches:
+        texts = batch.column("text")
+        for at, n in slices(texts, 1 << 20):
+            held = batch.column("held").slice(at, n).to_pylist()
+            rows = [(*x, y, h) for text, h in zip(texts.slice(at, n).to_pylist(), held)
+                    for x, y in examples(text)]
+            columns = zip(*rows) if rows else ((),) * len(names)
+            kinds = [*[pa.float64()] * len(FEATURES), pa.int32(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([float(v) for v in c] if pa.types.is_float64(k) else list(c), k)
+                 for c, k in zip(columns, kinds)], names)
+
+
+def _as_trees(model: boosting.Boosted, depth: int) -> Trees:
+    """The boosted trees with cuts in place of bins, nodes that end early with one value below."""
+    out, inner = Trees(), (1 << depth) - 1
+    for (tree,) in model.rounds:
+        feature, cut = np.zeros(inner, dtype=np.int64), np.full(inner, np.inf)
+        leaf = np.zeros(inner + 1)
+        at = {0: 0}  # nodes of this level, and their places among all nodes
+        for d, level in enumerate(tree):
+            below = {}
+            for node, place in at.items():
+                if level.feature[node] < 0:  # all below go to the left
+                    width = 1 << depth - d
+                    first = (place + 1) * width - (inner + 1)
+                    leaf[first:first + width] = level.value[node]
+                else:
+                    feature[place] = level.feature[node]
+                    cut[place] = model.cuts[level.feature[node]][level.bin[node] - 1]
+                    for side in (0, 1):
+                        below[int(level.child[node]) + side] = 2 * place + 1 + side
+            at = below
+        for store, value in zip((out.feature, out.cut, out.leaf), (feature, cut, leaf)):
+            store.append(value)
+    return out
+
+
+def _thresholds(held: DataFrame, trees: Trees, precision: float) -> list[float]:
+    """Per kind the lowest step at which the precision of all examples from there on suffices."""
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([batch.column(c).to_numpy() for c in FEATURES])
+            p = 1 / (1 + np.exp(-trees.odds(x)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x[:, :4].argmax(axis=1)), pa.array((p * STEPS).astype(np.int64)),
+                 batch.column("label")], ["kind", "step", "label"])
+
+    counted = (held.select(*FEATURES, "label").mapInArrow(score, "kind bigint, step bigint, label int")
+               .filter(F.col("step") >= STEPS // 2).groupBy("kind", "step")
+               .agg(F.count("*").alias("n"), F.sum("label").alias("hits")).toArrow())
+    kind, step, n, hits = (counted.column(c).to_numpy() for c in ("kind", "step", "n", "hits"))
+    out = []
+    for k in range(4):
+        mine = np.flatnonzero(kind == k)
+        mine = mine[np.argsort(-step[mine])]
+        seen = np.cumsum(n[mine])
+        good = np.flatnonzero((np.cumsum(hits[mine]) >= precision * seen) & (seen >= 20))
+        out.append(float(step[mine][good[-1]] / STEPS) if len(good) else 2.0)
+    return out
+
+
+def fit(docs: DataFrame, text_col: str = "text", seed: int = 6,
+        precision: float = PRECISION) -> Model | None:
+    """A model from the examples of all texts; None if they show only one class.
+
+    A hash of the text holds every fourth text out for the thresholds. The trees come from sums over
+    all other examples, the thresholds from counts over all that are held out; only these sums and
+    counts reach the driver.
+    """
+    text = F.col(text_col)
+    found = docs.filter(text.rlike("[0-9@]|dot")).select(
+        text.alias("text"), (F.pmod(F.xxhash64(F.lit(seed), text), F.lit(4)) == 0).alias("held"))
+    rows = stored(found.mapInArrow(_examples, ", ".join(f"{c} double" for c in FEATURES)
+                                   + ", label int, held boolean"), "examples")
+    learned = rows.filter(~F.col("held"))
+    if learned.select("label").distinct().count() < 2:
+        return None
+    settings = boosting.Settings(n_estimators=TREES, max_depth=3, learning_rate=0.2,
+                                 min_child_weight=2.0, bins=33, random_state=seed)
+    trees = _as_trees(boosting.fit(learned.select(*FEATURES, "label"), FEATURES, settings,
+                                   block_rows=BLOCK_ROWS), settings.max_depth)
+    return Model(trees, _thresholds(rows.filter("held"), trees, precision))
 
 
 def added_spans(text: str, base: Sequence[Span], model: Model | None) -> list[Span]:

@@ -13,6 +13,7 @@ import pytest
 
 from isobar.llm import langid, pii, toxicity
 from isobar.llm.queries import QUERIES
+from isobar.operators import boosting
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -165,6 +166,43 @@ def test_added_spans_and_redaction(spark):
     assert out[4]["base_sha256"] == hashlib.sha256(b"phone:0:17").hexdigest()
 
 
+def test_rare_data_of_a_large_table_is_learned(spark, monkeypatch):
+    rng = random.Random(7)
+
+    def number(n):
+        return "".join(rng.choices("0123456789", k=n))
+
+    plain = [(k, f"write to me{k}@mail{k}.example.org, order {k}") for k in range(20_000)]
+    rare = [(20_000 + k, f"call +1 ({number(3)}) {number(3)}-{number(4)} now") for k in range(80)]
+    docs = spark.createDataFrame(plain + rare, "doc_id bigint, text string")
+    texts = spark.createDataFrame([(1, "call (555) 123-4567 now"), (2, "order 12345678")], docs.schema)
+    found = pii.find(texts, pii.fit(docs)).collect()  # 3,000 of the texts show too few numbers
+    assert {r["doc"]["doc_id"]: r["redacted"] for r in found} == {
+        1: "call [phone] now", 2: "order 12345678"}
+    assert pii.fit(docs.filter("doc_id < 0")) is None
+    some = docs.filter("doc_id >= 19800")
+    one = pii.fit(some)
+    monkeypatch.setattr(pii, "BLOCK_ROWS", 400)  # several blocks, whose sums Spark adds up
+    monkeypatch.setattr(pii, "TREES", 3)
+    several = pii.fit(some)
+    assert len(several.trees.leaf) == 3
+    np.testing.assert_allclose(several.trees.leaf, one.trees.leaf[:3])
+
+
+def test_trees_with_cuts_equal_those_with_bins():
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 9, (3, 500)).astype(float)
+    cuts = [np.arange(1.0, 8.0)] * 3
+    bins = np.stack([boosting.binned(v, c) for v, c in zip(x, cuts)])
+    settings = boosting.Settings(n_estimators=5, max_depth=3, bins=33, min_child_weight=20.0)
+    model = boosting.Boosted(list("abc"), cuts, settings)
+    label = ((x[0] > 4) ^ (x[1] > 2)).astype(np.int32)
+    model.rounds = boosting.fit_rows(boosting.Rows(
+        bins, label, np.arange(500, dtype=np.uint64), np.zeros((500, 1)), settings))
+    np.testing.assert_allclose(pii._as_trees(model, 3).odds(x.T),
+                               boosting.margins(model, bins)[:, 0], rtol=1e-12, atol=1e-12)
+
+
 def test_boosting_fits_an_interaction():
     rng = np.random.default_rng(5)
     x = rng.random((2_000, 4))
