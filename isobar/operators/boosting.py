@@ -6,35 +6,45 @@ the sums of gradients and hessians per node, feature and bin decide all splits o
 sums are integers, gradients being rounded to ``STEP``, so they do not depend on how the rows
 are dealt, and neither do the trees.
 
-Rows lie in blocks of up to ``BLOCK_ROWS``, columns end to end. The sums of several blocks are added
-up by Spark, one job per level; only sums come to the driver, whose number depends on nodes,
-features and bins but not on rows. A fit of a single block runs inside one task, or, with a tree per
-class and many rows, in tasks that grow the trees of some classes each and tell each other the trees of
-a round.
+Of two nodes with one parent only that with less hessian is summed; the other is the parent's rest.
+
+Rows lie in blocks of up to ``BLOCK_ROWS``, columns end to end. A fit of few rows runs inside one task.
+Many rows are dealt to tasks that run at the same time, and each adds up its own; they meet after
+every level, by files in the shared folder, and all choose the same splits. Where no such tasks or
+files can be had, Spark adds up the sums, one job per level. What is exchanged depends on nodes,
+features and bins but not on rows.
 """
 
 from __future__ import annotations
 
 import json
+import tempfile
+import time
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import BarrierTaskContext
+import pyarrow.fs
+from pyspark import BarrierTaskContext, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isobar.session import materialize
+from isobar.session import materialize, new_path
 
 STEP = 2.0 ** -20
 BLOCK_ROWS = 1 << 20
 # Rounds after which the margins of all rows are written down again, if there are several blocks.
 REWRITE = 20
 ACCURACY = 100_000
-# Rows from which the classes of a block are grown in tasks of their own: to meet takes a second a round.
+# Rows from which a fit is dealt to tasks that run at the same time.
 SIDE_ROWS = 1 << 18
+# Bytes of an array of a task beyond which it lies in a temporary file.
+ROOM = 1 << 28
+# Bytes of sums that every task reads from all others; of more it adds up a share for all.
+WHOLE_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -94,22 +104,46 @@ class Boosted:
         return mean / mean.sum() if mean.sum() else mean
 
 
+def room(shape: int | tuple[int, ...], dtype: type) -> np.ndarray:
+    """An array of zeros, of a temporary file if it is large."""
+    size = int(np.prod(shape)) * np.dtype(dtype).itemsize
+    if size <= ROOM:
+        return np.zeros(shape, dtype)
+    with tempfile.TemporaryFile() as file:  # goes with the array
+        return np.memmap(file, dtype, "w+", shape=shape)
+
+
 def binned(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """0 for a missing value, else 1 + the number of cuts below it."""
     return np.where(np.isnan(values), 0, 1 + np.searchsorted(cuts, values, "left")).astype(np.uint8)
 
 
+def _steps(level: Level, n: int) -> tuple[np.ndarray, ...]:
+    """By node, and at the end for rows that stand nowhere: the value, where the row of its feature
+    starts among bins of ``n`` rows end to end, what a bin is lowered by, the last bin of the left
+    side after that, and the left child.
+
+    Bins of one byte: a missing value is lowered to 255, or stays 0 where it goes to the left.
+    """
+    split = level.feature >= 0
+    less = np.append(np.where(split & ~level.missing_left, 1, 0), 0).astype(np.uint8)
+    return (np.append(np.where(split, 0.0, level.value), 0.0),
+            np.append(np.where(split, level.feature, 0), 0) * n, less,
+            np.append(np.where(split, level.bin, 255), 255).astype(np.uint8) - less,
+            np.append(np.where(split, level.child, -1), -1))
+
+
 def _fall(tree: Tree, bins: np.ndarray) -> np.ndarray:
     """The value of the leaf that every column of ``bins`` (features x rows) reaches."""
-    out, rows, at = np.zeros(bins.shape[1]), np.arange(bins.shape[1]), np.zeros(bins.shape[1], int)
+    n = bins.shape[1]
+    out, every, at, own = np.zeros(n), np.arange(n), np.zeros(n, int), bins.reshape(-1)
     for level in tree:
-        feature = level.feature[at]
-        leaf = feature < 0
-        out[rows[leaf]] = level.value[at[leaf]]
-        rows, at, feature = rows[~leaf], at[~leaf], feature[~leaf]
-        own = bins[feature, rows]
-        left = np.where(own == 0, level.missing_left[at], own <= level.bin[at])
-        at = level.child[at] + ~left
+        value, start, less, last, child = _steps(level, n)
+        if (level.feature < 0).any():
+            out += value[at]
+        if not (level.feature >= 0).any():
+            break
+        at = child[at] + (own[start[at] + every] - less[at] > last[at])
     return out
 
 
@@ -137,67 +171,89 @@ def _spread(x: np.ndarray) -> np.ndarray:
 
 
 class Rows:
-    """The rows of one block, and where they stand in the trees of the current round.
-
-    ``own`` are the margins whose trees are grown here, all unless it is set.
-    """
+    """The rows of one block, and where they stand in the trees of the current round."""
 
     def __init__(self, bins: np.ndarray, label: np.ndarray, draw: np.ndarray, margin: np.ndarray,
                  settings: Settings):
         self.bins, self.label, self.draw = bins, label, draw
         self.margin, self.settings = margin, settings
-        self.own = list(range(settings.margins))
+        # Features two by two: their bins as one number.
+        self.width = settings.bins + 1
+        self.pairs = room((len(bins) // 2, len(label)), np.uint16)
+        for k, pair in enumerate(self.pairs):
+            np.multiply(bins[2 * k], self.width, out=pair, dtype=np.uint16, casting="unsafe")
+            pair += bins[2 * k + 1]
+        self.sums = room((2, settings.margins, len(label)), np.float64)
+        self.at = room((settings.margins, len(label)), np.int32)
 
     def start(self, no: int) -> None:
         """Gradients and hessians of round ``no``; rows that it leaves out stand nowhere."""
         s, p = self.settings, probabilities(self.margin)
-        if s.margins == 1:
-            weight = np.where(self.label == 1, s.scale_pos_weight, 1.0)[:, None]
-            p = p[:, 1:]
-            g, h = (p - (self.label == 1)[:, None]) * weight, p * (1 - p) * weight
-        else:
-            p = p[:, self.own]
-            g, h = p - (self.label[:, None] == np.array(self.own)), 2 * p * (1 - p)
-        self.sums = np.rint(np.stack((g, h)) / STEP)
-        self.at = np.zeros((len(self.label), len(self.own)), dtype=np.int64)
+        for k in range(s.margins):
+            if s.margins == 1:
+                weight = np.where(self.label == 1, s.scale_pos_weight, 1.0)
+                g, h = ((p[:, 1] - (self.label == 1)) * weight, p[:, 1] * (1 - p[:, 1]) * weight)
+            else:
+                g, h = p[:, k] - (self.label == k), 2 * p[:, k] * (1 - p[:, k])
+            for out, x in zip(self.sums[:, k], (g, h)):
+                np.rint(x / STEP, out=out)
+        self.at[:], self.moves, self.out = 0, 0, None
         if s.subsample < 1:
             seed = ((s.random_state << 20) + no + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
             drawn = _spread(self.draw + np.uint64(seed)) >> np.uint64(11)
-            self.at[drawn * 2.0 ** -53 >= s.subsample] = -1
+            self.out = np.flatnonzero(drawn * 2.0 ** -53 >= s.subsample)
+            self.at[:, self.out] = -1
 
-    def histograms(self, able: Sequence[np.ndarray]) -> list[np.ndarray]:
-        """Per margin the sums as (2, node, feature, bin) for the nodes that are able to split."""
-        out, n_f = [], len(self.bins)
-        for k, nodes in enumerate(able):
+    def histograms(self, wanted: Sequence[np.ndarray]) -> list[np.ndarray]:
+        """Per margin the sums as (2, node, feature, bin) for the nodes that are wanted."""
+        out, n_f, width = [], len(self.bins), self.width
+        for k, nodes in enumerate(wanted):
             n = int(nodes.sum())
-            found = np.zeros((2, n, n_f, self.settings.bins + 1))
-            rows = np.flatnonzero(self.at[:, k] >= 0)
-            rows = rows[nodes[self.at[rows, k]]]
-            at = (np.cumsum(nodes) - 1)[self.at[rows, k]] * found.shape[-1]
-            sums = self.sums[:, rows, k]
-            for f in range(n_f if n else 0):
-                cell = at + self.bins[f, rows]
-                for part in (0, 1):
-                    found[part, :, f] = np.bincount(
-                        cell, sums[part], n * found.shape[-1]).reshape(n, -1)
+            found = np.zeros((2, n, n_f, width))
             out.append(found)
+            if not n:
+                continue
+            rows, at = slice(None), self.at[k].astype(np.int64)
+            if not nodes.all() or at.min(initial=0) < 0:
+                rank = np.append(np.where(nodes, np.cumsum(nodes) - 1, -1), -1)
+                at = rank[at]
+                rows = np.flatnonzero(at >= 0)
+                at = at[rows]
+            sums = self.sums[:, k, rows]
+            # Two features at once where that makes fewer cells than rows.
+            paired = 2 * (n_f // 2) if 2 * n * width * width <= len(at) else 0
+            for f in range(0, paired, 2):
+                cell = at * (width * width) + self.pairs[f // 2, rows]
+                for part in (0, 1):
+                    both = np.bincount(cell, sums[part], n * width * width).reshape(n, width, width)
+                    found[part, :, f], found[part, :, f + 1] = both.sum(axis=2), both.sum(axis=1)
+            for f in range(paired, n_f):
+                cell = at * width + self.bins[f, rows]
+                for part in (0, 1):
+                    found[part, :, f] = np.bincount(cell, sums[part], n * width).reshape(n, width)
         return out
 
     def move(self, levels: Sequence[Level]) -> None:
-        """Rows go to the children of their nodes; those in leaves stand nowhere."""
+        """Rows go to the children of their nodes; those in leaves take the value and stand nowhere."""
+        n = len(self.label)
+        own, every = self.bins.reshape(-1), np.arange(n)
         for k, level in enumerate(levels):
-            rows = np.flatnonzero(self.at[:, k] >= 0)
-            at = self.at[rows, k]
-            split = level.feature[at] >= 0
-            self.at[rows[~split], k] = -1
-            rows, at = rows[split], at[split]
-            own = self.bins[level.feature[at], rows]
-            left = np.where(own == 0, level.missing_left[at], own <= level.bin[at])
-            self.at[rows, k] = level.child[at] + ~left
+            value, start, less, last, child = _steps(level, n)
+            at = self.at[k].astype(np.int64)
+            if (level.feature < 0).any():
+                self.margin[:, k] += value[at]
+            self.at[k] = (child[at] + (own[start[at] + every] - less[at] > last[at])
+                          if (level.feature >= 0).any() else -1)
+        self.moves += 1
 
     def finish(self, trees: Sequence[Tree]) -> None:
-        for k, tree in enumerate(trees):
-            self.margin[:, k] += _fall(tree, self.bins)
+        """Rows go on to their leaves in the trees of the round."""
+        for at in range(self.moves, max(map(len, trees), default=0)):
+            self.move([tree[at] if at < len(tree) else _leaves(np.zeros(0), np.zeros(0), self.settings)
+                       for tree in trees])
+        if self.out is not None and len(self.out):
+            for k, tree in enumerate(trees):
+                self.margin[self.out, k] += _fall(tree, self.bins[:, self.out])
 
 
 def _leaves(g: np.ndarray, h: np.ndarray, s: Settings) -> Level:
@@ -244,25 +300,55 @@ def choose(sums: np.ndarray, able: np.ndarray, totals: np.ndarray | None, allowe
     return level, np.stack((left, totals[:, nodes] - left), axis=2).reshape(2, -1)
 
 
+def _wanted(levels: Sequence[Level], able: Sequence[np.ndarray],
+            totals: Sequence[np.ndarray | None]) -> list[np.ndarray]:
+    """Of every two children the one with less hessian, unless neither is able to split."""
+    out = []
+    for nodes, t in zip(able, totals):
+        wanted = nodes.copy()
+        if t is not None and t.size:
+            left = t[1, ::2] <= t[1, 1::2]
+            wanted = np.column_stack((left, ~left)).ravel() & np.repeat(nodes[::2] | nodes[1::2], 2)
+        out.append(wanted)
+    return out
+
+
+def _whole(found: np.ndarray, wanted: np.ndarray, able: np.ndarray, level: Level | None,
+           before: np.ndarray | None, could: np.ndarray | None) -> np.ndarray:
+    """The sums of the able nodes, from those of the wanted ones and of the parents that could split."""
+    if level is None or not able.any():
+        return found
+    parents = np.flatnonzero(level.feature >= 0)
+    pairs = np.flatnonzero(wanted[::2] | wanted[1::2])
+    own = before[:, (np.cumsum(could) - 1)[parents[pairs]]]
+    both = np.empty((2, len(pairs), 2, *found.shape[2:]))
+    right, every = wanted[1::2][pairs].astype(int), np.arange(len(pairs))
+    both[:, every, right], both[:, every, 1 - right] = found, own - found
+    return both.reshape(2, -1, *found.shape[2:])[:, np.repeat(wanted[::2] | wanted[1::2], 2).nonzero()[0]
+                                                 .searchsorted(np.flatnonzero(able))]
+
+
 Histograms = Callable[[int, list[list[Level]], list[np.ndarray]], list[np.ndarray]]
 
 
-def _round(no: int, histograms: Histograms, s: Settings, n_features: int,
-           own: Sequence[int] | None = None) -> list[Tree]:
-    """One tree per margin, or for the margins ``own``. ``histograms`` gives the sums for the levels so
-    far."""
+def _round(no: int, histograms: Histograms, s: Settings, n_features: int) -> list[Tree]:
+    """One tree per margin. ``histograms`` gives the sums of the wanted nodes for the levels so far."""
     rng = np.random.default_rng([s.random_state, no])
     allowed = np.zeros((s.margins, n_features), dtype=bool)
     for own_features in allowed:
         own_features[rng.permutation(n_features)[:max(int(s.colsample_bytree * n_features), 1)]] = True
-    if own is not None:
-        allowed = allowed[list(own)]
     trees: list[Tree] = [[] for _ in allowed]
     levels, totals = [], [None] * len(allowed)
+    sums, could = [None] * len(allowed), [None] * len(allowed)
     for depth in range(s.max_depth):
         able = [np.ones(1, bool) if t is None else t[1] * STEP >= 2 * s.min_child_weight
                 for t in totals]
-        grown = [choose(*x, s) for x in zip(histograms(no, levels, able), able, totals, allowed)]
+        last = levels[-1] if levels else [None] * len(allowed)
+        wanted = _wanted(last, able, totals)
+        found = histograms(no, levels, wanted)
+        sums = [_whole(*x) for x in zip(found, wanted, able, last, sums, could)]
+        could = able
+        grown = [choose(*x, s) for x in zip(sums, able, totals, allowed)]
         levels.append([level for level, _ in grown])
         for tree, (level, _) in zip(trees, grown):
             tree.append(level)
@@ -274,25 +360,38 @@ def _round(no: int, histograms: Histograms, s: Settings, n_features: int,
     return trees
 
 
-def fit_rows(rows: Rows, told: Callable[[list[Tree]], list[Tree]] = lambda own: own) -> list[list[Tree]]:
-    """All rounds over rows that are at hand. ``told`` makes of the own trees of a round all of them."""
-    def histograms(no: int, levels: list[list[Level]], able: list[np.ndarray]) -> list[np.ndarray]:
-        if levels:
-            rows.move(levels[-1])
-        else:
-            rows.start(no)
-        return rows.histograms(able)
+def fit_rows(*rows: Rows, total: Callable[[list[np.ndarray]], list[np.ndarray]] = lambda own: own,
+             like: tuple[Settings, int] | None = None) -> list[list[Tree]]:
+    """All rounds over the blocks at hand. ``total`` adds to their sums those of rows elsewhere.
+
+    Without a block at hand, ``like`` are the settings and the number of features.
+    """
+    s, n_features = like or (rows[0].settings, len(rows[0].bins))
+
+    def histograms(no: int, levels: list[list[Level]], wanted: list[np.ndarray]) -> list[np.ndarray]:
+        found = [np.zeros((2, int(x.sum()), n_features, s.bins + 1)) for x in wanted]
+        for block in rows:
+            if levels:
+                block.move(levels[-1])
+            else:
+                block.start(no)
+            for whole, own in zip(found, block.histograms(wanted)):
+                whole += own
+        return total(found)
 
     rounds = []
-    for no in range(rows.settings.n_estimators):
-        rounds.append(told(_round(no, histograms, rows.settings, len(rows.bins), rows.own)))
-        rows.finish(rounds[-1])
+    for no in range(s.n_estimators):
+        rounds.append(_round(no, histograms, s, n_features))
+        for block in rows:
+            block.finish(rounds[-1])
     return rounds
 
 
 # ---- Spark ----
 
 BLOCK = "block int, n int, bins binary, label binary, draw binary, fold binary"
+# Blocks of one task that packs rows in order.
+PLACES = 1 << 12
 
 
 def cut_points(df: DataFrame, features: Sequence[str], bins: int) -> list[np.ndarray]:
@@ -305,17 +404,25 @@ def cut_points(df: DataFrame, features: Sequence[str], bins: int) -> list[np.nda
 
 
 def blocks(df: DataFrame, features: Sequence[str], cuts: Sequence[np.ndarray],
-           rows: int = BLOCK_ROWS, label: str = "label", fold: Column | None = None) -> DataFrame:
-    """The rows of ``df`` with a label as blocks of up to about ``rows``, as a written table."""
+           rows: int = BLOCK_ROWS, label: str = "label", fold: Column | None = None,
+           tasks: int = 1, in_order: bool = False) -> DataFrame:
+    """The rows of ``df`` with a label as blocks of up to about ``rows``, as a written table.
+
+    From ``SIDE_ROWS`` rows on there are ``tasks`` blocks at least. With ``in_order`` the rows follow
+    each other by ``draw`` through the blocks, sorted by their numbers.
+    """
     known = df.where(F.col(label).isNotNull()).select(
         *[F.col(f"`{c}`").cast("double").alias(f"f{k}") for k, c in enumerate(features)],
         F.col(label).cast("int").alias("label"),
         (F.lit(0) if fold is None else fold).cast("int").alias("fold"),
         F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("draw"))
+    if in_order:
+        known = known.withColumn("place", F.monotonically_increasing_id())
     known = materialize(known, "fit")
-    number = max(-(-known.count() // rows), 1)
+    count = known.count()
+    number = max(-(-count // rows), tasks if count >= SIDE_ROWS else 1, 1)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch], no: int | None = None) -> Iterator[pa.RecordBatch]:
         tables = [pa.Table.from_batches([b]) for b in batches]  # one block: bounded
         if not tables or not sum(map(len, tables)):
             return
@@ -324,11 +431,27 @@ def blocks(df: DataFrame, features: Sequence[str], cuts: Sequence[np.ndarray],
                          for k, c in enumerate(cuts)]) if len(cuts) else np.zeros((0, len(rows)))
         columns = [bins.astype(np.uint8), *(rows.column(c).to_numpy().astype(t) for c, t in (
             ("label", np.int32), ("draw", np.int64), ("fold", np.int32)))]
+        block = rows.column("block")[:1].combine_chunks() if no is None else pa.array([no], pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [rows.column("block")[:1].combine_chunks(), pa.array([len(rows)], pa.int32()),
+            [block, pa.array([len(rows)], pa.int32()),
              *(pa.array([c.tobytes()], pa.binary()) for c in columns)],
             ["block", "n", "bins", "label", "draw", "fold"])
 
+    def pack_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no, held, n = TaskContext.get().partitionId() * PLACES, [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= rows:
+                yield from pack(held, no)
+                no, held, n = no + 1, [], 0
+        yield from pack(held, no)
+
+    if in_order:
+        # Equal rows lie side by side, in any order: the row's place only spreads them.
+        above = F.col("draw").bitwiseXOR(F.lit(-1 << 63))  # in the order of numbers without a sign
+        dealt = known.repartition(1) if number == 1 else known.repartitionByRange(number, above, "place")
+        return materialize(dealt.sortWithinPartitions(above).mapInArrow(pack_in_order, BLOCK), "blocks")
     # Equal rows may hash into one block only if they are few; the row's place spreads them.
     placed = known.withColumn("block", F.pmod(F.xxhash64(
         "draw", F.monotonically_increasing_id()), F.lit(number)).cast("int"))
@@ -356,12 +479,13 @@ def _by_block(batches: Iterator[pa.RecordBatch], pack: Callable) -> Iterator[pa.
 def unpacked(row: Mapping, settings: Settings) -> tuple[Rows, np.ndarray]:
     """The rows of a block, with margins of zero, and their folds."""
     n = row["n"]
-    label, fold = (np.frombuffer(row[c], dtype=np.int32) for c in ("label", "fold"))
+    label, fold = (np.frombuffer(row[c] or b"", dtype=np.int32) for c in ("label", "fold"))
     bins = np.frombuffer(row["bins"], dtype=np.uint8).reshape(-1, n)
     margin = row.get("margin")
-    margin = (np.zeros((n, settings.margins)) if margin is None
-              else np.frombuffer(margin, dtype=float).reshape(n, -1).copy())
-    return Rows(bins, label, np.frombuffer(row["draw"], dtype=np.uint64), margin, settings), fold
+    known = room((settings.margins, n), np.float64).T  # the values of a margin lie end to end
+    if margin is not None:
+        known[:] = np.frombuffer(margin, dtype=float).reshape(n, -1)
+    return Rows(bins, label, np.frombuffer(row["draw"], dtype=np.uint64), known, settings), fold
 
 
 def some(rows: Rows, keep: np.ndarray) -> Rows:
@@ -369,58 +493,101 @@ def some(rows: Rows, keep: np.ndarray) -> Rows:
                 rows.margin[keep].copy(), rows.settings)
 
 
-def _side_by_side(table: DataFrame, model: Boosted, tasks: int) -> Boosted:
-    """Fit ``model`` on the only block of ``table`` in ``tasks`` tasks that run at the same time.
+class Meeting:
+    """Sums over the tasks of a barrier stage, by files in a folder that all of them reach.
+
+    Every task writes its own sums. Of many, a task adds up its share and writes that, so that no
+    task reads more than about twice what it writes.
+    """
 
-    Every task holds the block, grows the trees of its margins, and gets those of the others after
-    each round, so that all know all margins. Only trees are exchanged.
+    def __init__(self, folder: str, me: int, tasks: int):
+        self.store, self.folder = pyarrow.fs.FileSystem.from_uri(folder)
+        self.me, self.tasks, self.no, self.old, self.new = me, tasks, 0, [], []
+        self.store.create_dir(self.folder, recursive=True)
+
+    def _put(self, kind: str, data: np.ndarray) -> None:
+        name = f"{self.folder}/{kind}-{self.no}-{self.me}"
+        with self.store.open_output_stream(f"{self.folder}/new-{self.me}") as out:
+            out.write(data.tobytes())
+        self.store.move(f"{self.folder}/new-{self.me}", name)  # appears whole
+        self.new.append(name)
+
+    def _get(self, kind: str, lo: int = 0, hi: int | None = None) -> Iterator[np.ndarray]:
+        """The numbers from ``lo`` to ``hi`` of all tasks, in their order."""
+        for task in range(self.tasks):
+            name, wait = f"{self.folder}/{kind}-{self.no}-{task}", 0.0005
+            while self.store.get_file_info(name).type == pyarrow.fs.FileType.NotFound:
+                time.sleep(wait)
+                wait = min(2 * wait, 0.05)
+            with self.store.open_input_file(name) as file:
+                size = file.size() // 8
+                stop = size if hi is None else hi
+                yield np.frombuffer(file.read_at((stop - lo) * 8, lo * 8))
+
+    def total(self, own: list[np.ndarray]) -> list[np.ndarray]:
+        mine = np.concatenate([x.ravel() for x in own])
+        self._put("own", mine)
+        if mine.nbytes <= WHOLE_BYTES:
+            whole = sum(self._get("own"), np.zeros(len(mine)))
+        else:
+            cuts = np.linspace(0, len(mine), self.tasks + 1).astype(int)
+            lo, hi = cuts[self.me:self.me + 2]
+            self._put("share", sum(self._get("own", int(lo), int(hi)), np.zeros(hi - lo)))
+            whole = np.concatenate(list(self._get("share")))
+        for name in self.old:  # all have been here again since they read these
+            self.store.delete_file(name)
+        self.no, self.old, self.new = self.no + 1, self.new, []
+        ends = np.cumsum([x.size for x in own])[:-1]
+        return [x.reshape(y.shape) for x, y in zip(np.split(whole, ends), own)]
+
+
+def _side_by_side(table: DataFrame, model: Boosted, tasks: int) -> Boosted | None:
+    """Fit ``model`` on the blocks of ``table`` in ``tasks`` tasks that run at the same time.
+
+    Every task holds some blocks and adds up their sums; all meet after every level and choose the
+    same splits. None if Arrow does not reach the shared folder.
     """
-    s, spark = model.settings, table.sparkSession
+    s, spark, folder = model.settings, table.sparkSession, new_path(table.sparkSession, "sums")
+    folder = folder[len("file:"):] if folder.startswith("file:") and "://" not in folder else folder
+    try:
+        store, name = pyarrow.fs.FileSystem.from_uri(folder)
+    except (pa.ArrowException, OSError):
+        return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given = [row for batch in batches for row in batch.to_pylist()]  # one, as a rule
-        own = sorted(k for row in given for k in range(row["part"], s.margins, tasks))
         context = BarrierTaskContext.get()
-
-        def told(trees: list[Tree]) -> list[Tree]:
-            found = {}
-            for text in context.allGather(json.dumps(list(zip(own, map(_listed, trees))))):
-                found |= {k: _tree(tree) for k, tree in json.loads(text)}
-            return [found[k] for k in range(s.margins)]
-
-        if not given:  # the others wait for every task
-            for _ in range(s.n_estimators):
-                told([])
-            return
-        rows, _ = unpacked(given[0], s)
-        rows.own = own
-        rounds = fit_rows(rows, told)
-        if 0 in own:
+        rows = [unpacked(row, s)[0] for batch in batches for row in batch.to_pylist()]
+        attempt = context.allGather(uuid.uuid4().hex)[0]  # a repeated stage has files of its own
+        meeting = Meeting(f"{folder}/{attempt}", context.partitionId(), tasks)
+        rounds = fit_rows(*rows, total=meeting.total, like=(s, len(model.features)))
+        if not context.partitionId():
             yield pa.RecordBatch.from_arrays(
                 [pa.array([dumps(Boosted(model.features, model.cuts, s, rounds))])], ["model"])
 
-    parts = spark.createDataFrame([(k, 0) for k in range(tasks)], "part int, block int")
-    dealt = parts.join(table, "block").repartitionByRange(tasks, "part")
-    found = materialize(dealt.mapInArrow(run, "model string", barrier=True), "model")
+    dealt = table.drop("fold").repartitionByRange(tasks, "block")
+    found = materialize(dealt.selectExpr("*", "cast(null as binary) fold").mapInArrow(
+        run, "model string", barrier=True), "model")
+    store.delete_dir(name)
     return loads(found.first()["model"])
 
 
-def _together(spark: SparkSession, margins: int) -> int:
-    """How many tasks are sure to run at the same time, ``margins`` at most."""
+def _together(spark: SparkSession, most: int) -> int:
+    """How many tasks are sure to run at the same time, ``most`` at most."""
     if spark.conf.get("spark.dynamicAllocation.enabled", "false") == "true":
         return 1  # executors come and go
-    return min(margins, spark.sparkContext.defaultParallelism)
+    return min(most, spark.sparkContext.defaultParallelism)
 
 
 def fit_blocks(table: DataFrame, model: Boosted) -> Boosted:
-    """Fit ``model`` on a table of :func:`blocks`, without sums by Spark if it has one block."""
+    """Fit ``model`` on a table of :func:`blocks`; Spark adds up sums only if tasks cannot meet."""
     s = model.settings
     sizes = [r["n"] for r in table.select("n").collect()]
+    tasks = _together(table.sparkSession, len(sizes))
+    if len(sizes) > 1 and tasks > 1 and sum(sizes) >= SIDE_ROWS:
+        fitted = _side_by_side(table, model, tasks)
+        if fitted:
+            return fitted
     if len(sizes) <= 1:
-        tasks = _together(table.sparkSession, s.margins)
-        if tasks > 1 and sizes and sizes[0] >= SIDE_ROWS:
-            return _side_by_side(table, model, tasks)
-
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
@@ -483,7 +650,7 @@ def fit(df: DataFrame, features: Sequence[str], settings: Settings, label: str =
         block_rows: int = BLOCK_ROWS) -> Boosted:
     """Fit on all rows of ``df`` that have a label; without any the model knows no tree."""
     cuts = cut_points(df, features, settings.bins)
-    table = blocks(df, features, cuts, block_rows, label)
+    table = blocks(df, features, cuts, block_rows, label, tasks=_together(df.sparkSession, 1 << 16))
     return fit_blocks(table, Boosted(list(features), cuts, settings))
 
 

@@ -59,15 +59,10 @@ def settings_for(task: str, **params: float) -> Settings:
 
 
 def fit(df: DataFrame, task: str, contract: Sequence[str] | None = None,
-        rows: int | None = FIT_ROWS, block_rows: int = boosting.BLOCK_ROWS,
-        **params: float) -> Boosted:
-    """Fit a task's boosted trees on a matrix with ``label``.
-
-    About ``rows`` of its rows are taken; ``None`` takes all, whose sums Spark adds up.
-    """
+        block_rows: int = boosting.BLOCK_ROWS, **params: float) -> Boosted:
+    """Fit a task's boosted trees on all rows of a matrix with ``label``."""
     contract = list(contract or CONTRACTS[task])
-    ready = align_features(df, contract, ["label"])
-    return boosting.fit(ready if rows is None else bounded(ready, rows), contract,
+    return boosting.fit(align_features(df, contract, ["label"]), contract,
                         settings_for(task, **params), block_rows=block_rows)
 
 

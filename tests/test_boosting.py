@@ -122,6 +122,43 @@ def test_classes_grown_in_tasks_of_their_own_give_the_same_trees(spark, monkeypa
         assert boosting.dumps(side) == boosting.dumps(one)
 
 
+def test_tasks_add_up_the_sums_of_their_rows(spark, monkeypatch):
+    df = frame(spark, samples(500, 3))
+    settings = Settings(classes=3, n_estimators=3, max_depth=5, bins=16)
+    one = boosting.fit(df, FEATURES, settings)
+    monkeypatch.setattr(boosting, "SIDE_ROWS", 1)
+    monkeypatch.setattr(boosting, "WHOLE_BYTES", 0)  # every task adds up a share
+    monkeypatch.setattr(boosting, "_side_by_side", side := counted(boosting._side_by_side))
+    many = boosting.fit(df.repartition(3), FEATURES, settings, block_rows=60)  # several blocks a task
+    assert boosting.dumps(many) == boosting.dumps(one) and len(side.results) == 1
+    assert side.results[0] is not None
+
+
+def counted(fn):
+    def run(*args):
+        run.results.append(fn(*args))
+        return run.results[-1]
+
+    run.results = []
+    return run
+
+
+def test_a_child_is_the_rest_of_its_parent():
+    rng = np.random.default_rng(4)
+    bins, label = rng.integers(0, 6, (3, 300)).astype(np.uint8), rng.integers(0, 2, 300).astype(np.int32)
+    s = Settings(n_estimators=1, max_depth=3, bins=5)
+    rows = boosting.Rows(bins, label, np.arange(300, dtype=np.uint64), np.zeros((300, 1)), s)
+    seen = []
+
+    def histograms(no, levels, wanted):
+        rows.move(levels[-1]) if levels else rows.start(no)
+        seen.append(int(wanted[0].sum()))
+        return rows.histograms(wanted)
+
+    tree = boosting._round(0, histograms, s, 3)[0]
+    assert seen == [1] + [(level.feature >= 0).sum() for level in tree[:2]]  # one of two children
+
+
 def test_a_fit_of_many_rows_uses_a_task_per_class(spark):
     assert boosting._together(spark, 6) == min(6, spark.sparkContext.defaultParallelism) > 1
     assert boosting._together(spark, 1) == 1
