@@ -2,9 +2,10 @@
 
 Features are cut into bins at quantiles; a missing value has the lowest bin. Every tree draws its rows
 (how often each counts is Poisson) and, for every node, its features (the root of their number), and
-grows level by level from the weights per node, bin and class. Trees do not need each other, so a
-Spark task grows some of them from start to end over the block of binned rows, and no sums are
-exchanged between levels. Neither draws nor trees depend on how the rows or the trees are dealt.
+grows level by level from the rows per node, bin and class. Trees do not need each other, so a
+Spark task grows some of them from start to end over all binned rows, and no sums are exchanged
+between levels. Many rows lie in a temporary file of the task and are counted a chunk at a time.
+Neither draws nor trees depend on how the rows or the trees are dealt.
 """
 
 from __future__ import annotations
@@ -19,11 +20,14 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isobar.operators.boosting import binned, blocks, cut_points
+from isobar.operators.boosting import BLOCK_ROWS, binned, blocks, cut_points, room
 from isobar.session import materialize
 
-# Cells (node, bin, class) that are compared at a time.
+# Cells (node, bin, class) that are compared at a time, and that are counted in one pass over the rows.
 CELLS = 1 << 20
+PASS_CELLS = 1 << 22
+# Rows that are counted at a time.
+CHUNK = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -56,11 +60,10 @@ KINDS = {"feature": np.int8, "bin": np.uint8, "child": np.int32, "shares": np.fl
          "gain": np.float64}
 
 
-def class_weights(label: np.ndarray, s: Settings) -> np.ndarray:
-    """``n / (k * n_class)`` for the ``k`` classes that occur, or 1."""
-    n = np.bincount(label, minlength=s.classes)
+def class_weights(n: np.ndarray, s: Settings) -> np.ndarray:
+    """``total / (k * n_class)`` from the rows of every class for the ``k`` classes that occur, or 1."""
     k = np.count_nonzero(n)
-    return len(label) / (k * np.maximum(n, 1)) if s.balanced and k > 1 else np.ones(len(n))
+    return n.sum() / (k * np.maximum(n, 1)) if s.balanced and k > 1 else np.ones(len(n))
 
 
 def _gini(parts: np.ndarray) -> np.ndarray:
@@ -68,77 +71,139 @@ def _gini(parts: np.ndarray) -> np.ndarray:
     return (parts ** 2).sum(axis=-1) / np.maximum(parts.sum(axis=-1), 1e-300)
 
 
-def _splits(bins: np.ndarray, rows: np.ndarray, at: np.ndarray, nodes: np.ndarray,
-            cell: np.ndarray, weight: np.ndarray, times: np.ndarray,
-            s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Best score and its bin for every one of ``nodes`` by one feature; -inf where it has no split."""
-    width, score, place = s.bins + 1, np.full(len(nodes), -np.inf), np.zeros(len(nodes), int)
-    rank = np.full(at.max(initial=-1) + 2, -1)
-    step = max(CELLS // (width * s.classes), 1)
-    for lo in range(0, len(nodes), step):
-        some = nodes[lo:lo + step]
-        if len(nodes) > step:
-            rank[:] = -1
-        rank[some] = np.arange(len(some))
-        own = np.flatnonzero(rank[at] >= 0)
-        places = rank[at[own]] * width + bins[rows[own]]
-        sums = np.bincount(places * s.classes + cell[own], weight[own],
-                           len(some) * width * s.classes).reshape(len(some), width, -1)
-        n = np.bincount(places, times[own], len(some) * width).reshape(len(some), -1)
-        left, n_left = np.cumsum(sums, axis=1)[:, :-1], np.cumsum(n, axis=1)
-        n_left, n_all = n_left[:, :-1], n_left[:, -1:]
-        whole = sums.sum(axis=1, keepdims=True)
-        value = _gini(left) + _gini(np.maximum(whole - left, 0)) - _gini(whole)
-        value[(n_left < s.min_rows) | (n_all - n_left < s.min_rows)] = -np.inf
-        place[lo:lo + step] = value.argmax(axis=1)
-        score[lo:lo + step] = value.max(axis=1)
-    return score, place
+def _best(n: np.ndarray, weight: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Best score and its bin per node from its rows per bin and class; -inf without a split."""
+    sums, held = n * weight, n.sum(axis=2)
+    left, n_left = np.cumsum(sums, axis=1)[:, :-1], np.cumsum(held, axis=1)
+    n_left, n_all = n_left[:, :-1], n_left[:, -1:]
+    whole = sums.sum(axis=1, keepdims=True)
+    value = _gini(left) + _gini(np.maximum(whole - left, 0)) - _gini(whole)
+    value[(n_left < s.min_rows) | (n_all - n_left < s.min_rows)] = -np.inf
+    return value.max(axis=1), value.argmax(axis=1)
+
+
+class Drawn:
+    """The rows that a tree draws, chunk by chunk: which they are, how often each counts, its node."""
+
+    def __init__(self, bins: np.ndarray, label: np.ndarray, s: Settings, rng: np.random.Generator):
+        self.bins, self.label, self.s = bins, label, s
+        self.row, self.times, self.at = (room(len(label), t) for t in (np.int32, np.uint16, np.int32))
+        self.held = []
+        for lo in range(0, len(label), CHUNK):
+            drawn = rng.poisson(s.subsample, min(CHUNK, len(label) - lo))
+            self._keep(lo, np.flatnonzero(drawn), drawn[drawn > 0], 0)
+        if not sum(m for _, m in self.held):
+            self.held = []
+            for lo in range(0, len(label), CHUNK):
+                n = min(CHUNK, len(label) - lo)
+                self._keep(lo, np.arange(n), np.ones(n, np.uint16), 0)
+
+    def _keep(self, lo: int, row: np.ndarray, times: np.ndarray, at: np.ndarray | int) -> None:
+        part = slice(lo, lo + len(row))
+        self.row[part], self.times[part], self.at[part] = row, times, at
+        self.held.append((lo, len(row)))
+
+    def _chunks(self):
+        for lo, m in self.held:
+            if m:
+                row = self.row[lo:lo + m].astype(np.int64)
+                yield (lo, row, self.label[lo:lo + CHUNK][row].astype(np.int64),
+                       self.at[lo:lo + m].astype(np.int64), self.times[lo:lo + m].astype(float))
+
+    def classes(self, n_nodes: int) -> np.ndarray:
+        """Rows per node and class."""
+        k = self.s.classes
+        found = np.zeros(n_nodes * k)
+        for _, _, cell, at, times in self._chunks():
+            found += np.bincount(at * k + cell, times, len(found))
+        return found.reshape(n_nodes, k)
+
+    def counts(self, items: Sequence[tuple[int, np.ndarray]], n_nodes: int) -> list[np.ndarray]:
+        """Rows per node, bin and class for every one of ``items (feature, nodes)``."""
+        k, width = self.s.classes, self.s.bins + 1
+        ranks = []
+        for _, nodes in items:
+            ranks.append(np.full(n_nodes, -1))
+            ranks[-1][nodes] = np.arange(len(nodes))
+        found = [np.zeros(len(nodes) * width * k) for _, nodes in items]
+        for lo, row, cell, at, times in self._chunks():
+            for no, ((f, nodes), rank) in enumerate(zip(items, ranks)):
+                place, column = rank[at], self.bins[f, lo:lo + CHUNK]
+                if len(nodes) < n_nodes:
+                    own = np.flatnonzero(place >= 0)
+                    place = (place[own] * width + column[row[own]]) * k + cell[own]
+                    found[no] += np.bincount(place, times[own], len(found[no]))
+                else:
+                    found[no] += np.bincount((place * width + column[row]) * k + cell, times,
+                                             len(found[no]))
+        return [x.reshape(-1, width, k) for x in found]
+
+    def move(self, split: np.ndarray, feature: np.ndarray, cut: np.ndarray,
+             child: np.ndarray) -> bool:
+        """Rows of split nodes go to the children, others go; whether any are left."""
+        before, self.held = self.held, []
+        for lo, m in before:
+            row, times, at = (x[lo:lo + m] for x in (self.row, self.times, self.at))
+            keep = split[at]
+            row, times, at = row[keep], times[keep], at[keep].astype(np.int64)
+            right = self.bins[feature[at], row.astype(np.int64) + lo] > cut[at]
+            self._keep(lo, row, times, child[at] + right)
+        return any(m for _, m in self.held)
+
+
+def _passes(items: Sequence[tuple[int, np.ndarray]], size: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """``items (feature, nodes)`` in order, in groups of up to ``PASS_CELLS`` cells of ``size`` a node."""
+    group, cells = [], 0
+    for f, nodes in items:
+        if group and cells + len(nodes) * size > PASS_CELLS:
+            yield group
+            group, cells = [], 0
+        group.append((f, nodes))
+        cells += len(nodes) * size
+    if group:
+        yield group
 
 
 def grow(bins: np.ndarray, label: np.ndarray, s: Settings, no: int) -> Tree:
     """Tree ``no`` of a forest over ``bins`` (features x rows)."""
     rng, n_features = np.random.default_rng([s.random_state, no]), len(bins)
-    drawn = rng.poisson(s.subsample, bins.shape[1])
-    rows = np.flatnonzero(drawn)
-    if not len(rows):
-        rows = np.arange(bins.shape[1])
-        drawn = np.ones(len(rows), int)
-    times, cell = drawn[rows].astype(float), label[rows]
-    weight = times * class_weights(label, s)[cell]
-    tries = int(np.ceil(np.sqrt(n_features)))
-    at, n_nodes, done = np.zeros(len(rows), int), 1, 0
+    rows = Drawn(bins, label, s, rng)
+    known = np.zeros(s.classes, dtype=np.int64)
+    for lo in range(0, len(label), CHUNK):
+        known += np.bincount(label[lo:lo + CHUNK], minlength=s.classes)
+    weight = class_weights(known, s)
+    tries, size = int(np.ceil(np.sqrt(n_features))), (s.bins + 1) * s.classes
+    step = max(CELLS // size, 1)
+    n_nodes, done = 1, 0
     parts = {k: [] for k in ("feature", "bin", "child", "shares")}
     gain, leaves = np.zeros(n_features), 0
     for depth in range(s.max_depth + 1):
-        total = np.bincount(at * s.classes + cell, weight, n_nodes * s.classes).reshape(n_nodes, -1)
-        n = np.bincount(at, times, n_nodes)
+        held = rows.classes(n_nodes)
+        total, n = held * weight, held.sum(axis=1)
         best, feature = np.zeros(n_nodes), np.full(n_nodes, -1)
         cut = np.zeros(n_nodes, int)
         if depth < s.max_depth:
             able = ((total > 0).sum(axis=1) > 1) & (n >= 2 * s.min_rows)
             chosen = rng.random((n_nodes, n_features)).argsort(axis=1)[:, :tries]
-            for f in range(n_features):
-                nodes = np.flatnonzero(able & (chosen == f).any(axis=1))
-                if len(nodes):
-                    score, place = _splits(bins[f], rows, at, nodes, cell, weight, times, s)
+            tried = [(f, np.flatnonzero(able & (chosen == f).any(axis=1))) for f in range(n_features)]
+            items = [(f, nodes[lo:lo + step]) for f, nodes in tried for lo in range(0, len(nodes), step)]
+            for group in _passes(items, size):
+                for (f, nodes), counted in zip(group, rows.counts(group, n_nodes)):
+                    score, place = _best(counted, weight, s)
                     # A gain within rounding of zero is none.
                     better = (score > best[nodes]) & (score > 1e-12 * total[nodes].sum(axis=1))
                     hit = nodes[better]
                     best[hit], feature[hit], cut[hit] = score[better], f, place[better]
         split = feature >= 0
         np.add.at(gain, feature[split], best[split])
-        child = np.where(split, done + n_nodes + 2 * (np.cumsum(split) - 1),
-                         leaves + np.cumsum(~split) - 1)
+        below = 2 * (np.cumsum(split) - 1)
+        child = np.where(split, done + n_nodes + below, leaves + np.cumsum(~split) - 1)
         for k, x in zip(parts, (feature, cut, child, (total / np.maximum(
                 total.sum(axis=1, keepdims=True), 1e-300))[~split])):
             parts[k].append(x)
         leaves += int((~split).sum())
-        keep = split[at]
-        rows, at, cell, weight, times = (x[keep] for x in (rows, at, cell, weight, times))
-        if not len(rows):
+        if not split.any() or not rows.move(split, feature, cut, below):
             break
-        right = bins[feature[at], rows] > cut[at]
-        at = child[at] - (done + n_nodes) + right
         done, n_nodes = done + n_nodes, 2 * int(split.sum())
     return Tree(*(np.concatenate(x).astype(KINDS[k]) for k, x in parts.items()),
                 gain / gain.sum() if gain.sum() else gain)
@@ -239,28 +304,37 @@ def load(spark: SparkSession, path: str) -> Forest | None:
                   Settings(**about["settings"]), spark.read.schema(TREE).parquet(f"{path}/trees"))
 
 
-def fit(df: DataFrame, features: Sequence[str], settings: Settings, rows: int,
-        label: str = "label") -> Forest:
-    """Fit on the rows of ``df`` that have a label, ``rows`` at most; they make up one block.
+def fit(df: DataFrame, features: Sequence[str], settings: Settings, label: str = "label",
+        block_rows: int = BLOCK_ROWS) -> Forest:
+    """Fit on all rows of ``df`` that have a label.
 
-    The block goes to as many tasks as there are cores, and every task grows its share of the trees.
+    Their blocks go to as many tasks as there are cores, and every task grows its share of the trees.
     """
     spark, s = df.sparkSession, settings
     cuts = cut_points(df, features, s.bins)
-    block = blocks(df, features, cuts, rows, label)
+    table = blocks(df, features, cuts, block_rows, label, in_order=True)
+    sizes = sorted((r["block"], r["n"]) for r in table.select("block", "n").collect())
+    ends = np.cumsum([n for _, n in sizes], dtype=np.int64).tolist()
+    first = {block: end - n for (block, n), end in zip(sizes, ends)}
     tasks = max(min(spark.sparkContext.defaultParallelism, s.n_estimators), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = {}  # by part: one, as a rule
         for batch in batches:
-            for row in batch.to_pylist():
-                n = row["n"]
-                order = np.argsort(np.frombuffer(row["draw"], dtype=np.uint64), kind="stable")
-                bins = np.frombuffer(row["bins"], dtype=np.uint8).reshape(-1, n)[:, order]
-                known = np.frombuffer(row["label"], dtype=np.int32)[order].astype(np.int64)
-                for no in range(row["part"], s.n_estimators, tasks):
-                    yield pa.RecordBatch.from_pylist([_packed(no, grow(bins, known, s, no))],
-                                                     pa.schema(ARROW))
-
-    parts = spark.createDataFrame([(k, 0) for k in range(tasks)], "part int, block int")
-    dealt = parts.join(block, "block").repartitionByRange(tasks, "part")
+            for k in range(len(batch)):
+                row = {c: batch.column(c)[k] for c in batch.schema.names}
+                part, lo, n = row["part"].as_py(), first[row["block"].as_py()], row["n"].as_py()
+                if part not in given:
+                    given[part] = room((len(cuts), ends[-1]), np.uint8), room(ends[-1], np.int32)
+                bins, known = given[part]
+                bins[:, lo:lo + n] = np.frombuffer(row["bins"].as_buffer(), np.uint8).reshape(-1, n)
+                known[lo:lo + n] = np.frombuffer(row["label"].as_buffer(), np.int32)
+        for part, (bins, known) in given.items():
+            for no in range(part, s.n_estimators, tasks):
+                yield pa.RecordBatch.from_pylist([_packed(no, grow(bins, known, s, no))],
+                                                 pa.schema(ARROW))
+
+    parts = spark.range(tasks).select(F.col("id").cast("int").alias("part"))
+    dealt = parts.crossJoin(table.select("block", "n", "bins", "label")).repartitionByRange(
+        tasks, "part")
     return Forest(features, cuts, s, materialize(dealt.mapInArrow(run, TREE), "trees"))

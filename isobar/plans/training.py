@@ -39,7 +39,7 @@ DEFAULTS = {
 
 # Rows a node needs to be split. The learners here bound the rows of a child.
 MIN_SPLIT = {"cyclone": 5, "heatwave": 10, "rainfall": 5}
-# Bound of a fit: about this many labelled rows, chosen by a hash of all columns.
+# Bound of a search: about this many labelled rows, chosen by a hash of all columns.
 FIT_ROWS = 1_000_000
 
 # Search ranges (low, high, step; step None is continuous) of the parameters that
@@ -104,19 +104,19 @@ def bounded(df: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
 
 
 def fit(df: DataFrame, task: str, contract: Sequence[str] | None = None, balanced: bool = True,
-        rows: int = FIT_ROWS, **params: float) -> PipelineModel | Forest:
-    """Fit a task's learner on a matrix with ``label``, of which it takes about ``rows`` rows.
+        **params: float) -> PipelineModel | Forest:
+    """Fit a task's learner on all rows of a matrix with ``label``.
 
     The forests are those of ``operators.forest``, whose trees grow side by side: the trees of
     ``pyspark.ml`` grow together, with many passes whose sums and nodes meet on the driver.
     """
     contract = list(contract or CONTRACTS[task])
-    ready = bounded(align_features(df, contract, ["label"]), rows)
+    ready = align_features(df, contract, ["label"])
     if task != "heatwave":
         p = _params(task, params)
         return forest.fit(ready, contract, forest.Settings(
             CLASSES[task], p["n_estimators"], p["max_depth"], MIN_SPLIT[task] // 2, balanced,
-            p.get("subsample", 1.0), p["random_state"]), 2 * rows)
+            p.get("subsample", 1.0), p["random_state"]))
     if balanced:
         ready = with_weights(ready, task)
     return build_estimator(task, contract, "weight" if balanced else None, **params).fit(ready)

@@ -48,3 +48,34 @@ def test_pure_rows_and_no_rows_give_leaves():
     assert forest.grow(np.ones((2, 50), np.uint8), np.ones(50, int), s, 0).feature.tolist() == [-1]
     one = forest.grow(np.ones((2, 50), np.uint8), np.arange(50) % 2, s, 0)
     assert one.feature.tolist() == [-1] and abs(one.shares.sum() - 1) < 1e-6
+
+
+def test_fits_take_all_rows_of_a_large_matrix(spark, monkeypatch):
+    from isobar.operators import boosting
+    from isobar.plans import boosted
+    rows = training.FIT_ROWS + 50_000
+    matrix = spark.range(rows).selectExpr("cast(id % 97 as double) as x", "cast(id % 3 as int) as label")
+    for module, fit in ((forest, training.fit), (boosting, boosted.fit)):
+        monkeypatch.setattr(module, "fit", lambda df, *_, **__: df.count())
+        assert fit(matrix, "cyclone", ["x"]) == rows
+
+
+def test_rows_in_several_blocks_files_and_chunks_give_the_same_trees(spark, monkeypatch):
+    from isobar.operators import boosting
+    matrix = tracks(spark).withColumn("label", F.col("category")).select("lat", "lon", "label")
+    # Many equal rows, which lie in several blocks.
+    df = matrix.unionAll(spark.range(300).selectExpr("1.0D", "cast(null as double)", "cast(2 as int)"))
+    s = forest.Settings(classes=6, n_estimators=5, max_depth=6, min_rows=2)
+    one = forest.fit(df, ["lat", "lon"], s).trees.orderBy("no").collect()
+    many = forest.fit(df.repartition(3), ["lat", "lon"], s, block_rows=70).trees.orderBy("no").collect()
+    assert many == one
+    block = boosting.blocks(df, ["lat", "lon"], boosting.cut_points(df, ["lat", "lon"], s.bins),
+                            in_order=True).first()
+    bins = np.frombuffer(block["bins"], np.uint8).reshape(2, -1)
+    label = np.frombuffer(block["label"], np.int32)
+    monkeypatch.setattr(forest, "CHUNK", 64)
+    monkeypatch.setattr(forest, "CELLS", 500)
+    monkeypatch.setattr(forest, "PASS_CELLS", 900)
+    monkeypatch.setattr(boosting, "ROOM", 100)  # in temporary files
+    for row in one:
+        assert forest._packed(row["no"], forest.grow(bins, label, s, row["no"]))["feature"] == row["feature"]
